@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,32 +26,63 @@ from pyspark.sql import DataFrame
 
 from .common import slices, text_rows
 
-TABLE_WORDS = 300_000
+TABLE_WORDS = 600_000
+#: Letters before this one (ASCII and Latin-1) have no case rules of their own and are composed already.
+LATIN_END = "\u0100"
+_MARK = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
 BLOCK_TOKENS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte -> letter of the byte-level alphabet: printable bytes stand for themselves, others follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Little-endian uint32 ids of a text, from a table of its words.
 
     The tokenizer drops white space and none of its pieces holds any, so the words between blanks and line
-    feeds are encoded apart; each distinct one is encoded by the library once per worker.
+    feeds are encoded apart; each distinct one is encoded by the library once per worker. A full stop or comma
+    between a letter and a blank is a word of its own to the tokenizer, and letters are lower-cased by it, so
+    the table holds lower-case words without them. Words of Latin letters go to the library's model directly,
+    others through its whole chain.
     """
 
     def __init__(self, tokenizer_path: str, limit: int = TABLE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.limit, self.table = Tokenizer.from_file(tokenizer_path), limit, {}
+        self.tokenizer, self.limit, self.table = Tokenizer.from_file(tokenizer_path), limit, {}
+        self.letters = _byte_letters()
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        if max(text, default="") < LATIN_END and "<|" not in text:  # names of special tokens stay as they are
+            text = text.lower()
+        return _MARK.sub(r" \1 ", text).replace("\n", " ").split(" ")
+
+    def learn(self, words: set[str]) -> None:
+        table = self.table
+        new = [w for w in words if w not in table]
+        if len(table) + len(new) > self.limit:
+            self.table = table = {w: table[w] for w in words if w in table}
+        model, letters, rest = self.tokenizer.model, self.letters, []
+        for w in new:
+            if w.isalpha() and max(w) < LATIN_END and w == w.lower():
+                own = w if w.isascii() else "".join([letters[b] for b in w.encode()])
+                table[w] = np.array([t.id for t in model.tokenize(own)], "<u4").tobytes()
+            else:
+                rest.append(w)
+        for w, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            table[w] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.table) > self.limit:
-            self.table.clear()
+        split = [self.words(t) for t in texts]
+        self.learn({w for words in split for w in words})
         table = self.table
-        if new := [w for w in {w for words in split for w in words} if w not in table]:
-            for word, got in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-                table[word] = np.array(got.ids, "<u4").tobytes()
         return [b"".join([table[w] for w in words]) for words in split]
 
 
