@@ -11,8 +11,8 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,18 +65,37 @@ def map_texts(rows: DataFrame, kernel: Callable[[], Callable[[list, list], dict]
     return rows.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder of the session.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where that is unset (tests on one machine)."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{os.getuid()}"
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a folder of our
-    own is used. Files there outlive executors, so a lost executor costs no recomputation.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder. Files there outlive executors, so a lost one costs no recomputation."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or f"/tmp/checkpoints/{os.getuid()}")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def chain(value, *steps):
-    return reduce(lambda v, f: f(v), steps, value)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder as Parquet and read again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def filter_texts(docs: DataFrame, kernel: Callable[[], Callable[[list], list]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, for whose texts the kernel says true; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = kernel()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            keep = [k for a, b in slices(texts) for k in apply(texts[a:b])]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+

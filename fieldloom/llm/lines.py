@@ -119,6 +119,32 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return marked.mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long")
 
 
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The documents with repeated chunks removed, all other columns as they are; ``size_col``, if there, is set
+    anew for texts that changed. Documents of which nothing remains go; texts that were empty before stay."""
+    drop = repeated_chunks(docs, id_col, text_col).select(F.col("doc_id").alias("_drop_id"), F.col("chunks").alias("_drop_chunks"))
+    marked = docs.join(drop, docs[id_col].cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
+    at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            columns, texts, keep = list(batch.columns[:-1]), batch.column(at).to_pylist(), []
+            sizes = batch.column(size_at).to_pylist() if size_at is not None else None
+            for r, drop in enumerate(batch.column(len(columns)).to_pylist()):
+                if drop:
+                    lines, drop = lines_of(texts[r] or ""), set(drop)
+                    texts[r] = "".join("".join(lines[i:j]) for n, (i, j) in enumerate(chunks_of(lines)) if n not in drop or not eligible(lines[i:j]))
+                    if sizes is not None:
+                        sizes[r] = len(texts[r])
+                keep.append(not drop or bool(texts[r].strip()))
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            if sizes is not None:
+                columns[size_at] = pa.array(sizes, batch.schema.field(size_at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return marked.mapInArrow(run, docs.schema)
+
+
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, str]:
     """The same on one machine, for tests; ids are distinct."""
     where: dict[str, list] = {}

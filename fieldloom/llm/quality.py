@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import filter_texts
 from .labelled import sample, scored
 from .linear import Rows, hinge_dual, platt, sigmoid
 
@@ -115,9 +116,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", limit: i
     return model
 
 
+def _sent(docs: DataFrame, model: Model):
+    """The model of fixed size, as a broadcast variable."""
+    return docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias, model.slope, model.offset, model.ratio2.astype(np.float32)))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, that score the threshold or more."""
+    sent = _sent(docs, model)
+
+    def kernel():
+        features, own = Features(), sent.value
+        return lambda texts: (own.scores([features(t) for t in texts]) >= threshold).tolist()
+
+    return filter_texts(docs, kernel, text_col)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every text."""
-    sent = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias, model.slope, model.offset, model.ratio2.astype(np.float32)))
+    sent = _sent(docs, model)
 
     def kernel():
         features, own = Features(), sent.value

@@ -101,8 +101,8 @@ def _ratio(model: Column, token: Column) -> Column:
     return run["total"] / F.length(token)
 
 
-def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, base, spans)``: base spans, and all spans, by start, then kind as listed."""
+def _spans(rows: DataFrame, model: list[float], threshold: float) -> DataFrame:
+    """Adds ``base`` and ``spans`` to rows with a ``text`` that isn't null."""
     t = F.col("text")
     table = F.split(F.lit(",".join(f"{x:g}" for x in model)), ",").cast("array<double>")
     base = F.concat(
@@ -110,20 +110,35 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, id_c
         _guarded(t, t.contains("AKIA"), _found(t, ACCESS, "access", lambda m: F.length(m) >= 16)),
         _guarded(t, t.rlike(HEX), _found(t, HEX, "hex", lambda m: F.length(m) >= 32)),
     )
-    rows = text_rows(docs, id_col, text_col).select("doc_id", "text", F.array_sort(base).alias("base"))
+    rows = rows.withColumn("base", F.array_sort(base))
     mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     more = _guarded(t, t.rlike(TOKEN), _found(t, TOKEN, "markov", lambda m: mixed(m) & (_ratio(table, m) > threshold)))
     apart = F.filter(more, lambda s: ~F.exists(F.col("base"), lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-    return rows.select("doc_id", "text", "base", F.array_sort(F.concat("base", apart)).alias("spans"))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", apart)))
+
+
+def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text, base, spans)``: base spans, and all spans, by start, then kind as listed."""
+    return _spans(text_rows(docs, id_col, text_col), model, threshold)
+
+
+def redact_documents(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The documents with every span replaced by ``[kind]``, all other columns as they are; ``size_col``, if there,
+    is set anew for texts that changed."""
+    rows = _spans(docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), model, threshold)
+    rows = rows.select("row", F.size("spans").alias("n"), _redacted(F.col("text"), F.col("spans")).alias("done"))
+    own = lambda c: F.col("row").getField(c)
+    new = {text_col: F.when(F.col("n") == 0, own(text_col)).otherwise(F.col("done"))}
+    if size_col in docs.columns:
+        new[size_col] = F.when(F.col("n") == 0, own(size_col)).otherwise(F.length("done").cast(docs.schema[size_col].dataType))
+    return rows.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(scanned: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` with each span replaced by ``[kind]``; of overlapping spans the first to start stands for all."""
-    t = F.col("text")
+def _redacted(t: Column, spans: Column) -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -131,9 +146,13 @@ def redact(scanned: DataFrame) -> DataFrame:
         out = F.when(fresh, F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("spans", zero, step)
-    whole = F.concat(done["out"], F.substring(t, done["at"] + 1, F.length(t)))
-    return scanned.select("doc_id", F.when(F.size("spans") == 0, t).otherwise(whole).alias("text"))
+    done = F.element_at(F.transform(F.array(F.aggregate(spans, zero, step)), lambda d: F.concat(d["out"], F.substring(t, d["at"] + 1, F.length(t)))), 1)
+    return F.when(F.size(spans) == 0, t).otherwise(done)
+
+
+def redact(scanned: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` with each span replaced by ``[kind]``; of overlapping spans the first to start stands for all."""
+    return scanned.select("doc_id", _redacted(F.col("text"), F.col("spans")).alias("text"))
 
 
 def digests(scanned: DataFrame) -> DataFrame:
