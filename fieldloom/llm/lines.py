@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_rows
 
-WINDOW, DIVISOR, LEAST_LINES, MOST_LINES, LEAST_WORDS = 2, 3, 2, 24, 12
+WINDOW, DIVISOR, LEAST_LINES, MOST_LINES, LEAST_WORDS = 2, 2, 2, 24, 10
 _LINE = re.compile(r"[^\n]*?(?:\n|[.!?] |\Z)", re.S)
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -45,7 +45,7 @@ def chunks_of(lines: list[str]) -> list[tuple[int, int]]:
         size = i + 1 - begin
         if size >= MOST_LINES or size >= LEAST_LINES and (value >> 40) % DIVISOR == 0:
             out.append((begin, i + 1))
-            begin, rolling = i + 1, [0] * WINDOW
+            begin = i + 1
     if begin < len(lines):
         out.append((begin, len(lines)))
     return out

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import filter_texts
-from .labelled import sample, scored
+from .labelled import kept_apart, sample, scored
 from .linear import Rows, hinge_dual, platt, sigmoid
 
 BITS = 18
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", limit: i
     x, y, ids = sample(docs, labels, label_col, limit, _kernel, id_col, text_col)
     dims = 1 << BITS
     rows = [x.idx[x.ptr[i] : x.ptr[i + 1]] for i in range(x.n)]
-    apart = ids % 5 == 0  # rows for the curve
+    apart = kept_apart(ids)  # rows for the curve
     if not apart.any() or apart.all() or len(set(y[~apart])) < 2:
         rate = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(dims), 0.0, 0.0, float(np.log(rate / (1 - rate))), np.ones(dims))

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .labelled import sample, scored
+from .labelled import kept_apart, sample, scored
 from .linear import Rows, logistic, platt, sigmoid
 
 BITS = 20
@@ -126,7 +126,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> Model:
     x, y, ids = sample(docs, labels, label_col, limit, _kernel, id_col, text_col)
-    dims, apart = 1 << BITS, ids % 5 == 0  # rows for the curve
+    dims, apart = 1 << BITS, kept_apart(ids)  # rows for the curve
     none = np.zeros(0)
     if not apart.any() or apart.all() or len(set(y[~apart])) < 2:
         rate = (y.sum() + 1) / (len(y) + 2)
