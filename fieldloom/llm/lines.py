@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
 A line ends at a line feed or after a sentence end followed by a blank, so that passages count that were
-pasted into a longer line. A rolling hash over ``WINDOW`` line hashes sets the borders of chunks: they depend
-on nearby lines only, so a shared passage is cut alike wherever it stands. Chunks of several lines with
+pasted into a longer line. A rolling hash over the last two line hashes sets the borders of chunks: they depend
+on nearby lines only, so a shared passage is cut alike wherever it stands, and whole paragraphs of some length
+are cut on their own. Chunks of several lines with
 ``LEAST_WORDS`` words or more that occur again anywhere are removed, but for their first occurrence (least id,
 then place). Occurrences are counted by hash and bytes together, so texts that merely share a hash never count
 as repeated; a hash that stands for several texts is left alone.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_rows
 
-WINDOW, DIVISOR, LEAST_LINES, MOST_LINES, LEAST_WORDS = 2, 2, 2, 24, 10
+DIVISOR, LEAST_LINES, MOST_LINES, LEAST_WORDS, PARAGRAPH_WORDS = 2, 2, 24, 10, 20
 _LINE = re.compile(r"[^\n]*?(?:\n|[.!?] |\Z)", re.S)
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -34,20 +35,42 @@ def lines_of(text: str) -> list[str]:
 
 
 def chunks_of(lines: list[str]) -> list[tuple[int, int]]:
-    """Index ranges of chunks; together they are all lines."""
-    out, begin, rolling = [], 0, [0] * WINDOW
-    for i, line in enumerate(lines):
-        h = xxhash.xxh64_intdigest(line.rstrip())
-        rolling = [*rolling[1:], h]
-        value = 0
-        for x in rolling:
-            value = (value * _P + x) & _MASK
-        size = i + 1 - begin
-        if size >= MOST_LINES or size >= LEAST_LINES and (value >> 40) % DIVISOR == 0:
-            out.append((begin, i + 1))
-            begin = i + 1
-    if begin < len(lines):
-        out.append((begin, len(lines)))
+    """Index ranges of chunks; together they are all lines.
+
+    A paragraph (up to a line feed) of several lines with ``PARAGRAPH_WORDS`` words or more starts and ends a
+    chunk, and the rolling hash starts anew in it; elsewhere the hash alone decides.
+    """
+    out, i = [], 0
+    loose: list[int] = []  # lines of short paragraphs in a row
+
+    def cut(begin: int, end: int, whole: bool) -> None:
+        at, value, before = begin, 0, 0
+        for k in range(begin, end):
+            h = xxhash.xxh64_intdigest(lines[k].rstrip())
+            value, before = (before * _P + h) & _MASK, h
+            size = k + 1 - at
+            room = not whole or end - k - 1 >= LEAST_LINES or k + 1 == end  # no lone line at a paragraph's end
+            if size >= MOST_LINES or size >= LEAST_LINES and room and (value >> 40) % DIVISOR == 0:
+                out.append((at, k + 1))
+                at = k + 1
+        if at < end:
+            out.append((at, end))
+
+    while i < len(lines):
+        j = i
+        while j < len(lines) - 1 and not lines[j].endswith("\n"):
+            j += 1
+        j += 1
+        if j - i >= LEAST_LINES and sum(len(x.split()) for x in lines[i:j]) >= PARAGRAPH_WORDS:
+            if loose:
+                cut(loose[0], i, False)
+                loose = []
+            cut(i, j, True)
+        else:
+            loose = loose or [i]
+        i = j
+    if loose:
+        cut(loose[0], len(lines), False)
     return out
 
 
