@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,3 +175,37 @@ def rename_object(objects: DataFrame, old: int, new: int) -> DataFrame:
     item = Window.partitionBy("stem")
     taken = F.max((F.col("obj_id") == new).cast("int")).over(item)
     return objects.withColumn("obj_id", F.when((F.col("obj_id") == old) & (taken == 0), new).otherwise(F.col("obj_id")))
+
+
+def add_object(objects: DataFrame, stems: DataFrame) -> DataFrame:
+    """ID-NEXT: an empty object with the least unused id in each of the items ``stems(stem)``."""
+    free = stems.select("stem").distinct().join(next_id(objects), "stem", "left").select("stem", F.coalesce("next_id", F.lit(0)).cast(objects.schema["obj_id"].dataType).alias("obj_id"))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in objects.schema if f.name not in ("stem", "obj_id")]
+    return objects.unionByName(free.select("stem", "obj_id", *rest))
+
+
+def delete_objects(objects: DataFrame, chosen: DataFrame) -> DataFrame:
+    """ID-NEXT: without the chosen ``(stem, obj_id)``."""
+    return objects.join(chosen.select("stem", "obj_id"), ["stem", "obj_id"], "left_anti").select(objects.columns)
+
+
+def rle_strings(rle: DataFrame) -> DataFrame:
+    """RLE: run-length counts as COCO text, ``(stem, h, w, counts string)``."""
+    from fieldloom.functions.codecs import coco_string
+
+    @F.pandas_udf("string")
+    def text(counts: pd.Series) -> pd.Series:
+        return counts.map(lambda c: coco_string([int(v) for v in c]))
+
+    return rle.withColumn("counts", text("counts"))
+
+
+def rle_from_strings(rle: DataFrame) -> DataFrame:
+    """The inverse of :func:`rle_strings`."""
+    from fieldloom.functions.codecs import coco_counts
+
+    @F.pandas_udf("array<int>")
+    def counts(text: pd.Series) -> pd.Series:
+        return text.map(coco_counts)
+
+    return rle.withColumn("counts", counts("counts"))

@@ -57,3 +57,54 @@ def write_misdetections(result: DataFrame, means: DataFrame, path: str) -> None:
     """SNK-MISCSV."""
     result.write.mode("overwrite").option("header", "true").csv(f"{path}/misdetected")
     means.write.mode("overwrite").option("header", "true").csv(f"{path}/class_means")
+
+
+def encoded(raster: DataFrame, fmt: str = "png") -> DataFrame:
+    """SNK-SAVE: ``(stem, content binary)`` of array-form rasters, as PNG or NPY; keep it as a table, or write files."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldloom.functions import codecs
+
+    encode = {"png": codecs.png_encode, "npy": codecs.npy_encode}[fmt.lstrip(".")]
+
+    def run(batches):
+        for batch in batches:
+            shapes = zip(batch.column("h").to_pylist(), batch.column("w").to_pylist())
+            data = [encode(np.asarray(batch.column("data")[i].values).reshape(h, w)) for i, (h, w) in enumerate(shapes)]
+            yield pa.RecordBatch.from_arrays([batch.column("stem"), pa.array(data, pa.binary())], names=["stem", "content"])
+
+    kind = raster.schema["stem"].dataType.simpleString()
+    return raster.select("stem", "h", "w", "data").mapInArrow(run, f"stem {kind}, content binary")
+
+
+def write_files(payloads: DataFrame, folder: str, fmt: str = "png") -> None:
+    """SNK-SAVE: one file ``<stem>.<fmt>`` per row, in a folder that all executors share. Each file is written
+    beside its place and moved there, so a task that runs twice does no harm."""
+    import os
+    import uuid
+
+    fmt = fmt.lstrip(".")
+
+    def run(rows):
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            part = f"{folder}/.{uuid.uuid4().hex}"
+            with open(part, "wb") as f:
+                f.write(r.content)
+            os.replace(part, f"{folder}/{r.stem}.{fmt}")
+
+    payloads.select("stem", "content").foreachPartition(run)
+
+
+def copy_files(moves: DataFrame) -> None:
+    """CAT-COPY: copy ``(source, target)`` files between shared folders; the source stays, a missing one is an error."""
+    import os
+    import shutil
+
+    def run(rows):
+        for r in rows:
+            os.makedirs(os.path.dirname(r.target), exist_ok=True)
+            shutil.copyfile(r.source, r.target)
+
+    moves.select("source", "target").foreachPartition(run)
