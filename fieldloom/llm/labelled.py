@@ -27,7 +27,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, kerne
 
     The rows are those of the least hash of the id, so the sample doesn't depend on the partitioning. Labels
     that are null are left out; of several labels of an id the largest holds, of several texts each is a row
-    (the first ``limit`` by id). ``kernel`` yields ``idx`` and ``val`` arrays for each text.
+    (the first ``limit`` by id). ``kernel`` yields ``idx`` and ``val`` arrays for each text; an empty ``val`` stands for ones.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label"))
@@ -40,9 +40,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, kerne
     own = rows.join(F.broadcast(marked), rows.doc_id == marked.label_id, "left_semi")
     got = map_texts(own, kernel, "doc_id long, idx array<int>, val array<float>").join(F.broadcast(marked), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "idx", "val").orderBy("doc_id").limit(limit).toArrow()
     idx, val = got.column("idx").combine_chunks(), got.column("val").combine_chunks()
-    parts = []
-    for k in range(len(got)):
-        parts.append((idx[k].values.to_numpy(), val[k].values.to_numpy()))
+    parts = [(idx[k].values.to_numpy(), val[k].values.to_numpy() if len(val[k]) else 1.0) for k in range(len(got))]
     return Rows(parts), got.column("label").to_numpy().astype(float), got.column("doc_id").to_numpy()
 
 

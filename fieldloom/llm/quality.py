@@ -22,7 +22,7 @@ from .labelled import kept_apart, sample, scored
 from .linear import Rows, hinge_dual, platt, sigmoid
 
 BITS = 18
-LIMIT = 5_000
+LIMIT = 2_500
 THRESHOLD = 0.7
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,7 +68,7 @@ def _kernel():
 
     def apply(ids, texts):
         idx = [features(t) for t in texts]
-        return {"doc_id": ids, "idx": idx, "val": [np.ones(len(i), np.float32) for i in idx]}
+        return {"doc_id": ids, "idx": idx, "val": [[]] * len(idx)}
 
     return apply
 
@@ -86,9 +86,11 @@ class Model:
         return sigmoid(self.slope * (margin + self.bias) + self.offset)
 
 
-def _scaled(rows: list[np.ndarray], ratio: np.ndarray) -> Rows:
+def _scaled(x: Rows, keep: np.ndarray, ratio: np.ndarray) -> Rows:
+    """The kept rows with their entries scaled by the ratios, each of unit length."""
     parts = []
-    for i in rows:
+    for k in np.flatnonzero(keep):
+        i, _ = x[k]
         v = ratio[i]
         parts.append((i, v / max(float(np.sqrt(v @ v)), 1e-9)))
     return Rows(parts)
@@ -96,23 +98,20 @@ def _scaled(rows: list[np.ndarray], ratio: np.ndarray) -> Rows:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", limit: int = LIMIT, c: float = 1.0, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     x, y, ids = sample(docs, labels, label_col, limit, _kernel, id_col, text_col)
-    dims = 1 << BITS
-    rows = [x.idx[x.ptr[i] : x.ptr[i + 1]] for i in range(x.n)]
-    apart = kept_apart(ids)  # rows for the curve
+    dims, apart = 1 << BITS, kept_apart(ids)  # rows for the curve
     if not apart.any() or apart.all() or len(set(y[~apart])) < 2:
         rate = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(dims), 0.0, 0.0, float(np.log(rate / (1 - rate))), np.ones(dims))
-    own = Rows([(rows[i], np.ones(len(rows[i]))) for i in np.flatnonzero(~apart)])
     t = y[~apart]
-    p, q = alpha + own.counts(t, dims), alpha + own.counts(1 - t, dims)
-    seen = own.counts(np.ones(own.n), dims) >= 2
+    good, bad = np.where(apart, 0, y), np.where(apart, 0, 1 - y)
+    p, q = x.counts(good, dims), x.counts(bad, dims)
+    seen = p + q >= 2
+    p, q = p + alpha, q + alpha
     ratio = np.where(seen, np.log((p / p.sum()) / (q / q.sum())), 0.0)
-    z = _scaled([rows[i] for i in np.flatnonzero(~apart)], ratio)
     cost = np.where(t > 0, c * len(t) / (2 * t.sum()), c * len(t) / (2 * (len(t) - t.sum())))
-    w, bias = hinge_dual(z, np.where(t > 0, 1.0, -1.0), dims, cost)
+    w, bias = hinge_dual(_scaled(x, ~apart, ratio), np.where(t > 0, 1.0, -1.0), dims, cost)
     model = Model(w * ratio, bias, 1.0, 0.0, ratio**2)
-    margin = _scaled([rows[i] for i in np.flatnonzero(apart)], ratio).dot(w) + bias
-    model.slope, model.offset = platt(margin, y[apart])
+    model.slope, model.offset = platt(_scaled(x, apart, ratio).dot(w) + bias, y[apart])
     return model
 
 

@@ -79,7 +79,7 @@ def votes(x: Rows, terms: np.ndarray, dims: int, lexicons: int = LEXICONS) -> np
         out.append(np.where(hits > 2, 1, 0))
     member[:] = 0
     member[terms[: max(1, len(terms) // 8)]] = 1
-    strong, size = x.dot(member), np.bincount(x.row, x.val, x.n)
+    strong, size = x.dot(member), x.sums(x.val)
     out.append(np.where(strong > 0, 1, -1))
     out.append(np.where(total == 0, -1, 0))
     out.append(np.where(total > 4, 1, np.where(total < 2, -1, 0)))
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int
     if not apart.any() or apart.all() or len(set(y[~apart])) < 2:
         rate = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(dims), 0.0, 0.0, float(np.log(rate / (1 - rate))), none, none)
-    take = lambda keep: Rows([(x.idx[x.ptr[i] : x.ptr[i + 1]], x.val[x.ptr[i] : x.ptr[i + 1]]) for i in np.flatnonzero(keep)])
+    take = lambda keep: Rows([x[i] for i in np.flatnonzero(keep)])
     own, rest, t = take(~apart), take(apart), y[~apart]
     terms = mine(own, t, dims)
     post, accuracy, correlation = label_model(votes(own, terms, dims), float(np.clip(t.mean(), 0.01, 0.99)))
@@ -140,8 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int
     lift = np.log((p + 0.5) / (post.sum() + 1)) - np.log((q + 0.5) / ((1 - post).sum() + 1))
     keep = (p + q >= 4) & (lift > 0.7)
     keep[terms] = True
-    use = lambda r: Rows([(i[keep[i]], np.minimum(v[keep[i]], 6)) for i, v in ((r.idx[r.ptr[k] : r.ptr[k + 1]], r.val[r.ptr[k] : r.ptr[k + 1]]) for k in range(r.n))])
-    w, bias = logistic(use(own), post, dims, l2=0.3)
+    chosen = Rows([(i[keep[i]], np.minimum(v[keep[i]], 6)) for i, v in (own[k] for k in range(own.n))])
+    w, bias = logistic(chosen, post, dims, l2=0.3)
     w = np.where(keep, w, 0.0)
     model = Model(w, bias, 1.0, 0.0, accuracy, correlation)
     model.slope, model.offset = platt(rest.dot(w) + bias, y[apart])
