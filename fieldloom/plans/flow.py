@@ -8,13 +8,17 @@ earlier steps had declared as output stays. Accumulators are aggregations over a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions import expressions as E
+from fieldloom.functions import kernels
 from fieldloom.operators import raster as R
 from fieldloom.operators import regions as G
 
@@ -52,6 +56,11 @@ class Operator:
         raise NotImplementedError
 
 
+def named(units: DataFrame, target: str) -> DataFrame:
+    """The kernel's raster ``data`` under its own name, in place of what had it."""
+    return units.drop(target).withColumnRenamed("data", target)
+
+
 class ThresholdScore(Operator, name="threshold_score"):
     inputs, outputs = ("dist",), ("mask",)
     defaults = {"k": 1.2, "k_weak": None, "invert": False, "min_area": 0, "max_area": 0, "roi": None}
@@ -60,7 +69,7 @@ class ThresholdScore(Operator, name="threshold_score"):
         c = self.config
         moved = units.withColumn("data", F.col(self.source("dist")))
         out = G.threshold(moved, c["k"], c["k_weak"], c["invert"], c["min_area"], c["max_area"], c["roi"])
-        return out.withColumnRenamed("data", self.target("mask"))
+        return named(out, self.target("mask"))
 
 
 class MaskBox(Operator, name="mask_box"):
@@ -93,7 +102,7 @@ class ArrayKernel(Operator, name="array_kernel"):
     def plan(self, units):
         own = self.made()
         moved = units.withColumn("data", F.col(self.source(self.inputs[0])).cast("array<int>"))
-        return G.map_arrays(moved, ["data"], own).withColumnRenamed("data", self.target(self.outputs[0]))
+        return named(G.map_arrays(moved, ["data"], own), self.target(self.outputs[0]))
 
     def made(self):
         raise NotImplementedError
@@ -149,14 +158,214 @@ class MorphMask(ArrayKernel, name="morph_mask"):
         return run
 
 
-class NormalizeMask(ArrayKernel, name="normalize_mask"):
-    inputs, outputs, defaults = ("mask",), ("mask",), {"min_area": 0, "max_area": None}
+def mapped(units: DataFrame, outputs: dict[str, str], kernel: Callable[[dict], dict | None]) -> DataFrame:
+    """Units with the columns ``outputs`` (name -> type) set by a kernel from a row as a dict; units for which it
+    gives None are skipped. For steps with several or odd outputs; the others use ``regions.map_arrays``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    def made(self):
-        from fieldloom.functions.kernels import by_area
+    kept = [f for f in units.schema.fields if f.name not in outputs]
+    schema = StructType(kept + StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in outputs.items())).fields)
+    arrow = to_arrow_schema(schema)
 
-        c = dict(self.config)
-        return lambda a: by_area(a, c["min_area"], c["max_area"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, made = [], []
+            for i, row in enumerate(batch.to_pylist()):
+                out = kernel(row)
+                if out:
+                    rows.append(i)
+                    made.append(out)
+            columns = [batch.column(f.name).take(pa.array(rows, pa.int32())) for f in kept]
+            columns += [pa.array([m[n] for m in made], arrow.field(n).type) for n in outputs]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return units.mapInArrow(run, schema)
+
+
+def grid(values, h: int, w: int) -> np.ndarray:
+    return np.array(values).reshape(h, w)
+
+
+BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+OBJECTS = f"array<struct<class_id:string,bbox:{BOX}>>"
+
+
+def _boxes(objects: list[dict]) -> list[tuple | None]:
+    return [None if o["bbox"] is None else tuple(o["bbox"][k] for k in ("x0", "y0", "x1", "y1")) for o in objects]
+
+
+class NormalizeMask(Operator, name="normalize_mask"):
+    """PX-NORMMASK: the mask gets a size of its own, so ``h`` and ``w`` change with it."""
+
+    inputs, outputs, defaults = ("mask",), ("mask",), {"target_shape": 224}
+
+    def plan(self, units):
+        source, target, size = self.source("mask"), self.target("mask"), self.config["target_shape"]
+
+        def kernel(row):
+            cut = kernels.square_crop(grid(row[source], row["h"], row["w"]))
+            if cut is None:
+                return None
+            out = kernels.padded(cut, size)
+            return {target: out.ravel().tolist(), "h": out.shape[0], "w": out.shape[1]}
+
+        return mapped(units, {target: "array<int>", "h": "int", "w": "int"}, kernel)
+
+
+class FrameCrop(Operator, name="frame_crop"):
+    """PX-CROP of grey frames: the frame within the mask's box, with its size in ``h`` and ``w``."""
+
+    inputs, outputs = ("frame", "mask"), ("crop",)
+
+    def plan(self, units):
+        frame, mask, target = self.source("frame"), self.source("mask"), self.target("crop")
+
+        def kernel(row):
+            ys, xs = np.nonzero(grid(row[mask], row["h"], row["w"]))
+            if not len(ys):
+                return None
+            out = grid(row[frame], row["h"], row["w"])[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
+            return {target: out.ravel().tolist(), "h": out.shape[0], "w": out.shape[1]}
+
+        return mapped(units, {target: "array<int>", "h": "int", "w": "int"}, kernel)
+
+
+def _bgr(frame: str, i):
+    return tuple(F.get(F.col(frame), (i * 3 + k).cast("int")) for k in range(3))
+
+
+def _chroma(frame: str, space: str, i):
+    if space == "hsv":
+        return E.bgr_to_hsv(*_bgr(frame, i))[:2]
+    if space == "lab":
+        return E.bgr_to_lab_ab(*_bgr(frame, i))
+    raise ValueError(f"unknown space: {space}")
+
+
+#: Bins and circularity of the two channels of a space (fixed values).
+SPACES = {"hsv": ((180, True), (256, False)), "lab": ((256, False), (256, False))}
+
+
+def _pixels():
+    return F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)
+
+
+class ConvertToChroma(Operator, name="convert_to_chroma"):
+    """PX-CHROMA of BGR frames (``h * w * 3`` values)."""
+
+    inputs, outputs, defaults = ("frame",), ("chroma_image",), {"space": "hsv"}
+
+    def plan(self, units):
+        frame, space = self.source("frame"), self.config["space"]
+        SPACES[space]
+        return units.withColumn(self.target("chroma_image"), F.transform(_pixels(), lambda i: F.struct(*[c.alias(f"c{k}") for k, c in enumerate(_chroma(frame, space, i))])))
+
+
+class NormalizeColor(Operator, name="normalize_color"):
+    """PX-NORM of BGR frames."""
+
+    inputs, outputs, defaults = ("frame",), ("norm_image",), {"value": 255}
+
+    def plan(self, units):
+        frame, value = self.source("frame"), self.config["value"]
+        return units.withColumn(self.target("norm_image"), F.flatten(F.transform(_pixels(), lambda i: F.array(*E.normalize_color(*_bgr(frame, i), value)))))
+
+
+class ChromaDistance(Operator, name="chroma_distance"):
+    """PX-DIST from a global model in params; units without one are skipped."""
+
+    inputs, outputs, defaults = ("frame", "mean_c0", "mean_c1", "std_c0", "std_c1"), ("dist",), {"space": "hsv", "sigma_floor": 1.0}
+
+    def plan(self, units):
+        names = [self.source(n) for n in self.inputs[1:]]
+        if any(n not in units.columns for n in names):
+            return units.where("false").withColumn(self.target("dist"), F.array().cast("array<double>"))
+        frame, space, floor = self.source("frame"), self.config["space"], F.lit(float(self.config["sigma_floor"]))
+
+        def far(i):
+            total = F.lit(0.0)
+            for k, c in enumerate(_chroma(frame, space, i)):
+                bins, circular = SPACES[space][k]
+                d = E.channel_delta(c, F.col(names[k]), circular, bins) / F.greatest(F.col(names[2 + k]), floor)
+                total = total + d * d
+            return F.sqrt(total)
+
+        return units.where(" AND ".join(f"{n} IS NOT NULL" for n in names)).withColumn(self.target("dist"), F.transform(_pixels(), far))
+
+
+class SplitObjects(Operator, name="split_objects"):
+    """LBL-SPLIT: label map and the list ``object`` of the unit, which replaces its objects."""
+
+    inputs, outputs = ("mask", "class_id", "roi"), ("segment", "object")
+    defaults = {"min_area": 200, "mask_reverse": False, "merge_gap": 0, "bbox_gap": 0.0}
+
+    def plan(self, units):
+        mask, klass, roi = (self.source(n) for n in self.inputs)
+        segment, listed, c = self.target("segment"), self.target("object"), dict(self.config)
+
+        def kernel(row):
+            h, w = row["h"], row["w"]
+            area = grid(row[roi], h, w) if row.get(roi) is not None else None
+            labels, boxes = kernels.split(grid(row[mask], h, w), c["min_area"], c["merge_gap"], c["bbox_gap"], area, c["mask_reverse"])
+            if not boxes:
+                return None
+            name = str(row.get(klass) or "") or G.UNCLASSIFIED
+            return {segment: labels.ravel().tolist(), listed: [{"class_id": name, "bbox": dict(zip(("x0", "y0", "x1", "y1"), b))} for b in boxes]}
+
+        return mapped(units, {segment: "array<int>", listed: OBJECTS}, kernel)
+
+
+class OrderObjects(Operator, name="order_objects"):
+    """ORD-OBJ of a unit's label map and objects."""
+
+    inputs, outputs = ("segment", "object"), ("segment", "object")
+
+    def plan(self, units):
+        a, b, segment, listed = self.source("segment"), self.source("object"), self.target("segment"), self.target("object")
+
+        def kernel(row):
+            labels, ranks = kernels.order(grid(row[a], row["h"], row["w"]), _boxes(row[b]))
+            return {segment: labels.ravel().tolist(), listed: [row[b][i] for i in ranks]}
+
+        return mapped(units, {segment: "array<int>", listed: OBJECTS}, kernel)
+
+
+class Segment(Operator, name="segment"):
+    """MDL-SEG of a unit's objects by the worker's backend; ``segment_with_hole`` carves holes as well."""
+
+    inputs, outputs, holes = ("frame", "object"), ("segment", "object"), False
+    defaults = {"conf": 0.5, "min_area": 200, "model": None}
+
+    def plan(self, units):
+        from fieldloom.operators import model as M
+
+        frame, objects, segment, listed = self.source("frame"), self.source("object"), self.target("segment"), self.target("object")
+        c, holes = dict(self.config), self.holes
+        build = c["model"] or M.BoxThreshold
+
+        def kernel(row):
+            h, w = row["h"], row["w"]
+            own, image = M.backend(build.__name__, build), grid(row[frame], h, w)
+            state, labels, kept = own.encode(image), np.zeros((h, w), np.int32), []
+            for o, box in zip(row[objects] or [], _boxes(row[objects] or [])):
+                if box is None:
+                    continue
+                mask, score, logits = own.decode(state, box, [], None)
+                if holes and mask.any():
+                    mask = M.carve_holes(own, state, image, box, mask, logits)
+                if score < c["conf"] or (mask > 0).sum() < max(c["min_area"], 1):
+                    continue
+                ys, xs = np.nonzero(mask)
+                labels[mask > 0] = len(kept) + 1
+                kept.append({"class_id": o["class_id"], "bbox": {"x0": float(xs.min()), "y0": float(ys.min()), "x1": float(xs.max() + 1), "y1": float(ys.max() + 1)}})
+            return {segment: labels.ravel().tolist(), listed: kept} if kept else None
+
+        return mapped(units, {segment: "array<int>", listed: OBJECTS}, kernel)
+
+
+class SegmentWithHole(Segment, name="segment_with_hole"):
+    holes = True
 
 
 class CombineMask(Operator, name="combine_mask"):
@@ -184,19 +393,63 @@ class RemoveEdgeHoles(Operator, name="remove_edge_holes"):
 
         c = dict(self.config)
         moved = units.withColumn("data", F.col(self.source("mask")).cast("array<int>"))
-        return G.map_arrays(moved, ["data", self.source("edge")], lambda m, e: remove_holes(m, e, **c)).drop(self.target("mask")).withColumnRenamed("data", self.target("mask"))
+        return named(G.map_arrays(moved, ["data", self.source("edge")], lambda m, e: remove_holes(m, e, **c)), self.target("mask"))
 
 
-class AccumulateHistogram(Operator, name="accumulate_histogram"):
-    """FLW-CARRY: an accumulator. Its state is a histogram over all units; ``accumulate`` plans it."""
-
-    inputs, outputs, defaults = ("image",), ("acc",), {"bins": 256}
+class Accumulator(Operator, name="accumulator"):
+    """FLW-CARRY: a step whose state is an aggregation over all units, planned by ``accumulate``."""
 
     def plan(self, units):
         return units
 
-    def accumulate(self, units: DataFrame) -> DataFrame:
-        return units.select(F.explode(F.col(self.source("image"))).alias("v")).select(F.least(F.greatest("v", F.lit(0)), F.lit(self.config["bins"] - 1)).alias("bin")).groupBy("bin").agg(F.count("*").alias("w"))
+    def accumulate(self, units: DataFrame) -> dict[str, DataFrame]:
+        raise NotImplementedError
+
+
+class AccumulateHistogram(Accumulator, name="accumulate_histogram"):
+    """One channel of integers."""
+
+    inputs, outputs, defaults = ("image",), ("acc",), {"bins": 256}
+
+    def accumulate(self, units):
+        own = units.select(F.explode(F.col(self.source("image"))).alias("v")).select(F.least(F.greatest("v", F.lit(0)), F.lit(self.config["bins"] - 1)).alias("bin"))
+        return {"acc": own.groupBy("bin").agg(F.count("*").alias("w"))}
+
+
+class AccumulateChromaHistogram(Accumulator, name="accumulate_chroma_histogram"):
+    """AGG-HIST of a chroma image, over the frame or per pixel ``i``, within the ROI if there is one."""
+
+    inputs, outputs, defaults = ("chroma_image", "roi"), ("c0_acc", "c1_acc"), {"space": "hsv", "per_pixel": False}
+
+    def accumulate(self, units):
+        px = units.select(*[c for c in (self.source("roi"),) if c in units.columns], F.posexplode(F.col(self.source("chroma_image"))).alias("i", "c"))
+        if self.source("roi") in units.columns:
+            roi = F.col(self.source("roi"))
+            px = px.where(roi.isNull() | (F.get(roi, F.col("i")) > 0))
+        by = ["i"] if self.config["per_pixel"] else []
+        out = {}
+        for k, (bins, _) in enumerate(SPACES[self.config["space"]]):
+            own = px.select(*by, F.least(F.greatest(F.col(f"c.c{k}"), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
+            out[f"c{k}_acc"] = own.groupBy(*by, "bin").agg(F.count("*").alias("w"))
+        return out
+
+
+class RobustChromaStats(Operator, name="robust_chroma_stats"):
+    """Finalize step: AGG-ROBUST of both channels; per-pixel accumulators give one row per pixel ``i``."""
+
+    inputs, outputs, defaults = ("c0_acc", "c1_acc"), ("mean_c0", "mean_c1", "std_c0", "std_c1"), {"space": "hsv"}
+
+    def reduce(self, carried):
+        out = {}
+        for k, (bins, circular) in enumerate(SPACES[self.config["space"]]):
+            hist = carried.get(self.source(f"c{k}_acc"))
+            if hist is None:
+                return {}
+            by = ["i"] if "i" in hist.columns else []
+            s = R.robust_stats(hist.withColumn("one", F.lit(1)), ["one", *by], bins, circular)
+            out[self.target(f"mean_c{k}")] = s.select(*by, F.col("mu").alias("value"))
+            out[self.target(f"std_c{k}")] = s.select(*by, F.col("sigma").alias("value"))
+        return out
 
 
 class RobustStats(Operator, name="robust_stats"):
@@ -251,7 +504,7 @@ class Flow:
 
 @dataclass
 class FlowResult:
-    """``tables``: declared outputs ``(stem[, obj_id], value)``; ``params(name, value)``; ``skipped``: outputs without a place."""
+    """``tables``: declared outputs ``(stem[, obj_id], value)``; ``params(name, i, value)``, i being the pixel of per-pixel ones; ``skipped``: outputs without a place."""
 
     tables: dict[str, DataFrame]
     params: DataFrame | None
@@ -287,8 +540,8 @@ def run_flow(flow: Flow, frames: DataFrame, objects: DataFrame | None = None, pa
     tables, skipped, carried = {}, [], {}
     for op, outputs in flow.steps:
         units = op.plan(units)
-        if isinstance(op, AccumulateHistogram) and op.target("acc") in flow.carry:
-            carried[op.target("acc")] = op.accumulate(units)
+        if isinstance(op, Accumulator):
+            carried |= {op.target(k): v for k, v in op.accumulate(units).items() if op.target(k) in flow.carry}
         for key, spec in outputs.items():
             level = spec.get("level", "object")
             if level == "object" and "obj_id" not in units.columns:
@@ -306,7 +559,8 @@ def run_flow(flow: Flow, frames: DataFrame, objects: DataFrame | None = None, pa
         context |= made
         for key in outputs:
             if key in made:
-                row = made[key].select(F.lit(key).alias("name"), F.col("value").cast("double").alias("value"))
+                pixel = F.col("i") if "i" in made[key].columns else F.lit(None)
+                row = made[key].select(F.lit(key).alias("name"), pixel.cast("int").alias("i"), F.col("value").cast("double").alias("value"))
                 out = row if out is None else out.unionByName(row)
     return FlowResult(tables, out, skipped)
 
@@ -320,7 +574,7 @@ def run_flows(flows: list[Flow], frames: DataFrame, objects: DataFrame | None =
     for flow in flows:
         r = run_flow(flow, frames, objects, params)
         if r.params is not None:
-            params |= {x.name: x.value for x in r.params.collect()}
+            params |= {x.name: x.value for x in r.params.where("i IS NULL").collect()}
         if progress is not None:
             n = frames.count()
             progress(flow.name or "flow", n, n)

@@ -58,3 +58,43 @@ def test_carry_finalize_cache(frames):
     assert not results[0].cached and results[1].cached and seen[0] == ("bg", 3, 3)
     with pytest.raises(ValueError):
         W.Flow(unit="object", carry=["acc"])
+
+
+def test_background_model_then_objects(spark):
+    grey = [90, 90, 90]
+    red = [0, 0, 250]
+    blank, marked = grey * 16, (red * 2 + grey * 2) * 2 + grey * 8
+    frames = spark.createDataFrame([(k, 4, 4, blank) for k in range(5)] + [(9, 4, 4, marked)], "stem bigint, h int, w int, frame array<int>")
+    learn = W.Flow(processes=["convert_to_chroma", "accumulate_chroma_histogram"], carry=["c0_acc", "c1_acc"], finalize_processes=[{"op": "robust_chroma_stats", "outputs": {n: {} for n in ("mean_c0", "mean_c1", "std_c0", "std_c1")}}])
+    find = W.Flow(shared={"space": "hsv"}, processes=["chroma_distance", {"op": "threshold_score", "k": 5}, {"op": "split_objects", "min_area": 1, "outputs": {"segment": {"level": "frame"}}}, {"op": "order_objects", "outputs": {"object": {"level": "frame"}}}])
+    results, params = W.run_flows([learn, find], frames)
+    assert params["mean_c1"] == 0 and params["std_c1"] == 0
+    (row,) = results[1].tables["object"].collect()
+    assert row.stem == 9 and [tuple(o.bbox) for o in row.object] == [(0, 0, 2, 2)] and row.object[0].class_id == "__unclassified__"
+    per_pixel = W.Flow(processes=["convert_to_chroma", {"op": "accumulate_chroma_histogram", "per_pixel": True}], carry=["c0_acc", "c1_acc"], finalize_processes=[{"op": "robust_chroma_stats", "outputs": {"mean_c1": {}}}])
+    assert W.run_flow(per_pixel, frames).params.count() == 16
+    assert W.run_flow(W.Flow(processes=["chroma_distance", {"op": "threshold_score", "outputs": {"mask": {"level": "frame"}}}]), frames).tables["mask"].count() == 0
+
+
+def test_mask_sizes_and_models(spark):
+    frames = spark.createDataFrame([(1, 4, 6, [0] * 7 + [9, 9, 9] + [0] * 14)], "stem bigint, h int, w int, frame array<int>")
+    seen = W.run_flow(W.Flow(processes=[STEP | {"k": 5}, {"op": "frame_crop", "outputs": {"crop": {"level": "frame"}}}]), frames)
+    assert list(seen.tables["crop"].first().crop) == [9, 9, 9]
+    seen = W.run_flow(W.Flow(processes=[STEP | {"k": 5}, {"op": "normalize_mask", "target_shape": 5, "outputs": {"mask": {"level": "frame"}}}]), frames)
+    assert len(seen.tables["mask"].first().mask) == 25 and sum(seen.tables["mask"].first().mask) == 3 * 255
+    chain = [STEP | {"k": 5}, {"op": "split_objects", "min_area": 1, "bbox_gap": 1.0}]
+    for op in ("segment", "segment_with_hole"):
+        got = W.run_flow(W.Flow(processes=[*chain, {"op": op, "min_area": 1, "outputs": {"segment": {"level": "frame"}}}]), frames)
+        assert sum(v > 0 for v in got.tables["segment"].first().segment) == 3
+    assert {"convert_to_chroma", "normalize_color", "chroma_distance", "accumulate_chroma_histogram", "robust_chroma_stats", "threshold_score", "combine_mask", "morph_mask", "normalize_mask", "frame_crop", "split_objects", "order_objects", "detect_edge", "close_edge", "fill_edge", "edge_blob", "remove_edge_holes", "segment", "segment_with_hole"} <= set(W.OPERATORS)
+
+
+def test_edge_chain_and_colour(spark):
+    frame = [0] * 72 + [200] * 72
+    frames = spark.createDataFrame([(1, 12, 12, frame)], "stem bigint, h int, w int, frame array<int>")
+    flow = W.Flow(processes=[{"op": "detect_edge", "outputs": {"edge": {"level": "frame"}}}, {"op": "close_edge", "size": 3}, {"op": "fill_edge", "outputs": {"mask": {"level": "frame"}}}, {"op": "morph_mask", "open_size": 1}])
+    out = W.run_flow(flow, frames)
+    assert out.tables["edge"].count() == 1 and out.tables["mask"].count() == 1
+    colour = spark.createDataFrame([(1, 1, 1, [0, 0, 100])], "stem bigint, h int, w int, frame array<int>")
+    made = W.run_flow(W.Flow(processes=[{"op": "normalize_color", "outputs": {"norm_image": {"level": "frame"}}}]), colour)
+    assert list(made.tables["norm_image"].first().norm_image) == [0, 0, 255]
