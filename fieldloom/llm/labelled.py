@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,14 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, kerne
     rows = text_rows(docs, id_col, text_col)
     own = rows.join(F.broadcast(marked), rows.doc_id == marked.label_id, "left_semi")
     got = map_texts(own, kernel, "doc_id long, idx array<int>, val array<float>").join(F.broadcast(marked), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "idx", "val").orderBy("doc_id").limit(limit).toArrow()
-    idx, val = got.column("idx").combine_chunks(), got.column("val").combine_chunks()
-    parts = [(idx[k].values.to_numpy(), val[k].values.to_numpy() if len(val[k]) else 1.0) for k in range(len(got))]
-    return Rows(parts), got.column("label").to_numpy().astype(float), got.column("doc_id").to_numpy()
+    parts, ones = [], not any(len(c.values) for c in got.column("val").chunks)
+    for batch in got.to_batches():
+        idx, val = batch.column("idx"), batch.column("val")
+        parts += [(idx[k].values.to_numpy(), None if ones else val[k].values.to_numpy()) for k in range(len(batch))]
+    rows, label, ids = Rows(parts), got.column("label").to_numpy().astype(float), got.column("doc_id").to_numpy()
+    del parts, got
+    pa.default_memory_pool().release_unused()
+    return rows, label, ids
 
 
 def scored(docs: DataFrame, kernel: Callable, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,18 +6,20 @@ import numpy as np
 
 
 class Rows:
-    """Sparse rows: column ``idx`` and ``val`` of row i at ``ptr[i]:ptr[i + 1]``; 8 bytes an entry."""
+    """Sparse rows: column ``idx`` and ``val`` of row i at ``ptr[i]:ptr[i + 1]``. Without values all are 1."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray | None]]) -> None:
         self.ptr = np.concatenate([[0], np.cumsum([len(i) for i, _ in parts])]).astype(np.int64)
         self.n = len(parts)
         self.idx = np.empty(self.ptr[-1], np.int32)
-        self.val = np.empty(self.ptr[-1], np.float32)
+        self.val = None if parts and parts[0][1] is None else np.empty(self.ptr[-1], np.float32)
         for k, (i, v) in enumerate(parts):
-            self.idx[self.ptr[k] : self.ptr[k + 1]], self.val[self.ptr[k] : self.ptr[k + 1]] = i, v
+            self.idx[self.ptr[k] : self.ptr[k + 1]] = i
+            if self.val is not None:
+                self.val[self.ptr[k] : self.ptr[k + 1]] = v
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.idx[self.ptr[i] : self.ptr[i + 1]], self.val[self.ptr[i] : self.ptr[i + 1]]
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray | None]:
+        return self.idx[self.ptr[i] : self.ptr[i + 1]], None if self.val is None else self.val[self.ptr[i] : self.ptr[i + 1]]
 
     def each(self, values: np.ndarray) -> np.ndarray:
         """A value of each row, for each of its entries."""
@@ -35,25 +37,41 @@ class Rows:
         return np.bincount(self.idx, self.val * self.each(r), dims)
 
     def counts(self, weight: np.ndarray, dims: int) -> np.ndarray:
-        """Weighted number of rows in which each column occurs."""
-        return np.bincount(self.idx, self.each(weight), dims)
+        """Weighted number of rows in which each column occurs (a row has a column once); row by row, without copies."""
+        out = np.zeros(dims)
+        for k in np.flatnonzero(weight):
+            out[self.idx[self.ptr[k] : self.ptr[k + 1]]] += weight[k]
+        return out
+
+
+class Scaled:
+    """Chosen rows of indicators with entries scaled by column and each row of unit length, made when asked for."""
+
+    def __init__(self, rows: Rows, keep: np.ndarray, scale: np.ndarray) -> None:
+        self.rows, self.at, self.scale, self.n = rows, np.flatnonzero(keep), scale, int(keep.sum())
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        idx, _ = self.rows[self.at[i]]
+        v = self.scale[idx]
+        return idx, v / max(float(np.sqrt(v @ v)), 1e-9)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.array([v @ w[idx] for idx, v in (self[i] for i in range(self.n))])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def hinge_dual(x: Rows, y: np.ndarray, dims: int, c: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def hinge_dual(x: Rows | Scaled, y: np.ndarray, dims: int, c: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """L2-regularised squared-hinge machine by dual coordinate descent; the bias is a constant column."""
     w, bias, alpha = np.zeros(dims), 0.0, np.zeros(x.n)
-    norm = x.sums(x.val**2) + 1 + 0.5 / c
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(x.n):
-            a, b = x.ptr[i], x.ptr[i + 1]
-            idx, val = x.idx[a:b], x.val[a:b]
+            idx, val = x[i]
             g = y[i] * (val @ w[idx] + bias) - 1 + alpha[i] * 0.5 / c[i]
-            new = max(alpha[i] - g / norm[i], 0.0)
+            new = max(alpha[i] - g / (float(val @ val) + 1 + 0.5 / c[i]), 0.0)
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[idx] += step * val

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 
 from .common import filter_texts
 from .labelled import kept_apart, sample, scored
-from .linear import Rows, hinge_dual, platt, sigmoid
+from .linear import Scaled, hinge_dual, platt, sigmoid
 
 BITS = 18
-LIMIT = 2_500
+LIMIT = 2_000
 THRESHOLD = 0.7
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,16 +86,6 @@ class Model:
         return sigmoid(self.slope * (margin + self.bias) + self.offset)
 
 
-def _scaled(x: Rows, keep: np.ndarray, ratio: np.ndarray) -> Rows:
-    """The kept rows with their entries scaled by the ratios, each of unit length."""
-    parts = []
-    for k in np.flatnonzero(keep):
-        i, _ = x[k]
-        v = ratio[i]
-        parts.append((i, v / max(float(np.sqrt(v @ v)), 1e-9)))
-    return Rows(parts)
-
-
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", limit: int = LIMIT, c: float = 1.0, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     x, y, ids = sample(docs, labels, label_col, limit, _kernel, id_col, text_col)
     dims, apart = 1 << BITS, kept_apart(ids)  # rows for the curve
@@ -109,9 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", limit: i
     p, q = p + alpha, q + alpha
     ratio = np.where(seen, np.log((p / p.sum()) / (q / q.sum())), 0.0)
     cost = np.where(t > 0, c * len(t) / (2 * t.sum()), c * len(t) / (2 * (len(t) - t.sum())))
-    w, bias = hinge_dual(_scaled(x, ~apart, ratio), np.where(t > 0, 1.0, -1.0), dims, cost)
+    w, bias = hinge_dual(Scaled(x, ~apart, ratio), np.where(t > 0, 1.0, -1.0), dims, cost)
     model = Model(w * ratio, bias, 1.0, 0.0, ratio**2)
-    model.slope, model.offset = platt(_scaled(x, apart, ratio).dot(w) + bias, y[apart])
+    model.slope, model.offset = platt(Scaled(x, apart, ratio).dot(w) + bias, y[apart])
     return model
 
 
