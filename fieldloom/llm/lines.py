@@ -1,32 +1,50 @@
-"""Line dedup by content-defined chunks of lines.
-
-A line ends at a line feed or after a sentence end followed by a blank, so that passages count that were
-pasted into a longer line. A rolling hash over the last two line hashes sets the borders of chunks: they depend
-on nearby lines only, so a shared passage is cut alike wherever it stands, and whole paragraphs of some length
-are cut on their own. Chunks of several lines with
-``LEAST_WORDS`` words or more that occur again anywhere are removed, but for their first occurrence (least id,
-then place). Occurrences are counted by hash and bytes together, so texts that merely share a hash never count
-as repeated; a hash that stands for several texts is left alone.
-
-Null and empty texts have no chunks and stay empty. Rows that share an id count as one document: what one of
-them keeps, the others keep too. Lines, and the bytes that remain, are never changed.
+"""Dedup of repeated lines and passages.
+
+Two kinds of text go when they occur again anywhere, but for their first occurrence (least id, then place):
+
+* chunks of lines. A line ends at a line feed or after a sentence end followed by a blank; a rolling hash over
+  the last two line hashes sets the borders, so they depend on nearby lines only, and whole paragraphs of some
+  length are cut on their own. Chunks of several lines with ``LEAST_WORDS`` words or more count.
+* passages: equal runs of ``PASSAGE_WORDS`` words or more, wherever they begin and end, with or without ends of
+  lines or sentences inside. Windows of ``WINDOW`` words are winnowed (a window is an anchor if its hash is the
+  least of some ``NEAR`` windows in a row), so two occurrences of a passage always share an anchor. From
+  there the removed range is extended, both ways, as far as the texts agree.
+
+Anchors and chunks are met by a 64-bit hash. Each document's matches with one other at one distance make a
+stretch; the other document hands over its bytes of the stretch, with ``PASSAGE_WORDS`` words around it, and only
+bytes that agree are removed. So texts that merely share a hash never count as repeated. An anchor looks at the first
+occurrence of its own words only: if each anchor of a passage occurs earlier in yet other text, what the passage
+shares with none of these stays.
+
+Null and empty texts have no words and stay empty. Rows that share an id count as one document: what stands at the
+same place in several of them counts once. The bytes that remain are never changed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_rows
+from .common import slices, stored, text_rows
 
 DIVISOR, LEAST_LINES, MOST_LINES, LEAST_WORDS, PARAGRAPH_WORDS = 2, 2, 24, 10, 20
+PASSAGE_WORDS, WINDOW = 50, 25
+NEAR = PASSAGE_WORDS - WINDOW + 1
+#: Matches of one document with another at one distance are one stretch up to so many bytes apart.
+GAP = 300
 _LINE = re.compile(r"[^\n]*?(?:\n|[.!?] |\Z)", re.S)
+_WORD = re.compile(rb"[^\t-\r ]+")
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+_NO_ID = -(1 << 63)
 
 
 def lines_of(text: str) -> list[str]:
@@ -34,12 +52,13 @@ def lines_of(text: str) -> list[str]:
     return [x for x in _LINE.findall(text) if x]
 
 
-def chunks_of(lines: list[str]) -> list[tuple[int, int]]:
-    """Index ranges of chunks; together they are all lines.
+def chunks_of(lines: list[str], sizes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Index ranges of chunks; together they are all lines. ``sizes`` are the lines' words.
 
     A paragraph (up to a line feed) of several lines with ``PARAGRAPH_WORDS`` words or more starts and ends a
     chunk, and the rolling hash starts anew in it; elsewhere the hash alone decides.
     """
+    sizes = sizes or [len(x.split()) for x in lines]
     out, i = [], 0
     loose: list[int] = []  # lines of short paragraphs in a row
 
@@ -61,7 +80,7 @@ def chunks_of(lines: list[str]) -> list[tuple[int, int]]:
         while j < len(lines) - 1 and not lines[j].endswith("\n"):
             j += 1
         j += 1
-        if j - i >= LEAST_LINES and sum(len(x.split()) for x in lines[i:j]) >= PARAGRAPH_WORDS:
+        if j - i >= LEAST_LINES and sum(sizes[i:j]) >= PARAGRAPH_WORDS:
             if loose:
                 cut(loose[0], i, False)
                 loose = []
@@ -74,68 +93,278 @@ def chunks_of(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def eligible(chunk: list[str]) -> bool:
-    return len(chunk) >= LEAST_LINES and sum(len(x.split()) for x in chunk) >= LEAST_WORDS
+def chunk_places(text: str) -> list[tuple[int, int, bytes]]:
+    """``(begin, end, bytes)`` of the chunks that count, without blanks around them; places are in UTF-8 bytes."""
+    lines = lines_of(text)
+    sizes, raw = [len(x.split()) for x in lines], text.encode()
+    at = [0, *accumulate(map(len, lines) if len(raw) == len(text) else (len(x.encode()) for x in lines))]
+    out = []
+    for i, j in chunks_of(lines, sizes):
+        if j - i >= LEAST_LINES and sum(sizes[i:j]) >= LEAST_WORDS:
+            body = raw[at[i] : at[j]]
+            begin = at[i] + len(body) - len(body.lstrip())
+            body = body.strip()
+            out.append((begin, begin + len(body), body))
+    return out
 
 
-def _chunk_rows(rows: DataFrame, with_text: bool) -> DataFrame:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.string()] * with_text]
-    names = ["doc_id", "chunk", "nth", "k1", "k2", *["body"] * with_text]
+class Winnower:
+    """Anchors of texts; powers of the hash's base are kept between calls."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            for name, base in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
+                p = np.full(n, base, np.uint64)
+                p[0] = 1
+                setattr(self, name, np.multiply.accumulate(p))
+
+    def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(which text, begin, end, hash)`` of the anchors of all texts."""
+        none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        bytes_ = np.frombuffer(b"\n" + b"\n".join(raws) + b"\n", np.uint8)
+        blank = _BLANK[bytes_]
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        start, end = edge[::2], edge[1::2]
+        n = len(start) - WINDOW + 1
+        if n < NEAR:
+            return none
+        self._powers(len(bytes_) + 1)
+        total = np.zeros(len(bytes_) + 1, np.uint64)
+        np.cumsum(self.up[: len(bytes_)] * (bytes_.astype(np.uint64) + np.uint64(1)), out=total[1:])
+        begins = np.cumsum([1, *(len(r) + 1 for r in raws)])[:-1]
+        which = np.searchsorted(begins, start, "right") - 1
+        g = (total[end[WINDOW - 1 :]] - total[start[:n]]) * self.down[start[:n]]
+        g ^= g >> np.uint64(32)
+        g *= np.uint64(0xD6E8FEB86659FD93)
+        g ^= g >> np.uint64(29)
+        low, size = g, 1  # least of NEAR in a row
+        while size < NEAR:
+            step = min(size, NEAR - size)
+            low, size = np.minimum(low[:-step], low[step:]), size + step
+        high = np.concatenate([np.zeros(NEAR - 1, np.uint64), np.where(which[: len(low)] == which[PASSAGE_WORDS - 1 :], low, np.uint64(0)), np.zeros(NEAR - 1, np.uint64)])
+        size = 1
+        while size < NEAR:
+            step = min(size, NEAR - size)
+            high, size = np.maximum(high[:-step], high[step:]), size + step
+        # windows that reach into the next text are in no row of one text
+        i = np.flatnonzero(high == g)
+        i = i[which[i] == which[i + WINDOW - 1]]
+        w = which[i]
+        return w, start[i] - begins[w], end[i + WINDOW - 1] - begins[w], g[i]
+
+
+def _match_rows(rows: DataFrame) -> DataFrame:
+    """``(k, id, b, e, chunk)``: hash and place of each chunk and each anchor."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
 
     def run(batches):
-        for batch in batches:
+        winnow = Winnower()
+        for batch in parts(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, z in slices(texts, 200_000):
                 out = [[] for _ in kinds]
-                for doc_id, text in zip(ids[a:b], texts[a:b]):
-                    lines, seen = lines_of(text), {}
-                    for n, (i, j) in enumerate(chunks_of(lines)):
-                        if not eligible(lines[i:j]):
-                            continue
-                        body = "".join(lines[i:j]).strip()
-                        d = xxhash.xxh3_128_intdigest(body)
-                        nth = seen[d] = seen.get(d, -1) + 1
-                        for column, v in zip(out, (doc_id, n, nth, (d >> 64) - (1 << 63), (d & _MASK) - (1 << 63), body)):
+                for id_, text in zip(ids[a:z], texts[a:z]):
+                    for b, e, body in chunk_places(text):
+                        for column, v in zip(out, (xxhash.xxh3_64_intdigest(body) + _NO_ID, id_, b, e, True)):
                             column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-
-    return rows.mapInArrow(run, "doc_id long, chunk int, nth int, k1 long, k2 long" + ", body string" * with_text)
-
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k", "id", "b", "e", "chunk"])
+                which, b, e, k = winnow([t.encode() for t in texts[a:z]])
+                columns = k.view(np.int64), np.array(ids[a:z], np.int64)[which], b, e, np.zeros(len(k), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "id", "b", "e", "chunk"])
+
+    return rows.mapInArrow(run, "k long, id long, b int, e int, chunk boolean")
+
+
+def stretches(id_: int, matches: list[tuple]) -> list[tuple]:
+    """``(src, sb, se, b, around, chunks)`` from matches ``(b, e, chunk, src, sb)``: those with one document at one
+    distance joined. ``around`` tells if there are anchors; ``chunks`` are the places of chunks. What occurs several
+    times in the document ``id_`` is held against the time before there, so a text that runs into itself has one
+    stretch, not one for each time."""
+    out, nearest, last_at = [], [], {}
+    for b, e, chunk, src, sb in sorted(matches):
+        src, sb, key = *last_at.get((src, sb, chunk), (src, sb)), (src, sb, chunk)
+        last_at[key] = id_, b
+        nearest.append((b, e, chunk, src, sb))
+    for b, e, chunk, src, sb in sorted(nearest, key=lambda m: (m[3], m[0] - m[4], m[0])):
+        if out and out[-1][0] == src and out[-1][2] - out[-1][1] == b - sb and b <= out[-1][4] + GAP:
+            last = out[-1]
+            last[4], last[5] = max(last[4], e), last[5] or not chunk
+        else:
+            last = [src, sb, b, None, e, not chunk, []]
+            out.append(last)
+        if chunk:
+            last[6].append((b, e))
+    return [(src, sb, sb + e - b, b, around, chunks) for src, sb, b, _, e, around, chunks in out]
+
+
+def handed(raw: bytes, sb: int, se: int, around: bool) -> tuple[int, bytes]:
+    """Place and bytes of a stretch, with ``PASSAGE_WORDS`` words on both sides if ``around``."""
+    if not around:
+        return sb, raw[sb:se]
+    left = right = 8 * PASSAGE_WORDS
+    while left < sb and len(raw[sb - left : sb].split()) <= PASSAGE_WORDS:
+        left *= 2
+    while se + right < len(raw) and len(raw[se : se + right].split()) <= PASSAGE_WORDS:
+        right *= 2
+    at = max(0, sb - left)
+    return at, raw[at : se + right]
+
+
+def ranges(raw: bytes, found: list[tuple]) -> list[tuple[int, int]]:
+    """Byte ranges to remove, sorted and apart, for stretches ``(b, sb, own, chunks, at, body)``: the places in
+    this text and in the other, if the other is this document, chunks, and what the other handed over."""
+    blank = _BLANK[np.frombuffer(b"\n" + raw + b"\n", np.uint8)]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]).tolist()
+    starts, ends = edge[::2], edge[1::2]
+    out = []
+    for b, sb, own, chunks, at, body in found:
+        shift = b - sb
+        begin, end = max(0, at + shift), min(len(raw), at + shift + len(body))
+        mine, other = np.frombuffer(raw[begin:end], np.uint8), np.frombuffer(body, np.uint8)[begin - at - shift :][: end - begin]
+        if len(mine) != len(other):
+            continue
+        wrong = np.flatnonzero(mine != other) + begin
+        for x, y in zip(chunks[::2], chunks[1::2]):
+            i = bisect_left(wrong, x)
+            if begin <= x and y <= end and (i == len(wrong) or wrong[i] >= y) and not (own and shift < y - x):
+                out.append((x, y))
+        for x, y in zip([begin, *(wrong + 1).tolist()], [*wrong.tolist(), end]):
+            if y - x < 2 * PASSAGE_WORDS - 1:
+                continue
+            # whole words in both texts: a border inside a word of either text is moved inwards
+            i, j = bisect_left(starts, x), bisect_left(ends, y + 1)
+            while i < j and not _bordered(body, starts[i] - shift - at, -1):
+                i += 1
+            while i < j and not _bordered(body, ends[j - 1] - shift - at, 1):
+                j -= 1
+            if j - i < PASSAGE_WORDS:
+                continue
+            x, y = starts[i], ends[j - 1]
+            if own and shift < y - x:  # it runs into itself: its first words stay whole
+                x = next((s for s in starts[i:j] if s >= ends[i + PASSAGE_WORDS - 1] - shift), y)
+            if x < y:
+                out.append((x, y))
+    joined: list[list[int]] = []
+    for x, y in sorted(out):
+        if joined and x <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], y)
+        else:
+            joined.append([x, y])
+    return [(x, y) for x, y in joined]
+
+
+def _bordered(body: bytes, i: int, side: int) -> bool:
+    """Whether a word of ``body`` can begin (side -1) or end (side 1) at ``i``; at the edge of what was handed over too."""
+    k = i - 1 if side < 0 else i
+    return k < 0 or k >= len(body) or bool(_BLANK[body[k]])
+
+
+def without(text: str, found: list[tuple]) -> tuple[str, int]:
+    """What remains of a text, and how many of its lines went as a whole. Blanks after a removed range go with it."""
+    raw = text.encode()
+    gone = ranges(raw, found)
+    if not gone:
+        return text, 0
+    kept, at, cut = [], 0, []
+    for x, y in gone:
+        while y < len(raw) and _BLANK[raw[y]]:
+            y += 1
+        kept.append(raw[at : max(at, x)])
+        cut.append((x, y))
+        at = y
+    kept.append(raw[at:])
+    out = b"".join(kept)
+    if not out.strip():
+        out = b""
+    removed = place = i = 0
+    for line in lines_of(text):
+        line = line.encode()
+        first, last = place + len(line) - len(line.lstrip()), place + len(line.rstrip())
+        place += len(line)
+        while i < len(cut) and cut[i][1] <= first:
+            i += 1
+        removed += i < len(cut) and cut[i][0] <= first < last <= cut[i][1]
+    return out.decode(), removed
+
+
+def parts(batches, rows: int = 500):
+    """Batches in pieces of so many rows, so that few are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _listed(column: pa.ListArray) -> list[list[tuple]]:
+    """Lists of structs as lists of tuples; nulls are empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    items = list(zip(*(f.to_pylist() for f in column.flatten().flatten())))
+    at = [0, *accumulate(n or 0 for n in column.value_lengths().to_pylist())]
+    return [items[a:b] for a, b in zip(at, at[1:])]
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, found)``: for each document that has any, its stretches with earlier text (see :func:`ranges`)."""
+    rows = text_rows(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
+    all_ = stored(_match_rows(rows), "line-matches")
+    first = all_.groupBy("k", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "b")).alias("first")).where("n > 1").select("k", "chunk", F.col("first.id").alias("src"), F.col("first.b").alias("sb"))
+    met = all_.join(first, ["k", "chunk"]).where("id <> src OR b <> sb").select("id", F.struct("b", "e", "chunk", "src", "sb").alias("m"))
+    grouped = met.groupBy("id").agg(F.collect_list("m").alias("ms"))
+    schema = pa.schema([("id", pa.int64()), ("b", pa.int32()), ("src", pa.int64()), ("sb", pa.int32()), ("se", pa.int32()), ("around", pa.bool_()), ("chunks", pa.list_(pa.int32()))])
+
+    def join(batches):
+        for batch in parts(batches):
+            out = [[] for _ in schema]
+            for id_, ms in zip(batch.column(0).to_pylist(), _listed(batch.column(1))):
+                for src, sb, se, b, around, chunks in stretches(id_, ms):
+                    for column, v in zip(out, (id_, b, src, sb, se, around, [p for c in chunks for p in c])):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    own = stored(grouped.mapInArrow(join, "id long, b int, src long, sb int, se int, around boolean, chunks array<int>"), "line-stretches")
+    asked = own.select("src", "sb", "se", "around").distinct().groupBy("src").agg(F.collect_list(F.struct("sb", "se", "around")).alias("asked"))
+    sources = rows.join(asked, rows["id"] == asked["src"]).select("src", "text", "asked")
+
+    def hand(batches):
+        names = ["src", "sb", "se", "around", "at", "body"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
+        for batch in parts(batches):
+            out, size = [[] for _ in kinds], 0
+            for src, text, asked_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _listed(batch.column(2))):
+                raw = text.encode()
+                for sb, se, around in asked_:
+                    at, body = handed(raw, sb, se, around)
+                    for column, v in zip(out, (src, sb, se, around, at, body)):
+                        column.append(v)
+                    size += len(body)
+                    if size > 8_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+                        out, size = [[] for _ in kinds], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, chunks array<int>)``: the chunks to remove from each document that has any."""
-    rows = text_rows(docs, id_col, text_col)
-    bodies = _chunk_rows(rows, True).groupBy("k1", "k2", "body").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    again = bodies.groupBy("k1", "k2").agg(F.count("*").alias("bodies"), F.sum("n").alias("n"), F.min("first").alias("first")).where("bodies = 1 AND n > 1").select("k1", "k2", "first")
-    found = _chunk_rows(rows, False).join(again, ["k1", "k2"]).where("nth > 0 OR NOT doc_id <=> first")
-    return found.groupBy("doc_id").agg(F.collect_set("chunk").alias("chunks"))
+    given = sources.mapInArrow(hand, "src long, sb int, se int, around boolean, at int, body binary")
+    both = own.join(given, ["src", "sb", "se", "around"])
+    return both.groupBy("id").agg(F.collect_list(F.struct("b", "sb", (F.col("src") == F.col("id")).alias("own"), "chunks", "at", "body")).alias("found"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, n_lines, n_removed)``: every text without its repeated chunks."""
-    rows = text_rows(docs, id_col, text_col)
-    drop = repeated_chunks(docs, id_col, text_col).withColumnRenamed("doc_id", "drop_id")
-    marked = rows.join(drop, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "chunks")
+    """``(doc_id, text, n_lines, n_removed)``: every text without its repeated parts; ``n_removed`` are the lines of
+    which nothing is left."""
+    rows = text_rows(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
+    marked = rows.join(repeats(docs, id_col, text_col).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", "text", "found")
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches):
-        for batch in batches:
-            ids, texts, chunks = (c.to_pylist() for c in batch.columns)
+        for batch in parts(batches):
+            ids, texts, founds = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _listed(batch.column(2))
             for a, b in slices(texts):
                 out = [[] for _ in kinds]
-                for doc_id, text, drop in zip(ids[a:b], texts[a:b], chunks[a:b]):
-                    lines = lines_of(text)
-                    kept, removed = text, 0
-                    if drop:
-                        drop, parts = set(drop), []
-                        for n, (i, j) in enumerate(chunks_of(lines)):
-                            # ids that repeat carry several texts: only chunks that this one has
-                            if n in drop and eligible(lines[i:j]):
-                                removed += j - i
-                            else:
-                                parts += lines[i:j]
-                        kept = "".join(parts)
-                    for column, v in zip(out, (doc_id, kept, len(lines), removed)):
+                for i in range(a, b):
+                    kept, removed = without(texts[i], founds[i]) if founds[i] else (texts[i], 0)
+                    for column, v in zip(out, (None if ids[i] == _NO_ID else ids[i], kept, len(lines_of(texts[i])), removed)):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "text", "n_lines", "n_removed"])
 
@@ -143,23 +372,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """The documents with repeated chunks removed, all other columns as they are; ``size_col``, if there, is set
+    """The documents with repeated parts removed, all other columns as they are; ``size_col``, if there, is set
     anew for texts that changed. Documents of which nothing remains go; texts that were empty before stay."""
-    drop = repeated_chunks(docs, id_col, text_col).select(F.col("doc_id").alias("_drop_id"), F.col("chunks").alias("_drop_chunks"))
-    marked = docs.join(drop, docs[id_col].cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
+    found = repeats(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("found").alias("_found"))
+    marked = docs.join(found, F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)) == F.col("_id"), "left").drop("_id")
     at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             columns, texts, keep = list(batch.columns[:-1]), batch.column(at).to_pylist(), []
             sizes = batch.column(size_at).to_pylist() if size_at is not None else None
-            for r, drop in enumerate(batch.column(len(columns)).to_pylist()):
-                if drop:
-                    lines, drop = lines_of(texts[r] or ""), set(drop)
-                    texts[r] = "".join("".join(lines[i:j]) for n, (i, j) in enumerate(chunks_of(lines)) if n not in drop or not eligible(lines[i:j]))
-                    if sizes is not None:
-                        sizes[r] = len(texts[r])
-                keep.append(not drop or bool(texts[r].strip()))
+            founds = _listed(batch.column(len(columns)))
+            for r in range(len(texts)):
+                before = texts[r] or ""
+                if founds[r]:
+                    text, _ = without(before, founds[r])
+                    if text != before:
+                        texts[r] = text
+                        if sizes is not None:
+                            sizes[r] = len(text)
+                keep.append((texts[r] or "") == before or bool(texts[r].strip()))
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if sizes is not None:
                 columns[size_at] = pa.array(sizes, batch.schema.field(size_at).type)
@@ -169,16 +401,32 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, str]:
-    """The same on one machine, for tests; ids are distinct."""
-    where: dict[str, list] = {}
-    for doc_id, text in docs:
-        lines = lines_of(text or "")
-        for n, (i, j) in enumerate(chunks_of(lines)):
-            if eligible(lines[i:j]):
-                where.setdefault("".join(lines[i:j]).strip(), []).append((doc_id, n))
-    drop = {x for found in where.values() for x in sorted(found)[1:]}
+    """The same on one machine, for tests; ids are distinct. Passages are sought at every word, not at anchors."""
+    raws = {i: (t or "").encode() for i, t in sorted(docs)}
+    spans = {i: [m.span() for m in _WORD.finditer(raw)] for i, raw in raws.items()}
+    chunks: dict[bytes, list] = {}
+    windows: dict[bytes, tuple[int, int]] = {}
     out = {}
-    for doc_id, text in docs:
-        lines = lines_of(text or "")
-        out[doc_id] = "".join("".join(lines[i:j]) for n, (i, j) in enumerate(chunks_of(lines)) if (doc_id, n) not in drop)
+    for i, raw in raws.items():
+        gone = bytearray(len(raw))
+        for x, y, body in chunk_places(raw.decode()):
+            if chunks.setdefault(body, (i, x)) != (i, x) and not (chunks[body][0] == i and x - chunks[body][1] < y - x):
+                gone[x:y] = b"\x01" * (y - x)
+        w = spans[i]
+        for k in range(len(w) - PASSAGE_WORDS + 1):
+            x, y = w[k][0], w[k + PASSAGE_WORDS - 1][1]
+            doc, f = windows.setdefault(raw[x:y], (i, k))
+            if doc == i and f < k < f + PASSAGE_WORDS:  # it runs into itself: its first words stay whole
+                d = k - f
+                while f and raw[w[f - 1][0] : w[f][0]] == raw[w[f - 1 + d][0] : w[f + d][0]]:
+                    f -= 1
+                x = w[max(k, f + PASSAGE_WORDS)][0] if max(k, f + PASSAGE_WORDS) < k + PASSAGE_WORDS else y
+            if (doc, f) != (i, k):
+                gone[x:y] = b"\x01" * (y - x)
+        cut = [m.span() for m in re.finditer(rb"\x01+", gone)]
+        for x, y in reversed(cut):
+            while y < len(raw) and _BLANK[raw[y]]:
+                y += 1
+            raw = raw[:x] + raw[y:]
+        out[i] = raw.decode() if raw.strip() or not cut else ""
     return out

@@ -119,3 +119,34 @@ def test_lines_and_chunks():
     assert cut[0][0] == 0 and cut[-1][1] == 100 and all(a[1] == b[0] for a, b in zip(cut, cut[1:]))
     tail = [(a - 1, b - 1) for a, b in lines.chunks_of(["new\n", *many])][-20:]
     assert tail[-15:] == cut[-15:]  # borders resist a shift
+
+
+def planted(r, n, stops):
+    """A passage of n words, twice among other words of longer documents, mid-line."""
+    end = (lambda: r.choice(["", "", "", "", "."])) if stops else (lambda: "")
+    text = lambda n: " ".join(words(r, 1) + end() for _ in range(n))
+    passage = text(n)
+    return passage, [f"{text(r.randint(3, 90))} {passage} {text(r.randint(3, 90))}\n{text(20)}" for _ in range(2)]
+
+
+def test_passages_inside_other_text_go_whole(spark):
+    r = random.Random(11)
+    docs, passages = [], []
+    for k in range(60):
+        passage, two = planted(r, r.choice([50, 51, 80, 200]), True)
+        passages.append(passage)
+        docs += [(2 * k, two[0]), (2 * k + 1, two[1])]
+    passage, two = planted(r, 60, True)
+    twice = f"{two[0]} {passage}"
+    docs += [(900, twice), (901, " ".join(["spam"] * 300)), (902, None), (903, "é " * 20 + words(r, 60)), (904, "ü " * 31 + words(r, 20))]
+    docs += [(904, docs[-1][1]), (None, docs[-2][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    for x in lines.dedup(df).collect():
+        got.setdefault(x.doc_id, []).append(x)
+    for k, passage in enumerate(passages):
+        before, after = docs[2 * k + 1][1].split(passage + " ")
+        assert got[2 * k][0].text == docs[2 * k][1] and got[2 * k + 1][0].text == before + after
+    assert got[900][0].text == two[0] + " " and got[901][0].text == " ".join(["spam"] * 50) + " "
+    assert [x.text for x in got[904]] == [docs[-3][1]] * 2  # rows that share an id keep the same
+    assert got[None][0].text == docs[-1][1] and got[903][0].text == ""  # the null id comes first
