@@ -150,3 +150,15 @@ def test_passages_inside_other_text_go_whole(spark):
     assert got[900][0].text == two[0] + " " and got[901][0].text == " ".join(["spam"] * 50) + " "
     assert [x.text for x in got[904]] == [docs[-3][1]] * 2  # rows that share an id keep the same
     assert got[None][0].text == docs[-1][1] and got[903][0].text == ""  # the null id comes first
+
+
+@pytest.mark.parametrize("n", [51, 120])
+def test_passages_without_stops_go_whole(spark, n):
+    r = random.Random(n)
+    passage, two = planted(r, n, False)
+    row = "|".join(words(r, 1) for _ in range(3))
+    table = " ".join(f"{row} {words(r, 1)}" for _ in range(n))
+    docs = [(0, two[0]), (1, two[1]), (2, f"{words(r, 9)}\n{table}\n{words(r, 9)}"), (3, f"{words(r, 5)}\n{table}\n{words(r, 7)}"), (4, passage), (5, words(r, n))]
+    got = {x.doc_id: x.text for x in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (0, 2, 5)] == [docs[i][1] for i in (0, 2, 5)]
+    assert got[1] == docs[1][1].replace(passage + " ", "") and got[3] == docs[3][1].replace(table + "\n", "") and got[4] == ""
