@@ -121,3 +121,26 @@ def test_counts_against_python(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     f = simhash.fingerprints(df).first().fingerprint
     assert [f.a % 2**64, f.b % 2**64] == want
+
+
+def test_near_copies_are_found(spark):
+    """Copies with a few words changed lie more than 3 bits apart; their class has one id."""
+    import random
+
+    r = random.Random(8)
+    make = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, group = [], {}
+    for g in range(40):
+        base = make(r.randint(150, 400))
+        for c in range(4):
+            w = list(base)
+            for _ in range(min(c, 2)):
+                w[r.randrange(len(w))] = "changed"
+            rows.append((50 * len(rows) + 50, " ".join(w)))
+            group[rows[-1][0]] = g
+    got = {x.doc_id: x for x in simhash.edited_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bits = lambda a, b: bin(int(got[a].fingerprint, 16) ^ int(got[b].fingerprint, 16)).count("1")
+    want = {a: [b for b in got if bits(a, b) <= simhash.WIDE] for a in got}
+    assert all(got[a].n_similar == len(want[a]) and got[a].similar_id == min(want[a]) for a in got)
+    assert sum(len(x) for x in want.values()) > 0.95 * 160 * 4 > 160 * 4 * 0.9 > sum(x.n_near for x in got.values())
+    assert all(group[got[a].similar_id] == group[a] for a in got)
