@@ -15,6 +15,7 @@ each on its own.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame
 
 from .common import slices, text_rows
 
-TABLE_WORDS = 600_000
-#: Letters before this one (ASCII and Latin-1) have no case rules of their own and are composed already.
-LATIN_END = "\u0100"
-_MARK = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
+TABLE_WORDS = 400_000
+#: What the word table relies on: words end at white space, letters are lower-cased, marks stand apart from letters.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Parts of a lower-case ASCII word without apostrophes that the tokenizer tells apart.
+_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 BLOCK_TOKENS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -41,49 +44,93 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _latin1(text: str) -> bool:
+    """Whether all letters are Latin-1: those have no case rules of their own and are composed already."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Table(dict):
+    """Word (UTF-8) -> little-endian uint32 ids; a word that lacks is encoded when it is asked for.
+
+    There are two generations of at most half the limit each, so words that come again and again stay.
+    """
+
+    def __init__(self, tokenizer, limit: int) -> None:
+        self.tokenizer, self.letters, self.limit, self.old = tokenizer, _byte_letters(), limit, {}
+
+    def turn(self) -> None:
+        if len(self) > self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._encoded(word)
+        self[word] = ids
+        return ids
+
+    def _encoded(self, word: bytes) -> bytes:
+        w = word.decode()
+        parts = _PARTS.findall(w) if w.isascii() and "'" not in w and "<|" not in w else [w]
+        if len(parts) > 1 and w == w.lower():
+            return b"".join([self[p.encode()] for p in parts])
+        if w[-1] in ".," and w[:-1].isalpha() and _latin1(w) and w == w.lower():
+            return self[word[:-1]] + self[word[-1:]]
+        if w.isalpha() and _latin1(w) and w == w.lower():
+            own = w if w.isascii() else "".join([self.letters[b] for b in word])
+            return np.array([t.id for t in self.tokenizer.model.tokenize(own)], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class WordIds:
     """Little-endian uint32 ids of a text, from a table of its words.
 
-    The tokenizer drops white space and none of its pieces holds any, so the words between blanks and line
-    feeds are encoded apart; each distinct one is encoded by the library once per worker. A full stop or comma
-    between a letter and a blank is a word of its own to the tokenizer, and letters are lower-cased by it, so
-    the table holds lower-case words without them. Words of Latin letters go to the library's model directly,
-    others through its whole chain.
+    The tokenizer drops white space and none of its pieces holds any, so the words between ASCII blanks are
+    encoded apart; each distinct one is encoded by the library once per worker. Texts of Latin-1 letters are
+    lower-cased first, as the tokenizer does itself. A full stop or comma after a word of letters is a word of its
+    own to the tokenizer. Words of lower-case Latin-1 letters go to the library's model directly, others through
+    its whole chain. The tokenizer's own description is checked for these rules at load; another tokenizer gets
+    whole texts.
     """
 
     def __init__(self, tokenizer_path: str, limit: int = TABLE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.table = Tokenizer.from_file(tokenizer_path), limit, {}
-        self.letters = _byte_letters()
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        if max(text, default="") < LATIN_END and "<|" not in text:  # names of special tokens stay as they are
-            text = text.lower()
-        return _MARK.sub(r" \1 ", text).replace("\n", " ").split(" ")
-
-    def learn(self, words: set[str]) -> None:
-        table = self.table
-        new = [w for w in words if w not in table]
-        if len(table) + len(new) > self.limit:
-            self.table = table = {w: table[w] for w in words if w in table}
-        model, letters, rest = self.tokenizer.model, self.letters, []
-        for w in new:
-            if w.isalpha() and max(w) < LATIN_END and w == w.lower():
-                own = w if w.isascii() else "".join([letters[b] for b in w.encode()])
-                table[w] = np.array([t.id for t in model.tokenize(own)], "<u4").tobytes()
-            else:
-                rest.append(w)
-        for w, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            table[w] = np.array(got.ids, "<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        told = json.loads(self.tokenizer.to_str())
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        bytewise = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        plain = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in told["added_tokens"])
+        self.by_words = told["normalizer"] == NORMALIZER and steps[0] == SPLIT and bytewise and plain and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+        self.table = _Table(self.tokenizer, limit)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        self.learn({w for words in split for w in words})
-        table = self.table
-        return [b"".join([table[w] for w in words]) for words in split]
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.table.turn()
+        get, out = self.table.__getitem__, []
+        for t in texts:
+            if _latin1(t) and "<|" not in t:  # names of special tokens stay as they are
+                t = t.lower()
+            out.append(b"".join(map(get, t.encode().split())))
+        return out
+
+
+_LOADED: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_path: str) -> WordIds:
+    """The table of this worker; it lives as long as the worker does."""
+    if tokenizer_path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[tokenizer_path] = WordIds(tokenizer_path)
+    return _LOADED[tokenizer_path]
 
 
 def capacities(total: int, size: int) -> list[int]:
@@ -127,7 +174,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, base = WordIds(tokenizer_path), TaskContext.get().partitionId() << 40
+        words, base = word_ids(tokenizer_path), TaskContext.get().partitionId() << 40
         end, waiting, tokens = np.array([end_id], "<u4").tobytes(), [], 0
 
         def flush():
