@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to Python kernels in slices of at most so many characters (one text at least).
 SLICE_CHARS = 2_000_000
+#: Arrow batches have about so many bytes (one row at least).
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,21 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
-def map_texts(rows: DataFrame, kernel: Callable[[], Callable[[list, list], dict]], schema: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, where the session doesn't say otherwise: a worker holds few texts at a time."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not taken, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_texts(rows: DataFrame, kernel: Callable[[], Callable[[list, list], dict]], schema: str, limit: int = SLICE_CHARS) -> DataFrame:
     """Map ``(doc_id, text)`` rows through a Python kernel over Arrow batches.
 
     ``kernel()`` is called once per task and returns a function from (ids, texts) to a dict of columns;
@@ -58,10 +74,11 @@ def map_texts(rows: DataFrame, kernel: Callable[[], Callable[[list, list], dict]
         apply = kernel()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, limit):
                 columns = apply(ids[a:b], texts[a:b])
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
+    small_batches(rows.sparkSession)
     return rows.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -96,6 +113,7 @@ def filter_texts(docs: DataFrame, kernel: Callable[[], Callable[[list], list]],
             keep = [k for a, b in slices(texts) for k in apply(texts[a:b])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -6,13 +6,20 @@ Two sets link when ``den * |A & B| >= num * |A | B|``. Equal sets are one class;
   The order only steers the cost; any global order is exact.
 * A set of n shingles whose partner must share ``need`` of them has a prefix of ``n - need + l``: linked sets
   share at least ``min(l, l')`` prefix shingles. Each set takes the ``l`` of least estimated cost (length of
-  the posting lists read, plus candidates to verify), up to ``MOST_MATCHES``.
+  the posting lists read, plus candidates to verify: each must turn up in ``l`` of these lists), up to
+  ``MOST_MATCHES``.
 * Round 1 verifies, for each prefix shingle, neighbours of its posting list and the pair with its pivot (the
   set in which the shingle comes first); this is linear in the postings and joins large groups of near copies.
+  Lists that the sketch expects to be long are dealt over several tasks by the set's id, and the pivots of the
+  parts are linked in the same way afterwards.
 * Round 2 verifies every other pair that shares enough prefix shingles, passes the size and position filters,
-  and is not yet in one component. Rows of a posting list that are in its pivot's component never meet each
-  other, so a group of copies costs no pairs. After it no link between components can be left out.
-* Pairs are verified first by parity bitmaps, a lower bound of the difference, and then on whole texts.
+  and is not yet in one component. Lists whose sets are all in one component by now, nearly all of them, are left
+  out. In the others, rows of the pivot's component never meet each other, so a group of copies costs no pairs, and
+  sets meet only those of their own and the neighbouring size classes. After it no link between components can be
+  left out.
+* Pairs are verified first by parity bitmaps, a lower bound of the difference, and then on whole texts. Shingles
+  are compared by 64-bit hashes throughout; two distinct shingles of a pair of texts with one hash (a chance of
+  about 1e-14 for texts of 400 words) would count as shared.
 
 Rows that share an id are looked up by their set. Null, empty and blank texts have no shingles and link with
 nothing. Very frequent shingles sort last and are rarely in prefixes.
@@ -20,6 +27,7 @@ nothing. Very frequent shingles sort last and are rarely in prefixes.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,41 +36,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, map_texts, slices, text_rows
+from .common import checkpointed, fresh, map_texts, small_batches, slices, stored, text_rows
 from .components import components
+from .wordhash import shingle_sets
 
-SKETCH_BITS, SLICES = 20, 16
+SKETCH_BITS, SLICES = 20, 128
 BITMAP = 1024
-MOST_MATCHES = 2
+MOST_MATCHES = 4
 #: Reading one candidate costs about so many posting entries.
 VERIFY_COST = 4.0
-_C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
-
-
-class Shingler:
-    """Sorted distinct 64-bit hashes of the word k-shingles of a text (A-Z lower-cased, ASCII white space)."""
-
-    def __init__(self, k: int, limit: int = 300_000) -> None:
-        self.k, self.limit, self.table = k, limit, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.table) > self.limit:
-            self.table.clear()
-        table = self.table
-        for w in words:
-            if w not in table:
-                table[w] = xxhash.xxh64_intdigest(w)
-        h = np.array([table[w] for w in words], np.uint64)
-        k = min(self.k, len(h))
-        x = np.full(len(h) - k + 1, np.uint64(k))
-        for i in range(k):
-            x += h[i : len(h) - k + 1 + i] * _C[i % 7] + np.uint64(i // 7)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(x ^ (x >> np.uint64(32)))
+#: A list is dealt over parts of about so many postings.
+PART = 20_000
+#: Ids of texts to verify are sent to all executors up to so many (8 bytes each, about 20 MB in a hash table); beyond, they are joined by a shuffle.
+MOST_SENT = 400_000
+#: Texts are hashed in slices of so many characters.
+SLICE = 200_000
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -76,16 +66,13 @@ def _described(rows: DataFrame, k: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sketch = Shingler(k), np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                out = []
-                for t in texts[a:b]:
-                    s = shingle(t)
-                    np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-                    out.append((len(s), *digest(s)))
-                n, k1, k2 = zip(*out)
+            for a, b in slices(texts, SLICE):
+                sets = shingle_sets(texts[a:b], k)
+                np.add.at(sketch, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+                n, k1, k2 = zip(*((len(s), *digest(s)) for s in sets))
                 none = [None] * (b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids[a:b], n, k1, k2, none, none), kinds)], names=names)
         if sketch.any():
@@ -93,6 +80,7 @@ def _described(rows: DataFrame, k: int) -> DataFrame:
             none = [None] * SLICES
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, range(SLICES), parts), kinds)], names=names)
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, slice int, counts binary")
 
 
@@ -108,9 +96,9 @@ def _summed(parts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "counts"])
 
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint64)
-    for r in parts.repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary").collect():
+    for r in parts.repartition("slice").mapInArrow(run, "slice int, counts binary").collect():
         out[r.slice] = np.frombuffer(r.counts, np.uint64)
-    return out.ravel()
+    return np.minimum(out.ravel(), np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def need_of(n: int, num: int, den: int) -> int:
@@ -118,34 +106,22 @@ def need_of(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
-    """Chosen number of matches and prefix of a set, rare shingles first."""
+def prefix(s: np.ndarray, counts: np.ndarray, usual: float, num: int, den: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Chosen number of matches, prefix of a set with rare shingles first, and into how many parts each list is dealt.
+
+    ``usual`` is the load of a counter that holds no frequent shingle; what is beyond is the expected length of a list.
+    """
     n = len(s)
     c = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    longest = n - need_of(n, num, den) + min(MOST_MATCHES, need_of(n, num, den))
-    order = np.lexsort((s, c))[:longest]
-    # what a list is expected to hold beyond this set, without the sketch's usual load
-    usual = _usual(counts)
-    extra = np.maximum(c[order].astype(float) - usual, 0.0)
-    read = np.cumsum(extra)
-    best, least = 1, None
-    for l in range(1, min(MOST_MATCHES, need_of(n, num, den)) + 1):
-        total = read[n - need_of(n, num, den) + l - 1]
-        cost = total + VERIFY_COST * total / l + 0.5 * l
-        if least is None or cost < least:
-            best, least = l, cost
-    return best, s[order[: n - need_of(n, num, den) + best]]
-
-
-_USUAL: dict[int, float] = {}
-
-
-def _usual(counts: np.ndarray) -> float:
-    """Usual load of a counter: the median."""
-    if id(counts) not in _USUAL:
-        _USUAL.clear()
-        _USUAL[id(counts)] = float(np.median(counts))
-    return _USUAL[id(counts)]
+    need = need_of(n, num, den)
+    most = min(MOST_MATCHES, need)
+    order = np.argsort(c, kind="stable")[: n - need + most]  # s is sorted, so ties are by hash
+    extra = np.maximum(c[order] - usual, 0.0)
+    read = np.cumsum(extra)[n - need :]
+    l = np.arange(1, most + 1)
+    best = int(np.argmin(read + VERIFY_COST * read / l + 0.5 * l)) + 1
+    size = n - need + best
+    return best, s[order[:size]], 1 + (extra[:size] / PART).astype(np.int64)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -170,9 +146,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, num
             keep = den * (na + nb - apart) >= num * (na + nb + apart)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "a1", "a2", "b", "b1", "b2")], names=["a", "a1", "a2", "b", "b1", "b2"])
 
+    small_batches(rows.sparkSession)
     close = checkpointed(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "a1", "a2", "b", "b1", "b2", "na", "nb", "bits_a", "bits_b").mapInArrow(near, "a long, a1 long, a2 long, b long, b1 long, b2 long"))
-    wanted = close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct()
-    texts = rows.join(wanted, "doc_id", "left_semi")
+    wanted = checkpointed(close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct())
+    texts = rows.join(F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted, "doc_id", "left_semi")
     both = (
         close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -180,7 +157,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, num
     )
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(k)
         for batch in batches:
             found_a, found_b = [], []
             last: dict[int, tuple] = {}
@@ -190,7 +166,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, num
                     if key not in last or last[key][0] != want:
                         if len(last) > 64:
                             last.clear()
-                        s = shingle(text)
+                        s = shingle_sets([text], k)[0]
                         if digest(s) != want:  # another row of this id
                             break
                         last[key] = (want, s)
@@ -205,65 +181,111 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, num
     return both.mapInArrow(links, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``: one row per row of ``docs``.
-
-    ``component_id`` is the least id that links reach, the row's own included; a null id keeps a null
-    component unless its set has another id.
-    """
+def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``sets(doc_id, n, k1, k2)`` of all rows, and ``(k1, k2, rep, component)`` of the classes that have an id."""
     rows = text_rows(docs, id_col, text_col)
     described = checkpointed(_described(rows, k))
     sets = described.where(F.col("slice").isNull()).select("doc_id", "n", "k1", "k2")
     reps = checkpointed(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).where("rep IS NOT NULL"))
-    counts = docs.sparkSession.sparkContext.broadcast(_summed(described.where(F.col("slice").isNotNull()).select("slice", "counts")))
+    counts = _summed(described.where(F.col("slice").isNotNull()).select("slice", "counts"))
+    sent = docs.sparkSession.sparkContext.broadcast((counts, float(np.median(counts))))
 
     def kernel():
-        shingle, own = Shingler(k), counts.value
+        own, usual = sent.value
 
         def apply(ids, texts):
-            out = {c: [] for c in ("k1", "k2", "matches", "tokens", "bits")}
-            for t in texts:
-                s = shingle(t)
-                l, p = prefix(s, own, num, den) if len(s) else (0, s)
-                for c, v in zip(out, (*digest(s), l, p.view(np.int64), bitmap(s))):
+            out = {c: [] for c in ("k1", "k2", "matches", "tokens", "parts", "bits")}
+            for s in shingle_sets(texts, k):
+                l, p, parts = prefix(s, own, usual, num, den) if len(s) else (0, s, s)
+                for c, v in zip(out, (*digest(s), l, p.view(np.int64), None if not len(parts) or parts.max() == 1 else parts, bitmap(s))):
                     out[c].append(v)
             return out | {"doc_id": ids}
 
         return apply
 
-    prefixes = map_texts(rows, kernel, "doc_id long, k1 long, k2 long, matches int, tokens array<long>, bits binary")
+    prefixes = map_texts(rows, kernel, "doc_id long, k1 long, k2 long, matches int, tokens array<long>, parts array<int>, bits binary", SLICE)
     own = reps.select(F.col("rep").alias("doc_id"), "k1", "k2", "n")
     classes = checkpointed(prefixes.join(own, ["doc_id", "k1", "k2"]).withColumnRenamed("doc_id", "rep"))
 
-    place = Window.partitionBy("token").orderBy("pos", "n", "rep")
-    postings = classes.select("rep", "n", "matches", F.posexplode("tokens").alias("pos", "token"))
+    postings = classes.select("rep", "n", "matches", "parts", F.posexplode("tokens").alias("pos", "token"))
+    n_parts = F.coalesce(F.get("parts", F.col("pos")), F.lit(1))
+    postings = postings.select("token", "rep", "n", "matches", "pos", (n_parts > 1).alias("dealt"), F.when(n_parts > 1, F.pmod(F.xxhash64("rep"), n_parts)).otherwise(0).cast("int").alias("part"))
+    order = ["pos", "n", "rep"]
+    place = Window.partitionBy("token", "part").orderBy(*order)
     lists = checkpointed(
         postings.withColumn("before", F.lag(F.struct("rep", "n")).over(place))
         .withColumn("after", F.lead("rep").over(place))
         .withColumn("pivot", F.first(F.struct("rep", "n")).over(place))
-        .where("before IS NOT NULL OR after IS NOT NULL").drop("after")
+        .where("before IS NOT NULL OR after IS NOT NULL OR dealt").drop("after", "part")
     )
 
-    # round 1: neighbours and pivots
-    pair = lambda other: lists.where(f"{other}.rep <> rep AND {den} * least({other}.n, n) >= {num} * greatest({other}.n, n)").select(F.least(f"{other}.rep", "rep").alias("a"), F.greatest(f"{other}.rep", "rep").alias("b"), "matches")
-    first = pair("before").union(pair("pivot")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("matches").alias("l")).where("c >= l")
+    # round 1: neighbours and pivots, in the parts and then of the parts
+    heads = Window.partitionBy("token").orderBy(*order)
+    tops = lists.where("dealt AND before IS NULL").withColumn("before", F.lag(F.struct("rep", "n")).over(heads)).withColumn("pivot", F.first(F.struct("rep", "n")).over(heads))
+    pair = lambda of, other: of.where(f"{other}.rep <> rep AND {den} * least({other}.n, n) >= {num} * greatest({other}.n, n)").select(F.least(f"{other}.rep", "rep").alias("a"), F.greatest(f"{other}.rep", "rep").alias("b"), "matches")
+    first = pair(lists, "before").union(pair(lists, "pivot")).union(pair(tops, "before")).union(pair(tops, "pivot"))
+    first = first.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("matches").alias("l")).where("c >= l")
     edges = checkpointed(_verified(first, classes, rows, k, num, den))
     joined = components(edges)
 
-    # round 2: all that share enough, across components
+    # round 2: all that share enough, across components, in lists that have several
     at = lists.select("token", "rep", "n", "matches", "pos").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    at = at.withColumn("main", F.first("component").over(place))
-    x, y = at.where("component <> main").alias("x"), at.alias("y")
+    mixed = at.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("largest"), F.min(F.struct(*order, "component")).alias("head"))
+    mixed = mixed.where("least <> largest").select("token", F.col("head.component").alias("main"))
+    #: linked sets are of one size class or of neighbouring ones
+    at = stored(at.join(mixed, "token").withColumn("class", F.floor(F.log("n") / F.lit(math.log(den / num) * 1.000001 if den > num else 1e-12)).cast("long")), "jaccard-lists")
+    x = at.where("component <> main").alias("x")
+    y = at.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).alias("y")
     need = f"({den} + {num}) * (least(x.n - x.pos, y.n - y.pos) + least(x.matches, y.matches) - 1) >= {num} * (x.n + y.n)"
     rest = (
         x.join(y, F.expr(
-            "x.token = y.token AND x.component <> y.component AND (y.component = y.main OR x.rep < y.rep) "
+            "x.token = y.token AND x.class = y.class AND x.component <> y.component AND (y.component = y.main OR x.rep < y.rep) "
             f"AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {need}"))
         .groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .agg(F.count("*").alias("c"), F.min(F.least("x.matches", "y.matches")).alias("l")).where("c >= l")
     )
     more = checkpointed(_verified(rest, classes, rows, k, num, den))
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return sets, reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"))
+
 
-    of_set = reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("of_set"))
+def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``: one row per row of ``docs``.
+
+    ``component_id`` is the least id that links reach, the row's own included; a null id keeps a null
+    component unless its set has another id.
+    """
+    sets, classes = _classes(docs, k, num, den, id_col, text_col)
+    of_set = classes.select("k1", "k2", F.col("component").alias("of_set"))
     return sets.join(of_set, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("of_set", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, with one row of each component: that of the least id.
+
+    Rows are judged by their own text, so of two rows that share an id and not their text one can stay and the
+    other go; of rows that share id and set one stays. Rows without words stay, all of them. Rows without an id go if
+    their set has one elsewhere, and stay otherwise.
+    """
+    sets, classes = _classes(docs, k, num, den, id_col, text_col)
+    at = docs.columns.index(text_col)
+    n, k1, k2, key, place, hit = (fresh(docs.columns, c) for c in ("n_shingles", "key_1", "key_2", "key_id", "place", "hit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            found = [(len(s), *digest(s)) for a, b in slices(texts, SLICE) for s in shingle_sets(texts[a:b], k)]
+            more = [pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), (), ()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, n, k1, k2])
+
+    small_batches(docs.sparkSession)
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in (n, k1, k2))])
+    as_text = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("")).alias(key)
+    own = docs.mapInArrow(run, schema).withColumn(key, as_text(F.col(id_col)))
+    orphans = sets.where("doc_id IS NULL AND n > 0").select("k1", "k2").distinct().join(classes, ["k1", "k2"], "left_anti").select(F.lit("").alias(key), "k1", "k2")
+    heads = classes.where("rep = component").select(as_text(F.col("rep")), "k1", "k2").union(orphans)
+    heads = heads.select(key, F.col("k1").alias(k1), F.col("k2").alias(k2), F.lit(1).alias(hit))
+    met = own.join(heads, [key, k1, k2], "left").where(F.col(hit).isNotNull() | (F.col(n) == 0))
+    # equal rows of one id and set: one stays
+    met = met.withColumn(place, F.row_number().over(Window.partitionBy(key, k1, k2).orderBy(key)))
+    return met.where((F.col(place) == 1) | (F.col(n) == 0) | (F.col(key) == "")).select(docs.columns)

@@ -68,6 +68,30 @@ def test_jaccard_edges(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard.linked(same).collect()) == [(2, 2), (4, 2), (4, 2), (9, 9)]
 
 
+def test_jaccard_long_lists(spark, monkeypatch):
+    """A shingle in a third of the texts, lists in several parts, and ids in no order."""
+    monkeypatch.setattr(jaccard, "PART", 5)
+    r = random.Random(9)
+    common = words(r, 6)
+    base = [words(r, 12) for _ in range(3)]
+    docs = [f"{common} {words(r, 4)}" for _ in range(40)] + [common] * 5 + [f"{common} {words(r, 1)}" for _ in range(30)]
+    docs += [f"{r.choice(base)} {words(r, 1)}" for _ in range(60)] + [words(r, 20) for _ in range(30)]
+    docs = [(r.randrange(-(1 << 62), 1 << 62), t) for t in docs]
+    for k, num, den in ((3, 90, 100), (5, 80, 100), (3, 50, 100)):
+        got = {x.doc_id: x.component_id for x in jaccard.linked(spark.createDataFrame(docs, "doc_id long, text string"), k, num, den).collect()}
+        assert got == brute(docs, k, num, den)
+
+
+def test_one_of_each(spark):
+    t, u, v = "a b c d e f", "q r s t u v", "k l m n o p"
+    rows = [(1, t), (2, t), (2, u), (5, v), (5, v), (None, t), (None, "x y z"), (None, "x y z"), (7, None), (8, ""), (8, "")]
+    df = spark.createDataFrame([(i, x, 1, 2, "z") for i, x in rows], "doc_id long, text string, key_1 int, hit int, place string")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == [(0, "x y z"), (0, "x y z"), (1, t), (2, u), (5, v), (7, ""), (8, ""), (8, "")]
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(30)] + [(50, 51), (51, 50), (60, 60)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(e, "a long, b long")).collect()}

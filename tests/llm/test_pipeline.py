@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import random
+import struct
+import zlib
 
 import pytest
 
 import corpus_pipeline
-from fieldloom.llm import jaccard, lines, quality
+from fieldloom.llm import lines, quality, queries
 from fieldloom.llm.common import read_table
 
 
+def shingles(text, k):
+    w = (text or "").encode().lower().split()
+    return frozenset(zip(*[w[i:] for i in range(k)])) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     r = random.Random(4)
@@ -49,7 +56,7 @@ def test_stages_by_brute_force(spark, small):
     assert {r.doc_id: r.text or "" for r in two.collect()} == {i: t for i, t in want.items() if t.strip() or not before[i]}
 
     three = stages["n-gram jaccard join"](spark, two, small).cache()
-    s = {r.doc_id: set(jaccard.Shingler(5)(r.text or "").tolist()) for r in two.collect()}
+    s = {r.doc_id: shingles(r.text, 5) for r in two.collect()}
     best = {i: i for i in s}
     for _ in s:
         for a in s:
@@ -63,7 +70,28 @@ def test_stages_by_brute_force(spark, small):
     four = {r.doc_id: r for r in stages["secret scans"](spark, three, small).collect()}
     texts = {r.doc_id: r.text for r in three.collect()}
     assert set(four) == set(texts) and all(r.text == texts[i] for i, r in four.items() if i != 302)
-    assert 302 not in texts or four[302].text.endswith('[assign]"') and four[302].n_chars == len(four[302].text)
+    assert 302 in texts and four[302].text.endswith('[assign]"') and four[302].n_chars == len(four[302].text)
+
+
+    # packing: the library's own ids of each text, and sequences without gaps
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    ids = {i: [*own.encode(r.text or "", add_special_tokens=False).ids, 1] for i, r in four.items()}
+    pieces = stages["packing"](spark, spark.createDataFrame(list(four.values()), three.schema), small).collect()
+    at, sequences = {}, {}
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == at.get(r.doc_id, 0) and r.doc_tokens == len(ids[r.doc_id])
+        at[r.doc_id] = r.start + r.length
+        assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *ids[r.doc_id][r.start : r.start + r.length]))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert at == {i: len(x) for i, x in ids.items()}
+    for found in sequences.values():
+        end = 0
+        for offset, length in sorted(found):
+            assert offset == end
+            end += length
+        assert end == 2048 or end & (end - 1) == 0
 
 
 def test_run(spark, small):
