@@ -2,9 +2,10 @@
 
 Two kinds of text go when they occur again anywhere, but for their first occurrence (least id, then place):
 
-* chunks of lines. A line ends at a line feed or after a sentence end followed by a blank; a rolling hash over
-  the last two line hashes sets the borders, so they depend on nearby lines only, and whole paragraphs of some
-  length are cut on their own. Chunks of several lines with ``LEAST_WORDS`` words or more count.
+* chunks of lines. A line ends at a line feed or after a sentence end followed by a blank, and has a word at least. A
+  chunk ends after a line where a rolling hash over the last two line hashes says so, so borders depend on nearby
+  lines only and shift with the text; chunks have ``LEAST_LINES`` lines at least and ``MOST_LINES`` at most (the
+  method's own limits), and those of ``LEAST_WORDS`` words or more count.
 * passages: equal runs of ``PASSAGE_WORDS`` words or more, wherever they begin and end, with or without ends of
   lines or sentences inside. Windows of ``WINDOW`` words are winnowed (a window is an anchor if its hash is the
   least of some ``NEAR`` windows in a row), so two occurrences of a passage always share an anchor. From
@@ -17,7 +18,7 @@ occurrence of its own words only: if each anchor of a passage occurs earlier in
 shares with none of these stays.
 
 Null and empty texts have no words and stay empty. Rows that share an id count as one document: what stands at the
-same place in several of them counts once. The bytes that remain are never changed.
+same place in several of them counts once; if their texts differ, it is left open which of them has the first place. The bytes that remain are never changed.
 """
 
 from __future__ import annotations
@@ -28,123 +29,85 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_rows
+from .common import fresh, slices, small_batches, stored, text_rows
+from .wordhash import BLANK as _BLANK
+from .wordhash import VALUES, mixed, powers
 
-DIVISOR, LEAST_LINES, MOST_LINES, LEAST_WORDS, PARAGRAPH_WORDS = 2, 2, 24, 10, 20
-PASSAGE_WORDS, WINDOW = 50, 25
+DIVISOR, LEAST_LINES, MOST_LINES, LEAST_WORDS = 2, 2, 24, 10
+PASSAGE_WORDS, WINDOW = 50, 16
 NEAR = PASSAGE_WORDS - WINDOW + 1
 #: Matches of one document with another at one distance are one stretch up to so many bytes apart.
 GAP = 300
-_LINE = re.compile(r"[^\n]*?(?:\n|[.!?] |\Z)", re.S)
+#: Texts are scanned in slices of so many characters (one text at least; a scan takes about 60 bytes for each of them).
+SLICE = 200_000
 _WORD = re.compile(rb"[^\t-\r ]+")
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_P = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _NO_ID = -(1 << 63)
+_FEED, _DOT, _BANG, _QUERY, _SPACE = b"\n.!? "
 
 
-def lines_of(text: str) -> list[str]:
-    """The lines of a text; joined they are the text."""
-    return [x for x in _LINE.findall(text) if x]
-
-
-def chunks_of(lines: list[str], sizes: list[int] | None = None) -> list[tuple[int, int]]:
-    """Index ranges of chunks; together they are all lines. ``sizes`` are the lines' words.
-
-    A paragraph (up to a line feed) of several lines with ``PARAGRAPH_WORDS`` words or more starts and ends a
-    chunk, and the rolling hash starts anew in it; elsewhere the hash alone decides.
-    """
-    sizes = sizes or [len(x.split()) for x in lines]
-    out, i = [], 0
-    loose: list[int] = []  # lines of short paragraphs in a row
-
-    def cut(begin: int, end: int, whole: bool) -> None:
-        at, value, before = begin, 0, 0
-        for k in range(begin, end):
-            h = xxhash.xxh64_intdigest(lines[k].rstrip())
-            value, before = (before * _P + h) & _MASK, h
-            size = k + 1 - at
-            room = not whole or end - k - 1 >= LEAST_LINES or k + 1 == end  # no lone line at a paragraph's end
-            if size >= MOST_LINES or size >= LEAST_LINES and room and (value >> 40) % DIVISOR == 0:
-                out.append((at, k + 1))
-                at = k + 1
-        if at < end:
-            out.append((at, end))
-
-    while i < len(lines):
-        j = i
-        while j < len(lines) - 1 and not lines[j].endswith("\n"):
-            j += 1
-        j += 1
-        if j - i >= LEAST_LINES and sum(sizes[i:j]) >= PARAGRAPH_WORDS:
-            if loose:
-                cut(loose[0], i, False)
-                loose = []
-            cut(i, j, True)
-        else:
-            loose = loose or [i]
-        i = j
-    if loose:
-        cut(loose[0], len(lines), False)
-    return out
-
-
-def chunk_places(text: str) -> list[tuple[int, int, bytes]]:
-    """``(begin, end, bytes)`` of the chunks that count, without blanks around them; places are in UTF-8 bytes."""
-    lines = lines_of(text)
-    sizes, raw = [len(x.split()) for x in lines], text.encode()
-    at = [0, *accumulate(map(len, lines) if len(raw) == len(text) else (len(x.encode()) for x in lines))]
-    out = []
-    for i, j in chunks_of(lines, sizes):
-        if j - i >= LEAST_LINES and sum(sizes[i:j]) >= LEAST_WORDS:
-            body = raw[at[i] : at[j]]
-            begin = at[i] + len(body) - len(body.lstrip())
-            body = body.strip()
-            out.append((begin, begin + len(body), body))
-    return out
-
-
-class Winnower:
-    """Anchors of texts; powers of the hash's base are kept between calls."""
+class Scan:
+    """Words and lines of several texts, and the hashes of any stretch of words."""
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, base in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-
-    def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``(which text, begin, end, hash)`` of the anchors of all texts."""
-        none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
-        bytes_ = np.frombuffer(b"\n" + b"\n".join(raws) + b"\n", np.uint8)
-        blank = _BLANK[bytes_]
+    def __init__(self, raws: list[bytes]) -> None:
+        data = np.frombuffer(b"\n" + b"\n".join(raws) + b"\n", np.uint8)
+        blank = _BLANK[data]
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        start, end = edge[::2], edge[1::2]
-        n = len(start) - WINDOW + 1
+        self.start, self.end = edge[::2], edge[1::2]
+        up, self.down = powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(up[: len(data)] * VALUES[data], out=self.total[1:])
+        self.begins = np.cumsum([1, *(len(r) + 1 for r in raws)])[:-1]
+        self.which = np.searchsorted(self.begins, self.start, "right") - 1
+        # the last byte of each line: a line feed, or the blank after a sentence end
+        stop = (data[:-1] == _DOT) | (data[:-1] == _BANG) | (data[:-1] == _QUERY)
+        ends = data == _FEED
+        ends[1:] |= stop & (data[1:] == _SPACE)
+        line = np.searchsorted(np.flatnonzero(ends), self.start)
+        #: first word of each line that has words, and the number of words last
+        self.first = np.concatenate([np.flatnonzero(np.diff(line, prepend=-1)), [len(line)]])
+
+    def hashes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from the beginning of word i to the end of word j - 1."""
+        return mixed((self.total[self.end[j - 1]] - self.total[self.start[i]]) * self.down[self.start[i]])
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and the word after the last of the chunks that count."""
+        first = self.first
+        if len(first) <= LEAST_LINES:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = self.hashes(first[:-1], first[1:])
+        text = self.which[first[:-1]]
+        new = np.concatenate([[True], text[1:] != text[:-1]])
+        before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
+        before[new] = 0
+        border = (mixed(before * np.uint64(0x9E3779B97F4A7C15) + h) % np.uint64(DIVISOR) == 0).tolist()
+        out, at = [], 0
+        for k, fresh_text in enumerate([*new.tolist()[1:], True], 1):
+            if k - at >= LEAST_LINES and (border[k - 1] or k - at >= MOST_LINES or fresh_text):
+                out.append((at, k))
+                at = k
+            if fresh_text:
+                at = k
+        i, j = (first[np.array(x, np.int64)] for x in (zip(*out) if out else ((), ())))
+        long = j - i >= LEAST_WORDS
+        return i[long], j[long]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and the word after the last of the winnowed windows."""
+        n, which = len(self.start) - WINDOW + 1, self.which
         if n < NEAR:
-            return none
-        self._powers(len(bytes_) + 1)
-        total = np.zeros(len(bytes_) + 1, np.uint64)
-        np.cumsum(self.up[: len(bytes_)] * (bytes_.astype(np.uint64) + np.uint64(1)), out=total[1:])
-        begins = np.cumsum([1, *(len(r) + 1 for r in raws)])[:-1]
-        which = np.searchsorted(begins, start, "right") - 1
-        g = (total[end[WINDOW - 1 :]] - total[start[:n]]) * self.down[start[:n]]
-        g ^= g >> np.uint64(32)
-        g *= np.uint64(0xD6E8FEB86659FD93)
-        g ^= g >> np.uint64(29)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.arange(n)
+        g = self.hashes(at, at + WINDOW)
         low, size = g, 1  # least of NEAR in a row
         while size < NEAR:
             step = min(size, NEAR - size)
             low, size = np.minimum(low[:-step], low[step:]), size + step
-        high = np.concatenate([np.zeros(NEAR - 1, np.uint64), np.where(which[: len(low)] == which[PASSAGE_WORDS - 1 :], low, np.uint64(0)), np.zeros(NEAR - 1, np.uint64)])
+        none = np.zeros(NEAR - 1, np.uint64)
+        high = np.concatenate([none, np.where(which[: len(low)] == which[PASSAGE_WORDS - 1 :], low, np.uint64(0)), none])
         size = 1
         while size < NEAR:
             step = min(size, NEAR - size)
@@ -152,30 +115,33 @@ class Winnower:
         # windows that reach into the next text are in no row of one text
         i = np.flatnonzero(high == g)
         i = i[which[i] == which[i + WINDOW - 1]]
-        w = which[i]
-        return w, start[i] - begins[w], end[i + WINDOW - 1] - begins[w], g[i]
+        return i, i + WINDOW
+
+    def places(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first byte and the byte after the last of stretches of words."""
+        w = self.which[i]
+        return w, self.start[i] - self.begins[w], self.end[j - 1] - self.begins[w]
 
 
 def _match_rows(rows: DataFrame) -> DataFrame:
-    """``(k, id, b, e, chunk)``: hash and place of each chunk and each anchor."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    """``(k, id, b, e, chunk, again)``: hash and place of each chunk and each anchor, and whether its text has it earlier."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
 
     def run(batches):
-        winnow = Winnower()
-        for batch in parts(batches):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, z in slices(texts, 200_000):
-                out = [[] for _ in kinds]
-                for id_, text in zip(ids[a:z], texts[a:z]):
-                    for b, e, body in chunk_places(text):
-                        for column, v in zip(out, (xxhash.xxh3_64_intdigest(body) + _NO_ID, id_, b, e, True)):
-                            column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k", "id", "b", "e", "chunk"])
-                which, b, e, k = winnow([t.encode() for t in texts[a:z]])
-                columns = k.view(np.int64), np.array(ids[a:z], np.int64)[which], b, e, np.zeros(len(k), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "id", "b", "e", "chunk"])
-
-    return rows.mapInArrow(run, "k long, id long, b int, e int, chunk boolean")
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            ids = batch.column(0).to_numpy()
+            for a, z in slices(texts, SLICE):
+                scan = Scan([t.encode() for t in texts[a:z]])
+                for chunk, (i, j) in ((True, scan.chunks()), (False, scan.anchors())):
+                    which, b, e = scan.places(i, j)
+                    k, again = scan.hashes(i, j), np.ones(len(i), bool)
+                    again[np.unique(k ^ mixed(which.astype(np.uint64) + np.uint64(1)), return_index=True)[1]] = False
+                    columns = k.view(np.int64), ids[a:z][which], b, e, np.full(len(i), chunk), again
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "id", "b", "e", "chunk", "again"])
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, "k long, id long, b int, e int, chunk boolean, again boolean")
 
 
 def stretches(id_: int, matches: list[tuple]) -> list[tuple]:
@@ -263,31 +229,22 @@ def _bordered(body: bytes, i: int, side: int) -> bool:
 
 
 def without(text: str, found: list[tuple]) -> tuple[str, int]:
-    """What remains of a text, and how many of its lines went as a whole. Blanks after a removed range go with it."""
+    """What remains of a text, and how many ranges went. Blanks after a removed range go with it."""
     raw = text.encode()
     gone = ranges(raw, found)
     if not gone:
         return text, 0
-    kept, at, cut = [], 0, []
+    kept, at = [], 0
     for x, y in gone:
         while y < len(raw) and _BLANK[raw[y]]:
             y += 1
         kept.append(raw[at : max(at, x)])
-        cut.append((x, y))
         at = y
     kept.append(raw[at:])
     out = b"".join(kept)
     if not out.strip():
         out = b""
-    removed = place = i = 0
-    for line in lines_of(text):
-        line = line.encode()
-        first, last = place + len(line) - len(line.lstrip()), place + len(line.rstrip())
-        place += len(line)
-        while i < len(cut) and cut[i][1] <= first:
-            i += 1
-        removed += i < len(cut) and cut[i][0] <= first < last <= cut[i][1]
-    return out.decode(), removed
+    return out.decode(), len(gone)
 
 
 def parts(batches, rows: int = 500):
@@ -310,8 +267,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(id, found)``: for each document that has any, its stretches with earlier text (see :func:`ranges`)."""
     rows = text_rows(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
     all_ = stored(_match_rows(rows), "line-matches")
-    first = all_.groupBy("k", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("id", "b")).alias("first")).where("n > 1").select("k", "chunk", F.col("first.id").alias("src"), F.col("first.b").alias("sb"))
-    met = all_.join(first, ["k", "chunk"]).where("id <> src OR b <> sb").select("id", F.struct("b", "e", "chunk", "src", "sb").alias("m"))
+    own_id = F.when(~F.col("again"), F.col("id"))
+    first = all_.groupBy("k", "chunk").agg(F.count("*").alias("n"), F.min(own_id).alias("src"), F.min_by(F.when(~F.col("again"), F.col("b")), own_id).alias("sb"))
+    # written apart, so that the join deals both sides anew and AQE can split a frequent hash
+    first = stored(first.where("n > 1").drop("n"), "line-firsts")
+    met = all_.join(first.hint("shuffle_hash"), ["k", "chunk"]).where("id <> src OR b <> sb").select("id", F.struct("b", "e", "chunk", "src", "sb").alias("m"))
     grouped = met.groupBy("id").agg(F.collect_list("m").alias("ms"))
     schema = pa.schema([("id", pa.int64()), ("b", pa.int32()), ("src", pa.int64()), ("sb", pa.int32()), ("se", pa.int32()), ("around", pa.bool_()), ("chunks", pa.list_(pa.int32()))])
 
@@ -351,11 +311,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, n_lines, n_removed)``: every text without its repeated parts; ``n_removed`` are the lines of
-    which nothing is left."""
+    """``(doc_id, text, n_removed)``: every text without its repeated parts, and how many ranges of it went."""
     rows = text_rows(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
     marked = rows.join(repeats(docs, id_col, text_col).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", "text", "found")
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.string(), pa.int64()]
 
     def run(batches):
         for batch in parts(batches):
@@ -364,18 +323,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 out = [[] for _ in kinds]
                 for i in range(a, b):
                     kept, removed = without(texts[i], founds[i]) if founds[i] else (texts[i], 0)
-                    for column, v in zip(out, (None if ids[i] == _NO_ID else ids[i], kept, len(lines_of(texts[i])), removed)):
+                    for column, v in zip(out, (None if ids[i] == _NO_ID else ids[i], kept, removed)):
                         column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "text", "n_lines", "n_removed"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "text", "n_removed"])
 
-    return marked.mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long")
+    return marked.mapInArrow(run, "doc_id long, text string, n_removed long")
 
 
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The documents with repeated parts removed, all other columns as they are; ``size_col``, if there, is set
     anew for texts that changed. Documents of which nothing remains go; texts that were empty before stay."""
-    found = repeats(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("found").alias("_found"))
-    marked = docs.join(found, F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)) == F.col("_id"), "left").drop("_id")
+    own, more = fresh(docs.columns, "drop_id"), fresh(docs.columns, "drop_found")
+    found = repeats(docs, id_col, text_col).select(F.col("id").alias(own), F.col("found").alias(more))
+    marked = docs.join(found, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col(own), "left").drop(own)
     at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(batches):
@@ -400,6 +360,13 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.mapInArrow(run, docs.schema)
 
 
+def chunk_places(raw: bytes) -> list[tuple[int, int]]:
+    """Places of the chunks of one text that count."""
+    scan = Scan([raw])
+    _, b, e = scan.places(*scan.chunks())
+    return list(zip(b.tolist(), e.tolist()))
+
+
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, str]:
     """The same on one machine, for tests; ids are distinct. Passages are sought at every word, not at anchors."""
     raws = {i: (t or "").encode() for i, t in sorted(docs)}
@@ -409,7 +376,8 @@ def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, str]:
     out = {}
     for i, raw in raws.items():
         gone = bytearray(len(raw))
-        for x, y, body in chunk_places(raw.decode()):
+        for x, y in chunk_places(raw):
+            body = raw[x:y]
             if chunks.setdefault(body, (i, x)) != (i, x) and not (chunks[body][0] == i and x - chunks[body][1] < y - x):
                 gone[x:y] = b"\x01" * (y - x)
         w = spans[i]

@@ -13,7 +13,7 @@ BLOCK = 1 << 18
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE = 0x9E3779B97F4A7C15
 #: A random odd value for each byte.
-_VALUES = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+VALUES = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -44,7 +44,7 @@ def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(up[: len(data)] * _VALUES[data], out=total[1:])
+    np.cumsum(up[: len(data)] * VALUES[data], out=total[1:])
     return start, mixed((total[end] - total[start]) * down[start])
 
 

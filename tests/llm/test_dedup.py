@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
-from fieldloom.llm import components, jaccard, lines
+from fieldloom.llm import components, jaccard, lines, wordhash
 
 
 def words(r, n):
@@ -135,14 +136,55 @@ def test_line_dedup_documents(spark, lined):
     assert lines.dedup_documents(df.limit(0)).count() == 0
 
 
+def naive_chunks(text):
+    """The chunk rule said plainly: lines by a pattern, hashes as sums of powers in Python integers."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & top
+        return x ^ x >> 32
+
+    def value(raw):
+        return mix(sum(int(wordhash.VALUES[c]) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(raw)) & top)
+
+    raw, at, found = text.encode(), 0, []
+    for m in re.finditer(rb"[^\n]*?(?:\n|[.!?] |\Z)", raw, re.S):
+        body = m.group().strip(b"\t\n\x0b\x0c\r ")
+        if body:
+            begin = m.start() + m.group().index(body)
+            found.append((begin, begin + len(body), len(body.split())))
+    out, at, before = [], 0, 0
+    for k, (b, e, _) in enumerate(found, 1):
+        h = value(raw[b:e])
+        border = mix(before * 0x9E3779B97F4A7C15 + h & top) % 2 == 0
+        before = h
+        if k - at >= 2 and (border or k - at >= 24 or k == len(found)):
+            if sum(x[2] for x in found[at:k]) >= 10:
+                out.append((found[at][0], e))
+            at = k
+    return out
+
+
 def test_lines_and_chunks():
-    text = "A b. C d!\nE\n\nlast"
-    assert lines.lines_of(text) == ["A b. ", "C d!\n", "E\n", "\n", "last"] and "".join(lines.lines_of(text)) == text
-    many = [f"line {i}\n" for i in range(100)]
-    cut = lines.chunks_of(many)
-    assert cut[0][0] == 0 and cut[-1][1] == 100 and all(a[1] == b[0] for a, b in zip(cut, cut[1:]))
-    tail = [(a - 1, b - 1) for a, b in lines.chunks_of(["new\n", *many])][-20:]
-    assert tail[-15:] == cut[-15:]  # borders resist a shift
+    r = random.Random(3)
+    piece = lambda: r.choice(["a", "é", "bc", "x y", ".", "! ", ". ", "?", "\n", "\n\n", " ", "\t", "\r\n", "some more words here", "ü.\n", "\x1c", "\xa0"])
+    texts = ["".join(piece() for _ in range(r.randint(0, 120))) for _ in range(300)] + ["", "\n", " . ", "w " * 50, "same line here\n" * 100]
+    scan = lines.Scan([t.encode() for t in texts])
+    got = {}
+    for w, b, e in zip(*(x.tolist() for x in scan.places(*scan.chunks()))):
+        got.setdefault(w, []).append((b, e))
+    assert [got.get(i, []) for i in range(len(texts))] == [naive_chunks(t) for t in texts]
+    assert len(got) > 150
+    many = [f"this is line {i}\n" for i in range(100)]
+    a, b = lines.chunk_places("".join(many).encode()), lines.chunk_places(b"new\n" + "".join(many).encode())
+    assert [(x - 4, y - 4) for x, y in b][-15:] == a[-15:]  # borders resist a shift
+
+
+def test_line_dedup_clashing_columns(spark):
+    docs = [(1, "one two three four five. six seven eight nine ten eleven.", "a"), (2, "one two three four five. six seven eight nine ten eleven.", "b")]
+    df = spark.createDataFrame([(*d, 1, 2, 3, 4) for d in docs], "doc_id long, text string, drop_id string, drop_found int, found int, id int, `_drop_id` int")
+    got = lines.dedup_documents(df).collect()
+    assert [(r.doc_id, r.drop_id, r.drop_found, r.found, r.id) for r in got] == [(1, "a", 1, 2, 3)]
 
 
 def planted(r, n, stops):
