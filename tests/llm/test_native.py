@@ -70,7 +70,7 @@ def test_licenses(spark):
 def test_next_and_edit(spark):
     rows = [(i, f"text number {i} " * (i % 5)) for i in range(1, 300, 7)] + [(50, None), (50, "twice")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = simhash.with_next(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", F.xxhash64("text"), per_bucket=5)
+    got = simhash.with_next(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", F.xxhash64("text"), simhash.id_bounds(df, "doc_id", 5))
     assert got.count() == len(rows)
     seen = {}
     for r in got.collect():
@@ -82,6 +82,33 @@ def test_next_and_edit(spark):
         assert own & texts[b] and own <= texts[b] | texts[a]
 
 
+def test_next_of_odd_ids(spark):
+    """Ids that span the long range, one far outlier, many rows of one id, null ids: no gap and ranges of like size."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, "least"), (high, "largest"), (1 << 62, "far")] + [(i, f"t {i}") for i in range(200)] + [(77, f"same id {i}") for i in range(100)] + [(None, f"none {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bounds = simhash.id_bounds(df, "doc_id", 10)
+    got = simhash.with_next(df.withColumn("h", F.xxhash64("text")), "doc_id", "text", F.col("h"), bounds).collect()
+    order = sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h), reverse=True)
+    assert len(got) == len(rows)
+    assert [r.next_value for r in order] == [r.text for r in order[1:] + order[:1]]
+    sizes = {}
+    for r in got:
+        sizes[r.range] = sizes.get(r.range, 0) + 1
+    assert max(sizes.values()) <= 40
+    got = simhash.edited_report(df.union(spark.createDataFrame([(77, "same id 5")], df.schema))).collect()
+    assert len(got) == len(rows) + 1 and all(r.near_edited is not None and r.near_next is not None for r in got)
+
+
+def test_blocks(spark):
+    a, b = -(1 << 63) + 12345678901234567, 0x0123456789ABCDEF
+    bits = f"{a % (1 << 64):064b}{b:064b}"
+    for radius in (1, 2, 3, 4, 6):
+        edges = simhash._edges(radius)
+        row = spark.range(1).select(*[simhash._block(F.lit(a), F.lit(b), *e).alias(f"c{i}") for i, e in enumerate(edges)]).first()
+        assert [x % (1 << 64) for x in row] == [int(bits[x:y], 2) for x, y in edges]
+
+
 def test_fingerprints(spark):
     import random
 
@@ -106,11 +133,15 @@ def test_fingerprints(spark):
     assert got[400].near_edited > 0.6
 
 
-def test_counts_against_python(spark):
+def test_counts_against_python(spark, monkeypatch):
     """Votes of one text, counted bit by bit from the same hashes."""
+    monkeypatch.setattr(simhash, "SHARES", (0.3, 0.15, 0.1))
     text = "the quick brown fox jumps over the lazy dog and the extraordinarily longwinded fox the quick"
     w = text.split()
-    pairs = spark.createDataFrame(list(zip(w, w[1:])), "x string, y string").select(F.xxhash64("x", "y").alias("a"), F.xxhash64("y", "x", F.lit(1)).alias("b"), F.when(F.length("x") + F.length("y") > simhash.HEAVY, 2).otherwise(1).alias("w")).collect()
+    cells = {r.w: r.c % simhash.CELLS for r in spark.createDataFrame([(x,) for x in w], "w string").select("w", F.xxhash64("w").alias("c")).collect()}
+    share = {c: sum(cells[x] == c for x in w) / len(w) for c in cells.values()}
+    weight = {x: 1 + sum(share[c] < s for s in simhash.SHARES) for x, c in cells.items()}
+    pairs = spark.createDataFrame([(x, y, max(weight[x], weight[y])) for x, y in zip(w, w[1:])], "x string, y string, w int").select(F.xxhash64("x", "y").alias("a"), F.xxhash64("y", "x", F.lit(1)).alias("b"), "w").collect()
     want = []
     for word in "ab":
         out = 0
