@@ -6,7 +6,8 @@ random strings, one of ordinary identifiers), trained from labelled samples: a t
 with letters and digits is a secret when its log-likelihood ratio per transition exceeds the threshold. Added
 spans never overlap base ones, and base ones always stay.
 
-Positions are code points, ends exclusive. Null and empty texts have no spans.
+Positions are code points, ends exclusive. Null and empty texts have no spans. Texts of any length and number of spans
+are done in about the number times its root steps.
 """
 
 from __future__ import annotations
@@ -43,7 +44,10 @@ def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     word = r"[A-Za-z]{3,}"
-    rows = text_rows(docs, id_col, text_col).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = text_rows(docs, id_col, text_col)
+    # ids first, texts after: no task sees more texts than it keeps; one text (the least) of each id
+    ids = rows.select(F.col("doc_id").alias("own_id")).distinct().orderBy(F.xxhash64("own_id"), "own_id").limit(SAMPLE_DOCS)
+    rows = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("own_id"))).groupBy("doc_id").agg(F.min("text").alias("text"))
     words = rows.select(F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("w")).where(F.size("w") > 1)
     pairs = words.select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"), F.size("w").alias("n"))
     a, b = F.col("p.a"), F.col("p.b")
@@ -74,19 +78,52 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return out
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(values: Column, op) -> Column:
+    """For each element what ``op`` (a sum or maximum of numbers from 0 on) gives of those before it.
+
+    Goes by blocks of about the root of the size, so n elements take n times its root steps and no array grows by one."""
+    fold = lambda a: F.aggregate(a, F.lit(0), lambda x, y: op(x, y).cast("int"))
+
+    def of(v: Column) -> Column:
+        block = lambda i, b: F.slice(v, i * b + 1, b)
+        inside = lambda off, own: F.transform(own, lambda _, j: op(off, fold(F.slice(own, F.lit(1), j))).cast("int"))
+        each = lambda b, at, totals: F.flatten(F.transform(at, lambda i: _let(fold(F.slice(totals, F.lit(1), i)), lambda off: _let(block(i, b), lambda own: inside(off, own)))))
+        with_size = lambda b: _let(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / b).cast("int")), lambda at: _let(F.transform(at, lambda i: fold(block(i, b))), lambda totals: each(b, at, totals)))
+        return _let(F.ceil(F.sqrt(F.greatest(F.size(v), F.lit(1)))).cast("int"), with_size)
+
+    return _let(values, of)
+
+
 def _found(text: Column, pattern: str, kind: str, keep) -> Column:
     """Matches of a pattern with their places: gaps between matches give the offsets."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.filter(F.zip_with(F.split(text, pattern, -1), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))), lambda p: p["m"].isNotNull())
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
 
-    def step(acc, p):
-        start = (acc["at"] + p["gap"]).cast("int")
-        end = (start + F.length(p["m"])).cast("int")
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), p["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).cast(_SPANS).alias("spans"))
+    def span(p: Column, at: Column) -> Column:
+        start = (at + p["gap"]).cast("int")
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(p["m"])).cast("int").alias("end"), F.lit(kind).alias("kind"), p["m"].alias("value"))
 
-    return F.filter(F.aggregate(pairs, none, step)["spans"], lambda s: keep(s["value"]))
+    placed = _let(pairs, lambda ps: F.zip_with(ps, _running(F.transform(ps, lambda p: (p["gap"] + F.length(p["m"])).cast("int")), lambda x, y: x + y), span))
+    return F.filter(placed, lambda s: keep(s["value"])).cast(_SPANS)
+
+
+def _meets(spans: Column, s: Column) -> Column:
+    """Whether the span ``s`` overlaps one of ``spans``, which are apart from each other and sorted: a binary search."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+
+    def step(acc, _):
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        right = (acc["lo"] < acc["hi"]) & (F.get(spans, mid)["start"] < s["end"])
+        return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + F.lit(1))).cast("int"))
+    last = F.get(spans, F.aggregate(steps, start, step)["lo"] - 1)
+    return (F.size(spans) > 0) & F.coalesce(last["end"] > s["start"], F.lit(False))
 
 
 def _guarded(text: Column, guard: Column, spans: Column) -> Column:
@@ -105,16 +142,18 @@ def _spans(rows: DataFrame, model: list[float], threshold: float) -> DataFrame:
     """Adds ``base`` and ``spans`` to rows with a ``text`` that isn't null."""
     t = F.col("text")
     table = F.split(F.lit(",".join(f"{x:g}" for x in model)), ",").cast("array<double>")
-    base = F.concat(
+    kinds = [
         _guarded(t, t.rlike(r"(?i)(?:passw|secret|token|api_?key)"), _found(t, ASSIGN, "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8)),
         _guarded(t, t.contains("AKIA"), _found(t, ACCESS, "access", lambda m: F.length(m) >= 16)),
         _guarded(t, t.rlike(HEX), _found(t, HEX, "hex", lambda m: F.length(m) >= 32)),
-    )
-    rows = rows.withColumn("base", F.array_sort(base))
+    ]
+    columns = rows.columns
+    rows = rows.withColumns({f"base_{i}": c for i, c in enumerate(kinds)})
+    base = [F.col(f"base_{i}") for i in range(len(kinds))]
     mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     more = _guarded(t, t.rlike(TOKEN), _found(t, TOKEN, "markov", lambda m: mixed(m) & (_ratio(table, m) > threshold)))
-    apart = F.filter(more, lambda s: ~F.exists(F.col("base"), lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-    return rows.withColumn("spans", F.array_sort(F.concat("base", apart)))
+    apart = F.filter(more, lambda s: ~(_meets(base[0], s) | _meets(base[1], s) | _meets(base[2], s)))
+    return rows.select(*columns, F.array_sort(F.concat(*base)).alias("base"), F.array_sort(F.concat(*base, apart)).alias("spans"))
 
 
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,15 +178,25 @@ def joined(spans: Column) -> Column:
 
 
 def _redacted(t: Column, spans: Column) -> Column:
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with ``[kind]`` for each group of overlapping spans, by the first of them.
+
+    Spans are taken in blocks of about the root of their number, so that places are sought in short pieces of a long text."""
+
+    def of(all_: Column) -> Column:
+        # those that begin where all before have ended, with the end before them
+        heads = F.filter(F.zip_with(all_, _running(F.transform(all_, lambda s: s["end"]), F.greatest), lambda s, e: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), e.alias("from"))), lambda h: h["start"] >= h["from"])
+        last = F.aggregate(all_, F.lit(0), lambda x, s: F.greatest(x, s["end"]))
+        piece = lambda part, h, at: F.concat(F.substring(part, h["from"] - at + 1, h["start"] - h["from"]), F.lit("["), h["kind"], F.lit("]"))
+
+        def block(own: Column) -> Column:
+            at, end = F.get(own, F.lit(0))["from"], F.element_at(own, -1)["start"]
+            return _let(F.struct(F.substring(t, at + 1, end - at).alias("part"), at.alias("at")), lambda p: F.array_join(F.transform(own, lambda h: piece(p["part"], h, p["at"])), ""))
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        blocks = lambda hs, b: F.transform(F.sequence(F.lit(0), F.floor((F.size(hs) - 1) / b).cast("int")), lambda i: _let(F.slice(hs, i * b + 1, b), block))
+        body = _let(heads, lambda hs: _let(F.ceil(F.sqrt(F.size(hs))).cast("int"), lambda b: F.array_join(blocks(hs, b), "")))
+        return F.concat(body, F.substring(t, last + 1, F.length(t)))
 
-    done = F.element_at(F.transform(F.array(F.aggregate(spans, zero, step)), lambda d: F.concat(d["out"], F.substring(t, d["at"] + 1, F.length(t)))), 1)
-    return F.when(F.size(spans) == 0, t).otherwise(done)
+    return F.when(F.size(spans) == 0, t).otherwise(_let(spans, of))
 
 
 def redact(scanned: DataFrame) -> DataFrame:

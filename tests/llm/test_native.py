@@ -53,6 +53,67 @@ def test_redaction(docs, model):
     assert secrets.digests(secrets.scan(docs.limit(0), model)).count() == 0
 
 
+def spans_of(t, model):
+    """All spans by brute force: base ones, and likely random tokens that meet none of them."""
+    base = [x.split(":") for x in base_of(t).split(",") if x]
+    out = [(int(a), secrets.KINDS.index(k), int(b), k) for k, a, b in base]
+    apart = []
+    for m in re.finditer(secrets.TOKEN, t or ""):
+        states = [secrets.ALPHABET.index(c) + 1 for c in m[0]]
+        ratio = sum(model[x * secrets.STATES + y] for x, y in zip([0, *states], states)) / len(states)
+        mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+        if mixed and ratio > secrets.THRESHOLD and not any(a < m.end() and m.start() < b for a, _, b, _ in out):
+            apart.append((m.start(), 3, m.end(), "markov"))
+    return sorted(out + apart)
+
+
+def redacted(t, spans):
+    out, at = "", 0
+    for a, _, b, k in spans:
+        if a >= at:
+            out += t[at:a] + f"[{k}]"
+        at = max(at, b)
+    return out + t[at:]
+
+
+def test_spans_are_brute_force(spark, model):
+    import random
+
+    r = random.Random(5)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n, c=chars: "".join(r.choice(c) for _ in range(n))
+    piece = lambda: r.choice([
+        "plain words é", "\n", "🎉", key(20), key(40, "0123456789abcdef"), f"token={key(9)}", f'"api_key": "{key(40, "0123456789abcdef")}"', f"AKIA{key(16, chars[26:])}", f"path/to/{key(30)}",
+        f"password: secret={key(12)}", "long_ordinary_identifier_name", f"x{key(32, 'abcdef')}y"])
+    texts = [r.choice([" ", "", " - "]).join(piece() for _ in range(r.randint(0, 60))) for _ in range(120)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.scan(df, model)
+    spans = {x.doc_id: x.spans for x in secrets.digests(got).collect()}
+    texts_left = {x.doc_id: x.text for x in secrets.redact(got).collect()}
+    kinds = set()
+    for i, t in enumerate(texts):
+        want = spans_of(t, model)
+        kinds |= {k for *_, k in want}
+        assert spans[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in want), t
+        assert texts_left[i] == redacted(t or "", want)
+    assert kinds == set(secrets.KINDS)
+
+
+def test_many_spans_in_one_text(spark, model):
+    """2.4 MB of 60,000 hex tokens."""
+    text = " ".join(hashlib.md5(str(i).encode()).hexdigest() + "abcdef0" for i in range(60_000))
+    scanned = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model)
+    row = scanned.select(F.size("base").alias("n"), F.size("spans").alias("m"), secrets._redacted(F.col("text"), F.col("spans")).alias("t")).first()
+    assert row.n == row.m == 60_000 and row.t == " ".join(["[hex]"] * 60_000)
+
+
+def test_samples(spark):
+    """One id that holds many rows gives one text; no rows, no ordinary samples."""
+    df = spark.createDataFrame([(1, f"some words here {i}") for i in range(500)] + [(None, "other words")], "doc_id long, text string")
+    ordinary = secrets.default_samples(df).where("random = 0")
+    assert 0 < ordinary.count() < 40 and secrets.default_samples(df.limit(0)).where("random = 0").count() == 0
+
+
 def test_licenses(spark):
     known = licenses.known_digests(spark)
     mit = next(t for n, t in licenses.KNOWN if n == "MIT")
