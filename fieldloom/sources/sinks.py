@@ -8,19 +8,45 @@ from pyspark.sql import functions as F
 from fieldloom.operators.catalog import gather
 
 
+#: A store is a log of item versions: a row holds from its version on until its item has a newer one.
+STORE = "category string, stem string, path array<string>, name string, type string, format string, value string, version long"
+GONE = "deleted"
+
+
 def scatter(refs: DataFrame, path: str) -> None:
-    """SNK-SCATTER: the whole catalogue, one folder per category."""
-    refs.withColumn("category", F.coalesce("category", F.lit("params"))).write.mode("overwrite").partitionBy("category").parquet(path)
+    """SNK-SCATTER: the whole catalogue as version 0; what the store had before goes."""
+    refs.withColumn("version", F.lit(0).cast("long")).write.mode("overwrite").parquet(path)
+
+
+def _log(spark, path: str) -> DataFrame:
+    return spark.read.schema(STORE).parquet(path)
 
 
 def save_items(refs: DataFrame, path: str) -> None:
-    """SNK-ITEM and SNK-TOP: rewrite only the categories that occur in ``refs``."""
-    own = refs.withColumn("category", F.coalesce("category", F.lit("params")))
-    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("category").parquet(path)
+    """SNK-ITEM and SNK-TOP: the items and params in ``refs`` replace those of the store, whatever their category was.
+
+    Only their rows are written, so an edit costs its own size; other items stay as they are. One writer at a time."""
+    last = _log(refs.sparkSession, path).agg(F.max("version")).first()[0]
+    refs.withColumn("version", F.lit((last or 0) + 1).cast("long")).write.mode("append").parquet(path)
+
+
+def remove_items(stems: DataFrame, path: str) -> None:
+    """CAT-DELETE in a store: items ``stems(stem)`` are gone from the next version on; unknown ones do no harm."""
+    none = F.lit(None).cast("string")
+    gone = stems.select("stem").distinct().select(none.alias("category"), F.col("stem").cast("string").alias("stem"), F.array().cast("array<string>").alias("path"), F.lit("").alias("name"), F.lit(GONE).alias("type"), none.alias("format"), none.alias("value"))
+    save_items(gone, path)
 
 
 def load(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("category", F.when(F.col("category") != "params", F.col("category"))).select("category", "stem", "path", "name", "type", "format", "value")
+    """The newest version of each item, and of each param by its name."""
+    log = _log(spark, path).withColumn("_key", F.coalesce(F.concat(F.lit("s"), "stem"), F.concat(F.lit("p"), "name")))
+    newest = log.groupBy("_key").agg(F.max("version").alias("version"))
+    return log.join(newest, ["_key", "version"]).where(F.col("type") != GONE).select("category", "stem", "path", "name", "type", "format", "value")
+
+
+def compact(spark, path: str, target: str) -> None:
+    """The newest versions as a store of their own."""
+    scatter(load(spark, path), target)
 
 
 def write_bundle(refs: DataFrame, path: str, categories: list[str] | None = None) -> None:
@@ -28,14 +54,35 @@ def write_bundle(refs: DataFrame, path: str, categories: list[str] | None = None
     gather(refs, categories).write.mode("overwrite").json(path)
 
 
-def routed(table: DataFrame, name: str, to: str = "meta", level: str = "object", category: str = "modified") -> DataFrame:
-    """SNK-ROUTE: catalogue rows of a step's output ``(stem[, obj_id], value)``: inline, or a file reference."""
+def routed(table: DataFrame, name: str, to: str = "meta", level: str = "object", category: str = "modified", type_: str | None = None, format_: str | None = None, dir_: str | None = None) -> DataFrame:
+    """SNK-ROUTE: catalogue rows of a step's output ``(stem[, obj_id], value)``.
+
+    ``to: meta`` keeps it inline: a raster (with ``h`` and ``w``) as run lengths, anything else as an attribute.
+    ``to: storage`` refers to a file: its type is given, or inferred from the format, or an image; the directory is the
+    output's name unless given. Missing values give no row."""
+    from fieldloom.functions.expressions import EXTENSIONS
+
+    raster = {"h", "w"} <= set(table.columns)
     path = F.array(F.col("obj_id").cast("string")) if level == "object" else F.array().cast("array<string>")
-    value = F.to_json(F.struct(F.col(name).alias("v"))) if to == "meta" else F.to_json(F.struct(F.lit(name).alias("dir")))
-    kind = "attr" if to == "meta" else "image"
+    suffix = (format_ or "").lstrip(".")
+    if to == "meta":
+        kind, form = ("rle", "") if raster else ("attr", suffix or "str")
+        value = _runs(F.col(name)) if raster else F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r'^\{"v":(.*)\}$', 1)
+    else:
+        kind = type_ or next((k for k, names in EXTENSIONS.items() if suffix.lower() in names), "image")
+        form, value = suffix or {"image": "png", "array": "npy", "segmap": "png"}.get(kind, "str"), F.to_json(F.struct(F.lit(dir_ or name).alias("dir")))
     rows = table.where(F.col(name).isNotNull())
-    inner = F.regexp_extract(value, r'^\{"v":(.*)\}$', 1) if to == "meta" else value
-    return rows.select(F.lit(category).alias("category"), F.col("stem").cast("string").alias("stem"), path.alias("path"), F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit("str" if to == "meta" else "png").alias("format"), inner.alias("value"))
+    return rows.select(F.lit(category).alias("category"), F.col("stem").cast("string").alias("stem"), path.alias("path"), F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(form).alias("format"), value.alias("value"))
+
+
+def _runs(data):
+    """``{"size": [h, w], "counts": [...]}`` of a row's raster, run lengths by column, the first of zeros."""
+    h, w = F.col("h"), F.col("w")
+    on = F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: (F.get(data, ((i % h) * w + F.floor(i / h)).cast("int")) > 0).cast("int"))
+    cuts = lambda o: F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: F.get(o, i) != F.when(i == 0, 0).otherwise(F.get(o, i - 1))), F.array(F.size(o)))
+    runs = lambda c: F.zip_with(F.slice(c, F.lit(2), F.size(c) - 1), F.slice(c, F.lit(1), F.size(c) - 1), lambda b, a: b - a)
+    counts = F.element_at(F.transform(F.transform(F.array(on), cuts), runs), 1)
+    return F.to_json(F.struct(F.array(h, w).alias("size"), counts.alias("counts")))
 
 
 def replace_objects(refs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -54,9 +101,28 @@ def report(diagnosis: DataFrame) -> str:
 
 
 def write_misdetections(result: DataFrame, means: DataFrame, path: str) -> None:
-    """SNK-MISCSV."""
+    """SNK-MISCSV: tables as CSV, and the class means ``(cls, j, m)`` as one NPZ file (classes x features numbers)."""
+    import io
+
+    import numpy as np
+
     result.write.mode("overwrite").option("header", "true").csv(f"{path}/misdetected")
     means.write.mode("overwrite").option("header", "true").csv(f"{path}/class_means")
+    rows = means.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("m")).orderBy("cls").collect()
+    held = io.BytesIO()
+    np.savez(held, ids=np.array([r.cls for r in rows]), means=np.array([[x.m for x in r.m] for r in rows]))
+    write_bytes(result.sparkSession, f"{path}/class_means.npz", held.getvalue())
+
+
+def write_bytes(spark, path: str, data: bytes) -> None:
+    """One file from the driver, in any file system that Spark reaches."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
 
 
 def encoded(raster: DataFrame, fmt: str = "png") -> DataFrame:
@@ -97,6 +163,73 @@ def write_files(payloads: DataFrame, folder: str, fmt: str = "png") -> None:
     payloads.select("stem", "content").foreachPartition(run)
 
 
+def payload_path(root, category, stem, path, directory, name, fmt):
+    """Where a payload lies: ``root/<category>/<dir>/<stem>[_<obj_id>].<fmt>``; a param's has no stem: ``root/<dir>/<name>.<fmt>``."""
+    base = F.when(stem.isNull(), name).otherwise(F.concat_ws("_", stem, F.when(F.size(path) > 0, F.element_at(path, 1))))
+    folder = F.when(directory == "", name).otherwise(directory)
+    return F.concat(F.concat_ws("/", F.lit(root), F.when(stem.isNotNull(), category), folder, base), F.when(F.coalesce(fmt, F.lit("")) == "", "").otherwise(F.concat(F.lit("."), F.ltrim(fmt, F.lit(".")))))
+
+
+def payloads(refs: DataFrame, root: str) -> DataFrame:
+    """``(category, stem, name, file)`` of the leaves that are files."""
+    place = F.get_json_object("value", "$.dir")
+    return refs.where(place.isNotNull()).select("category", "stem", "name", payload_path(root, F.col("category"), F.col("stem"), F.col("path"), place, F.col("name"), F.col("format")).alias("file"))
+
+
+def payload_moves(refs: DataFrame, stems: DataFrame, to: str, root: str) -> DataFrame:
+    """CAT-MOVE: ``(source, target)`` of the payload files of items that change their category."""
+    own = refs.join(stems.select("stem").distinct(), "stem", "left_semi").where(F.col("category") != to)
+    place = F.get_json_object("value", "$.dir")
+    at = lambda category: payload_path(root, category, F.col("stem"), F.col("path"), place, F.col("name"), F.col("format"))
+    return own.where(place.isNotNull()).select(at(F.col("category")).alias("source"), at(F.lit(to)).alias("target"))
+
+
+def move_items(refs: DataFrame, stems: DataFrame, to: str, root: str) -> DataFrame:
+    """CAT-MOVE with payloads: files first, in folders that executors share, then the catalogue. Unknown items are a KeyError."""
+    from fieldloom.operators.catalog import move
+
+    unknown = stems.select("stem").join(refs.select("stem"), "stem", "left_anti").first()
+    if unknown:
+        raise KeyError(unknown.stem)
+    move_files(payload_moves(refs, stems, to, root))
+    return move(refs, stems, to)
+
+
+def delete_items(refs: DataFrame, stems: DataFrame, root: str) -> DataFrame:
+    """CAT-DELETE with payloads; unknown items are ignored."""
+    from fieldloom.operators.catalog import delete
+
+    delete_files(payloads(refs.join(stems.select("stem").distinct(), "stem", "left_semi"), root))
+    return delete(refs, stems)
+
+
+def move_files(moves: DataFrame) -> None:
+    """Move ``(source, target)`` files between shared folders; a source that is gone (moved by an earlier try, say) is left out."""
+    import os
+
+    def run(rows):
+        for r in rows:
+            if not os.path.exists(r.source):
+                continue
+            os.makedirs(os.path.dirname(r.target), exist_ok=True)
+            os.replace(r.source, r.target)
+
+    moves.select("source", "target").foreachPartition(run)
+
+
+def delete_files(files: DataFrame) -> None:
+    """Delete ``(file)`` in shared folders; a file that is gone is no error."""
+    import contextlib
+    import os
+
+    def run(rows):
+        for r in rows:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(r.file)
+
+    files.select("file").foreachPartition(run)
+
+
 def copy_files(moves: DataFrame) -> None:
     """CAT-COPY: copy ``(source, target)`` files between shared folders; the source stays, a missing one is an error."""
     import os
