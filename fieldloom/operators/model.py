@@ -6,6 +6,7 @@ Backends follow :class:`Backend`: one ``encode`` per frame, one ``decode`` per b
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -60,27 +61,123 @@ def backend(spec: str, build: Callable[[], Backend]) -> Backend:
     return _BUILT[spec]
 
 
-def carve_holes(model: Backend, state: object, frame: np.ndarray, box: tuple, mask: np.ndarray, logits: np.ndarray, hole_frac: float = 0.05, max_pts: int = 3, color_thr: float = 3.0, min_area: int = 1) -> np.ndarray:
-    """MDL-HOLE: colour seeds grown into holes, negative points on them, a second decode, and the holes carved out."""
-    edge = K.detect_edge(frame)
-    seed = K.colour_seed(frame.astype(float), mask, frame.astype(float), color_thr, rim_px=3)
+#: Backends that a config can name; :func:`register_backend` adds to them.
+BACKENDS: dict[str, Callable[..., Backend]] = {"stub": BoxThreshold}
+
+
+def register_backend(kind: str, build: Callable[..., Backend]) -> None:
+    BACKENDS[kind] = build
+
+
+def configured(spec: dict | Callable[[], Backend] | None) -> tuple[str, Callable[[], Backend]]:
+    """Name and builder of a backend: a callable, ``{"type": kind, ...arguments}``, or none for the stub."""
+    if callable(spec):
+        return spec.__name__, spec
+    spec = dict(spec or {"type": "stub"})
+    kind = spec.pop("type")
+    if kind not in BACKENDS:
+        raise KeyError(f"no model backend {kind}; register_backend adds one")
+    return f"{kind}{sorted(spec.items())}", lambda: BACKENDS[kind](**spec)
+
+
+@dataclass(frozen=True)
+class HoleConfig:
+    """How holes are found, grown and carved; the fields are those of the step ``segment_with_hole``."""
+
+    preserve_holes: bool = True
+    hole_refine: bool = True
+    hole_debug: bool = False
+    # colour seeds
+    hole_space: str = "lab"
+    hole_dark_boost: bool = True
+    hole_highlight_pct: float = 0.0
+    hole_seed_dense_win: int = 5
+    hole_seed_dense_min: int = 1
+    hole_color_thr: float = 3.0
+    hole_seed_var_max: float = 0.0
+    hole_seed_rim: int = 7
+    hole_dark_pct: float = 15.0
+    hole_open_size: int = 5
+    # growth up to edges
+    hole_edge: bool = True
+    hole_edge_low: float = 50
+    hole_edge_high: float = 150
+    hole_edge_blur: int = 3
+    hole_edge_gray: bool = True
+    hole_edge_margin: int = 3
+    hole_edge_close: int = 5
+    hole_edge_thick: int = 3
+    hole_grow_iter: int = 12
+    # second decode
+    hole_neg_pts_area_frac: float = 0.01
+    hole_max_pts: int = 6
+    hole_logit_neg: float = -6.0
+
+
+#: Erosion that leaves the core of a mask, where its positive point is.
+CORE = 15
+
+
+@dataclass
+class Carved:
+    mask: np.ndarray
+    seed: np.ndarray
+    grown: np.ndarray
+
+
+def hole_edges(frame: np.ndarray, c: HoleConfig) -> np.ndarray:
+    return K.detect_edge(frame, c.hole_edge_low, c.hole_edge_high, c.hole_edge_blur, c.hole_edge_gray)
+
+
+def carve_holes(model: Backend, state: object, frame: np.ndarray, edge: np.ndarray, box: tuple, mask: np.ndarray, logits: np.ndarray, c: HoleConfig = HoleConfig()) -> Carved:
+    """MDL-HOLE: colour seeds grown into holes up to the frame's edges, negative points on them, a second decode, and the holes carved out."""
+    chroma, light = K.chroma_of(frame, c.hole_space)
+    seed = K.colour_seed(chroma, mask, light, c.hole_color_thr, c.hole_seed_var_max, c.hole_seed_rim, c.hole_dark_pct, c.hole_dark_boost, c.hole_highlight_pct, c.hole_seed_dense_win, c.hole_seed_dense_min)
     if not seed.any():
-        return mask
-    holes = K.finalize(K.grow(mask, seed, edge, 1, 2, 1), seed, 1)
-    own = K.label(K.by_area(holes, min_area))
+        return Carved(mask, seed, seed)
+    grown = K.grow(mask, seed, edge, c.hole_edge_margin, c.hole_edge_close, c.hole_edge_thick, c.hole_grow_iter) if c.hole_edge else seed
+    holes = K.finalize(grown, seed, c.hole_open_size)
+    own = K.label(holes)
     if not own.any():
-        return mask
-    points, whole = [], int((mask > 0).sum())
-    for k in range(1, own.max() + 1):
-        area = int((own == k).sum())
-        points += [(x, y, 0) for x, y in K.spread_points(own == k, min(max_pts, 1 + area // max(1, int(hole_frac * whole))))]
-    core = K.erode((mask > 0).astype(np.uint8), 3)
-    points += [(x, y, 1) for x, y in K.spread_points(core if core.any() else mask, 1)]
-    again, _, _ = model.decode(state, box, points, np.where(own > 0, -1.0, logits))
-    return np.where(own > 0, 0, again).astype(np.uint8)
-
-
-def segment(frames: DataFrame, objects: DataFrame, build: Callable[[], Backend], spec: str = "stub", conf: float = 0.5, min_area: int = 200, holes: bool = False) -> DataFrame:
+        return Carved(mask, seed, grown)
+    again = mask
+    if c.hole_refine:
+        points, whole = [], int((mask > 0).sum())
+        for k in range(1, own.max() + 1):
+            area = int((own == k).sum())
+            points += [(x, y, 0) for x, y in K.spread_points(own == k, min(c.hole_max_pts, 1 + area // max(1, int(c.hole_neg_pts_area_frac * whole))))]
+        core = K.erode((mask > 0).astype(np.uint8), CORE)
+        points += [(x, y, 1) for x, y in K.spread_points(core if core.any() else mask, 1)]
+        again, _, _ = model.decode(state, box, points, np.where(own > 0, c.hole_logit_neg, logits))
+    return Carved(np.where(own > 0, 0, again).astype(np.uint8), seed, grown)
+
+
+def segmented(model: Backend, frame: np.ndarray, objects: list[tuple], conf: float, min_area: int, holes: HoleConfig | None) -> tuple[np.ndarray, list[tuple], dict[str, np.ndarray]]:
+    """Label map, kept objects ``(class_id, box)`` and, with holes, the maps in between, of one frame; one encode, one decode per box."""
+    shape = frame.shape[:2]
+    state, labels, kept = model.encode(frame), np.zeros(shape, np.int32), []
+    maps = {n: np.zeros(shape, np.uint8) for n in ("seg_raw", "hole_seed", "hole_grown", "hole_edge")} if holes else {}
+    if holes and holes.preserve_holes and holes.hole_edge:
+        maps["hole_edge"] = hole_edges(frame, holes)
+    for class_id, box in objects:
+        if box is None:
+            continue
+        mask, score, logits = model.decode(state, box, [], None)
+        if holes and holes.preserve_holes and mask.any():
+            maps["seg_raw"][mask > 0] = 255
+            carved = carve_holes(model, state, frame, maps["hole_edge"], box, mask, logits, holes)
+            mask = carved.mask
+            maps["hole_seed"][carved.seed > 0] = 255
+            maps["hole_grown"][carved.grown > 0] = 255
+        if score < conf or (mask > 0).sum() < max(min_area, 1):
+            continue
+        ys, xs = np.nonzero(mask)
+        labels[mask > 0] = len(kept) + 1
+        kept.append((class_id, (float(xs.min()), float(ys.min()), float(xs.max() + 1), float(ys.max() + 1))))
+    return labels, kept, maps
+
+
+def segment(frames: DataFrame, objects: DataFrame, build: Callable[[], Backend], spec: str = "stub", conf: float = 0.5, min_area: int = 200, holes: HoleConfig | None = None) -> DataFrame:
     """MDL-SEG: ``(stem, obj_id, class_id, x0, y0, x1, y1)``, one row per object that is kept.
 
     One encode per frame and one decode per box; objects below ``conf`` or ``min_area`` are dropped, the rest
@@ -98,21 +195,10 @@ def segment(frames: DataFrame, objects: DataFrame, build: Callable[[], Backend],
             for i, stem in enumerate(cols["stem"].to_pylist()):
                 h, w = cols["h"][i].as_py(), cols["w"][i].as_py()
                 frame = np.asarray(cols["data"][i].values).reshape(h, w)
-                state, n = model.encode(frame), 0
-                kept = []
-                for o in cols["objects"][i].as_py():
-                    b = o["bbox"]
-                    box = (b["x0"], b["y0"], b["x1"], b["y1"])
-                    mask, score, logits = model.decode(state, box, [], None)
-                    if holes and mask.any():
-                        mask = carve_holes(model, state, frame, box, mask, logits)
-                    if score < conf or (mask > 0).sum() < max(min_area, 1):
-                        continue
-                    ys, xs = np.nonzero(mask)
-                    kept.append((n, o["class_id"], float(xs.min()), float(ys.min()), float(xs.max() + 1), float(ys.max() + 1)))
-                    n += 1
-                for k in kept:
-                    for column, v in zip(out, (stem, *k)):
+                listed = [(o["class_id"], tuple(o["bbox"][k] for k in ("x0", "y0", "x1", "y1"))) for o in cols["objects"][i].as_py()]
+                _, kept, _ = segmented(model, frame, listed, conf, min_area, holes)
+                for n, (class_id, box) in enumerate(kept):
+                    for column, v in zip(out, (stem, n, class_id, *box)):
                         column.append(v)
             kinds = [batch.schema.field("stem").type, pa.int32(), pa.string(), *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["stem", "obj_id", "class_id", "x0", "y0", "x1", "y1"])

@@ -35,49 +35,46 @@ GROUPS = {
 
 @dataclass
 class Aligned:
-    """ANA-ALIGN: the mask in canonical pose, and what was done to it. Rotated only, never mirrored."""
+    """ANA-ALIGN: the mask in canonical pose, how far it was turned, and by how much the right and the lower half
+    outweigh the others, as shares of the area."""
 
     mask: np.ndarray
-    angle: float
-    lr_imbalance: float
-    ud_imbalance: float
+    degrees: float
+    right_excess: float
+    lower_excess: float
+
+
+def turned(on: np.ndarray, degrees: float) -> np.ndarray:
+    """A mask turned about its centroid, which comes to the middle of the canvas; nearest source pixel."""
+    h, w = on.shape
+    here = complex(*(v.mean() for v in np.nonzero(on)[::-1]))
+    canvas = np.arange(w)[None, :] - (w - 1) / 2 + 1j * (np.arange(h)[:, None] - (h - 1) / 2)
+    source = canvas * np.exp(1j * math.radians(degrees)) + here
+    x, y = np.rint(source.real).astype(int), np.rint(source.imag).astype(int)
+    seen = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+    return seen & on[np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)]
+
+
+def excess(on: np.ndarray, axis: int) -> float:
+    """Share of the pixels in the second half of an axis (its middle line included) less that in the first."""
+    counts, n = on.sum(axis=1 - axis), on.shape[axis]
+    second = np.arange(n) >= (n - 1) / 2
+    return float(counts[second].sum() - counts[~second].sum()) / max(int(counts.sum()), 1)
 
 
 def align(mask: np.ndarray, holes: bool = True) -> Aligned:
-    """Main axis level, the heavier side to the right, centroid in the middle. Empty masks are a ValueError."""
+    """Main axis level, the heavier side to the right, centroid in the middle; rotated only, never mirrored. Empty masks are a ValueError."""
     on = largest(fill_holes(mask) if holes else mask) > 0
     if not on.any():
         raise ValueError("empty mask")
-    h, w = on.shape
-    ys, xs = np.nonzero(on)
-    cy, cx, my, mx = ys.mean(), xs.mean(), (h - 1) / 2, (w - 1) / 2
-    dx, dy = xs - cx, ys - cy
-    # direction of the larger eigenvector of the 2 x 2 covariance
-    angle = math.degrees(0.5 * math.atan2(2 * (dx * dy).mean(), (dx * dx).mean() - (dy * dy).mean()))
-
-    def turned(a: float) -> np.ndarray:
-        c, s = math.cos(math.radians(a)), math.sin(math.radians(a))
-        yy, xx = np.indices((h, w))
-        # inverse map: canvas pixel -> source pixel
-        sx = np.rint(c * (xx - mx) - s * (yy - my) + cx).astype(int)
-        sy = np.rint(s * (xx - mx) + c * (yy - my) + cy).astype(int)
-        inside = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
-        out = np.zeros((h, w), bool)
-        out[inside] = on[sy[inside], sx[inside]]
-        return out
-
-    def imbalance(m: np.ndarray) -> tuple[float, float]:
-        y, x = np.nonzero(m)
-        n = max(len(y), 1)
-        return float((x >= mx).sum() - (x < mx).sum()) / n, float((y >= my).sum() - (y < my).sum()) / n
-
-    out = turned(angle)
-    lr, ud = imbalance(out)
-    if lr < 0:
-        angle = (angle + 180) % 360
-        out = turned(angle)
-        lr, ud = imbalance(out)
-    return Aligned(out, angle, lr, ud)
+    # the main axis is half the angle of the second moment as a complex number
+    points = np.nonzero(on)[1] + 1j * np.nonzero(on)[0]
+    degrees = math.degrees(np.angle(((points - points.mean()) ** 2).mean()) / 2)
+    level = turned(on, degrees)
+    if excess(level, 1) < 0:
+        degrees = (degrees + 180) % 360
+        level = turned(on, degrees)
+    return Aligned(level, degrees, excess(level, 1), excess(level, 0))
 
 
 def polar(mask: np.ndarray, resolution: int = 256) -> tuple[np.ndarray, np.ndarray]:

@@ -9,18 +9,21 @@ earlier steps had declared as output stays. Accumulators are aggregations over a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from fieldloom.functions import expressions as E
 from fieldloom.functions import kernels
 from fieldloom.operators import raster as R
 from fieldloom.operators import regions as G
+from fieldloom.operators.catalog import MODIFIED
+from fieldloom.operators.model import HoleConfig
 
 OPERATORS: dict[str, type[Operator]] = {}
 
@@ -109,13 +112,18 @@ class ArrayKernel(Operator, name="array_kernel"):
 
 
 class DetectEdge(ArrayKernel, name="detect_edge"):
-    inputs, outputs, defaults = ("frame",), ("edge",), {"low": 50, "high": 150, "blur": 3}
+    """NB-CANNY of grey frames, or of BGR ones (``h * w * 3`` values) on their grey or per channel."""
 
-    def made(self):
-        from fieldloom.functions.kernels import canny
+    inputs, outputs, defaults = ("frame",), ("edge",), {"low": 50, "high": 150, "blur": 3, "gray": True}
 
-        c = dict(self.config)
-        return lambda a: canny(a, **c)
+    def plan(self, units):
+        frame, target, c = self.source("frame"), self.target("edge"), dict(self.config)
+
+        def kernel(row):
+            edge = kernels.detect_edge(picture(row[frame], row["h"], row["w"]), **c)
+            return {target: edge.ravel().tolist()} if edge.any() else None
+
+        return mapped(units, {target: "array<int>"}, kernel)
 
 
 class CloseEdge(ArrayKernel, name="close_edge"):
@@ -129,17 +137,15 @@ class CloseEdge(ArrayKernel, name="close_edge"):
 
 
 class FillEdge(ArrayKernel, name="fill_edge"):
-    inputs, outputs, defaults = ("edge",), ("mask",), {"min_area": 0, "max_area": 0}
+    inputs, outputs, defaults = ("edge",), ("mask",), {"min_area": 0, "max_area": 0, "border_gap": 0}
 
     def made(self):
-        from fieldloom.functions.kernels import fill_contours
-
-        low, high = self.config["min_area"], self.config["max_area"]
-        return lambda a: fill_contours(a, low, high)
+        low, high, gap = (self.config[k] for k in ("min_area", "max_area", "border_gap"))
+        return lambda a: kernels.fill_contours(kernels.bridge_border(a, gap), low, high)
 
 
 class EdgeBlob(FillEdge, name="edge_blob"):
-    outputs, defaults = ("blob",), {"min_area": 500, "max_area": 0}
+    outputs, defaults = ("blob",), {"min_area": 500, "max_area": 0, "border_gap": 0}
 
 
 class MorphMask(ArrayKernel, name="morph_mask"):
@@ -187,6 +193,12 @@ def grid(values, h: int, w: int) -> np.ndarray:
     return np.array(values).reshape(h, w)
 
 
+def picture(values, h: int, w: int) -> np.ndarray:
+    """A frame as (h, w), or (h, w, 3) if it has three values a pixel."""
+    a = np.array(values)
+    return a.reshape(h, w) if a.size == h * w else a.reshape(h, w, -1)
+
+
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 OBJECTS = f"array<struct<class_id:string,bbox:{BOX}>>"
 
@@ -273,7 +285,7 @@ class NormalizeColor(Operator, name="normalize_color"):
 
 
 class ChromaDistance(Operator, name="chroma_distance"):
-    """PX-DIST from a global model in params; units without one are skipped."""
+    """PX-DIST from a model in params, global numbers or arrays over the pixels; units without one are skipped."""
 
     inputs, outputs, defaults = ("frame", "mean_c0", "mean_c1", "std_c0", "std_c1"), ("dist",), {"space": "hsv", "sigma_floor": 1.0}
 
@@ -283,11 +295,14 @@ class ChromaDistance(Operator, name="chroma_distance"):
             return units.where("false").withColumn(self.target("dist"), F.array().cast("array<double>"))
         frame, space, floor = self.source("frame"), self.config["space"], F.lit(float(self.config["sigma_floor"]))
 
+        per_pixel = {n: isinstance(units.schema[n].dataType, ArrayType) for n in names}
+        value = lambda n, i: F.get(F.col(n), i) if per_pixel[n] else F.col(n)
+
         def far(i):
             total = F.lit(0.0)
             for k, c in enumerate(_chroma(frame, space, i)):
                 bins, circular = SPACES[space][k]
-                d = E.channel_delta(c, F.col(names[k]), circular, bins) / F.greatest(F.col(names[2 + k]), floor)
+                d = E.channel_delta(c, value(names[k], i), circular, bins) / F.greatest(value(names[2 + k], i), floor)
                 total = total + d * d
             return F.sqrt(total)
 
@@ -332,44 +347,45 @@ class OrderObjects(Operator, name="order_objects"):
 
 
 class Segment(Operator, name="segment"):
-    """MDL-SEG of a unit's objects by the worker's backend; ``segment_with_hole`` carves holes as well."""
+    """MDL-SEG of a unit's objects by the worker's backend; ``text`` is a prompt for backends that take one."""
 
-    inputs, outputs, holes = ("frame", "object"), ("segment", "object"), False
-    defaults = {"conf": 0.5, "min_area": 200, "model": None}
+    inputs, outputs = ("frame", "object"), ("segment", "object")
+    defaults = {"conf": 0.5, "min_area": 200, "model": None, "text": ""}
+
+    def holes(self):
+        return None
 
     def plan(self, units):
         from fieldloom.operators import model as M
 
         frame, objects, segment, listed = self.source("frame"), self.source("object"), self.target("segment"), self.target("object")
-        c, holes = dict(self.config), self.holes
-        build = c["model"] or M.BoxThreshold
+        c, holes, (name, build) = self.config, self.holes(), M.configured(self.config["model"])
+        conf, least = c["conf"], c["min_area"]
+        debug = {p: self.target(p) for p in self.outputs[2:]} if holes and holes.hole_debug else {}
 
         def kernel(row):
-            h, w = row["h"], row["w"]
-            own, image = M.backend(build.__name__, build), grid(row[frame], h, w)
-            state, labels, kept = own.encode(image), np.zeros((h, w), np.int32), []
-            for o, box in zip(row[objects] or [], _boxes(row[objects] or [])):
-                if box is None:
-                    continue
-                mask, score, logits = own.decode(state, box, [], None)
-                if holes and mask.any():
-                    mask = M.carve_holes(own, state, image, box, mask, logits)
-                if score < c["conf"] or (mask > 0).sum() < max(c["min_area"], 1):
-                    continue
-                ys, xs = np.nonzero(mask)
-                labels[mask > 0] = len(kept) + 1
-                kept.append({"class_id": o["class_id"], "bbox": {"x0": float(xs.min()), "y0": float(ys.min()), "x1": float(xs.max() + 1), "y1": float(ys.max() + 1)}})
-            return {segment: labels.ravel().tolist(), listed: kept} if kept else None
+            given = [(o["class_id"], b) for o, b in zip(row[objects] or [], _boxes(row[objects] or []))]
+            labels, kept, maps = M.segmented(M.backend(name, build), picture(row[frame], row["h"], row["w"]), given, conf, least, holes)
+            if not kept:
+                return None
+            out = {segment: labels.ravel().tolist(), listed: [{"class_id": k, "bbox": dict(zip(("x0", "y0", "x1", "y1"), b))} for k, b in kept]}
+            return out | {target: maps[p].ravel().astype(int).tolist() for p, target in debug.items()}
 
-        return mapped(units, {segment: "array<int>", listed: OBJECTS}, kernel)
+        return mapped(units, {segment: "array<int>", listed: OBJECTS} | {t: "array<int>" for t in debug.values()}, kernel)
 
 
 class SegmentWithHole(Segment, name="segment_with_hole"):
-    holes = True
+    """MDL-HOLE: as ``segment``, with holes carved; with ``hole_debug`` the maps in between are outputs too."""
+
+    outputs = ("segment", "object", "seg_raw", "hole_seed", "hole_grown", "hole_edge")
+    defaults = Segment.defaults | asdict(HoleConfig())
+
+    def holes(self):
+        return HoleConfig(**{k: v for k, v in self.config.items() if k not in Segment.defaults})
 
 
 class CombineMask(Operator, name="combine_mask"):
-    inputs, outputs, defaults = ("mask", "other"), ("mask",), {"mode": "subtract"}
+    inputs, outputs, defaults = ("mask", "other"), ("mask",), {"mode": "subtract", "max_change": 0.0, "drop_on_over": False}
 
     def plan(self, units):
         other = self.source("other")
@@ -381,8 +397,18 @@ class CombineMask(Operator, name="combine_mask"):
         f = {"subtract": lambda a, b: F.when(b > 0, 0).otherwise(a), "intersect": lambda a, b: F.when(b > 0, a).otherwise(0), "union": lambda a, b: F.greatest(a, b)}[mode]
         mask = F.col(self.source("mask"))
         new = F.when(F.col(other).isNull(), mask).otherwise(F.zip_with(mask, F.col(other), f))
+        limit, drop = self.config["max_change"], self.config["drop_on_over"]
         out = self.target("mask")
-        return units.withColumn(out, new).where(F.exists(out, lambda v: v > 0))
+        if limit:
+            count = lambda a: F.size(F.filter(a, lambda v: v > 0))
+            ratio = (count(F.col("_new")) - count(mask)) / count(mask)
+            over = ratio > limit if limit > 0 else ratio < limit
+            units = units.withColumn("_new", new)
+            units = units.where(~over) if drop else units
+            units = units.withColumn(out, F.col("_new") if drop else F.when(over, mask).otherwise(F.col("_new"))).drop("_new")
+        else:
+            units = units.withColumn(out, new)
+        return units.where(F.exists(out, lambda v: v > 0))
 
 
 class RemoveEdgeHoles(Operator, name="remove_edge_holes"):
@@ -515,8 +541,11 @@ class FlowResult:
 def units_of(flow: Flow, frames: DataFrame, objects: DataFrame | None) -> DataFrame:
     """FLW-UNIT: every object with its frame's columns, or each frame with its first object's.
 
-    An object's columns cover the frame's of the same name.
+    An object's columns cover the frame's of the same name. FLW-WORKING: of frames with a ``category`` only the
+    modified ones are units.
     """
+    if "category" in frames.columns:
+        frames = frames.where(F.col("category") == MODIFIED)
     if objects is None:
         return frames.limit(0) if flow.unit == "object" else frames
     own = objects if flow.unit == "object" else objects.withColumn("_r", F.row_number().over(R.Window.partitionBy("stem").orderBy("obj_id"))).where("_r = 1").drop("_r")
@@ -535,8 +564,12 @@ def run_flow(flow: Flow, frames: DataFrame, objects: DataFrame | None = None, pa
         return FlowResult({}, None, [], cached=True)
     units = units_of(flow, frames, objects)
     for k, v in params.items():
-        if k not in units.columns:
+        if k not in units.columns and not isinstance(v, DataFrame):
             units = units.withColumn(k, F.lit(v))
+    tables_of = [v.withColumnRenamed("value", k) for k, v in params.items() if isinstance(v, DataFrame) and k not in units.columns]
+    if tables_of:  # one row of one array over the pixels for each: a frame's size, however many units there are
+        for t in tables_of:
+            units = units.withColumn("_one", F.lit(1)).join(F.broadcast(t.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
     tables, skipped, carried = {}, [], {}
     for op, outputs in flow.steps:
         units = op.plan(units)
@@ -549,7 +582,8 @@ def run_flow(flow: Flow, frames: DataFrame, objects: DataFrame | None = None, pa
                 continue
             place = ["stem", "obj_id"] if level == "object" else ["stem"]
             own = units.where("obj_id IS NOT NULL") if level == "object" else units
-            tables[key] = own.select(*place, key)
+            size = ["h", "w"] if {"h", "w"} <= set(own.columns) and own.schema[key].dataType.simpleString() in ("array<int>", "array<double>") else []
+            tables[key] = own.select(*place, key, *size)
     out = None
     context: dict[str, DataFrame] = dict(carried)
     for op, outputs in flow.final:
@@ -565,18 +599,48 @@ def run_flow(flow: Flow, frames: DataFrame, objects: DataFrame | None = None, pa
     return FlowResult(tables, out, skipped)
 
 
-def run_flows(flows: list[Flow], frames: DataFrame, objects: DataFrame | None = None, params: dict[str, Any] | None = None, progress: Callable[[str, int, int], None] | None = None) -> tuple[list[FlowResult], dict[str, Any]]:
-    """FLW-RUN: flows in order; params of one are collected (a handful of numbers) and seen by the next.
+def shown(frames: DataFrame, objects: DataFrame | None, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """What the next flow sees: outputs at the level of frames as columns of the items, the list ``object`` as objects,
+    outputs at the level of objects as columns of these. A new value takes the place of an old one of its name."""
+    for key, table in tables.items():
+        if key == "object" and "obj_id" not in table.columns:
+            objects = table.select("stem", F.posexplode("object").alias("obj_id", "o")).select("stem", "obj_id", "o.class_id", "o.bbox")
+        elif "obj_id" in table.columns:
+            objects = objects.drop(key).join(table.select("stem", "obj_id", key), ["stem", "obj_id"], "left")
+        else:
+            frames = frames.drop(key).join(table.select("stem", key), "stem", "left")
+    return frames, objects
+
+
+def _param(rows: DataFrame, name: str) -> float | DataFrame | None:
+    """A param as a number, or as one row with an array over the pixels."""
+    own = rows.where(F.col("name") == name)
+    first = own.first()
+    if first is None:
+        return None
+    return first.value if first.i is None else own.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda p: p["value"]).alias("value"))
+
+
+def run_flows(flows: list[Flow], frames: DataFrame, objects: DataFrame | None = None, params: dict[str, Any] | None = None, progress: Callable[[str, int, int], None] | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> tuple[list[FlowResult], dict[str, Any]]:
+    """FLW-RUN: flows in order; what one put out, tables and params, the next one sees.
 
-    FLW-PROGRESS: ``progress(name, done, total)`` once per flow.
+    Tables of a flow are kept by ``keep`` (in Spark's storage; give a checkpoint to survive lost executors without
+    computing again) before the next flow is planned, as both it and the caller read them. Numbers among the params
+    are collected, those per pixel stay tables. FLW-PROGRESS: ``progress(name, done, total)`` once a flow's outputs
+    are made, counted in units.
     """
     params, results = dict(params or {}), []
     for flow in flows:
         r = run_flow(flow, frames, objects, params)
+        r.tables = {k: keep(t) for k, t in r.tables.items()}
         if r.params is not None:
-            params |= {x.name: x.value for x in r.params.where("i IS NULL").collect()}
+            r.params = keep(r.params)
+            params |= {n: v for n in flow.param_names() if (v := _param(r.params, n)) is not None}
         if progress is not None:
-            n = frames.count()
+            for t in r.tables.values():
+                t.count()
+            n = units_of(flow, frames, objects).count()
             progress(flow.name or "flow", n, n)
+        frames, objects = shown(frames, objects, r.tables)
         results.append(r)
     return results, params

@@ -695,10 +695,10 @@ def sample_features(s, d):
 
 @query()
 def segment_with_hole_stub(s, d):
-    from fieldloom.operators.model import BoxThreshold, segment
+    from fieldloom.operators.model import BoxThreshold, HoleConfig, segment
 
     _, obj = _objects(s, d)
-    return segment(X.raster(s, d), obj, lambda: BoxThreshold(), min_area=2, holes=True)
+    return segment(X.raster(s, d), obj, lambda: BoxThreshold(), min_area=2, holes=HoleConfig(hole_seed_rim=3, hole_edge_margin=1, hole_edge_close=2, hole_edge_thick=1, hole_open_size=1))
 
 
 # --- flows and streams ------------------------------------------------------------------------------------------------------

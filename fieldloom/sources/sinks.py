@@ -145,22 +145,26 @@ def encoded(raster: DataFrame, fmt: str = "png") -> DataFrame:
 
 
 def write_files(payloads: DataFrame, folder: str, fmt: str = "png") -> None:
-    """SNK-SAVE: one file ``<stem>.<fmt>`` per row, in a folder that all executors share. Each file is written
-    beside its place and moved there, so a task that runs twice does no harm."""
+    """SNK-SAVE: one file ``<stem>.<fmt>`` per row, in a folder that all executors share."""
+    write_at(payloads.select(F.concat(F.lit(f"{folder}/"), F.col("stem").cast("string"), F.lit("." + fmt.lstrip("."))).alias("file"), "content"))
+
+
+def write_at(payloads: DataFrame) -> None:
+    """Files ``(file, content)`` in shared folders. Each is written beside its place and moved there, so a task that
+    runs twice does no harm."""
     import os
     import uuid
 
-    fmt = fmt.lstrip(".")
-
     def run(rows):
-        os.makedirs(folder, exist_ok=True)
         for r in rows:
+            folder = os.path.dirname(r.file)
+            os.makedirs(folder, exist_ok=True)
             part = f"{folder}/.{uuid.uuid4().hex}"
             with open(part, "wb") as f:
                 f.write(r.content)
-            os.replace(part, f"{folder}/{r.stem}.{fmt}")
+            os.replace(part, r.file)
 
-    payloads.select("stem", "content").foreachPartition(run)
+    payloads.select("file", "content").foreachPartition(run)
 
 
 def payload_path(root, category, stem, path, directory, name, fmt):

@@ -141,8 +141,8 @@ def test_align_and_mirror():
     m[36:44, 16:66] = 1
     m[20:44, 56:66] = 1
     a, b = S.align(m), S.align(m[:, ::-1])
-    assert a.lr_imbalance >= 0 and b.lr_imbalance >= 0
-    assert a.ud_imbalance * b.ud_imbalance < 0  # mirror images differ in the sign of chirality
+    assert a.right_excess >= 0 and b.right_excess >= 0
+    assert a.lower_excess * b.lower_excess < 0  # mirror images differ in the sign of chirality
     turned = S.align(np.rot90(m))
     assert (turned.mask & a.mask).sum() / (turned.mask | a.mask).sum() > 0.8
     with pytest.raises(ValueError):
