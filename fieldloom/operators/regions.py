@@ -209,3 +209,28 @@ def rle_from_strings(rle: DataFrame) -> DataFrame:
         return text.map(coco_counts)
 
     return rle.withColumn("counts", counts("counts"))
+
+
+def fill_holes(mask: DataFrame) -> DataFrame:
+    """NB-FILLHOLES."""
+    return map_arrays(mask, ["data"], kernels.fill_holes)
+
+
+def finalize(grown_seed: DataFrame, open_size: int = 5) -> DataFrame:
+    """NB-FINAL over ``data`` and ``seed``."""
+    return map_arrays(grown_seed, ["data", "seed"], lambda g, s: kernels.finalize(g, s, open_size))
+
+
+def colour_seed(raster: DataFrame, channels: list[str], light: str, **config) -> DataFrame:
+    """NB-SEED over the mask ``data`` and array-form channels."""
+    return map_arrays(raster, [*channels, light, "data"], lambda *a: kernels.colour_seed(np.stack(a[:-2], axis=2), a[-1], a[-2], **config))
+
+
+def spread_points(mask: DataFrame, k: int) -> DataFrame:
+    """NB-POINTS: ``(stem, i, x, y)`` of ``k`` pixels of each mask, evenly spaced in row order; all if it has no more."""
+    at = F.filter(F.transform("data", lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
+    n = F.size("at")
+    m = F.least(F.lit(max(k, 1)), n)
+    rows = mask.select("stem", "w", at.alias("at")).where(n > 0).select("stem", "w", "at", F.explode(F.sequence(F.lit(0), m - 1)).alias("i"))
+    place = F.get("at", F.when(m > 1, F.floor(F.col("i") * (n - 1) / (m - 1))).otherwise(0).cast("int"))
+    return rows.select("stem", F.col("i"), (place % F.col("w")).cast("int").alias("x"), F.floor(place / F.col("w")).cast("int").alias("y"))

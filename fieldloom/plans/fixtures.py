@@ -44,17 +44,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("label").alias("gt"), ((F.col("label") + (F.col("vec_id") % 7 == 0).cast("int")) % 10).alias("pred"), F.col("embedding").alias("v"))
 
 
-def catalog(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """Catalogue rows of documents: leaves lang, source and n_chars; ``which`` is host or other."""
+def catalog(spark: SparkSession, sf_dir: str, which: str = "all") -> DataFrame:
+    """Catalogue rows of documents, with their lang and source as leaves.
+
+    ``all`` holds every document. Merges need two catalogues that overlap in part: ``host`` has no French documents, ``other``
+    every third one, with n_chars as well and its own states."""
     d = table(spark, sf_dir, "documents")
-    step = 2 if which == "host" else 5
-    own = d.where("lang <> 'fr'" if which == "host" else "doc_id % 3 = 0")
-    names = ["lang", "source"] if which == "host" else ["lang", "source", "n_chars"]
-    leaf = F.array(*[F.struct(F.lit(n).alias("name"), F.to_json(F.struct(F.col(n).alias("v"))).alias("j")) for n in names])
+    step = 5 if which == "other" else 2
+    own = {"all": d, "host": d.where("lang <> 'fr'"), "other": d.where("doc_id % 3 = 0")}[which]
+    quoted = lambda n: F.struct(F.lit(n).alias("name"), F.concat(F.lit('"'), F.col(n), F.lit('"')).alias("value"))
+    leaf = [quoted("lang"), quoted("source")] + ([F.struct(F.lit("n_chars").alias("name"), F.col("n_chars").cast("string").alias("value"))] if which == "other" else [])
     return own.select(
         F.when(F.col("doc_id") % step == 0, "staged").otherwise("modified").alias("category"), F.col("doc_id").cast("string").alias("stem"),
-        F.array().cast("array<string>").alias("path"), F.explode(leaf).alias("l"),
-    ).select("category", "stem", "path", "l.name", F.lit("attr").alias("type"), F.lit("str").alias("format"), F.concat(F.lit(f"{which}:"), F.col("l.name")).alias("value"))
+        F.array().cast("array<string>").alias("path"), F.explode(F.array(*leaf)).alias("l"),
+    ).select("category", "stem", "path", "l.name", F.lit("attr").alias("type"), F.lit("str").alias("format"), "l.value")
 
 
 #: The same in SQL.
@@ -74,11 +77,14 @@ COMPONENTS = """reach AS (
 cc AS (SELECT stem, y, x, CAST(dense_rank() OVER (PARTITION BY stem ORDER BY root) AS INT) AS label FROM first_px)"""
 
 
-def catalog_sql(which: str) -> str:
-    step, where = (2, "lang <> 'fr'") if which == "host" else (5, "doc_id % 3 = 0")
-    names = "['lang', 'source']" if which == "host" else "['lang', 'source', 'n_chars']"
-    return f"""{which} AS (SELECT CASE WHEN doc_id % {step} = 0 THEN 'staged' ELSE 'modified' END AS category, CAST(doc_id AS VARCHAR) AS stem, name, '{which}:' || name AS value
-  FROM documents, (SELECT unnest({names}) AS name) AS n WHERE {where})"""
+def catalog_sql(which: str = "all") -> str:
+    step = 5 if which == "other" else 2
+    where = {"all": "true", "host": "lang <> 'fr'", "other": "doc_id % 3 = 0"}[which]
+    own = f"SELECT CASE WHEN doc_id % {step} = 0 THEN 'staged' ELSE 'modified' END AS category, CAST(doc_id AS VARCHAR) AS stem"
+    leaf = [f"{own}, '{n}' AS name, '\"' || {n} || '\"' AS value FROM documents WHERE {where}" for n in ("lang", "source")]
+    if which == "other":
+        leaf.append(f"{own}, 'n_chars', CAST(n_chars AS VARCHAR) FROM documents WHERE {where}")
+    return f"{which if which != 'all' else 'refs'} AS ({' UNION ALL '.join(leaf)})"
 
 
 def robust_sql(hist: str, by: str, bins: int, circular: bool) -> str:

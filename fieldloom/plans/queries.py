@@ -63,26 +63,26 @@ def ext_type_inference(s, d):
 
 # --- catalogue ---------------------------------------------------------------------------------------------------
 
-_HOST, _OTHER = X.catalog_sql("host"), X.catalog_sql("other")
+_REFS, _HOST, _OTHER = X.catalog_sql(), X.catalog_sql("host"), X.catalog_sql("other")
 
 
-@query(f"WITH {_HOST} SELECT category || '/' || stem AS path, name, 'attr' AS type FROM host")
+@query(f"WITH {_REFS} SELECT category || '/' || stem AS path, name, 'attr' AS type FROM refs")
 def catalog_iter_leaves(s, d):
-    return C.leaves(X.catalog(s, d, "host")).select(F.array_join("path", "/").alias("path"), "name", "type")
+    return C.leaves(X.catalog(s, d)).select(F.array_join("path", "/").alias("path"), "name", "type")
 
 
 def _sixes(s, d):
     return X.table(s, d, "documents").where("doc_id % 6 = 1").select(F.col("doc_id").cast("string").alias("stem"))
 
 
-@query(f"WITH {_HOST} SELECT CASE WHEN CAST(stem AS BIGINT) % 6 = 1 THEN 'staged' ELSE category END AS category, stem, name FROM host")
+@query(f"WITH {_REFS} SELECT CASE WHEN CAST(stem AS BIGINT) % 6 = 1 THEN 'staged' ELSE category END AS category, stem, name FROM refs")
 def catalog_move(s, d):
-    return C.move(X.catalog(s, d, "host"), _sixes(s, d), "staged").select("category", "stem", "name")
+    return C.move(X.catalog(s, d), _sixes(s, d), "staged").select("category", "stem", "name")
 
 
-@query(f"WITH {_HOST} SELECT category, stem, name FROM host WHERE CAST(stem AS BIGINT) % 6 <> 1")
+@query(f"WITH {_REFS} SELECT category, stem, name FROM refs WHERE CAST(stem AS BIGINT) % 6 <> 1")
 def catalog_delete(s, d):
-    return C.delete(X.catalog(s, d, "host"), _sixes(s, d)).select("category", "stem", "name")
+    return C.delete(X.catalog(s, d), _sixes(s, d)).select("category", "stem", "name")
 
 
 @query(f"""WITH {_HOST}, {_OTHER}, home AS (SELECT DISTINCT stem, category AS home FROM host)
@@ -103,25 +103,24 @@ def catalog_merge_conflicts(s, d):
     return C.conflicts(X.catalog(s, d, "host"), X.catalog(s, d, "other"))
 
 
-@query(f"WITH {_HOST} SELECT category, stem, CAST(row_number() OVER (PARTITION BY category ORDER BY stem) - 1 AS INT) AS seq FROM (SELECT DISTINCT category, stem FROM host)")
+@query(f"WITH {_REFS} SELECT category, stem, CAST(row_number() OVER (PARTITION BY category ORDER BY stem) - 1 AS INT) AS seq FROM (SELECT DISTINCT category, stem FROM refs)")
 def catalog_state_numbering(s, d):
-    return C.stats(X.catalog(s, d, "host"))
+    return C.stats(X.catalog(s, d))
 
 
-@query(f"WITH {_HOST} SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT stem, category FROM host WHERE CAST(stem AS BIGINT) % 6 = 1) WHERE category <> 'staged'")
+@query(f"WITH {_REFS} SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT stem, category FROM refs WHERE CAST(stem AS BIGINT) % 6 = 1) WHERE category <> 'staged'")
 def catalog_not_in_state(s, d):
-    return C.not_in_state(X.catalog(s, d, "host"), _sixes(s, d), "staged")
+    return C.not_in_state(X.catalog(s, d), _sixes(s, d), "staged")
 
 
-@query(f"WITH {_HOST} SELECT DISTINCT stem, CASE WHEN EXISTS (SELECT 1 FROM host h WHERE h.stem = o.stem AND name = 'lang') THEN 'x' END AS value FROM host o")
+@query("SELECT CAST(doc_id AS VARCHAR) AS stem, lang AS value FROM documents")
 def catalog_attr(s, d):
-    refs = X.catalog(s, d, "host").withColumn("value", F.lit('"x"'))
-    return C.attr(refs, "lang")
+    return C.attr(X.catalog(s, d), "lang")
 
 
-@query()
+@query(f"WITH {_REFS} SELECT category, stem, string_agg(name || '=' || value, ',' ORDER BY name) AS leaves FROM refs GROUP BY 1, 2")
 def gather_bundle(s, d):
-    return C.gather(X.catalog(s, d, "host")).select("category", "stem", F.to_json("leaves").alias("leaves"))
+    return C.gather(X.catalog(s, d)).select("category", "stem", F.array_join(F.transform("leaves", lambda x: F.concat_ws("=", x["name"], x["value"])), ",").alias("leaves"))
 
 
 @query("""SELECT doc_id, CASE WHEN b < 8000 THEN 'train' WHEN b < 9000 THEN 'val' ELSE 'test' END AS split
@@ -198,7 +197,7 @@ def _model(px, by):
 _DIST = "sqrt(pow(least(abs(c0 - mean_c0), 180 - abs(c0 - mean_c0)) / greatest(std_c0, 1), 2) + pow((c1 - mean_c1) / greatest(std_c1, 1), 2))"
 
 
-@query(f"WITH {X.PX}, {_model_sql('')} SELECT stem, y, x, round({_DIST}, 6) AS d FROM px, model")
+@query(f"WITH {X.PX.replace('px AS (', 'px AS MATERIALIZED (', 1)}, {_model_sql('').replace('model AS (', 'model AS MATERIALIZED (', 1)} SELECT stem, y, x, round({_DIST}, 6) AS d FROM px, model")
 def chroma_distance_global(s, d):
     px = X.pixels(s, d)
     return R.distance(px, _model(px, []), [], (True, False), (180, 256)).select("stem", "y", "x", rounded(F.col("d")).alias("d"))
@@ -218,7 +217,11 @@ def chroma_convert_hsv(s, d):
     return X.pixels(s, d).select("stem", "y", "x", h.alias("h"), sat.alias("s"), v.alias("v"))
 
 
-@query()
+_HSV = ORACLES["chroma_convert_hsv"]
+
+
+@query(f"""WITH hsv AS ({_HSV}), six AS (SELECT stem, y, x, s AS c, 255 - s AS m, s * (1 - abs((h * 2 / 60.0) % 2 - 1)) AS z, CAST(floor(h * 2 / 60.0) AS INT) % 6 + 1 AS k FROM hsv)
+SELECT stem, y, x, CAST(floor([0, 0, z, c, c, z][k] + m + 0.5) AS INT) AS b, CAST(floor([z, c, c, z, 0, 0][k] + m + 0.5) AS INT) AS g, CAST(floor([c, z, 0, 0, z, c][k] + m + 0.5) AS INT) AS r FROM six""")
 def normalize_color(s, d):
     b, g, r = E.normalize_color(F.col("v"), F.col("c1"), F.col("c0"))
     return X.pixels(s, d).select("stem", "y", "x", b.alias("b"), g.alias("g"), r.alias("r"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.plans import more_queries as _more  # noqa: F401  (adds its own to the same tables)
 from fieldloom.plans import queries as _queries
 
 

@@ -98,3 +98,12 @@ def test_edge_chain_and_colour(spark):
     colour = spark.createDataFrame([(1, 1, 1, [0, 0, 100])], "stem bigint, h int, w int, frame array<int>")
     made = W.run_flow(W.Flow(processes=[{"op": "normalize_color", "outputs": {"norm_image": {"level": "frame"}}}]), colour)
     assert list(made.tables["norm_image"].first().norm_image) == [0, 0, 255]
+
+
+def test_arguments():
+    from fieldloom.plans import arguments as A
+
+    got = {a.name: a for a in A.arguments("segment_with_hole")}
+    assert got["hole_max_pts"].high == 32 and got["hole_space"].choices == ("lab", "hsv", "rgb") and got["text"].kind == "str"
+    assert A.outside("segment_with_hole", {"conf": 1.5, "hole_space": "cmyk", "hole_max_pts": 3}) == ["conf", "hole_space"]
+    assert all(A.outside(op, {a.name: a.default for a in A.arguments(op) if a.default is not None}) == [] for op in W.OPERATORS)

@@ -159,3 +159,19 @@ def test_misdetection_files(spark, tmp_path):
     held = np.load(io.BytesIO((tmp_path / "class_means.npz").read_bytes()))
     assert held["ids"].tolist() == [0, 1] and held["means"].tolist() == [[0.0, 0.1, 0.2], [1.0, 1.1, 1.2]]
     assert spark.read.option("header", "true").csv(f"{tmp_path}/misdetected").count() == 3
+
+
+def test_handlers(spark):
+    from fieldloom.sources import handlers as H
+
+    table = spark.createDataFrame([("k", 3, 5, GRADIENT.ravel().tolist())], "stem string, h int, w int, data array<int>")
+    for kind in ("image", "segmap", "array"):
+        h = H.handler_of(kind)
+        back = h.load(h.save(table), "stem").first()
+        assert np.array_equal(np.array(back.data).reshape(3, 5), GRADIENT) and back.stem == "k"
+    assert set(H.HANDLERS) == {"image", "array", "attr", "rle", "segmap"} and H.handler_of("image").extensions[0] == "png" and not H.handler_of("attr").visual
+    assert H.handler_of("attr").load(spark.createDataFrame([("k", b" v ")], "stem string, content binary"), "stem").first().value == "v"
+    with pytest.raises(KeyError):
+        H.handler_of("video")
+    with pytest.raises(KeyError):
+        H.register(H.handler_of("rle"))
