@@ -2,7 +2,8 @@
 
 A text is brought to a canonical form (ASCII lower case, copyright lines dropped, equivalent spellings made
 one, punctuation and white space made single blanks) and hashed. The digests of whole texts are joined to a
-table of known license digests; the lines of a text that speak of a license are looked up the same way, each
+table of known license digests (whole public licenses, kept as they are published in ``license_texts``, and customary
+notices); the lines of a text that speak of a license are looked up the same way, each
 as an entire text. The known table is small and of fixed size, so it is broadcast.
 
 Null and empty texts have the digest of the empty text and match nothing.
@@ -10,6 +11,8 @@ Null and empty texts have the digest of the empty text and match nothing.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ SPELLINGS = [
 MARKS = r"[^\p{L}\p{N}]+"
 NOTICE = r"(?i)licen[cs]e|copyleft|public domain|spdx"
 
-#: Known texts (fixed values): public license texts and customary notices.
-KNOWN: list[tuple[str, str]] = [
+#: Known texts (fixed values): short public license texts and customary notices.
+SHORT: list[tuple[str, str]] = [
     ("MIT", """MIT License
 
 Copyright (c) <year> <holder>
@@ -76,6 +79,17 @@ Redistribution and use in source and binary forms, with or without modification,
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """BSD 3-Clause License
+
+Copyright (c) <year>, <holder>
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("Apache-2.0", """Copyright [yyyy] [name of copyright owner]
 
@@ -97,6 +111,15 @@ Unless required by applicable law or agreed to in writing, software distributed
 ]
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """``(license, text)`` of the files in ``license_texts``, by name."""
+    files = sorted((f for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files]
+
+
+KNOWN = SHORT + whole_texts()
+
+
 def canonical(text: Column) -> Column:
     """Canonical form of a text."""
     t = F.translate(text, UPPER, LOWER)

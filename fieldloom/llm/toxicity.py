@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int
     lift = np.log((p + 0.5) / (post.sum() + 1)) - np.log((q + 0.5) / ((1 - post).sum() + 1))
     keep = (p + q >= 4) & (lift > 0.7)
     keep[terms] = True
-    chosen = Rows([(i[keep[i]], np.minimum(v[keep[i]], 6)) for i, v in (own[k] for k in range(own.n))])
+    chosen = Rows([(i[keep[i]], v[keep[i]]) for i, v in (own[k] for k in range(own.n))])  # the counts that scoring sums
     w, bias = logistic(chosen, post, dims, l2=0.3)
     w = np.where(keep, w, 0.0)
     model = Model(w, bias, 1.0, 0.0, accuracy, correlation)

@@ -76,3 +76,84 @@ def test_label_model_finds_good_voters():
     post, accuracy, weight = toxicity.label_model(votes, 0.3)
     assert np.mean((post > 0.5) == truth) > 0.95
     assert accuracy[0] > accuracy[3] and weight[4] < 0.7
+
+
+def grams(text):
+    """The quality features of a text, as strings."""
+    raw, words = text.encode(), text.split()
+    out = {("b", raw[i : i + n]) for n in (3, 5) for i in range(len(raw) - n + 1)} | {("w", w) for w in words} | {("p", a, b) for a, b in zip(words, words[1:])}
+    return out | ({"loops"} if len(words) > 1 and np.mean([a == b for a, b in zip(words, words[1:])]) > 0.05 else set())
+
+
+def test_quality_is_a_dense_machine(spark):
+    """Scores against exact features, dense matrices and a plain descent on the machine's objective."""
+    r = random.Random(6)
+    good, bad = ["moss", "fern", "birch", "stone", "river", "cloud"], ["zzq", "xkcd", "qqq", "vvv", "stone", "cloud"]
+    docs, labels = [], []
+    for i in range(240):
+        y = i % 2
+        docs.append((i, " ".join(r.choice(good if y or r.random() < 0.2 else bad) for _ in range(r.randint(4, 12)))))
+        labels.append((i, y))
+    docs_df, labels_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {x.doc_id: x.score for x in quality.score(docs_df, quality.fit(docs_df, labels_df)).collect()}
+
+    learnt = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    top = 1 << 64
+    apart = {i for i in learnt if (i * 0x9E3779B97F4A7C15 % top >> 40) % 5 == 0}
+    names = {g: k for k, g in enumerate(sorted({g for _, t in docs for g in grams(t)}, key=str))}
+    x = np.zeros((len(docs), len(names)))
+    for i, t in docs:
+        x[i, [names[g] for g in grams(t)]] = 1
+    y = np.array([c for _, c in labels])
+    own = np.array([i for i in learnt if i not in apart])
+    p, q = x[own][y[own] == 1].sum(axis=0), x[own][y[own] == 0].sum(axis=0)
+    seen = p + q >= 2
+    # the hashed table has room for all cells, seen or not
+    cells = 1 << quality.BITS
+    ratio = np.where(seen, np.log((p + 1) / (p.sum() + cells)) - np.log((q + 1) / (q.sum() + cells)), 0)
+    z = x * ratio
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    a, s = np.hstack([z[own], np.ones((len(own), 1))]), np.where(y[own] == 1, 1.0, -1.0)
+    c = np.where(s > 0, len(own) / (2 * (s > 0).sum()), len(own) / (2 * (s < 0).sum()))
+    w = np.zeros(a.shape[1])
+    for _ in range(200):  # Newton steps on half |w|^2 + sum c max(0, 1 - s a w)^2
+        slack = 1 - s * (a @ w)
+        on = slack > 0
+        g = w - 2 * a[on].T @ (c[on] * s[on] * slack[on])
+        w = w - np.linalg.solve(np.eye(len(w)) + 2 * a[on].T @ (a[on] * c[on, None]), g)
+    margin = np.hstack([z, np.ones((len(docs), 1))]) @ w
+    rest = np.array(sorted(apart))
+    slope, offset = linear.platt(margin[rest], y[rest].astype(float))
+    want = 1 / (1 + np.exp(-(slope * margin + offset)))
+    assert max(abs(got[i] - want[i]) for i, _ in docs) < 0.02
+
+
+def test_label_model_is_plain_em():
+    """The posterior against expectation maximisation written out vote by vote."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(150) < 0.3
+    votes = np.stack([np.where(rng.random(150) < 0.2, 0, np.where(rng.random(150) < p, np.where(truth, 1, -1), np.where(truth, -1, 1))) for p in (0.9, 0.8, 0.7)], axis=1)
+    votes = np.concatenate([votes, votes[:, 2:]], axis=1)
+    got, _, weight = toxicity.label_model(votes, 0.3, rounds=7)
+    n, m = votes.shape
+    post = [max(0.6, min(0.99, max(0.01, 0.5 + 0.5 * sum(r) / m))) if any(v > 0 for v in r) else 0.02 for r in votes]
+    for _ in range(7):
+        table = {}
+        for k in range(m):
+            for cls in (0, 1):
+                mass = {v: 0.5 + sum((p if cls else 1 - p) for p, r in zip(post, votes) if r[k] == v) for v in (-1, 0, 1)}
+                table[k, cls] = {v: x / sum(mass.values()) for v, x in mass.items()}
+        rest = np.array([[r[k] - (1 - p) * (table[k, 0][1] - table[k, 0][-1]) - p * (table[k, 1][1] - table[k, 1][-1]) for k in range(m)] for p, r in zip(post, votes)])
+        div = []
+        for k in range(m):
+            corr = [abs((rest[:, k] * rest[:, j]).mean() / ((rest[:, k].std() + 1e-6) * (rest[:, j].std() + 1e-6))) for j in range(m)]
+            div.append(max(1, sum(c for c in corr if c > 0.1)))
+        new = []
+        for r in votes:
+            odds = np.log(0.3 / 0.7) + sum(np.log(table[k, 1][r[k]] / table[k, 0][r[k]]) / div[k] for k in range(m))
+            new.append(1 / (1 + np.exp(-odds)))
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-4
+        post = new
+        if done:
+            break
+    assert np.abs(got - np.array(post)).max() < 1e-6 and np.allclose(weight, 1 / np.array(div))

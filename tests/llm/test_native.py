@@ -128,6 +128,16 @@ def test_licenses(spark):
     assert licenses.scan(df, known).count() == 7 and licenses.scan(df.limit(0), known).count() == 0
 
 
+def test_whole_licenses(spark):
+    """Each whole text is found whatever its line breaks, case and punctuation; a text with one word less isn't."""
+    whole = licenses.whole_texts()
+    assert len(whole) >= 13 and len({n for n, _ in licenses.KNOWN}) >= 22
+    rows = [(2 * i, "  ".join(t.split()).upper() if "opyright" not in t else t.replace(".", " . ") + "\n\n") for i, (_, t) in enumerate(whole)]
+    rows += [(2 * i + 1, t.rsplit(None, 1)[0]) for i, (_, t) in enumerate(whole)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_digests(spark)).collect()}
+    assert [got[2 * i] for i in range(len(whole))] == [n for n, _ in whole] and all(got[2 * i + 1] is None for i in range(len(whole)))
+
+
 def test_next_and_edit(spark):
     rows = [(i, f"text number {i} " * (i % 5)) for i in range(1, 300, 7)] + [(50, None), (50, "twice")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
