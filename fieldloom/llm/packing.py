@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import slices, text_rows
 
-TABLE_WORDS = 400_000
+TABLE_WORDS = 240_000
 #: What the word table relies on: words end at white space, letters are lower-cased, marks stand apart from letters.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}

@@ -1,7 +1,7 @@
 """Quality classifier: naive-Bayes support vectors over n-gram indicators.
 
 Features are hashed indicators: byte n-grams of 3 and 5, words, and word pairs (equal neighbours also set one
-common feature, for looping text). Each is scaled by the log ratio of its smoothed class frequencies; a linear
+common feature, for looping text); words are cut at ASCII white space. Each is scaled by the log ratio of its smoothed class frequencies; a linear
 squared-hinge machine is fitted by dual coordinate descent on rows of unit length; a logistic curve, fitted on
 rows kept apart, turns margins into probabilities of label 1.
 
@@ -11,15 +11,15 @@ every text gets that class's smoothed rate. Empty texts have no features and get
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import filter_texts
+from .common import filter_texts, slices
 from .labelled import kept_apart, sample, scored
 from .linear import Scaled, hinge_dual, platt, sigmoid
+from .wordhash import words_of
 
 BITS = 18
 LIMIT = 2_000
@@ -31,43 +31,39 @@ def _hash(x: np.ndarray) -> np.ndarray:
     return ((x * _MULTIPLIER) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-class Features:
-    """Distinct hashed n-grams of a text."""
-
-    def __init__(self, limit: int = 300_000) -> None:
-        self.words, self.limit = {}, limit
-
-    def __call__(self, text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
-        parts = []
-        for n in (3, 5):
-            if len(raw) >= n:
-                h = raw[: len(raw) - n + 1].copy()
-                for k in range(1, n):
-                    h |= raw[k : len(raw) - n + 1 + k] << np.uint64(8 * k)
-                parts.append(_hash(h ^ np.uint64(n << 56)))
-        words = text.split()
-        if words:
-            if len(self.words) > self.limit:
-                self.words.clear()
-            table = self.words
-            for w in words:
-                if w not in table:
-                    table[w] = zlib.crc32(w.encode())
-            ids = np.array([table[w] for w in words], np.uint64)
-            parts.append(_hash(ids ^ np.uint64(1 << 60)))
-            if len(ids) > 1:
-                parts.append(_hash((ids[:-1] * np.uint64(31) + ids[1:]) ^ np.uint64(1 << 61)))
-                if (ids[:-1] == ids[1:]).mean() > 0.05:
-                    parts.append(np.zeros(1, np.int32))
-        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
+def features(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct hashed n-grams of each text."""
+    out = []
+    for a, b in slices(texts, 200_000):
+        raws = [t.encode() for t in texts[a:b]]
+        n, words = words_of(raws)
+        end = np.cumsum(n)
+        out += [_features(raw, words[j - m : j]) for raw, m, j in zip(raws, n.tolist(), end.tolist())]
+    return out
+
+
+def _features(raw: bytes, words: np.ndarray) -> np.ndarray:
+    b, parts = np.frombuffer(raw, np.uint8).astype(np.uint64), [np.zeros(0, np.int32)]
+    for n in (3, 5):
+        if len(b) >= n:
+            h = b[: len(b) - n + 1].copy()
+            for k in range(1, n):
+                h |= b[k : len(b) - n + 1 + k] << np.uint64(8 * k)
+            parts.append(_hash(h ^ np.uint64(n << 56)))
+    parts.append(_hash(words ^ np.uint64(1 << 60)))
+    if len(words) > 1:
+        parts.append(_hash((words[:-1] * np.uint64(31) + words[1:]) ^ np.uint64(1 << 61)))
+        if (words[:-1] == words[1:]).mean() > 0.05:
+            parts.append(np.zeros(1, np.int32))
+    x = np.sort(np.concatenate(parts))
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def _kernel():
-    features = Features()
-
     def apply(ids, texts):
-        idx = [features(t) for t in texts]
+        idx = features(texts)
         return {"doc_id": ids, "idx": idx, "val": [[]] * len(idx)}
 
     return apply
@@ -115,8 +111,8 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col:
     sent = _sent(docs, model)
 
     def kernel():
-        features, own = Features(), sent.value
-        return lambda texts: (own.scores([features(t) for t in texts]) >= threshold).tolist()
+        own = sent.value
+        return lambda texts: (own.scores(features(texts)) >= threshold).tolist()
 
     return filter_texts(docs, kernel, text_col)
 
@@ -126,7 +122,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     sent = _sent(docs, model)
 
     def kernel():
-        features, own = Features(), sent.value
-        return lambda ids, texts: {"doc_id": ids, "score": own.scores([features(t) for t in texts]).astype(float)}
+        own = sent.value
+        return lambda ids, texts: {"doc_id": ids, "score": own.scores(features(texts)).astype(float)}
 
     return scored(docs, kernel, threshold, id_col, text_col)
