@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -28,7 +29,8 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, kerne
 
     The rows are those of the least hash of the id, so the sample doesn't depend on the partitioning. Labels
     that are null are left out; of several labels of an id the largest holds, of several texts each is a row
-    (the first ``limit`` by id). ``kernel`` yields ``idx`` and ``val`` arrays for each text; an empty ``val`` stands for ones.
+    (the first ``limit`` by id). ``kernel`` yields sorted ``idx`` and ``val`` arrays for each text; an empty ``val`` stands
+    for ones. They come to the driver packed, differences of columns in about 2 bytes an entry, and are unpacked row by row.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label"))
@@ -39,17 +41,28 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, kerne
     # at most `limit` rows of two numbers: small enough to send to every executor
     rows = text_rows(docs, id_col, text_col)
     own = rows.join(F.broadcast(marked), rows.doc_id == marked.label_id, "left_semi")
-    got = map_texts(own, kernel, "doc_id long, idx array<int>, val array<float>").join(F.broadcast(marked), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "idx", "val").orderBy("doc_id").limit(limit).toArrow()
-    parts, ones = [], not any(len(c.values) for c in got.column("val").chunks)
-    for batch in got.to_batches():
-        idx, val = batch.column("idx"), batch.column("val")
-        parts += [(idx[k].values.to_numpy(), None if ones else val[k].values.to_numpy()) for k in range(len(batch))]
-    rows, label, ids = Rows(parts), got.column("label").to_numpy().astype(float), got.column("doc_id").to_numpy()
-    del parts, got
+    got = map_texts(own, lambda: _packed(kernel()), "doc_id long, n int, idx binary, val binary").join(F.broadcast(marked), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "n", "idx", "val").orderBy("doc_id").limit(limit).toArrow()
+    label, ids = got.column("label").to_numpy().astype(float), got.column("doc_id").to_numpy()
+    ones = not any(got.column("val").to_pylist())
+    columns = (np.cumsum(np.frombuffer(zlib.decompress(i), np.uint32), dtype=np.uint32) for i in got.column("idx").to_pylist())
+    values = (np.frombuffer(zlib.decompress(v) if v else b"", np.float32) for v in got.column("val").to_pylist())
+    rows = Rows.filled(got.column("n").to_numpy(), columns, None if ones else values)
+    del got
     pa.default_memory_pool().release_unused()
     return rows, label, ids
 
 
+def _packed(apply: Callable) -> Callable:
+    """A kernel whose arrays come as compressed bytes; no values, no bytes."""
+
+    def packed(ids, texts):
+        out = apply(ids, texts)
+        idx = [zlib.compress(np.diff(np.asarray(i, np.uint32), prepend=np.uint32(0)).tobytes(), 1) for i in out["idx"]]
+        return {"doc_id": ids, "n": [len(i) for i in out["idx"]], "idx": idx, "val": [zlib.compress(np.asarray(v, np.float32).tobytes(), 1) if len(v) else b"" for v in out["val"]]}
+
+    return packed
+
+
 def scored(docs: DataFrame, kernel: Callable, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of a kernel that yields scores."""
     rows = map_texts(text_rows(docs, id_col, text_col), kernel, "doc_id long, score double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 
@@ -18,6 +20,18 @@ class Rows:
             if self.val is not None:
                 self.val[self.ptr[k] : self.ptr[k + 1]] = v
 
+    @classmethod
+    def filled(cls, lengths: np.ndarray, idx: Iterable[np.ndarray], val: Iterable[np.ndarray] | None) -> Rows:
+        """Rows of known lengths, filled in one by one."""
+        own = cls([])
+        own.ptr, own.n = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), len(lengths)
+        own.idx = np.empty(own.ptr[-1], np.int32)
+        own.val = None if val is None else np.empty(own.ptr[-1], np.float32)
+        for out, parts in ((own.idx, idx), (own.val, val or ())):
+            for k, part in enumerate(parts):
+                out[own.ptr[k] : own.ptr[k + 1]] = part
+        return own
+
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray | None]:
         return self.idx[self.ptr[i] : self.ptr[i + 1]], None if self.val is None else self.val[self.ptr[i] : self.ptr[i + 1]]
 

@@ -22,7 +22,7 @@ from .linear import Scaled, hinge_dual, platt, sigmoid
 from .wordhash import words_of
 
 BITS = 18
-LIMIT = 2_000
+LIMIT = 5_000
 THRESHOLD = 0.7
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 

@@ -26,7 +26,7 @@ from .labelled import kept_apart, sample, scored
 from .linear import Rows, logistic, platt, sigmoid
 
 BITS = 20
-LIMIT = 4_000
+LIMIT = 5_000
 THRESHOLD = 0.3
 LEXICONS, TERMS = 16, 480
 _WORD = re.compile(r"\w+")

@@ -26,7 +26,8 @@ def tables(spark):
         docs.append((i, " ".join(w), "x", 0.5))
         labels.append((i, int(good), int(toxic)))
     docs += [(1000, None, "x", 0.1), (1001, "", "x", 0.1), (1001, "", "x", 0.1), (1002, "word " * 40_000, "x", 0.2)]
-    labels += [(None, 1, 0), (1001, None, None), (5000, 1, 1)]
+    docs += [(1003, "", "x", 0.1), (1004, None, "x", 0.1), (1006, "!!", "x", 0.1)]
+    labels += [(None, 1, 0), (1001, None, None), (5000, 1, 1), (1003, 0, 0), (1004, 0, 0), (1006, 0, 0)]
     return spark.createDataFrame(docs, "doc_id long, text string, lang string, score double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {a: (b, c) for a, b, c in labels}
 
 
