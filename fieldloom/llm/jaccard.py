@@ -15,7 +15,7 @@ Two sets link when ``den * |A & B| >= num * |A | B|``. Equal sets are one class;
 * Round 2 verifies every other pair that shares enough prefix shingles, passes the size and position filters,
   and is not yet in one component. Lists whose sets are all in one component by now, nearly all of them, are left
   out. In the others, rows of the pivot's component never meet each other, so a group of copies costs no pairs, and
-  sets meet only those of their own and the neighbouring size classes. After it no link between components can be
+  sets meet only those of their own and the neighbouring size classes whose folded bitmaps allow a link. After it no link between components can be
   left out.
 * Pairs are verified first by parity bitmaps, a lower bound of the difference, and then on whole texts. Shingles
   are compared by 64-bit hashes throughout; two distinct shingles of a pair of texts with one hash (a chance of
@@ -44,6 +44,7 @@ from .wordhash import shingle_sets
 
 SKETCH_BITS, SLICES = 20, 128
 BITMAP = 1024
+SIGNATURE = 4
 MOST_MATCHES = 4
 #: Reading one candidate costs about so many posting entries.
 VERIFY_COST = 4.0
@@ -130,6 +131,11 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(cells.astype(np.uint8)).tobytes()
 
 
+def signature(bits: bytes) -> np.ndarray:
+    """The bitmap folded to ``SIGNATURE`` longs; parities of fewer cells bound the difference just as well, less closely."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.int64).reshape(-1, SIGNATURE), axis=0)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The links among ``pairs(a, b)`` of class ids."""
     left = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("bits").alias("bits_a"))
@@ -151,8 +157,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, num
     wanted = checkpointed(close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct())
     texts = rows.join(F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted, "doc_id", "left_semi")
     both = (
-        close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        # texts are never broadcast, at any size
+        close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         .select("a", "a1", "a2", "text_a", "b", "b1", "b2", "text_b")
     )
 
@@ -194,16 +201,17 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
         own, usual = sent.value
 
         def apply(ids, texts):
-            out = {c: [] for c in ("k1", "k2", "matches", "tokens", "parts", "bits")}
+            out = {c: [] for c in ("k1", "k2", "matches", "tokens", "parts", "bits", "signature")}
             for s in shingle_sets(texts, k):
                 l, p, parts = prefix(s, own, usual, num, den) if len(s) else (0, s, s)
-                for c, v in zip(out, (*digest(s), l, p.view(np.int64), None if not len(parts) or parts.max() == 1 else parts, bitmap(s))):
+                bits = bitmap(s)
+                for c, v in zip(out, (*digest(s), l, p.view(np.int64), None if not len(parts) or parts.max() == 1 else parts, bits, signature(bits))):
                     out[c].append(v)
             return out | {"doc_id": ids}
 
         return apply
 
-    prefixes = map_texts(rows, kernel, "doc_id long, k1 long, k2 long, matches int, tokens array<long>, parts array<int>, bits binary", SLICE)
+    prefixes = map_texts(rows, kernel, "doc_id long, k1 long, k2 long, matches int, tokens array<long>, parts array<int>, bits binary, signature array<long>", SLICE)
     own = reps.select(F.col("rep").alias("doc_id"), "k1", "k2", "n")
     classes = checkpointed(prefixes.join(own, ["doc_id", "k1", "k2"]).withColumnRenamed("doc_id", "rep"))
 
@@ -233,14 +241,18 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     mixed = at.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("largest"), F.min(F.struct(*order, "component")).alias("head"))
     mixed = mixed.where("least <> largest").select("token", F.col("head.component").alias("main"))
     #: linked sets are of one size class or of neighbouring ones
-    at = stored(at.join(mixed, "token").withColumn("class", F.floor(F.log("n") / F.lit(math.log(den / num) * 1.000001 if den > num else 1e-12)).cast("long")), "jaccard-lists")
+    own_bits = classes.select("rep", *[F.col("signature")[i].alias(f"s{i}") for i in range(SIGNATURE)])
+    at = stored(at.join(mixed, "token").join(own_bits, "rep").withColumn("class", F.floor(F.log("n") / F.lit(math.log(den / num) * 1.000001 if den > num else 1e-12)).cast("long")), "jaccard-lists")
     x = at.where("component <> main").alias("x")
     y = at.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).alias("y")
     need = f"({den} + {num}) * (least(x.n - x.pos, y.n - y.pos) + least(x.matches, y.matches) - 1) >= {num} * (x.n + y.n)"
+    # parities that differ bound the difference from below, so most pairs that can't link are left out here
+    apart = "(" + " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SIGNATURE)) + ")"
+    may = f"{den} * (x.n + y.n - {apart}) >= {num} * (x.n + y.n + {apart})"
     rest = (
         x.join(y, F.expr(
             "x.token = y.token AND x.class = y.class AND x.component <> y.component AND (y.component = y.main OR x.rep < y.rep) "
-            f"AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {need}"))
+            f"AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {need} AND {may}"))
         .groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .agg(F.count("*").alias("c"), F.min(F.least("x.matches", "y.matches")).alias("l")).where("c >= l")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, text_rows
-from .linear import Rows
+from .linear import PackedRows, Rows, packed, unpacked
 
 
 def fold(doc_id: Column) -> Column:
@@ -24,13 +25,13 @@ def kept_apart(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(5) == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, kernel: Callable, id_col: str = "doc_id", text_col: str = "text") -> tuple[Rows, np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, kernel: Callable, id_col: str = "doc_id", text_col: str = "text") -> tuple[Rows | PackedRows, np.ndarray, np.ndarray]:
     """Features of at most ``limit`` labelled rows, with their labels and ids.
 
     The rows are those of the least hash of the id, so the sample doesn't depend on the partitioning. Labels
     that are null are left out; of several labels of an id the largest holds, of several texts each is a row
     (the first ``limit`` by id). ``kernel`` yields sorted ``idx`` and ``val`` arrays for each text; an empty ``val`` stands
-    for ones. They come to the driver packed, differences of columns in about 2 bytes an entry, and are unpacked row by row.
+    for ones. They come to the driver packed, differences of columns in about 2 bytes an entry; rows without values stay so.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label"))
@@ -43,24 +44,32 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, kerne
     own = rows.join(F.broadcast(marked), rows.doc_id == marked.label_id, "left_semi")
     got = map_texts(own, lambda: _packed(kernel()), "doc_id long, n int, idx binary, val binary").join(F.broadcast(marked), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "n", "idx", "val").orderBy("doc_id").limit(limit).toArrow()
     label, ids = got.column("label").to_numpy().astype(float), got.column("doc_id").to_numpy()
-    ones = not any(got.column("val").to_pylist())
-    columns = (np.cumsum(np.frombuffer(zlib.decompress(i), np.uint32), dtype=np.uint32) for i in got.column("idx").to_pylist())
-    values = (np.frombuffer(zlib.decompress(v) if v else b"", np.float32) for v in got.column("val").to_pylist())
-    rows = Rows.filled(got.column("n").to_numpy(), columns, None if ones else values)
+    if not any(got.column("val").to_pylist()):
+        rows: Rows | PackedRows = PackedRows(got.column("idx").to_pylist())
+    else:
+        values = (np.frombuffer(zlib.decompress(v) if v else b"", np.float32) for v in got.column("val").to_pylist())
+        rows = Rows.filled(got.column("n").to_numpy(), map(unpacked, got.column("idx").to_pylist()), values)
     del got
-    pa.default_memory_pool().release_unused()
+    release()
     return rows, label, ids
 
 
+def release() -> None:
+    """Hand freed memory back, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _packed(apply: Callable) -> Callable:
     """A kernel whose arrays come as compressed bytes; no values, no bytes."""
 
-    def packed(ids, texts):
+    def run(ids, texts):
         out = apply(ids, texts)
-        idx = [zlib.compress(np.diff(np.asarray(i, np.uint32), prepend=np.uint32(0)).tobytes(), 1) for i in out["idx"]]
-        return {"doc_id": ids, "n": [len(i) for i in out["idx"]], "idx": idx, "val": [zlib.compress(np.asarray(v, np.float32).tobytes(), 1) if len(v) else b"" for v in out["val"]]}
+        return {"doc_id": ids, "n": [len(i) for i in out["idx"]], "idx": [packed(i) for i in out["idx"]], "val": [zlib.compress(np.asarray(v, np.float32).tobytes(), 1) if len(v) else b"" for v in out["val"]]}
 
-    return packed
+    return run
 
 
 def scored(docs: DataFrame, kernel: Callable, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

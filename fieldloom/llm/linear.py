@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -58,10 +59,35 @@ class Rows:
         return out
 
 
+class PackedRows:
+    """Indicator rows that stay compressed (differences of columns); a row is unpacked each time it is asked for."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.packed, self.n = packed, len(packed)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, None]:
+        return unpacked(self.packed[i]), None
+
+    def counts(self, weight: np.ndarray, dims: int) -> np.ndarray:
+        out = np.zeros(dims)
+        for k in np.flatnonzero(weight):
+            out[unpacked(self.packed[k])] += weight[k]
+        return out
+
+
+def packed(idx: np.ndarray) -> bytes:
+    """Sorted columns of a row as compressed bytes."""
+    return zlib.compress(np.diff(np.asarray(idx, np.uint32), prepend=np.uint32(0)).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint32), dtype=np.uint32).astype(np.int32)
+
+
 class Scaled:
     """Chosen rows of indicators with entries scaled by column and each row of unit length, made when asked for."""
 
-    def __init__(self, rows: Rows, keep: np.ndarray, scale: np.ndarray) -> None:
+    def __init__(self, rows: Rows | PackedRows, keep: np.ndarray, scale: np.ndarray) -> None:
         self.rows, self.at, self.scale, self.n = rows, np.flatnonzero(keep), scale, int(keep.sum())
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import filter_texts, slices
-from .labelled import kept_apart, sample, scored
+from .labelled import kept_apart, release, sample, scored
 from .linear import Scaled, hinge_dual, platt, sigmoid
 from .wordhash import words_of
 
@@ -98,6 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", limit: i
     w, bias = hinge_dual(Scaled(x, ~apart, ratio), np.where(t > 0, 1.0, -1.0), dims, cost)
     model = Model(w * ratio, bias, 1.0, 0.0, ratio**2)
     model.slope, model.offset = platt(Scaled(x, apart, ratio).dot(w) + bias, y[apart])
+    del x
+    release()
     return model
 
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .labelled import kept_apart, sample, scored
-from .linear import Rows, logistic, platt, sigmoid
+from .linear import PackedRows, Rows, logistic, platt, sigmoid
 
 BITS = 20
 LIMIT = 5_000
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int
     x, y, ids = sample(docs, labels, label_col, limit, _kernel, id_col, text_col)
     dims, apart = 1 << BITS, kept_apart(ids)  # rows for the curve
     none = np.zeros(0)
-    if not apart.any() or apart.all() or len(set(y[~apart])) < 2:
+    if not apart.any() or apart.all() or len(set(y[~apart])) < 2 or isinstance(x, PackedRows):
         rate = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(dims), 0.0, 0.0, float(np.log(rate / (1 - rate))), none, none)
     take = lambda keep: Rows([x[i] for i in np.flatnonzero(keep)])
