@@ -15,9 +15,10 @@ Two sets link when ``den * |A & B| >= num * |A | B|``. Equal sets are one class;
 * Round 2 verifies every other pair that shares enough prefix shingles, passes the size and position filters,
   and is not yet in one component. Lists whose sets are all in one component by now, nearly all of them, are left
   out. In the others, rows of the pivot's component never meet each other, so a group of copies costs no pairs, and
-  sets meet only those of their own and the neighbouring size classes whose folded bitmaps allow a link. After it no link between components can be
-  left out.
-* Pairs are verified first by parity bitmaps, a lower bound of the difference, and then on whole texts. Shingles
+  sets meet only those of the size classes in reach (two at most) whose folded bitmaps allow a link. After it no link
+  between components can be left out.
+* Pairs are verified first by parity bitmaps, a lower bound of the difference, with a cell at least for each shingle
+  of the set, so that they tell long texts apart as well; then on whole texts. Shingles
   are compared by 64-bit hashes throughout; two distinct shingles of a pair of texts with one hash (a chance of
   about 1e-14 for texts of 400 words) would count as shared.
 
@@ -126,11 +127,20 @@ def prefix(s: np.ndarray, counts: np.ndarray, usual: float, num: int, den: int)
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parities of the shingles in each of ``BITMAP`` cells; cells that differ bound the difference from below."""
-    cells = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+    """Parities of the shingles in each of ``BITMAP`` cells or of the next power of two from the size of the set on;
+    cells that differ bound the difference from below."""
+    size = max(BITMAP, 1 << max(len(s) - 1, 0).bit_length())
+    cells = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(cells.astype(np.uint8)).tobytes()
 
 
+def apart(x: bytes, y: bytes) -> int:
+    """Cells in which two bitmaps differ, the larger one folded to the size of the other."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, size), axis=0) for b in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def signature(bits: bytes) -> np.ndarray:
     """The bitmap folded to ``SIGNATURE`` longs; parities of fewer cells bound the difference just as well, less closely."""
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.int64).reshape(-1, SIGNATURE), axis=0)
@@ -145,11 +155,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, num
         for batch in batches:
             if not len(batch):
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("bits_a", "bits_b"))
+            differ = np.array([apart(x, y) for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())], np.int64)
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             # shared = (na + nb - difference) / 2, all = (na + nb + difference) / 2
-            keep = den * (na + nb - apart) >= num * (na + nb + apart)
+            keep = den * (na + nb - differ) >= num * (na + nb + differ)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "a1", "a2", "b", "b1", "b2")], names=["a", "a1", "a2", "b", "b1", "b2"])
 
     small_batches(rows.sparkSession)
@@ -236,21 +245,25 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     joined = components(edges)
 
     # round 2: all that share enough, across components, in lists that have several
-    at = lists.select("token", "rep", "n", "matches", "pos").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    at = lists.select("token", "rep", "n", "matches", "pos").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    at = stored(at.withColumn("component", F.coalesce("component", "rep")), "jaccard-components")
     mixed = at.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("largest"), F.min(F.struct(*order, "component")).alias("head"))
     mixed = mixed.where("least <> largest").select("token", F.col("head.component").alias("main"))
-    #: linked sets are of one size class or of neighbouring ones
     own_bits = classes.select("rep", *[F.col("signature")[i].alias(f"s{i}") for i in range(SIGNATURE)])
-    at = stored(at.join(mixed, "token").join(own_bits, "rep").withColumn("class", F.floor(F.log("n") / F.lit(math.log(den / num) * 1.000001 if den > num else 1e-12)).cast("long")), "jaccard-lists")
-    x = at.where("component <> main").alias("x")
-    y = at.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).alias("y")
+    at = at.join(mixed, "token").withColumn("of_main", F.expr("component = main")).drop("main")
+    at = stored(at.join(own_bits, "rep"), "jaccard-lists")
+    #: sizes of linked sets are at most ``reach`` apart in logarithms; a class is twice as wide, so that two are in reach
+    reach = math.log(den / num) * 1.000001 if den > num else 1e-12
+    of_size = lambda by: F.floor((F.log("n") + F.lit(by * reach)) / F.lit(2 * reach)).cast("long")
+    x = at.where("NOT of_main").withColumn("class", F.explode(F.sequence(of_size(-1), of_size(1)))).alias("x")
+    y = at.withColumn("class", of_size(0)).alias("y")
     need = f"({den} + {num}) * (least(x.n - x.pos, y.n - y.pos) + least(x.matches, y.matches) - 1) >= {num} * (x.n + y.n)"
     # parities that differ bound the difference from below, so most pairs that can't link are left out here
-    apart = "(" + " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SIGNATURE)) + ")"
-    may = f"{den} * (x.n + y.n - {apart}) >= {num} * (x.n + y.n + {apart})"
+    differ = "(" + " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SIGNATURE)) + ")"
+    may = f"{den} * (x.n + y.n - {differ}) >= {num} * (x.n + y.n + {differ})"
     rest = (
         x.join(y, F.expr(
-            "x.token = y.token AND x.class = y.class AND x.component <> y.component AND (y.component = y.main OR x.rep < y.rep) "
+            "x.token = y.token AND x.class = y.class AND x.component <> y.component AND (y.of_main OR x.rep < y.rep) "
             f"AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) AND {need} AND {may}"))
         .groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .agg(F.count("*").alias("c"), F.min(F.least("x.matches", "y.matches")).alias("l")).where("c >= l")

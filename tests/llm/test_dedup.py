@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from fieldloom.llm import components, jaccard, lines, wordhash
@@ -228,3 +229,33 @@ def test_passages_without_stops_go_whole(spark, n):
     got = {x.doc_id: x.text for x in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [got[i] for i in (0, 2, 5)] == [docs[i][1] for i in (0, 2, 5)]
     assert got[1] == docs[1][1].replace(passage + " ", "") and got[3] == docs[3][1].replace(table + "\n", "") and got[4] == ""
+
+
+def test_bitmaps_bound_the_difference():
+    """Of any two sets, whatever their sizes, no more cells differ than shingles do; and long sets are told apart."""
+    r = np.random.default_rng(3)
+    draw = lambda n: np.unique(r.integers(0, 1 << 64, n, np.uint64))
+    sets = [draw(n) for n in (0, 1, 5, 1023, 1024, 1025, 3000, 9000, 20000)]
+    sets += [np.union1d(sets[-1][: len(sets[-1]) // 2], draw(10000)), sets[-1][:-700]]
+    for x in sets:
+        assert jaccard.apart(jaccard.bitmap(x), jaccard.bitmap(x)) == 0
+        for y in sets:
+            assert jaccard.apart(jaccard.bitmap(x), jaccard.bitmap(y)) <= len(np.setxor1d(x, y))
+    x, y = sets[8], sets[9]  # half alike: the bitmap alone rules out a link at 0.9
+    differ = jaccard.apart(jaccard.bitmap(x), jaccard.bitmap(y))
+    assert 100 * (len(x) + len(y) - differ) < 90 * (len(x) + len(y) + differ)
+
+
+def test_jaccard_long_texts(spark):
+    """Texts of more shingles than the least bitmap has cells, of sizes on both sides of a doubling."""
+    r = random.Random(21)
+    base = words(r, 2080).split()
+    docs = [(1, " ".join(base))]
+    for i, (cut, changed) in enumerate(((0, 3), (40, 2), (90, 0), (160, 0), (230, 0), (0, 60), (0, 200))):
+        w = base[cut:]
+        for _ in range(changed):
+            w[r.randrange(len(w))] = words(r, 1)
+        docs.append((i + 2, " ".join(w)))
+    for k, num, den in ((3, 90, 100), (5, 80, 100), (3, 100, 100)):
+        got = {x.doc_id: x.component_id for x in jaccard.linked(spark.createDataFrame(docs, "doc_id long, text string"), k, num, den).collect()}
+        assert got == brute(docs, k, num, den)
