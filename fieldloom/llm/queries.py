@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, lines, media, packing, quality, secrets, sentencepiece_codec, simhash, toxicity
+from . import jaccard, licenses, lines, media, merkle, mixing, packing, quality, secrets, sentencepiece_codec, simhash, toxicity
 from .common import read_table
 
 
@@ -62,6 +62,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -74,8 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_media_avi": op9_media_avi,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_mixing": op11_mixing,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.oracle_sql()}
+    return {"op4_licenses": licenses.oracle_sql(), "op11_mixing": mixing.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
