@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, lines, media, merkle, mixing, packing, quality, secrets, sentencepiece_codec, simhash, toxicity
+from . import jaccard, licenses, lines, media, merkle, mixing, negatives, packing, quality, secrets, sentencepiece_codec, simhash, toxicity
 from .common import read_table
 
 
@@ -70,6 +70,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(read_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, negatives.shifted_label())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -84,8 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": op10_jaccard_join,
         "op11_mixing": op11_mixing,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.oracle_sql(), "op11_mixing": mixing.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
+    return {"op4_licenses": licenses.oracle_sql(), "op11_mixing": mixing.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql(), "op13_hard_negatives": negatives.oracle_sql()}
