@@ -199,7 +199,7 @@ def polar_profile(fg: DataFrame, h: int, w: int, resolution: int) -> DataFrame:
 
 
 def zscore_pca(vectors: DataFrame, components: int = 2) -> DataFrame:
-    """ANA-EMBED substitute: z-scores and principal components of ``(id, v array)``. Not UMAP, and no HDBSCAN."""
+    """Z-scores and principal components of ``(id, v array)``; ``layout.embedded`` has the layout and clusters of ANA-EMBED."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
