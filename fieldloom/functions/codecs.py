@@ -1,4 +1,4 @@
-"""Payload codecs: PNG (8-bit grey, RGB, RGBA), NPY, and COCO run-length strings. Other image formats are refused."""
+"""Payload codecs: PNG, NPY, and COCO run-length strings. ``images`` has the other image formats."""
 
 from __future__ import annotations
 
@@ -9,49 +9,69 @@ import zlib
 import numpy as np
 
 _PNG = b"\x89PNG\r\n\x1a\n"
-_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
 def png_decode(data: bytes) -> np.ndarray:
-    """(h, w) or (h, w, c) uint8 samples in file order; not interlaced, no palette."""
+    """(h, w) or (h, w, c) samples in file order, uint8, or uint16 of 16-bit files; a palette gives colours (with alpha, if it has any). Not interlaced."""
     if data[:8] != _PNG:
-        raise ValueError("unsupported image: only PNG can be decoded here")
-    at, packed, head = 8, [], None
+        raise ValueError("not a PNG image")
+    at, packed, head, colours, alphas = 8, [], None, b"", b""
     while at < len(data):
         size, tag = struct.unpack_from(">I4s", data, at)
         body = data[at + 8 : at + 8 + size]
         if tag == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
+        elif tag == b"PLTE":
+            colours = body
+        elif tag == b"tRNS":
+            alphas = body
         elif tag == b"IDAT":
             packed.append(body)
         at += 12 + size
-    if head is None or head[2] != 8 or head[3] not in _CHANNELS or head[6]:
-        raise ValueError("unsupported PNG: 8-bit samples without palette or interlacing only")
-    w, h, c = head[0], head[1], _CHANNELS[head[3]]
-    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + w * c)
-    out = np.zeros((h, w * c), np.uint8)
-    above = np.zeros(w * c, np.int32)
+    if head is None or head[3] not in _CHANNELS or head[6]:
+        raise ValueError("unsupported PNG: not interlaced only")
+    w, h, depth, kind, c = *head[:4], _CHANNELS[head[3]]
+    stride, back = -(-w * c * depth // 8), max(1, c * depth // 8)
+    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + stride)
+    out = np.zeros((h, stride), np.uint8)
+    above = np.zeros(stride, np.int32)
     for y in range(h):
-        kind, line = rows[y, 0], rows[y, 1:].astype(np.int32)
-        if kind == 1:
-            for k in range(c):
-                line[k::c] = np.cumsum(line[k::c]) & 255
-        elif kind == 2:
-            line = (line + above) & 255
-        elif kind in (3, 4):
-            for i in range(w * c):
-                a, b, d = (line[i - c] if i >= c else 0), above[i], (above[i - c] if i >= c else 0)
-                if kind == 3:
-                    p = (a + b) // 2
-                else:
-                    e = a + b - d
-                    p = min((abs(e - a), 0, a), (abs(e - b), 1, b), (abs(e - d), 2, d))[2]
-                line[i] = (line[i] + p) & 255
-        out[y] = line
-        above = line
+        out[y] = above = _unfiltered(int(rows[y, 0]), rows[y, 1:].astype(np.int32), above, back)
+    if depth == 16:
+        out = out.view(">u2").astype(np.uint16)
+    elif depth < 8:
+        out = (out[:, :, None] >> np.arange(8 - depth, -1, -depth) & (1 << depth) - 1).reshape(h, -1)[:, :w].astype(np.uint8)
+    if kind == 3:
+        table = np.frombuffer(colours, np.uint8).reshape(-1, 3)
+        if alphas:
+            table = np.concatenate([table, np.full((len(table), 1), 255, np.uint8)], axis=1)
+            table[: len(alphas), 3] = np.frombuffer(alphas, np.uint8)
+        return table[out]
+    if depth < 8:
+        out = out * np.uint8(255 // ((1 << depth) - 1))
     return out.reshape(h, w) if c == 1 else out.reshape(h, w, c)
 
 
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, back: int) -> np.ndarray:
+    """A row of bytes from its differences to bytes on the left (``back`` away), above, or both."""
+    if kind == 1:
+        for k in range(back):
+            line[k::back] = np.cumsum(line[k::back]) & 255
+    elif kind == 2:
+        line = (line + above) & 255
+    elif kind in (3, 4):
+        for i in range(len(line)):
+            a, b, d = (line[i - back] if i >= back else 0), above[i], (above[i - back] if i >= back else 0)
+            if kind == 3:
+                p = (a + b) // 2
+            else:
+                e = a + b - d
+                p = min((abs(e - a), 0, a), (abs(e - b), 1, b), (abs(e - d), 2, d))[2]
+            line[i] = (line[i] + p) & 255
+    return line
+
+
 def png_encode(a: np.ndarray) -> bytes:
     """8-bit samples (h, w) or (h, w, 3 or 4)."""
     a = np.ascontiguousarray(a, np.uint8)

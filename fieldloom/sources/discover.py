@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions import codecs
+from fieldloom.functions import codecs, images
 from fieldloom.functions.expressions import extract_stem, file_extension, infer_type
 from fieldloom.operators.catalog import MODIFIED, SCHEMA
 
@@ -71,12 +71,24 @@ def with_ids(refs: DataFrame, ids: DataFrame, scope: str, name: str = "class_id"
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-IMG and SRC-SEG: ``(path, h, w, channels, data)`` of PNG files."""
+    """SRC-IMG: ``(path, h, w, channels, data)`` of PNG, JPEG, BMP and TIFF files, channels in the order red, green, blue, alpha."""
     return decoded_images(spark.read.format("binaryFile").load(path).select("path", "content"), "path")
 
 
+def read_segmaps(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-SEG: ``(path, h, w, channels, data)`` of image files that hold labels: the first channel of each."""
+    return decoded_segmaps(spark.read.format("binaryFile").load(path).select("path", "content"), "path")
+
+
+def decoded_segmaps(files: DataFrame, key: str) -> DataFrame:
+    """Label maps of ``(key, content)`` rows of image bytes: the first channel where a file has several."""
+    found = decoded_images(files, key)
+    first = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda i: F.get("data", i * F.col("channels")))
+    return found.withColumn("data", F.when(F.col("channels") > 1, first).otherwise(F.col("data"))).withColumn("channels", F.lit(1))
+
+
 def decoded_images(files: DataFrame, key: str) -> DataFrame:
-    """Rasters of ``(key, content)`` rows of PNG bytes; null contents are left out, other formats are an error."""
+    """Rasters of ``(key, content)`` rows of image bytes; null contents are left out, formats that ``images`` can't read are an error."""
     kind = files.schema[key].dataType
 
     def run(batches):
@@ -85,7 +97,7 @@ def decoded_images(files: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             out = [[] for _ in range(5)]
             for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a = codecs.png_decode(data)
+                a = images.decode(data)
                 for column, v in zip(out, (p, a.shape[0], a.shape[1], 1 if a.ndim == 2 else a.shape[2], a.ravel().astype(np.int32))):
                     column.append(v)
             kinds = [to_arrow_type(kind), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]

@@ -49,7 +49,7 @@ def _texts(files: DataFrame, key: str) -> DataFrame:
 
 
 register(Handler("image", "png", True, discover.decoded_images, lambda t: sinks.encoded(t, "png")))
-register(Handler("segmap", "png", True, discover.decoded_images, lambda t: sinks.encoded(t, "png")))
+register(Handler("segmap", "png", True, discover.decoded_segmaps, lambda t: sinks.encoded(t, "png")))
 register(Handler("array", "npy", False, discover.decoded_arrays, lambda t: sinks.encoded(t, "npy")))
 register(Handler("attr", "str", False, _texts))
 register(Handler("rle", "", True))

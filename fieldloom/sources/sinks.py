@@ -126,22 +126,26 @@ def write_bytes(spark, path: str, data: bytes) -> None:
 
 
 def encoded(raster: DataFrame, fmt: str = "png") -> DataFrame:
-    """SNK-SAVE: ``(stem, content binary)`` of array-form rasters, as PNG or NPY; keep it as a table, or write files."""
+    """SNK-SAVE: ``(stem, content binary)`` of array-form rasters, as NPY or an image format; keep it as a table, or write files.
+
+    ``channels``, where there is such a column, tells how many samples a pixel has."""
     import numpy as np
     import pyarrow as pa
 
-    from fieldloom.functions import codecs
+    from fieldloom.functions import codecs, images
 
-    encode = {"png": codecs.png_encode, "npy": codecs.npy_encode}[fmt.lstrip(".")]
+    fmt = fmt.lstrip(".").lower()
+    encode = codecs.npy_encode if fmt == "npy" else lambda a: images.encode(a, fmt)
+    several = ["channels"] if "channels" in raster.columns else []
 
     def run(batches):
         for batch in batches:
-            shapes = zip(batch.column("h").to_pylist(), batch.column("w").to_pylist())
-            data = [encode(np.asarray(batch.column("data")[i].values).reshape(h, w)) for i, (h, w) in enumerate(shapes)]
+            shapes = zip(batch.column("h").to_pylist(), batch.column("w").to_pylist(), batch.column("channels").to_pylist() if several else [1] * len(batch))
+            data = [encode(np.asarray(batch.column("data")[i].values).reshape((h, w) if c == 1 else (h, w, c))) for i, (h, w, c) in enumerate(shapes)]
             yield pa.RecordBatch.from_arrays([batch.column("stem"), pa.array(data, pa.binary())], names=["stem", "content"])
 
     kind = raster.schema["stem"].dataType.simpleString()
-    return raster.select("stem", "h", "w", "data").mapInArrow(run, f"stem {kind}, content binary")
+    return raster.select("stem", "h", "w", *several, "data").mapInArrow(run, f"stem {kind}, content binary")
 
 
 def write_files(payloads: DataFrame, folder: str, fmt: str = "png") -> None:
