@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators import raster as R
+from fieldloom.sources import converters as V
 from fieldloom.sources import discover as S
 from fieldloom.sources import sinks as K
+from fieldloom.sources.scratch import Scratch
 
 from . import fixtures as X
 from .queries import query
@@ -38,3 +40,24 @@ def segmap_first_channel(s, d):
     """Label maps from colour files: their first channel."""
     three = X.raster(s, d).withColumn("data", F.flatten(F.transform("data", lambda v: F.array(v, 255 - v, F.lit(7))))).withColumn("channels", F.lit(3))
     return R.to_pixels(S.decoded_segmaps(K.encoded(three, "bmp"), "stem")).select("stem", "y", "x", "v")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS stem, CAST([] AS VARCHAR[]) AS path, 'lang' AS name, '"' || lang || '"' AS value FROM documents WHERE lang IS NOT NULL
+UNION ALL SELECT CAST(doc_id AS VARCHAR), [], 'n_chars', CAST(n_chars AS VARCHAR) FROM documents WHERE n_chars IS NOT NULL
+UNION ALL SELECT CAST(doc_id AS VARCHAR), ['0'], 'bbox', '{"x0":0,"x1":' || n_chars || ',"y0":' || doc_id || ',"y1":1}' FROM documents WHERE n_chars IS NOT NULL""")
+def annotation_lines(s, d):
+    """Documents as annotation lines, written by Spark and read by the data source in splits."""
+    t, scratch = X.table(s, d, "documents"), Scratch(s, "lines")
+    box = F.when(F.col("n_chars").isNotNull(), F.array(F.struct(F.array(F.lit(0), F.col("doc_id"), F.col("n_chars"), F.lit(1)).alias("bbox"))))
+    t.select(F.col("doc_id").cast("string").alias("stem"), F.struct("lang", "n_chars").alias("leaves"), box.alias("objects")).write.json(scratch.path)
+    rows = V.convert(s, {"object_type": "lines", "sources": [scratch.path], "split": 1 << 20})
+    return rows.select("stem", "path", "name", "value")
+
+
+@query(f"WITH {X.PX} SELECT stem, y, x, v FROM px")
+def payload_sink(s, d):
+    """Rasters written as files by the payload sink, listed and read back by Spark."""
+    scratch = Scratch(s, "payloads")
+    K.write_files(_as_files(s, d, "tif"), scratch.path, "tif")
+    found = S.read_images(s, f"{scratch.path}/*.tif")
+    return R.to_pixels(found.withColumn("stem", F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("bigint"))).select("stem", "y", "x", "v")

@@ -1,6 +1,6 @@
 """Sessions: a config of a converter and flows, run on a store.
 
-A config is a nested map, or a YAML or JSON file of one::
+A config is a nested map, or a YAML or JSON file of one (``converter`` may be a list, see ``sources.converters``)::
 
     dataset_root: /shared/data/survey
     converter: {sources: [...], globs: {frame: "*_view.png", ...}, params: folder, id_map: {...} or file}
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators import catalog as C
+from fieldloom.sources import converters as V
 from fieldloom.sources import discover as S
 from fieldloom.sources import sinks as K
 
@@ -64,7 +65,7 @@ def write_payloads(table: DataFrame, name: str, spec: dict, root: str) -> None:
     fmt, folder = (spec.get("format") or "png").lstrip("."), spec.get("dir") or name
     path = F.array(F.col("obj_id").cast("string")) if "obj_id" in table.columns else F.array().cast("array<string>")
     where = K.payload_path(root, F.lit(C.MODIFIED), F.col("stem"), path, F.lit(folder), F.lit(name), F.lit(fmt))
-    K.write_at(K.encoded(table.where(F.col(name).isNotNull()).select(where.alias("stem"), "h", "w", F.col(name).alias("data")), fmt).withColumnRenamed("stem", "file"))
+    K.write_at(K.encoded(table.where(F.col(name).isNotNull()).select(where.alias("stem"), "h", "w", F.col(name).alias("data")), fmt).withColumnRenamed("stem", "file"), root)
 
 
 class Session:
@@ -75,11 +76,16 @@ class Session:
         self.root = self.config["dataset_root"]
         self.store = f"{self.root}/store"
         self.flows = [flow_of(f) for f in self.config.get("flows") or []]
+        V.checked(self.config.get("converter"))
 
     def ids(self) -> DataFrame:
-        """SRC-IDMAP of the converter."""
-        given = (self.config.get("converter") or {}).get("id_map") or {}
-        return S.id_map(self.spark, read_config(given) if isinstance(given, str) else given)
+        """SRC-IDMAP of the converters; of a class and scope in several maps the last holds."""
+        merged: dict[str, dict[str, int]] = {}
+        for _, own in V.checked(self.config.get("converter")):
+            given = own.get("id_map") or {}
+            for name, scopes in (read_config(given) if isinstance(given, str) else given).items():
+                merged[name] = {**merged.get(name, {}), **scopes}
+        return S.id_map(self.spark, merged)
 
     def refs(self) -> DataFrame | None:
         """The store's catalogue; None before there is one."""
@@ -92,8 +98,7 @@ class Session:
 
     def convert(self) -> int:
         """SRC-CONVERT: whole stems become modified items, in place of what the store had of them; how many (0: nothing matched)."""
-        c = self.config["converter"]
-        found = S.discover(self.spark, c["sources"], c["globs"], c.get("params")).persist()
+        found = V.convert(self.spark, self.config["converter"]).persist()
         n = found.where("stem IS NOT NULL").select("stem").distinct().count()
         if n:
             (K.scatter if self.refs() is None else K.save_items)(found, self.store)
@@ -150,19 +155,13 @@ class Session:
         for flow, result in zip(self.flows, results):
             rows = self.rows_of(flow, result)
             if rows is not None:
-                made = rows if made is None else _over(made, rows)
+                made = rows if made is None else V.over(made, rows)
         if made is not None:
             own = refs.join(made.select("stem").distinct(), "stem", "left_semi").select(refs.columns)
             if not made.where("name = 'bbox'").isEmpty():
                 own = own.where("size(path) = 0")  # new objects take the place of all old ones
-            K.save_items(_over(own, made), self.store)
+            K.save_items(V.over(own, made), self.store)
         numbers = {k: v for k, v in params.items() if isinstance(v, (int, float))}
         if numbers:
             K.save_items(C.flatten(self.spark, {"params": {k: {"type": "attr", "info": {"value": v}} for k, v in numbers.items()}}), self.store)
         return results, params
-
-
-def _over(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Catalogue rows of both; where both have a leaf the new one holds."""
-    keys = new.select(*[F.col(k).alias(f"_{k}") for k in C.KEY]).distinct()
-    return old.join(keys, [F.col(k) == F.col(f"_{k}") for k in C.KEY], "left_anti").unionByName(new.select(old.columns))

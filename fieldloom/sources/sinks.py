@@ -149,26 +149,16 @@ def encoded(raster: DataFrame, fmt: str = "png") -> DataFrame:
 
 
 def write_files(payloads: DataFrame, folder: str, fmt: str = "png") -> None:
-    """SNK-SAVE: one file ``<stem>.<fmt>`` per row, in a folder that all executors share."""
-    write_at(payloads.select(F.concat(F.lit(f"{folder}/"), F.col("stem").cast("string"), F.lit("." + fmt.lstrip("."))).alias("file"), "content"))
+    """SNK-SAVE: one file ``<stem>.<fmt>`` per row, in a folder that all executors reach."""
+    write_at(payloads.select(F.concat(F.lit(f"{folder}/"), F.col("stem").cast("string"), F.lit("." + fmt.lstrip("."))).alias("file"), "content"), folder)
 
 
-def write_at(payloads: DataFrame) -> None:
-    """Files ``(file, content)`` in shared folders. Each is written beside its place and moved there, so a task that
-    runs twice does no harm."""
-    import os
-    import uuid
+def write_at(payloads: DataFrame, root: str) -> None:
+    """Files ``(file, content)`` at their places, all or none of them; ``root`` is in the same file system and holds them until all are written."""
+    from . import files
 
-    def run(rows):
-        for r in rows:
-            folder = os.path.dirname(r.file)
-            os.makedirs(folder, exist_ok=True)
-            part = f"{folder}/.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
-                f.write(r.content)
-            os.replace(part, r.file)
-
-    payloads.select("file", "content").foreachPartition(run)
+    files.register(payloads.sparkSession)
+    payloads.select("file", "content").write.format(files.PayloadSink.name()).mode("append").save(root)
 
 
 def payload_path(root, category, stem, path, directory, name, fmt):
