@@ -42,16 +42,16 @@ def segmap_first_channel(s, d):
     return R.to_pixels(S.decoded_segmaps(K.encoded(three, "bmp"), "stem")).select("stem", "y", "x", "v")
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS stem, CAST([] AS VARCHAR[]) AS path, 'lang' AS name, '"' || lang || '"' AS value FROM documents WHERE lang IS NOT NULL
-UNION ALL SELECT CAST(doc_id AS VARCHAR), [], 'n_chars', CAST(n_chars AS VARCHAR) FROM documents WHERE n_chars IS NOT NULL
-UNION ALL SELECT CAST(doc_id AS VARCHAR), ['0'], 'bbox', '{"x0":0,"x1":' || n_chars || ',"y0":' || doc_id || ',"y1":1}' FROM documents WHERE n_chars IS NOT NULL""")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS stem, '' AS path, 'lang' AS name, '"' || lang || '"' AS value FROM documents WHERE lang IS NOT NULL
+UNION ALL SELECT CAST(doc_id AS VARCHAR), '', 'n_chars', CAST(n_chars AS VARCHAR) FROM documents WHERE n_chars IS NOT NULL
+UNION ALL SELECT CAST(doc_id AS VARCHAR), '0', 'bbox', '{"x0":0,"x1":' || n_chars || ',"y0":' || doc_id || ',"y1":1}' FROM documents WHERE n_chars IS NOT NULL""")
 def annotation_lines(s, d):
     """Documents as annotation lines, written by Spark and read by the data source in splits."""
     t, scratch = X.table(s, d, "documents"), Scratch(s, "lines")
     box = F.when(F.col("n_chars").isNotNull(), F.array(F.struct(F.array(F.lit(0), F.col("doc_id"), F.col("n_chars"), F.lit(1)).alias("bbox"))))
     t.select(F.col("doc_id").cast("string").alias("stem"), F.struct("lang", "n_chars").alias("leaves"), box.alias("objects")).write.json(scratch.path)
     rows = V.convert(s, {"object_type": "lines", "sources": [scratch.path], "split": 1 << 20})
-    return rows.select("stem", "path", "name", "value")
+    return rows.select("stem", F.array_join("path", "/").alias("path"), "name", "value")
 
 
 @query(f"WITH {X.PX} SELECT stem, y, x, v FROM px")
