@@ -98,6 +98,17 @@ def bgr_to_lab_ab(b: Column, g: Column, r: Column) -> tuple[Column, Column]:
     return out(500 * (f(x) - f(y))), out(200 * (f(y) - f(z)))
 
 
+def lab_ab_to_bgr(a: Column, b: Column, light: int = 128) -> tuple[Column, Column, Column]:
+    """PX-CHROMA-INV for lab: the colour of 8-bit a and b at a fixed brightness; what lies outside of the cube of colours is cut at its sides."""
+    fy = F.lit((light * 100 / 255 + 16) / 116)
+    t = [fy + (a - 128) / 500.0, fy, fy - (b - 128) / 200.0]
+    x, y, z = (F.when(u * u * u > 0.008856, u * u * u).otherwise((u - 16.0 / 116) / 7.787) for u in t)
+    x, z = x * 0.950456, z * 1.088754
+    linear = [0.055648 * x - 0.204043 * y + 1.057311 * z, -0.969256 * x + 1.875991 * y + 0.041556 * z, 3.240479 * x - 1.537150 * y - 0.498535 * z]
+    curve = lambda u: F.when(u <= 0.0031308, 12.92 * u).otherwise(1.055 * F.pow(F.greatest(u, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
+    return tuple(clip(F.floor(255 * curve(u) + 0.5), 0, 255).cast("int") for u in linear)
+
+
 def normalize_color(b: Column, g: Column, r: Column, value: int = 255) -> tuple[Column, Column, Column]:
     """PX-NORM: the colour at a fixed brightness."""
     h, s, _ = bgr_to_hsv(b, g, r)

@@ -41,10 +41,30 @@ def find(refs: DataFrame, stem: str) -> DataFrame:
     return refs.where(F.col("stem") == stem).withColumn("_r", F.min(rank_of()).over(Window.partitionBy("stem"))).where(rank_of() == F.col("_r")).drop("_r")
 
 
-def attr(refs: DataFrame, name: str, default: str | None = None) -> DataFrame:
-    """CAT-ATTR: ``(stem, value)`` of an inline attribute of every item, or the default."""
-    own = refs.where((F.col("name") == name) & (F.size("path") == 0) & F.col("stem").isNotNull()).select("stem", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("value"))
-    return items(refs).select("stem").distinct().join(own, "stem", "left").select("stem", F.coalesce("value", F.lit(default)).alias("value"))
+def variants(refs: DataFrame) -> DataFrame:
+    """The catalogue with its values as VARIANT: numbers, lists and objects keep their types. Values that aren't JSON are null."""
+    return refs.withColumn("value", F.try_parse_json("value"))
+
+
+def attr(refs: DataFrame, name: str, default: str | None = None, kind: str = "string", path: str = "$") -> DataFrame:
+    """CAT-ATTR: ``(stem, value)`` of an inline attribute of every item, or the default.
+
+    ``kind`` is the type of the result (``variant`` leaves it as it is), ``path`` a place inside the value; a value that the
+    type can't hold gives the default.
+    """
+    own = variants(refs.where((F.col("name") == name) & (F.size("path") == 0) & F.col("stem").isNotNull()).select("stem", "value"))
+    own = own.select("stem", F.try_variant_get("value", path, kind).alias("value"))
+    own = items(refs).select("stem").distinct().join(own, "stem", "left")
+    if default is None:
+        return own
+    other = F.parse_json(F.lit(json.dumps(default))) if kind == "variant" else F.lit(default).cast(kind)
+    return own.select("stem", F.coalesce("value", other).alias("value"))
+
+
+def attr_kinds(refs: DataFrame) -> DataFrame:
+    """``(name, kind, n)``: the types that the inline values of each attribute have."""
+    own = variants(refs.where((F.col("type") == "attr") & F.get_json_object("value", "$.dir").isNull()))
+    return own.groupBy("name", F.schema_of_variant("value").alias("kind")).agg(F.count("*").alias("n"))
 
 
 def set_attr(refs: DataFrame, stem: str, name: str, value) -> DataFrame:

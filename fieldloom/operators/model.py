@@ -20,8 +20,8 @@ from fieldloom.functions import kernels as K
 class Backend(Protocol):
     def encode(self, frame: np.ndarray) -> object: ...
 
-    def decode(self, state: object, box: tuple[float, float, float, float], points: list[tuple[int, int, int]], logits: np.ndarray | None) -> tuple[np.ndarray, float, np.ndarray]:
-        """Mask, score and logits; points are (x, y, 1 or 0)."""
+    def decode(self, state: object, box: tuple[float, float, float, float], points: list[tuple[float, float, int]], logits: np.ndarray | None) -> tuple[np.ndarray, float, np.ndarray | None]:
+        """Mask, score and logits (of any size, or none); points are (x, y, 1 or 0)."""
         ...
 
 
@@ -43,8 +43,8 @@ class BoxThreshold:
         if part.size:
             out[y0:y1, x0:x1] = (part - part.mean()) / 255
         if logits is not None:
-            out = np.minimum(out, np.maximum(logits, -1))
-        for x, y, positive in points:
+            out = np.minimum(out, np.maximum(K.nearest_sized(logits, out.shape), -1))
+        for x, y, positive in ((round(x), round(y), on) for x, y, on in points):
             if not positive:
                 out[max(y - self.reach, 0) : y + self.reach + 1, max(x - self.reach, 0) : x + self.reach + 1] = -1
         mask = (out > 0).astype(np.uint8) * 255
@@ -120,36 +120,45 @@ CORE = 15
 
 @dataclass
 class Carved:
+    """The mask without its holes, the seeds, and the holes."""
+
     mask: np.ndarray
     seed: np.ndarray
-    grown: np.ndarray
+    holes: np.ndarray
 
 
 def hole_edges(frame: np.ndarray, c: HoleConfig) -> np.ndarray:
     return K.detect_edge(frame, c.hole_edge_low, c.hole_edge_high, c.hole_edge_blur, c.hole_edge_gray)
 
 
-def carve_holes(model: Backend, state: object, frame: np.ndarray, edge: np.ndarray, box: tuple, mask: np.ndarray, logits: np.ndarray, c: HoleConfig = HoleConfig()) -> Carved:
-    """MDL-HOLE: colour seeds grown into holes up to the frame's edges, negative points on them, a second decode, and the holes carved out."""
+def hole_points(mask: np.ndarray, holes: np.ndarray, c: HoleConfig) -> list[tuple[float, float, int]]:
+    """Negative points: some on every hole, more on large ones, as shares of the mask's area."""
+    own, share, out = K.label(holes), max(1, int(c.hole_neg_pts_area_frac * max(1, np.count_nonzero(mask)))), []
+    for k, area in enumerate(np.bincount(own.ravel())[1:], 1):
+        out += [(float(x), float(y), 0) for x, y in K.spread_points(own == k, min(c.hole_max_pts, 1 + int(area) // share))]
+    return out
+
+
+def core_point(mask: np.ndarray) -> list[tuple[float, float, int]]:
+    """The positive point: the centroid of the mask's core, if it has one."""
+    ys, xs = np.nonzero(K.erode((mask > 0).astype(np.uint8), CORE))
+    return [(float(xs.mean()), float(ys.mean()), 1)] if len(ys) else []
+
+
+def carve_holes(model: Backend, state: object, frame: np.ndarray, edge: np.ndarray, box: tuple, mask: np.ndarray, logits: np.ndarray | None, c: HoleConfig = HoleConfig()) -> Carved:
+    """MDL-HOLE: colour seeds grown into holes up to the frame's edges, negative points on them, a second decode, and the holes carved out.
+
+    The second decode gets the first one's logits, whatever their size, with the holes' places at ``hole_logit_neg``; none if the model gave none.
+    """
     chroma, light = K.chroma_of(frame, c.hole_space)
     seed = K.colour_seed(chroma, mask, light, c.hole_color_thr, c.hole_seed_var_max, c.hole_seed_rim, c.hole_dark_pct, c.hole_dark_boost, c.hole_highlight_pct, c.hole_seed_dense_win, c.hole_seed_dense_min)
-    if not seed.any():
-        return Carved(mask, seed, seed)
     grown = K.grow(mask, seed, edge, c.hole_edge_margin, c.hole_edge_close, c.hole_edge_thick, c.hole_grow_iter) if c.hole_edge else seed
     holes = K.finalize(grown, seed, c.hole_open_size)
-    own = K.label(holes)
-    if not own.any():
-        return Carved(mask, seed, grown)
-    again = mask
-    if c.hole_refine:
-        points, whole = [], int((mask > 0).sum())
-        for k in range(1, own.max() + 1):
-            area = int((own == k).sum())
-            points += [(x, y, 0) for x, y in K.spread_points(own == k, min(c.hole_max_pts, 1 + area // max(1, int(c.hole_neg_pts_area_frac * whole))))]
-        core = K.erode((mask > 0).astype(np.uint8), CORE)
-        points += [(x, y, 1) for x, y in K.spread_points(core if core.any() else mask, 1)]
-        again, _, _ = model.decode(state, box, points, np.where(own > 0, c.hole_logit_neg, logits))
-    return Carved(np.where(own > 0, 0, again).astype(np.uint8), seed, grown)
+    points = hole_points(mask, holes, c)
+    if points and c.hole_refine:
+        prior = None if logits is None else np.where(K.nearest_sized(holes, logits.shape[-2:]) > 0, c.hole_logit_neg, logits)
+        mask, _, _ = model.decode(state, box, core_point(mask) + points, prior)
+    return Carved(np.where(holes > 0, 0, mask).astype(np.uint8), seed, holes)
 
 
 def segmented(model: Backend, frame: np.ndarray, objects: list[tuple], conf: float, min_area: int, holes: HoleConfig | None) -> tuple[np.ndarray, list[tuple], dict[str, np.ndarray]]:
@@ -168,7 +177,7 @@ def segmented(model: Backend, frame: np.ndarray, objects: list[tuple], conf: flo
             carved = carve_holes(model, state, frame, maps["hole_edge"], box, mask, logits, holes)
             mask = carved.mask
             maps["hole_seed"][carved.seed > 0] = 255
-            maps["hole_grown"][carved.grown > 0] = 255
+            maps["hole_grown"][carved.holes > 0] = 255
         if score < conf or (mask > 0).sum() < max(min_area, 1):
             continue
         ys, xs = np.nonzero(mask)

@@ -7,9 +7,13 @@ and the like take arrays (see ``regions``). At rest rasters are arrays; pixels l
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions import kernels as K
+
 
 def to_pixels(raster: DataFrame, value: str = "v", keep: tuple[str, ...] = ()) -> DataFrame:
     """Array form to pixel form."""
@@ -150,6 +154,40 @@ def binary(score: Column) -> Column:
     return F.when(score > 0.5, 255).otherwise(0)
 
 
+def resized(raster: DataFrame, h: int | None = None, w: int | None = None, method: str = "linear") -> DataFrame:
+    """``(stem, ..., h, w, data)`` at the size (h, w), or at each row's own ``to_h`` and ``to_w``: ``linear``, ``area`` or ``nearest``.
+
+    A frame's weights are two small matrices, one for each axis, so it costs two products where its row is. ``channels`` may be a column.
+    """
+    if h is not None:
+        raster = raster.withColumn("to_h", F.lit(h)).withColumn("to_w", F.lit(w))
+    keep = [f for f in raster.schema.fields if f.name not in ("h", "w", "to_h", "to_w", "data")]
+    several = "channels" in raster.columns
+
+    def run(batches):
+        for batch in batches:
+            take = lambda c: batch.column(c).to_pylist()
+            sizes = list(zip(take("h"), take("w"), take("to_h"), take("to_w"), take("channels") if several else [1] * len(batch)))
+            data = [K.resized(np.asarray(batch.column("data")[i].values).reshape(a, b, c), y, x, method).ravel() for i, (a, b, y, x, c) in enumerate(sizes)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], pa.array([s[2] for s in sizes], pa.int32()), pa.array([s[3] for s in sizes], pa.int32()), pa.array(data, pa.list_(pa.int32()))], names=[*[f.name for f in keep], "h", "w", "data"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    return raster.mapInArrow(run, f"{fields}, h int, w int, data array<int>")
+
+
+def blend_frames(layers: DataFrame) -> DataFrame:
+    """PX-BLEND of frames ``(stem, place, h, w, data)`` of one channel: all at the size of the first place's, then their mean, truncated; ``(stem, h, w, data)``.
+
+    Layers without data don't count.
+    """
+    layers = layers.where("data IS NOT NULL")
+    first = layers.groupBy("stem").agg(F.min_by(F.struct("h", "w"), "place").alias("c"))
+    same = resized(layers.join(first, "stem").select("stem", "place", "h", "w", F.col("c.h").alias("to_h"), F.col("c.w").alias("to_w"), "data"))
+    # sums of whole frames would keep arrays; sums by pixel combine before they are shuffled
+    px = same.select("stem", "h", "w", F.posexplode("data").alias("i", "v")).groupBy("stem", "h", "w", "i").agg(F.floor(F.avg("v")).cast("int").alias("v"))
+    return px.groupBy("stem", "h", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("data"))
+
+
 def blend(layers: DataFrame) -> DataFrame:
     """PX-BLEND: mean of layers ``(stem, y, x, v)``, truncated."""
     return layers.groupBy("stem", "y", "x").agg(F.floor(F.avg("v")).cast("int").alias("v"))

@@ -221,9 +221,10 @@ def finalize(grown_seed: DataFrame, open_size: int = 5) -> DataFrame:
     return map_arrays(grown_seed, ["data", "seed"], lambda g, s: kernels.finalize(g, s, open_size))
 
 
-def colour_seed(raster: DataFrame, channels: list[str], light: str, **config) -> DataFrame:
-    """NB-SEED over the mask ``data`` and array-form channels."""
-    return map_arrays(raster, [*channels, light, "data"], lambda *a: kernels.colour_seed(np.stack(a[:-2], axis=2), a[-1], a[-2], **config))
+def colour_seed(raster: DataFrame, channels: list[str], light: str | None, **config) -> DataFrame:
+    """NB-SEED over the mask ``data`` and array-form channels; ``light`` is None for spaces without a brightness of their own."""
+    n = len(channels)
+    return map_arrays(raster, [*channels, "data", *([light] if light else [])], lambda *a: kernels.colour_seed(np.stack(a[:n], axis=2), a[n], a[n + 1] if light else None, **config))
 
 
 def spread_points(mask: DataFrame, k: int) -> DataFrame:
