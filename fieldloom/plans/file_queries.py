@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import expressions as E
+from fieldloom.functions.expressions import rounded
 from fieldloom.operators import catalog as C
 from fieldloom.operators import raster as R
 from fieldloom.operators import regions as G
@@ -15,6 +16,8 @@ from fieldloom.sources import converters as V
 from fieldloom.sources import discover as S
 from fieldloom.sources import sinks as K
 from fieldloom.sources.scratch import Scratch
+from fieldloom.streaming.accumulators import StreamingAccumulator
+from fieldloom.streaming.histograms import histogram_of
 
 from . import fixtures as X
 from .queries import _fg, query
@@ -154,3 +157,19 @@ def attr_typed(s, d):
 UNION ALL SELECT 'deep', 'OBJECT<a: OBJECT<b: BIGINT>, c: STRING>', count(*) FROM documents""")
 def attr_kinds(s, d):
     return C.attr_kinds(_typed(s, d).where("name <> 'torn'"))
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH hist AS (SELECT event_type, CAST(least(greatest(floor(value), 0), 255) AS INT) AS bin, count(*) AS w FROM events GROUP BY 1, 2), {X.robust_sql('hist', 'event_type', 256, False)} SELECT event_type, mu, round(sigma, 6) AS sigma FROM stats")
+def stream_params_restart(s, d):
+    """Params of an accumulator whose stream stops half way and goes on from its folder."""
+    scratch, half = Scratch(s, "stream"), F.pmod(F.xxhash64("event_id"), F.lit(2))
+    events = X.table(s, d, "events")
+    for i in range(2):
+        events.where(half == i).select("event_type", "value").write.mode("append").parquet(f"{scratch.path}/in")
+        rows = s.readStream.schema("event_type string, value double").parquet(f"{scratch.path}/in")
+        acc = StreamingAccumulator(s, f"{scratch.path}/state", histogram_of, lambda h: R.robust_stats(h, ["event_type"], 256, False))
+        acc.start(rows).awaitTermination()
+    return acc.latest().select("event_type", "mu", rounded(F.col("sigma")).alias("sigma"))

@@ -8,13 +8,14 @@ earlier steps had declared as output stays. Accumulators are aggregations over a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -530,12 +531,23 @@ class Flow:
 
 @dataclass
 class FlowResult:
-    """``tables``: declared outputs ``(stem[, obj_id], value)``; ``params(name, i, value)``, i being the pixel of per-pixel ones; ``skipped``: outputs without a place."""
+    """``tables``: declared outputs ``(stem[, obj_id], value)``; ``params(name, i, value)``, i being the pixel of per-pixel ones; ``skipped``: outputs without a place.
+
+    ``made``: outputs of each step. ``seen``: if watched, the units before the first step and after each, as observations; :meth:`counts` reads them.
+    """
 
     tables: dict[str, DataFrame]
     params: DataFrame | None
     skipped: list[str]
     cached: bool = False
+    made: list[list[str]] = field(default_factory=list)
+    seen: list[Observation] = field(default_factory=list)
+    known: int = 0
+
+    def counts(self) -> list[tuple[int, int]]:
+        """Units that came into each step and units that it kept; the rest was skipped. Steps that have run by now only."""
+        n = [o.get["n"] for o in self.seen[: self.known + 1]]
+        return list(zip(n, n[1:]))
 
 
 def units_of(flow: Flow, frames: DataFrame, objects: DataFrame | None) -> DataFrame:
@@ -553,10 +565,11 @@ def units_of(flow: Flow, frames: DataFrame, objects: DataFrame | None) -> DataFr
     return frames.drop(*covered).join(own, "stem", "inner" if flow.unit == "object" else "left")
 
 
-def run_flow(flow: Flow, frames: DataFrame, objects: DataFrame | None = None, params: dict[str, Any] | None = None) -> FlowResult:
+def run_flow(flow: Flow, frames: DataFrame, objects: DataFrame | None = None, params: dict[str, Any] | None = None, watch: bool = False) -> FlowResult:
     """Plan a flow over the working items ``frames(stem, h, w, ...)``; nothing runs until a result is read.
 
-    FLW-CACHE: a cacheable flow whose params all exist already is skipped.
+    FLW-CACHE: a cacheable flow whose params all exist already is skipped. If ``watch``, the job that makes an output also counts the units
+    before and after each step on its way.
     """
     params = params or {}
     names = flow.param_names()
@@ -570,9 +583,18 @@ def run_flow(flow: Flow, frames: DataFrame, objects: DataFrame | None = None, pa
     if tables_of:  # one row of one array over the pixels for each: a frame's size, however many units there are
         for t in tables_of:
             units = units.withColumn("_one", F.lit(1)).join(F.broadcast(t.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
-    tables, skipped, carried = {}, [], {}
+    tables, skipped, carried, made, seen = {}, [], {}, [], []
+
+    def counted(units: DataFrame) -> DataFrame:
+        if watch:
+            seen.append(Observation(uuid.uuid4().hex))
+            units = units.observe(seen[-1], F.count(F.lit(1)).alias("n"))
+        return units
+
+    units = counted(units)
     for op, outputs in flow.steps:
-        units = op.plan(units)
+        units = counted(op.plan(units))
+        made.append([])
         if isinstance(op, Accumulator):
             carried |= {op.target(k): v for k, v in op.accumulate(units).items() if op.target(k) in flow.carry}
         for key, spec in outputs.items():
@@ -584,19 +606,20 @@ def run_flow(flow: Flow, frames: DataFrame, objects: DataFrame | None = None, pa
             own = units.where("obj_id IS NOT NULL") if level == "object" else units
             size = ["h", "w"] if {"h", "w"} <= set(own.columns) and own.schema[key].dataType.simpleString() in ("array<int>", "array<double>") else []
             tables[key] = own.select(*place, key, *size)
+            made[-1].append(key)
     out = None
     context: dict[str, DataFrame] = dict(carried)
     for op, outputs in flow.final:
-        made = op.reduce(context)
-        if not made:
+        reduced = op.reduce(context)
+        if not reduced:
             break
-        context |= made
+        context |= reduced
         for key in outputs:
-            if key in made:
-                pixel = F.col("i") if "i" in made[key].columns else F.lit(None)
-                row = made[key].select(F.lit(key).alias("name"), pixel.cast("int").alias("i"), F.col("value").cast("double").alias("value"))
+            if key in reduced:
+                pixel = F.col("i") if "i" in reduced[key].columns else F.lit(None)
+                row = reduced[key].select(F.lit(key).alias("name"), pixel.cast("int").alias("i"), F.col("value").cast("double").alias("value"))
                 out = row if out is None else out.unionByName(row)
-    return FlowResult(tables, out, skipped)
+    return FlowResult(tables, out, skipped, made=made, seen=seen)
 
 
 def shown(frames: DataFrame, objects: DataFrame | None, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
@@ -626,21 +649,25 @@ def run_flows(flows: list[Flow], frames: DataFrame, objects: DataFrame | None =
 
     Tables of a flow are kept by ``keep`` (in Spark's storage; give a checkpoint to survive lost executors without
     computing again) before the next flow is planned, as both it and the caller read them. Numbers among the params
-    are collected, those per pixel stay tables. FLW-PROGRESS: ``progress(name, done, total)`` once a flow's outputs
-    are made, counted in units.
+    are collected, those per pixel stay tables. FLW-PROGRESS: ``progress(name, k, n)`` as the k-th of a flow's n steps has put out what
+    it puts out (a flow that is skipped says n of n); by then ``counts`` of its result has the units up to there. Nothing is counted twice: the
+    job that makes an output counts as it goes.
     """
     params, results = dict(params or {}), []
     for flow in flows:
-        r = run_flow(flow, frames, objects, params)
+        r = run_flow(flow, frames, objects, params, progress is not None)
+        results.append(r)
+        name, total = flow.name or "flow", len(flow.steps)
+        if progress is not None and r.cached:
+            progress(name, total, total)
         r.tables = {k: keep(t) for k, t in r.tables.items()}
         if r.params is not None:
             r.params = keep(r.params)
             params |= {n: v for n in flow.param_names() if (v := _param(r.params, n)) is not None}
-        if progress is not None:
-            for t in r.tables.values():
-                t.count()
-            n = units_of(flow, frames, objects).count()
-            progress(flow.name or "flow", n, n)
+        for k, keys in enumerate(r.made if progress is not None else [], 1):
+            for key in keys:
+                r.tables[key].write.format("noop").mode("overwrite").save()
+                r.known = k
+            progress(name, k, total)
         frames, objects = shown(frames, objects, r.tables)
-        results.append(r)
     return results, params

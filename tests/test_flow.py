@@ -55,11 +55,26 @@ def test_carry_finalize_cache(frames):
     seen = []
     results, params = W.run_flows([W.Flow(name="bg", **spec), W.Flow(**spec)], frames, progress=lambda *a: seen.append(a))
     assert params["mean_c0"] == 0.0 and params["std_c0"] == pytest.approx(9 / 1.349)
-    assert not results[0].cached and results[1].cached and seen[0] == ("bg", 3, 3)
+    assert not results[0].cached and results[1].cached and seen == [("bg", 1, 1), ("flow", 1, 1)]
     with pytest.raises(ValueError):
         W.Flow(unit="object", carry=["acc"])
 
 
+def test_progress_and_skips(spark):
+    """Steps in order while a flow runs, with the units that each kept; every job counts as it goes."""
+    blank, spot = [0] * 16, [0] * 5 + [200] + [0] * 10
+    frames = spark.createDataFrame([(k, 4, 4, spot if k % 3 == 0 else blank) for k in range(10)], "stem bigint, h int, w int, frame array<int>")
+    flow = W.Flow(name="find", processes=[STEP | {"k": 5, "outputs": {"mask": {"level": "frame"}}}, {"op": "split_objects", "min_area": 1}, {"op": "order_objects", "outputs": {"object": {"level": "frame"}}}])
+    seen = []
+    results, _ = W.run_flows([flow], frames, progress=lambda *a: seen.append(a))
+    assert seen == [("find", 1, 3), ("find", 2, 3), ("find", 3, 3)]
+    kept = results[0].counts()
+    assert kept == [(10, 4), (4, 4), (4, 4)] and sum(a - b for a, b in kept) == 6
+    assert results[0].tables["mask"].count() == 4
+    quiet, _ = W.run_flows([flow], frames)
+    assert quiet[0].seen == [] and quiet[0].counts() == []
+
+
 def test_background_model_then_objects(spark):
     grey = [90, 90, 90]
     red = [0, 0, 250]

@@ -42,7 +42,7 @@ def test_two_flows_over_a_store(spark, config, tmp_path):
     K.save_items(C.move(s.refs(), spark.createDataFrame([("b",)], "stem string"), "staged").where("stem = 'b'"), s.store)
     seen = []
     s.run(progress=lambda *a: seen.append(a))
-    assert seen == [("find", 2, 2), ("each", 2, 2)]
+    assert seen == [("find", 1, 2), ("find", 2, 2), ("each", 1, 1)]
     found = C.nested(s.refs().collect())
     assert set(found["modified"]) == {"a", "c"} and set(found["staged"]["b"]["info"]) == {"frame", "kind"}  # staged items stay as they are
     a = found["modified"]["a"]["info"]
