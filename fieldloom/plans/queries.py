@@ -197,10 +197,11 @@ def _model(px, by):
 _DIST = "sqrt(pow(least(abs(c0 - mean_c0), 180 - abs(c0 - mean_c0)) / greatest(std_c0, 1), 2) + pow((c1 - mean_c1) / greatest(std_c1, 1), 2))"
 
 
-@query(f"WITH {X.PX.replace('px AS (', 'px AS MATERIALIZED (', 1)}, {_model_sql('').replace('model AS (', 'model AS MATERIALIZED (', 1)} SELECT stem, y, x, round({_DIST}, 6) AS d FROM px, model")
+@query(f"""WITH {X.PX}, own AS (SELECT 1 AS k, stem, y, x, c0, c1 FROM px), model AS (SELECT k, round(avg(c0), 3) AS mean_c0, round(stddev_pop(c0), 3) AS std_c0, round(avg(c1), 3) AS mean_c1, round(stddev_pop(c1), 3) AS std_c1 FROM own GROUP BY k)
+SELECT stem, y, x, round({_DIST}, 6) AS d FROM own JOIN model ON own.k = model.k""")
 def chroma_distance_global(s, d):
-    px = X.pixels(s, d)
-    return R.distance(px, _model(px, []), [], (True, False), (180, 256)).select("stem", "y", "x", rounded(F.col("d")).alias("d"))
+    px = X.pixels(s, d).withColumn("k", F.lit(1))
+    return R.distance(px, _model(px, ["k"]), ["k"], (True, False), (180, 256)).select("stem", "y", "x", rounded(F.col("d")).alias("d"))
 
 
 @query(f"WITH {X.PX}, {_model_sql('y, x')} SELECT stem, y, x, round({_DIST}, 6) AS d FROM px JOIN model USING (y, x)")
