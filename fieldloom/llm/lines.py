@@ -17,8 +17,10 @@ bytes that agree are removed. So texts that merely share a hash never count as r
 occurrence of its own words only: if each anchor of a passage occurs earlier in yet other text, what the passage
 shares with none of these stays.
 
-Null and empty texts have no words and stay empty. Rows that share an id count as one document: what stands at the
-same place in several of them counts once; if their texts differ, it is left open which of them has the first place. The bytes that remain are never changed.
+Null and empty texts have no words and stay empty. Null ids come first. Rows that share an id are ordered by the md5 of their texts; of
+rows equal in both one comes first, and from the others goes all that the method finds in a text that is there twice: all
+of it from ``PASSAGE_WORDS`` words on, else its chunks. Where ids are distinct and none is null they are the rows' keys; otherwise
+rows get keys by rank (:func:`keyed`), so every value of a long is an id like any other. The bytes that remain are never changed.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, small_batches, stored, text_rows
+from .common import fresh, slices, small_batches, stored
+from .ranges import numbered
 from .wordhash import BLANK as _BLANK
 from .wordhash import VALUES, mixed, powers
 
@@ -44,7 +47,6 @@ GAP = 300
 #: Texts are scanned in slices of so many characters (one text at least; a scan takes about 60 bytes for each of them).
 SLICE = 200_000
 _WORD = re.compile(rb"[^\t-\r ]+")
-_NO_ID = -(1 << 63)
 _FEED, _DOT, _BANG, _QUERY, _SPACE = b"\n.!? "
 
 
@@ -228,10 +230,18 @@ def _bordered(body: bytes, i: int, side: int) -> bool:
     return k < 0 or k >= len(body) or bool(_BLANK[body[k]])
 
 
-def without(text: str, found: list[tuple]) -> tuple[str, int]:
-    """What remains of a text, and how many ranges went. Blanks after a removed range go with it."""
+def copied(raw: bytes) -> list[tuple[int, int]]:
+    """What goes from a text that is there whole before: all of it, or, if it is no passage, its chunks."""
+    words = list(_WORD.finditer(raw))
+    return [(words[0].start(), words[-1].end())] if len(words) >= PASSAGE_WORDS else chunk_places(raw)
+
+
+def without(text: str, found: list[tuple], again: bool = False) -> tuple[str, int]:
+    """What remains of a text, and how many ranges went. Blanks after a removed range go with it. ``again``: an equal row comes before."""
+    if not found and not again:
+        return text, 0
     raw = text.encode()
-    gone = ranges(raw, found)
+    gone = copied(raw) if again else ranges(raw, found)
     if not gone:
         return text, 0
     kept, at = [], 0
@@ -263,9 +273,33 @@ def _listed(column: pa.ListArray) -> list[list[tuple]]:
     return [items[a:b] for a, b in zip(at, at[1:])]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, found)``: for each document that has any, its stretches with earlier text (see :func:`ranges`)."""
-    rows = text_rows(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
+def keyed(docs: DataFrame, id_col: str, text_col: str, key: str, again: str) -> DataFrame:
+    """``docs`` with an order-preserving key of each (id, text), and whether an equal row comes before.
+
+    One small aggregate of the ids tells if they will do as keys. If not, the distinct (id, md5 of the text) are ranked, and rows that are
+    equal in both (those alone are written and dealt out) are numbered.
+    """
+    id_ = F.col(id_col).cast("long")
+    many = docs.select(id_.alias("i")).groupBy("i").agg(F.count("*").alias("n")).where("i IS NULL OR n > 1")
+    if many.isEmpty():
+        return docs.withColumns({key: id_, again: F.lit(False)})
+    taken = docs.columns
+    i, tag, n = (fresh([*taken, key, again], f"{key}_{x}") for x in ("id", "tag", "n"))
+    own = docs.withColumns({i: id_, tag: F.md5(F.coalesce(F.col(text_col), F.lit("")))})
+    ranks = own.select(F.lit("").alias("all"), F.col(i).alias("i"), F.col(tag).alias("t")).groupBy("all", "i", "t").agg(F.count("*").alias("c"))
+    ranks = stored(numbered(ranks, "all", ["i", "t"]).select("i", "t", F.col("idx").alias("r"), "c"), "line-keys")
+    i2, tag2 = fresh([*taken, key, again, i, tag, n], f"{i}_"), fresh([*taken, key, again, i, tag, n], f"{tag}_")
+    ranks = ranks.select(F.col("i").alias(i2), F.col("t").alias(tag2), F.col("r").alias(key), F.col("c").alias(n))
+    own = own.join(ranks, F.col(i).eqNullSafe(F.col(i2)) & (F.col(tag) == F.col(tag2))).select(*taken, key, n)
+    single, copies = own.where(F.col(n) == 1).drop(n), own.where(F.col(n) > 1).drop(n)
+    place = numbered(copies.select(F.col(key).alias("group_"), F.struct(*taken).alias("row_")), "group_", [])
+    copies = stored(place.select("row_.*", F.col("group_").alias(key), (F.col("idx") > 0).alias(again)), "line-copies")
+    return single.withColumn(again, F.lit(False)).union(copies.select(*taken, key, again))
+
+
+def repeats(docs: DataFrame, key: str, text_col: str, again: str) -> DataFrame:
+    """``(id, found)``: for each key that has any, the stretches of its text with earlier text (see :func:`ranges`); one row of each key counts."""
+    rows = docs.where(~F.col(again)).select(F.col(key).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     all_ = stored(_match_rows(rows), "line-matches")
     own_id = F.when(~F.col("again"), F.col("id"))
     first = all_.groupBy("k", "chunk").agg(F.count("*").alias("n"), F.min(own_id).alias("src"), F.min_by(F.when(~F.col("again"), F.col("b")), own_id).alias("sb"))
@@ -312,18 +346,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text, n_removed)``: every text without its repeated parts, and how many ranges of it went."""
-    rows = text_rows(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
-    marked = rows.join(repeats(docs, id_col, text_col).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", "text", "found")
+    rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id", "text", "key", "again")
+    marked = rows.join(repeats(rows, "key", "text", "again"), F.col("key") == F.col("id"), "left").select("doc_id", "text", "again", "found")
     kinds = [pa.int64(), pa.string(), pa.int64()]
 
     def run(batches):
         for batch in parts(batches):
-            ids, texts, founds = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _listed(batch.column(2))
+            ids, texts, agains, founds = *(batch.column(i).to_pylist() for i in range(3)), _listed(batch.column(3))
             for a, b in slices(texts):
                 out = [[] for _ in kinds]
                 for i in range(a, b):
-                    kept, removed = without(texts[i], founds[i]) if founds[i] else (texts[i], 0)
-                    for column, v in zip(out, (None if ids[i] == _NO_ID else ids[i], kept, removed)):
+                    for column, v in zip(out, (ids[i], *without(texts[i], founds[i], agains[i]))):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "text", "n_removed"])
 
@@ -333,20 +366,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The documents with repeated parts removed, all other columns as they are; ``size_col``, if there, is set
     anew for texts that changed. Documents of which nothing remains go; texts that were empty before stay."""
-    own, more = fresh(docs.columns, "drop_id"), fresh(docs.columns, "drop_found")
-    found = repeats(docs, id_col, text_col).select(F.col("id").alias(own), F.col("found").alias(more))
-    marked = docs.join(found, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col(own), "left").drop(own)
+    key, again, more = (fresh(docs.columns, f"drop_{x}") for x in ("key", "again", "found"))
+    rows = keyed(docs, id_col, text_col, key, again)
+    found = repeats(rows, key, text_col, again).select(F.col("id").alias(fresh(docs.columns, "drop_id")), F.col("found").alias(more))
+    marked = rows.join(found, F.col(key) == F.col(found.columns[0]), "left").drop(key, found.columns[0])
     at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(batches):
         for batch in parts(batches):
-            columns, texts, keep = list(batch.columns[:-1]), batch.column(at).to_pylist(), []
+            columns, texts, keep = list(batch.columns[:-2]), batch.column(at).to_pylist(), []
             sizes = batch.column(size_at).to_pylist() if size_at is not None else None
-            founds = _listed(batch.column(len(columns)))
+            agains, founds = batch.column(len(columns)).to_pylist(), _listed(batch.column(len(columns) + 1))
             for r in range(len(texts)):
                 before = texts[r] or ""
-                if founds[r]:
-                    text, _ = without(before, founds[r])
+                if founds[r] or agains[r]:
+                    text, _ = without(before, founds[r], agains[r])
                     if text != before:
                         texts[r] = text
                         if sizes is not None:
@@ -355,7 +389,7 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if sizes is not None:
                 columns[size_at] = pa.array(sizes, batch.schema.field(size_at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2]).filter(pa.array(keep, pa.bool_()))
 
     return marked.mapInArrow(run, docs.schema)
 
@@ -367,20 +401,22 @@ def chunk_places(raw: bytes) -> list[tuple[int, int]]:
     return list(zip(b.tolist(), e.tolist()))
 
 
-def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, str]:
-    """The same on one machine, for tests; ids are distinct. Passages are sought at every word, not at anchors."""
-    raws = {i: (t or "").encode() for i, t in sorted(docs)}
-    spans = {i: [m.span() for m in _WORD.finditer(raw)] for i, raw in raws.items()}
+def brute_force(docs: list[tuple[int | None, str | None]]) -> list[str]:
+    """The same on one machine, for tests: what remains of each row. Passages are sought at every word, not at anchors."""
+    import hashlib
+
+    order = sorted(range(len(docs)), key=lambda r: (docs[r][0] is not None, docs[r][0] or 0, hashlib.md5((docs[r][1] or "").encode()).hexdigest()))
     chunks: dict[bytes, list] = {}
     windows: dict[bytes, tuple[int, int]] = {}
-    out = {}
-    for i, raw in raws.items():
+    out = [""] * len(docs)
+    for i in order:
+        raw = (docs[i][1] or "").encode()
         gone = bytearray(len(raw))
         for x, y in chunk_places(raw):
             body = raw[x:y]
             if chunks.setdefault(body, (i, x)) != (i, x) and not (chunks[body][0] == i and x - chunks[body][1] < y - x):
                 gone[x:y] = b"\x01" * (y - x)
-        w = spans[i]
+        w = [m.span() for m in _WORD.finditer(raw)]
         for k in range(len(w) - PASSAGE_WORDS + 1):
             x, y = w[k][0], w[k + PASSAGE_WORDS - 1][1]
             doc, f = windows.setdefault(raw[x:y], (i, k))

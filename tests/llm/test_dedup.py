@@ -119,7 +119,7 @@ def test_line_dedup_is_brute_force(spark, lined):
     docs, passage = lined
     df = spark.createDataFrame([(i, t, 7) for i, t in docs], "doc_id long, text string, chunks int")
     got = {r.doc_id: r for r in lines.dedup(df).collect()}
-    want = lines.brute_force(docs)
+    want = dict(zip((i for i, _ in docs), lines.brute_force(docs)))
     assert {i: r.text for i, r in got.items()} == want
     assert passage in want[0]
     left = [len(want[i]) / len(dict(docs)[i]) for i in range(3, 24, 3)]
@@ -188,6 +188,25 @@ def test_line_dedup_clashing_columns(spark):
     assert [(r.doc_id, r.drop_id, r.drop_found, r.found, r.id) for r in got] == [(1, "a", 1, 2, 3)]
 
 
+def test_line_dedup_of_any_ids(spark):
+    """Null, repeated and extreme ids, equal rows in number, and texts that run into themselves."""
+    from collections import Counter
+
+    r = random.Random(5)
+    long, other, short = words(r, 90), words(r, 70), "\n".join(words(r, 7) + "." for _ in range(5))
+    low, high = -(1 << 63), (1 << 63) - 1
+    docs = [(None, long), (None, long), (None, long), (None, other), (1, long), (low, short), (low, f"{other} {words(r, 9)}"), (high, short), (high, short), (0, f"{words(r, 30)} {other}")]
+    docs += [(7, short), (7, f"{short}\n{words(r, 5)}"), (7, None), (None, None), (None, ""), (3, " \n "), (3, " \n "), (4, f"\n{long} {long}"), (4, f"\n{long} {long}"), (5, "same few words"), (5, "same few words")]
+    docs += [(None, other)] * 40
+    df = spark.createDataFrame([(*d, len(d[1] or ""), 1, "x") for d in docs], "doc_id long, text string, n_chars long, key int, again string").repartition(5)
+    want = lines.brute_force(docs)
+    assert Counter((x.doc_id, x.text) for x in lines.dedup(df).collect()) == Counter(zip((i for i, _ in docs), want))
+    whole = lines.dedup_documents(df).collect()
+    assert Counter((x.doc_id, x.text or "") for x in whole) == Counter((i, t) for (i, was), t in zip(docs, want) if t.strip() or t == (was or ""))
+    assert whole[0].key == 1 and whole[0].again == "x" and all(x.n_chars == len(x.text or "") for x in whole)
+    assert sum(t == long for t in want) == 1 and sum(t == other for t in want) == 1 and sum(t == short for t in want) == 1
+
+
 def planted(r, n, stops):
     """A passage of n words, twice among other words of longer documents, mid-line."""
     end = (lambda: r.choice(["", "", "", "", "."])) if stops else (lambda: "")
@@ -215,7 +234,7 @@ def test_passages_inside_other_text_go_whole(spark):
         before, after = docs[2 * k + 1][1].split(passage + " ")
         assert got[2 * k][0].text == docs[2 * k][1] and got[2 * k + 1][0].text == before + after
     assert got[900][0].text == two[0] + " " and got[901][0].text == " ".join(["spam"] * 50) + " "
-    assert [x.text for x in got[904]] == [docs[-3][1]] * 2  # rows that share an id keep the same
+    assert sorted(x.text for x in got[904]) == ["", docs[-3][1]]  # of equal rows one keeps its text
     assert got[None][0].text == docs[-1][1] and got[903][0].text == ""  # the null id comes first
 
 

@@ -51,7 +51,8 @@ def test_stages_by_brute_force(spark, small):
     assert not bad & {r.doc_id for r in one.collect()}
 
     two = stages["line dedup"](spark, one, small).cache()
-    want = lines.brute_force([(r.doc_id, r.text) for r in one.collect()])
+    rows = [(r.doc_id, r.text) for r in one.collect()]
+    want = dict(zip((i for i, _ in rows), lines.brute_force(rows)))
     before = {r.doc_id: r.text for r in one.collect()}
     assert {r.doc_id: r.text or "" for r in two.collect()} == {i: t for i, t in want.items() if t.strip() or not before[i]}
 
