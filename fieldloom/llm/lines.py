@@ -273,8 +273,8 @@ def _listed(column: pa.ListArray) -> list[list[tuple]]:
     return [items[a:b] for a, b in zip(at, at[1:])]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, key: str, again: str) -> DataFrame:
-    """``docs`` with an order-preserving key of each (id, text), and whether an equal row comes before.
+def keyed(docs: DataFrame, id_col: str, text_col: str, key: str, again: str) -> tuple[DataFrame, bool]:
+    """``docs`` with an order-preserving key of each (id, text), and whether an equal row comes before; and if the ids are the keys.
 
     One small aggregate of the ids tells if they will do as keys. If not, the distinct (id, md5 of the text) are ranked, and rows that are
     equal in both (those alone are written and dealt out) are numbered.
@@ -282,7 +282,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, key: str, again: str) ->
     id_ = F.col(id_col).cast("long")
     many = docs.select(id_.alias("i")).groupBy("i").agg(F.count("*").alias("n")).where("i IS NULL OR n > 1")
     if many.isEmpty():
-        return docs.withColumns({key: id_, again: F.lit(False)})
+        return docs.withColumns({key: F.coalesce(id_, F.lit(0)), again: F.lit(False)}), True  # no id is null here; joins need not ask
     taken = docs.columns
     i, tag, n = (fresh([*taken, key, again], f"{key}_{x}") for x in ("id", "tag", "n"))
     own = docs.withColumns({i: id_, tag: F.md5(F.coalesce(F.col(text_col), F.lit("")))})
@@ -294,7 +294,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, key: str, again: str) ->
     single, copies = own.where(F.col(n) == 1).drop(n), own.where(F.col(n) > 1).drop(n)
     place = numbered(copies.select(F.col(key).alias("group_"), F.struct(*taken).alias("row_")), "group_", [])
     copies = stored(place.select("row_.*", F.col("group_").alias(key), (F.col("idx") > 0).alias(again)), "line-copies")
-    return single.withColumn(again, F.lit(False)).union(copies.select(*taken, key, again))
+    return single.withColumn(again, F.lit(False)).union(copies.select(*taken, key, again)), False
 
 
 def repeats(docs: DataFrame, key: str, text_col: str, again: str) -> DataFrame:
@@ -346,8 +346,12 @@ def repeats(docs: DataFrame, key: str, text_col: str, again: str) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text, n_removed)``: every text without its repeated parts, and how many ranges of it went."""
-    rows = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id", "text", "key", "again")
-    marked = rows.join(repeats(rows, "key", "text", "again"), F.col("key") == F.col("id"), "left").select("doc_id", "text", "again", "found")
+    rows, plain = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id", "text", "key", "again")
+    found = repeats(rows, "key", "text", "again").withColumnRenamed("id", "of")
+    if plain:  # ids and texts as ``repeats`` deals them out to the documents that hand over: one exchange serves both
+        marked = rows.select(F.col("key").alias("id"), "text").join(found, F.col("id") == F.col("of"), "left").select(F.col("id").alias("doc_id"), "text", F.lit(False).alias("again"), "found")
+    else:
+        marked = rows.join(found, F.col("key") == F.col("of"), "left").select("doc_id", "text", "again", "found")
     kinds = [pa.int64(), pa.string(), pa.int64()]
 
     def run(batches):
@@ -367,7 +371,7 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents with repeated parts removed, all other columns as they are; ``size_col``, if there, is set
     anew for texts that changed. Documents of which nothing remains go; texts that were empty before stay."""
     key, again, more = (fresh(docs.columns, f"drop_{x}") for x in ("key", "again", "found"))
-    rows = keyed(docs, id_col, text_col, key, again)
+    rows, _ = keyed(docs, id_col, text_col, key, again)
     found = repeats(rows, key, text_col, again).select(F.col("id").alias(fresh(docs.columns, "drop_id")), F.col("found").alias(more))
     marked = rows.join(found, F.col(key) == F.col(found.columns[0]), "left").drop(key, found.columns[0])
     at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
