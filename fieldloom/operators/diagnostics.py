@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,33 +141,52 @@ def profile_stats(profiles: DataFrame) -> DataFrame:
     return long.groupBy("id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), (F.max("v") - F.min("v")).alias("range"), q(10), q(25), q(50), q(75), q(90))
 
 
+def _by_profile(profiles: DataFrame, columns: list[str], kernel, fields: str) -> DataFrame:
+    """Rows that ``kernel(*profiles)`` gives for each id, as arrays; a profile that is null or empty gives none."""
+    kind = profiles.schema["id"].dataType.simpleString()
+    names = ["id", *[f.split()[0] for f in fields.split(", ")]]
+
+    def run(batches):
+        for batch in batches:
+            at, parts = [], []
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
+                if all(row):
+                    parts.append(kernel(*(np.asarray(r, float) for r in row)))
+                    at += [i] * len(parts[-1][0])
+            if parts:
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int32())), *[pa.array(np.concatenate(c)) for c in zip(*parts)]], names=names)
+
+    return profiles.select("id", *columns).mapInArrow(run, f"id {kind}, {fields}")
+
+
 def fourier(profiles: DataFrame, harmonics: int = 20, ref_max: int = 8) -> DataFrame:
-    """ANA-FOURIER of ``(id, r array)``: per harmonic k the magnitude and the phase-normalised parts.
+    """ANA-FOURIER of ``(id, r array)``: per harmonic k the magnitude and the phase-normalised parts, by a fast transform where the row is.
 
     The reference phase is that of the strongest of the first ``ref_max`` harmonics (the lowest on ties).
     """
-    long = profiles.select("id", F.size("r").alias("n"), F.posexplode("r").alias("i", "v"))
-    long = long.select("id", "n", "i", "v", F.explode(F.sequence(F.lit(1), F.least(F.lit(harmonics), F.expr("cast(n div 2 as int)")))).alias("k"))
-    # the angle is reduced to one turn first, so that no precision is lost
-    t = F.pmod(F.col("i") * F.col("k"), F.col("n")) * (2 * math.pi) / F.col("n")
-    dft = long.groupBy("id", "n", "k").agg(F.sum(F.col("v") * F.cos(t)).alias("re"), (-F.sum(F.col("v") * F.sin(t))).alias("im"))
-    dft = dft.withColumn("mag", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2))
-    own = Window.partitionBy("id")
-    low = F.when(F.col("k") <= ref_max, F.struct(F.round("mag", 9), -F.col("k")))
-    k0, phi = F.max_by("k", low).over(own), F.max_by(F.atan2("im", "re"), low).over(own)
-    a = F.col("k") * F.col("phi") / F.col("k0")
-    dft = dft.withColumn("k0", k0).withColumn("phi", phi)
-    return dft.select("id", "k", (F.col("mag") / F.col("n")).alias("mag"), ((F.col("re") * F.cos(a) + F.col("im") * F.sin(a)) / F.col("n")).alias("phase_re"), ((F.col("im") * F.cos(a) - F.col("re") * F.sin(a)) / F.col("n")).alias("phase_im"))
+
+    def kernel(r: np.ndarray):
+        f = np.fft.rfft(r)[1 : min(harmonics, len(r) // 2) + 1]
+        k = np.arange(1, len(f) + 1)
+        if not len(f):
+            return k.astype(np.int32), *[np.zeros(0)] * 3
+        k0 = 1 + int(np.round(np.abs(f[:ref_max]), 9).argmax())
+        z = f * np.exp(-1j * k * np.angle(f[k0 - 1]) / k0) / len(r)
+        return k.astype(np.int32), np.abs(f) / len(r), z.real, z.imag
+
+    return _by_profile(profiles, ["r"], kernel, "k int, mag double, phase_re double, phase_im double")
 
 
 def best_shift(profiles: DataFrame) -> DataFrame:
     """ANA-REGISTER: ``(id, shift)`` of ``(id, r array, ref array)``: the whole-bin circular shift *of* r relative to
-    ref (the lowest of equally good ones, wrapped to [-N/2, N/2)). Rolling r by its negative aligns it to ref."""
-    n = F.size("r")
-    rows = profiles.select("id", n.alias("n"), "r", "ref", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    corr = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda acc, i: acc + F.get("r", F.pmod(i + F.col("s"), F.col("n"))) * F.get("ref", i))
-    best = rows.withColumn("corr", corr).groupBy("id", "n").agg(F.max_by("s", F.struct(F.round("corr", 9), -F.col("s"))).alias("s"))
-    return best.select("id", F.when(F.col("s") >= F.expr("(n + 1) div 2"), F.col("s") - F.col("n")).otherwise(F.col("s")).alias("shift"))
+    ref (the lowest of equally good ones, wrapped to [-N/2, N/2)), by a product of transforms. Rolling r by its negative aligns it to ref."""
+
+    def kernel(r: np.ndarray, ref: np.ndarray):
+        n = len(r)
+        s = int(np.round(np.fft.irfft(np.fft.rfft(r) * np.conj(np.fft.rfft(ref)), n), 9).argmax())
+        return (np.array([s - n if s >= (n + 1) // 2 else s], np.int32),)
+
+    return _by_profile(profiles, ["r", "ref"], kernel, "shift int")
 
 
 def signed_moments(fg: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ and the like take arrays (see ``regions``). At rest rasters are arrays; pixels l
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -198,31 +200,34 @@ def overlay(px: DataFrame, fg: DataFrame, colour: int, alpha: float = 0.45) -> D
     return px.join(fg.select("stem", "y", "x", F.lit(1).alias("_hit")), ["stem", "y", "x"], "left").withColumn("v", F.when(F.col("_hit") == 1, F.floor((1 - alpha) * F.col("v") + alpha * colour).cast("int")).otherwise(F.col("v"))).drop("_hit")
 
 
+def _painted(fg: DataFrame, stems: DataFrame, box: tuple[int, int, int, int], inside: Column, erase: bool) -> DataFrame:
+    """Adds to the foreground of ``stems``, or takes from it, the pixels of a box (first row and column, last row and column) for which ``inside`` holds."""
+    key, (y0, x0, y1, x1) = ["stem", "y", "x"], box
+    if y0 > y1 or x0 > x1:
+        return fg.select(key)
+    rows = stems.select("stem", F.explode(F.sequence(F.lit(y0), F.lit(y1))).alias("y"))
+    brush = rows.select("stem", "y", F.explode(F.sequence(F.lit(x0), F.lit(x1))).alias("x")).where(inside)
+    return fg.select(key).join(brush, key, "left_anti") if erase else fg.select(key).union(brush).distinct()
+
+
 def paint_disc(fg: DataFrame, stems: DataFrame, cy: int, cx: int, radius: int, h: int, w: int, erase: bool = False) -> DataFrame:
     """PX-PAINT: add or erase a disc."""
-    disc = [(y, x) for y in range(h) for x in range(w) if (y - cy) ** 2 + (x - cx) ** 2 <= radius * radius]
-    brush = stems.select("stem", F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in disc])).alias("p")).select("stem", "p.y", "p.x") if disc else stems.select("stem", F.lit(0).alias("y"), F.lit(0).alias("x")).where("false")
-    key = ["stem", "y", "x"]
-    return fg.select(key).join(brush, key, "left_anti") if erase else fg.select(key).union(brush).distinct()
+    dy, dx = F.col("y") - cy, F.col("x") - cx
+    return _painted(fg, stems, (max(cy - radius, 0), max(cx - radius, 0), min(cy + radius, h - 1), min(cx + radius, w - 1)), dy * dy + dx * dx <= radius * radius, erase)
 
 
 def paint_polygon(fg: DataFrame, stems: DataFrame, points: list[tuple[float, float]], h: int, w: int, erase: bool = False) -> DataFrame:
     """PX-PAINT: add or erase a polygon of (x, y) corners by the even-odd rule at pixel centres; fewer than three do nothing."""
-    key = ["stem", "y", "x"]
     if len(points) < 3:
-        return fg.select(key)
-    inside = []
-    for y in range(h):
-        for x in range(w):
-            odd = False
-            for (xa, ya), (xb, yb) in zip(points, points[1:] + points[:1]):
-                if (ya > y) != (yb > y) and x < (xb - xa) * (y - ya) / (yb - ya) + xa:
-                    odd = not odd
-            if odd:
-                inside.append((y, x))
-    brush = stems.sparkSession.createDataFrame(inside, "y int, x int") if inside else stems.select(F.lit(0).alias("y"), F.lit(0).alias("x")).where("false")
-    painted = stems.select("stem", F.lit(1).alias("_k")).join(F.broadcast(brush.withColumn("_k", F.lit(1))), "_k").select(key)
-    return fg.select(key).join(painted, key, "left_anti") if erase else fg.select(key).union(painted).distinct()
+        return fg.select("stem", "y", "x")
+    y, x, crossings = F.col("y"), F.col("x"), F.lit(0)
+    for (xa, ya), (xb, yb) in zip(points, points[1:] + points[:1]):
+        if ya != yb:
+            hit = ((F.lit(ya) > y) != (F.lit(yb) > y)) & (x < (xb - xa) * (y - ya) / float(yb - ya) + xa)
+            crossings = crossings + hit.cast("int")
+    xs, ys = zip(*points)
+    box = (max(math.floor(min(ys)), 0), max(math.floor(min(xs)), 0), min(math.ceil(max(ys)), h - 1), min(math.ceil(max(xs)), w - 1))
+    return _painted(fg, stems, box, crossings % 2 == 1, erase)
 
 
 def _sweep(px: DataFrame, value: str, size: int, agg) -> DataFrame:

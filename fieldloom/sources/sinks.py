@@ -202,40 +202,53 @@ def delete_items(refs: DataFrame, stems: DataFrame, root: str) -> DataFrame:
 
 
 def move_files(moves: DataFrame) -> None:
-    """Move ``(source, target)`` files between shared folders; a source that is gone (moved by an earlier try, say) is left out."""
-    import os
+    """Move ``(source, target)`` files; a source that is gone (moved by an earlier try, say) is left out."""
+    _each(moves.select("source", "target"), _moved)
 
-    def run(rows):
-        for r in rows:
-            if not os.path.exists(r.source):
-                continue
-            os.makedirs(os.path.dirname(r.target), exist_ok=True)
-            os.replace(r.source, r.target)
 
-    moves.select("source", "target").foreachPartition(run)
+def delete_files(paths: DataFrame) -> None:
+    """Delete ``(file)``; a file that is gone is no error."""
+    _each(paths.select("file"), _deleted)
 
 
-def delete_files(files: DataFrame) -> None:
-    """Delete ``(file)`` in shared folders; a file that is gone is no error."""
-    import contextlib
-    import os
+def copy_files(moves: DataFrame) -> None:
+    """CAT-COPY: copy ``(source, target)`` files; the source stays, a missing one is an error."""
+    _each(moves.select("source", "target"), _copied)
 
-    def run(rows):
-        for r in rows:
-            with contextlib.suppress(FileNotFoundError):
-                os.remove(r.file)
 
-    files.select("file").foreachPartition(run)
+def _each(rows: DataFrame, act) -> None:
+    """``act`` for each row, where the row is, in any file system that pyarrow reaches."""
 
+    def run(own):
+        for r in own:
+            act(*r)
+
+    rows.foreachPartition(run)
+
+
+def _moved(source: str, target: str) -> None:
+    from . import files
+
+    store, at = files.located(source)
+    if store.get_file_info(at).is_file:
+        to = files.located(target)[1]
+        store.create_dir(to.rpartition("/")[0], recursive=True)
+        store.move(at, to)
 
-def copy_files(moves: DataFrame) -> None:
-    """CAT-COPY: copy ``(source, target)`` files between shared folders; the source stays, a missing one is an error."""
-    import os
-    import shutil
 
-    def run(rows):
-        for r in rows:
-            os.makedirs(os.path.dirname(r.target), exist_ok=True)
-            shutil.copyfile(r.source, r.target)
+def _deleted(path: str) -> None:
+    from . import files
+
+    store, at = files.located(path)
+    if store.get_file_info(at).is_file:
+        store.delete_file(at)
+
+
+def _copied(source: str, target: str) -> None:
+    from pyarrow import fs
+
+    from . import files
 
-    moves.select("source", "target").foreachPartition(run)
+    (store, at), (other, to) = files.located(source), files.located(target)
+    other.create_dir(to.rpartition("/")[0], recursive=True)
+    fs.copy_files(at, to, source_filesystem=store, destination_filesystem=other)

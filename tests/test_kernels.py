@@ -163,3 +163,26 @@ def test_registration_sign():
     r = np.sin(np.arange(64) / 64 * 2 * np.pi) + 0.3 * np.cos(np.arange(64) / 64 * 6 * np.pi)
     shift, back = S.registered(np.roll(r, 5), r)
     assert abs(shift - 5) < 0.05 and np.allclose(back, r, atol=0.02)
+
+
+def test_boxes_and_fills_of_many():
+    """Boxes of all labels at once, and components filled in their own boxes, one inside another too."""
+    r = np.random.default_rng(8)
+    m = (r.random((40, 50)) < 0.3).astype(np.uint8)
+    m[5:30, 5:30] = 0
+    m[6, 6:29] = m[28, 6:29] = m[6:29, 6] = m[6:29, 28] = 1
+    m[10, 10:20] = m[19, 10:20] = m[10:20, 10] = m[10:20, 19] = 1
+    own = K.label(m)
+    boxes = K.boxes_of(own)
+    for k in range(1, own.max() + 1):
+        ys, xs = np.nonzero(own == k)
+        assert boxes[k - 1].tolist() == [ys.min(), xs.min(), ys.max() + 1, xs.max() + 1]
+    assert K.boxes_of(np.zeros((3, 3), int)).shape == (0, 4)
+    for low, high in ((0, 0), (5, 0), (2, 100)):
+        want = np.zeros_like(m)
+        for k in range(1, own.max() + 1):  # on the whole frame, one by one
+            solid = K.filled(own == k)[1:-1, 1:-1]
+            area = K.outline_area(own == k)
+            if area >= low and (not high or area <= high):
+                want[solid] = 255
+        assert (K.fill_contours(m, low, high) == want).all()
