@@ -1,7 +1,8 @@
 """License scans by canonical digests, in plain DataFrame functions.
 
-A text is brought to a canonical form (ASCII lower case, copyright lines dropped, equivalent spellings made
-one, punctuation and white space made single blanks) and hashed. The digests of whole texts are joined to a
+A text is brought to a canonical form (ASCII lower case, copyright lines dropped, with or without a year and behind marks of
+comments too, equivalent spellings made one, a title line before the text dropped, punctuation, marks of comments and white space
+made single blanks) and hashed. The digests of whole texts are joined to a
 table of known license digests (whole public licenses, kept as they are published in ``license_texts``, and customary
 notices); the lines of a text that speak of a license are looked up the same way, each
 as an entire text. The known table is small and of fixed size, so it is broadcast.
@@ -19,7 +20,12 @@ from pyspark.sql import functions as F
 from .common import text_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(^|\n)[ \t]*((copyright[ \t]*)?(\(c\)|©|copyright)[ \t]*[0-9<\[{][^\n]*|all rights reserved\.?[ \t]*)"
+#: What may stand before the words of a line: blanks and marks of comments.
+LEAD = r"[ \t#/*;%-]*"
+#: Lines that name holders: of a year or a place for one, or, after "copyright (c)" or ©, of anything.
+COPYRIGHT = rf"(^|\n){LEAD}((copyright[ \t]*)?(\(c\)|©|copyright)[ \t]*[0-9<\[{{][^\n]*|(copyright[ \t]*\(c\)|©|copyright[ \t]*©)[^\n]*|all rights reserved\.?[ \t]*)"
+#: A title on a line of its own before the text: a few words that end in "license".
+TITLE = r"^[ \t\r\n#/*;%-]*(the )?([a-z0-9.,-]+ )?([a-z0-9.,-]+ )?([a-z0-9.,-]+ )?license( \([a-z0-9 .-]+\))?[ \t\r]*\n"
 #: Equivalent spellings (fixed values).
 SPELLINGS = [
     ("licence", "license"),
@@ -126,6 +132,7 @@ def canonical(text: Column) -> Column:
     t = F.regexp_replace(t, COPYRIGHT, "$1")
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
+    t = F.regexp_replace(t, TITLE, "")
     return F.trim(F.regexp_replace(t, MARKS, " "))
 
 
@@ -135,6 +142,7 @@ def canonical_sql(text: str) -> str:
     t = f"regexp_replace({t}, '{COPYRIGHT}', '\\1', 'g')"
     for a, b in SPELLINGS:
         t = f"replace({t}, '{a}', '{b}')"
+    t = f"regexp_replace({t}, '{TITLE}', '')"
     return f"trim(regexp_replace({t}, '{MARKS}', ' ', 'g'))"
 
 

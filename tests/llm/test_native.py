@@ -128,6 +128,21 @@ def test_licenses(spark):
     assert licenses.scan(df, known).count() == 7 and licenses.scan(df.limit(0), known).count() == 0
 
 
+def test_licenses_dressed_otherwise(spark):
+    """Holders without years, comment marks, other titles or none: the same digest; another text another one."""
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT" and "Permission" in t)
+    body = mit.split("\n\n", 2)[2]
+    ways = [
+        mit.replace("<year> <holder>", "Jane Doe"), mit.replace("(c) <year> <holder>", "(C) The Authors"), mit.replace("Copyright (c) <year> <holder>", "© Some One"), body, f"The MIT License (MIT)\n\n{body}",
+        f"  MIT Licence\r\n\r\nCopyright 2019, 2021 by A. B.\r\nAll rights reserved.\r\n\r\n{body}", "\n".join(f"# {x}" for x in mit.replace("<year> <holder>", "2020 X").split("\n")), "/*\n" + "\n".join(f" * {x}" for x in mit.split("\n")) + "\n */",
+        "\n".join(f"// {x}" for x in mit.replace("(c) <year> <holder>", "(c) X and Y").split("\n")),
+    ]
+    other = [body + " more", body.replace("Permission is", "Permission was"), "MIT License\n", "MIT License", "The copyright holder says so\n" + body]
+    df = spark.createDataFrame(list(enumerate(ways + other)), "doc_id long, text string")
+    got = [r.license for r in licenses.scan(df, licenses.known_digests(spark)).orderBy("doc_id").collect()]
+    assert got == ["MIT"] * len(ways) + [None] * len(other)
+
+
 def test_whole_licenses(spark):
     """Each whole text is found whatever its line breaks, case and punctuation; a text with one word less isn't."""
     whole = licenses.whole_texts()
