@@ -104,14 +104,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def hinge_dual(x: Rows | Scaled, y: np.ndarray, dims: int, c: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """L2-regularised squared-hinge machine by dual coordinate descent; the bias is a constant column."""
+    """L2-regularised machine of the linear hinge loss by dual coordinate descent; the bias is a constant column.
+
+    A row's dual variable stays between 0 and its cost; rows at either end whose gradient points outwards are left as they are.
+    """
     w, bias, alpha = np.zeros(dims), 0.0, np.zeros(x.n)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(x.n):
             idx, val = x[i]
-            g = y[i] * (val @ w[idx] + bias) - 1 + alpha[i] * 0.5 / c[i]
-            new = max(alpha[i] - g / (float(val @ val) + 1 + 0.5 / c[i]), 0.0)
+            g = y[i] * (val @ w[idx] + bias) - 1
+            new = min(max(alpha[i] - g / (float(val @ val) + 1), 0.0), float(c[i]))
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[idx] += step * val

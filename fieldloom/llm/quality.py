@@ -1,8 +1,8 @@
 """Quality classifier: naive-Bayes support vectors over n-gram indicators.
 
 Features are hashed indicators: byte n-grams of 3 and 5, words, and word pairs (equal neighbours also set one
-common feature, for looping text); words are cut at ASCII white space. Each is scaled by the log ratio of its smoothed class frequencies; a linear
-squared-hinge machine is fitted by dual coordinate descent on rows of unit length; a logistic curve, fitted on
+common feature, for looping text); words are cut at ASCII white space. Each is scaled by the log ratio of its smoothed class frequencies; a machine
+of the linear hinge loss is fitted by dual coordinate descent on rows of unit length; a logistic curve, fitted on
 rows kept apart, turns margins into probabilities of label 1.
 
 Fitting uses a bounded sample (``limit`` labelled rows); scoring reads every whole text. With one class only,
