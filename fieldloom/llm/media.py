@@ -7,7 +7,7 @@ category s gets a code of 10 - s bits, so that code plus value always take 10 bi
 one. Such streams pack and unpack as arrays.
 
 Reading: :func:`parse_avi` walks the RIFF chunks and takes the frames from the ``idx1`` index (offsets from the ``movi``
-list or from the file's start), or from the list itself where there is none. :func:`decode_image` reads any baseline
+list or from the file's start), or from the list itself where there is none. ``functions.jpeg`` reads any baseline
 JPEG image: one or three components with their sampling factors, AC coefficients, restart intervals. Progressive and
 arithmetic images and frames without Huffman tables of their own raise. Frames of this module's own header have blocks
 whose every symbol has the same width; :func:`decode_frames` unpacks them as arrays.
@@ -21,13 +21,14 @@ A null text is an empty one; an empty payload is one frame of padding.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from fieldloom.functions import jpeg
+
 from .common import map_texts, text_rows
 
 SIDE, BLOCK, FPS = 24, 576, 25
@@ -99,19 +100,6 @@ def encode_frames(payload: np.ndarray) -> list[bytes]:
     return [HEADER + s.tobytes().replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for s in scans]
 
 
-def _segments(image: bytes) -> tuple[dict[int, list[bytes]], bytes]:
-    """Marker segments and the scan of a JPEG image, as it is stored."""
-    if image[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG image")
-    at, found = 2, {}
-    while True:
-        marker, size = image[at + 1], struct.unpack_from(">H", image, at + 2)[0]
-        found.setdefault(marker, []).append(image[at + 4 : at + 2 + size])
-        at += 2 + size
-        if marker == 0xDA:
-            return found, image[at : image.rindex(b"\xff\xd9")]
-
-
 def _tables(segments: list[bytes]) -> dict[int, dict[int, tuple[int, int]]]:
     """Huffman tables by class and id: symbol -> (code, length)."""
     out = {}
@@ -158,132 +146,16 @@ def _decode_even(scans: list[bytes], dc: dict, eob: int, blocks: int, width: int
     return table[word]
 
 
-def _zigzag() -> np.ndarray:
-    """Row-major place of each coefficient in zigzag order: along the diagonals, upwards on even ones."""
-    order = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[1] if sum(p) % 2 == 0 else p[0]))
-    return np.array([y * 8 + x for y, x in order])
-
-
-ZIGZAG = _zigzag()
-_COSINES = np.array([[(0.5**0.5 if k == 0 else 1.0) / 2 * np.cos((2 * n + 1) * k * np.pi / 16) for n in range(8)] for k in range(8)])
-
-
-def _lookup(table: dict[int, tuple[int, int]]) -> dict[tuple[int, int], int]:
-    return {(n, code): symbol for symbol, (code, n) in table.items()}
-
-
-class _Bits:
-    """Bits of one restart interval, without stuffing; zeros after its end."""
-
-    def __init__(self, data: bytes) -> None:
-        self.data, self.at, self.held, self.n = data, 0, 0, 0
-
-    def take(self, k: int) -> int:
-        while self.n < k:
-            self.held = self.held << 8 | (self.data[self.at] if self.at < len(self.data) else 0)
-            self.at, self.n = self.at + 1, self.n + 8
-        self.n -= k
-        out = self.held >> self.n
-        self.held &= (1 << self.n) - 1
-        return out
-
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (n, code) in table:
-                return table[n, code]
-        raise ValueError("a code that is in no Huffman table")
-
-    def value(self, size: int) -> int:
-        v = self.take(size) if size else 0
-        return v if not size or v >> (size - 1) else v - (1 << size) + 1
-
-    def block(self, dc: dict, ac: dict, before: int) -> np.ndarray:
-        """Coefficients of one block in zigzag order."""
-        out = np.zeros(64, np.int32)
-        out[0] = before + self.value(self.symbol(dc))
-        k = 1
-        while k < 64:
-            run, size = divmod(self.symbol(ac), 16)
-            if not size and run < 15:
-                break
-            k += run
-            if size and k < 64:
-                out[k] = self.value(size)
-            k += 1
-        return out
-
-
-def _quantisers(segments: list[bytes]) -> dict[int, np.ndarray]:
-    out = {}
-    for body in segments:
-        while body:
-            wide, n = body[0] >> 4, 129 if body[0] >> 4 else 65
-            out[body[0] & 15] = np.frombuffer(body[1:n], ">u2" if wide else np.uint8).astype(np.int32)
-            body = body[n:]
-    return out
-
-
-def _planes(image: bytes) -> tuple[list[np.ndarray], int, int]:
-    """Sample planes of a baseline image, at full size, with its height and width."""
-    found, scan = _segments(image)
-    frame = found.get(0xC0, found.get(0xC1))
-    if frame is None:
-        raise ValueError("only baseline JPEG images can be read")
-    if 0xC4 not in found:
-        raise ValueError("the frame has no Huffman tables of its own")
-    precision, height, width, n = struct.unpack_from(">BHHB", frame[0])
-    if precision != 8 or n not in (1, 3):
-        raise ValueError("only 8-bit images of one or three components can be read")
-    tables, quant = {k: _lookup(t) for k, t in _tables(found[0xC4]).items()}, _quantisers(found[0xDB])
-    parts = [(frame[0][6 + 3 * i], *divmod(frame[0][7 + 3 * i], 16), frame[0][8 + 3 * i]) for i in range(n)]
-    if n == 1:  # its sampling factors say nothing
-        parts = [(parts[0][0], 1, 1, parts[0][3])]
-    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
-    columns, rows = -(-width // (8 * across)), -(-height // (8 * down))
-    body = found[0xDA][0]
-    if body[0] != n:
-        raise ValueError("only images of one scan can be read")
-    chosen = {body[1 + 2 * i]: divmod(body[2 + 2 * i], 16) for i in range(n)}
-    every = struct.unpack(">H", found[0xDD][0][:2])[0] if 0xDD in found else 0
-    planes = [np.zeros((rows * v, columns * h, 64), np.int32) for _, h, v, _ in parts]
-    intervals = iter(re.split(rb"\xff[\xd0-\xd7]", scan))
-    for mcu in range(rows * columns):
-        if mcu == 0 or every and mcu % every == 0:
-            bits, before = _Bits(next(intervals).replace(b"\xff\x00", b"\xff")), [0] * n
-        y, x = divmod(mcu, columns)
-        for i, (name, h, v, _) in enumerate(parts):
-            dc, ac = chosen[name]
-            for k in range(h * v):
-                own = bits.block(tables[dc], tables[0x10 | ac], before[i])
-                before[i] = int(own[0])
-                planes[i][y * v + k // h, x * h + k % h] = own
-    out = []
-    for (_, h, v, q), coded in zip(parts, planes):
-        natural = np.zeros(coded.shape, float)
-        natural[..., ZIGZAG] = coded * quant[q]
-        blocks = np.einsum("ki,yxkl,lj->yixj", _COSINES, natural.reshape(*coded.shape[:2], 8, 8), _COSINES)
-        plane = np.clip(np.rint(blocks.reshape(coded.shape[0] * 8, -1) + 128), 0, 255)
-        out.append(plane.repeat(down // v, axis=0).repeat(across // h, axis=1)[:height, :width])
-    return out, height, width
-
-
 def decode_image(image: bytes) -> np.ndarray:
     """A baseline JPEG image as (h, w) grey or (h, w, 3) RGB samples; subsampled planes are repeated."""
-    planes, _, _ = _planes(image)
-    if len(planes) == 1:
-        return planes[0].astype(np.uint8)
-    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-    rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
-    return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
+    return jpeg.decode(image)
 
 
 def grey_frames(images: list[bytes]) -> list[np.ndarray]:
     """Brightness samples of each frame: of the arrays of :func:`decode_frames` for this module's own frames, of the whole first plane for others."""
     if images and all(i.startswith(HEADER) for i in images):
         return list(decode_frames(images))
-    return [_planes(i)[0][0].astype(np.uint8).ravel() for i in images]
+    return [jpeg.planes(i)[0].astype(np.uint8).ravel() for i in images]
 
 
 def decode_frames(images: list[bytes]) -> np.ndarray:
@@ -292,7 +164,7 @@ def decode_frames(images: list[bytes]) -> np.ndarray:
     head = images[0][:first]
     for image in images:
         if found is None or image[:first] != head:
-            found, scan = _segments(image)
+            found, scan = jpeg.segments(image)
             scans.append(scan.replace(b"\xff\x00", b"\xff"))
         else:  # the same tables again
             at = first + 2 + struct.unpack_from(">H", image, first + 2)[0]
