@@ -200,6 +200,28 @@ def overlay(px: DataFrame, fg: DataFrame, colour: int, alpha: float = 0.45) -> D
     return px.join(fg.select("stem", "y", "x", F.lit(1).alias("_hit")), ["stem", "y", "x"], "left").withColumn("v", F.when(F.col("_hit") == 1, F.floor((1 - alpha) * F.col("v") + alpha * colour).cast("int")).otherwise(F.col("v"))).drop("_hit")
 
 
+def composed(frames: DataFrame, layers: DataFrame, alpha: float = 0.45) -> DataFrame:
+    """PX-OVERLAY: ``(stem, h, w, channels, data)`` of frames under ``layers (stem, place, colour array, mask array, bbox struct<x0, y0, x1, y1>)`` in order of place.
+
+    Masks are at the size of the frame, null masks and boxes aren't shown. A frame's layers, few as its objects are, come to it as one
+    array, and frames without layers stay as they are.
+    """
+    own = layers.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("place", "colour", "mask", "bbox"))).alias("layers"))
+    rows = frames.select("stem", "h", "w", "channels", "data").join(own, "stem", "left")
+    box = lambda b: None if b is None else tuple(b[k] for k in ("x0", "y0", "x1", "y1"))
+
+    def run(batches):
+        for batch in batches:
+            data = []
+            for i, (h, w, c, own) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("h", "w", "channels", "layers")))):
+                frame = np.asarray(batch.column("data")[i].values).reshape(h, w, c)
+                shown = [(x["colour"], None if x["mask"] is None or len(x["mask"]) != h * w else np.array(x["mask"]).reshape(h, w), box(x["bbox"])) for x in own or []]
+                data.append(K.composed(frame, shown, alpha).ravel())
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("stem", "h", "w", "channels")], pa.array(data, pa.list_(pa.int32()))], names=["stem", "h", "w", "channels", "data"])
+
+    return rows.mapInArrow(run, f"stem {frames.schema['stem'].dataType.simpleString()}, h int, w int, channels int, data array<int>")
+
+
 def _painted(fg: DataFrame, stems: DataFrame, box: tuple[int, int, int, int], inside: Column, erase: bool) -> DataFrame:
     """Adds to the foreground of ``stems``, or takes from it, the pixels of a box (first row and column, last row and column) for which ``inside`` holds."""
     key, (y0, x0, y1, x1) = ["stem", "y", "x"], box

@@ -173,3 +173,21 @@ def stream_params_restart(s, d):
         acc = StreamingAccumulator(s, f"{scratch.path}/state", histogram_of, lambda h: R.robust_stats(h, ["event_type"], 256, False))
         acc.start(rows).awaitTermination()
     return acc.latest().select("event_type", "mu", rounded(F.col("sigma")).alias("sigma"))
+
+
+# --- overlays ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {X.PX}, ch AS (SELECT stem, y, x, v, unnest([0, 1, 2]) AS c FROM px), base AS (SELECT stem, y, x, v AS own, c, CASE c WHEN 0 THEN v WHEN 1 THEN 255 - v ELSE 7 END AS v FROM ch),
+one AS (SELECT *, CASE WHEN own > 160 THEN CAST(floor(0.55::DOUBLE * v + 0.45::DOUBLE * [200, 10, 0][c + 1]) AS INT) ELSE v END AS v1 FROM base), two AS (SELECT *, CASE WHEN own < 90 THEN CAST(floor(0.55::DOUBLE * v1 + 0.45::DOUBLE * [0, 0, 255][c + 1]) AS INT) ELSE v1 END AS v2 FROM one),
+depth AS (SELECT *, least(x - 1, 6 - x, y - 0, 5 - y) AS d FROM two)
+SELECT stem, y, x, c, CASE WHEN d IN (0, 1) THEN [200, 10, 0][c + 1] ELSE v2 END AS v FROM depth""")
+def overlay_layers(s, d):
+    """Two masks mixed into colour frames, the second over the first, and a box around the first."""
+    r = X.raster(s, d).select("stem", "h", "w", F.lit(3).alias("channels"), F.flatten(F.transform("data", lambda v: F.array(v, 255 - v, F.lit(7)))).alias("data"), F.col("data").alias("grey"))
+    mask = lambda on: F.transform("grey", lambda v: F.when(on(v), 255).otherwise(0))
+    box = F.struct(F.lit(1.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(6.0).alias("x1"), F.lit(5.0).alias("y1"))
+    layer = lambda place, colour, m, b: F.struct(F.lit(place).alias("place"), F.array(*map(F.lit, colour)).alias("colour"), m.alias("mask"), b.alias("bbox"))
+    layers = r.select("stem", F.explode(F.array(layer(2, (0, 0, 255), mask(lambda v: v < 90), F.lit(None).cast("struct<x0: double, y0: double, x1: double, y1: double>")), layer(1, (200, 10, 0), mask(lambda v: v > 160), box))).alias("l")).select("stem", "l.*")
+    out = R.composed(r, layers).select("stem", "w", F.posexplode("data").alias("i", "v"))
+    return out.select("stem", F.expr("cast(i div 3 div w as int)").alias("y"), F.expr("cast(i div 3 % w as int)").alias("x"), F.expr("cast(i % 3 as int)").alias("c"), "v")
