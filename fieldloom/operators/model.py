@@ -18,10 +18,12 @@ from fieldloom.functions import kernels as K
 
 
 class Backend(Protocol):
-    def encode(self, frame: np.ndarray) -> object: ...
+    def encode(self, frame: np.ndarray, text: str | None = None, conf: float = 0.5) -> object:
+        """The frame's state; ``text`` is a prompt that holds for all its boxes."""
+        ...
 
-    def decode(self, state: object, box: tuple[float, float, float, float], points: list[tuple[float, float, int]], logits: np.ndarray | None) -> tuple[np.ndarray, float, np.ndarray | None]:
-        """Mask, score and logits (of any size, or none); points are (x, y, 1 or 0)."""
+    def decode(self, state: object, box: tuple[float, float, float, float], points: list[tuple[float, float, int]], logits: np.ndarray | None) -> tuple[np.ndarray, float, np.ndarray | None] | None:
+        """Mask, score and logits (of any size, or none); None where the model finds nothing. Points are (x, y, 1 or 0)."""
         ...
 
 
@@ -31,7 +33,7 @@ class BoxThreshold:
     def __init__(self, reach: int = 1) -> None:
         self.reach = reach
 
-    def encode(self, frame):
+    def encode(self, frame, text=None, conf=0.5):
         return frame.astype(float)
 
     def decode(self, state, box, points, logits):
@@ -157,28 +159,32 @@ def carve_holes(model: Backend, state: object, frame: np.ndarray, edge: np.ndarr
     points = hole_points(mask, holes, c)
     if points and c.hole_refine:
         prior = None if logits is None else np.where(K.nearest_sized(holes, logits.shape[-2:]) > 0, c.hole_logit_neg, logits)
-        mask, _, _ = model.decode(state, box, core_point(mask) + points, prior)
+        again = model.decode(state, box, core_point(mask) + points, prior)
+        mask = mask if again is None else again[0]
     return Carved(np.where(holes > 0, 0, mask).astype(np.uint8), seed, holes)
 
 
-def segmented(model: Backend, frame: np.ndarray, objects: list[tuple], conf: float, min_area: int, holes: HoleConfig | None) -> tuple[np.ndarray, list[tuple], dict[str, np.ndarray]]:
+def segmented(model: Backend, frame: np.ndarray, objects: list[tuple], conf: float, min_area: int, holes: HoleConfig | None, text: str = "") -> tuple[np.ndarray, list[tuple], dict[str, np.ndarray]]:
     """Label map, kept objects ``(class_id, box)`` and, with holes, the maps in between, of one frame; one encode, one decode per box."""
     shape = frame.shape[:2]
-    state, labels, kept = model.encode(frame), np.zeros(shape, np.int32), []
+    state, labels, kept = model.encode(frame, text or None, conf), np.zeros(shape, np.int32), []
     maps = {n: np.zeros(shape, np.uint8) for n in ("seg_raw", "hole_seed", "hole_grown", "hole_edge")} if holes else {}
     if holes and holes.preserve_holes and holes.hole_edge:
         maps["hole_edge"] = hole_edges(frame, holes)
     for class_id, box in objects:
         if box is None:
             continue
-        mask, score, logits = model.decode(state, box, [], None)
+        found = model.decode(state, box, [], None)
+        if found is None or found[1] < conf:
+            continue
+        mask, _, logits = found
         if holes and holes.preserve_holes and mask.any():
             maps["seg_raw"][mask > 0] = 255
             carved = carve_holes(model, state, frame, maps["hole_edge"], box, mask, logits, holes)
             mask = carved.mask
             maps["hole_seed"][carved.seed > 0] = 255
             maps["hole_grown"][carved.holes > 0] = 255
-        if score < conf or (mask > 0).sum() < max(min_area, 1):
+        if (mask > 0).sum() < max(min_area, 1):
             continue
         ys, xs = np.nonzero(mask)
         labels[mask > 0] = len(kept) + 1
@@ -186,7 +192,7 @@ def segmented(model: Backend, frame: np.ndarray, objects: list[tuple], conf: flo
     return labels, kept, maps
 
 
-def segment(frames: DataFrame, objects: DataFrame, build: Callable[[], Backend], spec: str = "stub", conf: float = 0.5, min_area: int = 200, holes: HoleConfig | None = None) -> DataFrame:
+def segment(frames: DataFrame, objects: DataFrame, build: Callable[[], Backend], spec: str = "stub", conf: float = 0.5, min_area: int = 200, holes: HoleConfig | None = None, text: str = "") -> DataFrame:
     """MDL-SEG: ``(stem, obj_id, class_id, x0, y0, x1, y1)``, one row per object that is kept.
 
     One encode per frame and one decode per box; objects below ``conf`` or ``min_area`` are dropped, the rest
@@ -205,7 +211,7 @@ def segment(frames: DataFrame, objects: DataFrame, build: Callable[[], Backend],
                 h, w = cols["h"][i].as_py(), cols["w"][i].as_py()
                 frame = np.asarray(cols["data"][i].values).reshape(h, w)
                 listed = [(o["class_id"], tuple(o["bbox"][k] for k in ("x0", "y0", "x1", "y1"))) for o in cols["objects"][i].as_py()]
-                _, kept, _ = segmented(model, frame, listed, conf, min_area, holes)
+                _, kept, _ = segmented(model, frame, listed, conf, min_area, holes, text)
                 for n, (class_id, box) in enumerate(kept):
                     for column, v in zip(out, (stem, n, class_id, *box)):
                         column.append(v)

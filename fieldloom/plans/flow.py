@@ -361,12 +361,12 @@ class Segment(Operator, name="segment"):
 
         frame, objects, segment, listed = self.source("frame"), self.source("object"), self.target("segment"), self.target("object")
         c, holes, (name, build) = self.config, self.holes(), M.configured(self.config["model"])
-        conf, least = c["conf"], c["min_area"]
+        conf, least, text = c["conf"], c["min_area"], c["text"]
         debug = {p: self.target(p) for p in self.outputs[2:]} if holes and holes.hole_debug else {}
 
         def kernel(row):
             given = [(o["class_id"], b) for o, b in zip(row[objects] or [], _boxes(row[objects] or []))]
-            labels, kept, maps = M.segmented(M.backend(name, build), picture(row[frame], row["h"], row["w"]), given, conf, least, holes)
+            labels, kept, maps = M.segmented(M.backend(name, build), picture(row[frame], row["h"], row["w"]), given, conf, least, holes, text)
             if not kept:
                 return None
             out = {segment: labels.ravel().tolist(), listed: [{"class_id": k, "bbox": dict(zip(("x0", "y0", "x1", "y1"), b))} for k, b in kept]}

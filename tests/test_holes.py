@@ -135,3 +135,26 @@ def test_lab_there_and_back(spark):
     assert grey.x == grey.y == grey.z
     cut = rows.limit(1).select(*E.lab_ab_to_bgr(F.lit(255), F.lit(0))).first()
     assert all(0 <= v <= 255 for v in cut)
+
+
+class Prompted(Asked):
+    """Keeps the prompt, finds nothing in boxes that begin at 0, and nothing the second time."""
+
+    def encode(self, frame, text=None, conf=0.5):
+        self.prompt = text, conf
+        return super().encode(frame)
+
+    def decode(self, state, box, points, logits):
+        return None if box[0] == 0 or points else super().decode(state, box, points, logits)
+
+
+def test_prompts_and_models_that_find_nothing(spark):
+    frame = np.full((60, 60, 3), 100, np.uint8)
+    frame[25:35, 20:30] = [255, 0, 0]
+    model = Prompted()
+    labels, kept, maps = M.segmented(model, frame, [("a", (0.0, 8.0, 54.0, 52.0)), ("b", (6.0, 8.0, 54.0, 52.0)), ("c", None)], 0.25, 1, M.HoleConfig(hole_dark_boost=False), "only the body")
+    assert model.prompt == ("only the body", 0.25) and [k for k, _ in kept] == ["b"] and (labels[28:32, 23:27] == 0).all() and labels[10, 10] == 1
+    M.segmented(model, frame, [], 0.5, 1, None)
+    assert model.prompt == (None, 0.5)
+    labels, kept, maps = M.segmented(model, frame, [("b", (6.0, 8.0, 54.0, 52.0))], 0.95, 1, M.HoleConfig())
+    assert not kept and not maps["seg_raw"].any()  # below the confidence nothing is carved
