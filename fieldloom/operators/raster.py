@@ -76,6 +76,30 @@ def distance(px: DataFrame, model: DataFrame, on: list[str], circular: tuple[boo
     return joined.withColumn("d", F.sqrt(parts[0] + parts[1])).drop("mean_c0", "std_c0", "mean_c1", "std_c1")
 
 
+def distance_frames(frames: DataFrame, model: DataFrame, circular: tuple[bool, bool], periods: tuple[int, int], floor: float = 1.0) -> DataFrame:
+    """PX-DIST in array form: ``(stem, h, w, d array)`` of frames ``(stem, h, w, c0 array, c1 array)`` of one size from a per-pixel model ``(y, x, mean_c0, ...)``.
+
+    The model becomes one row of arrays, of a frame's size however many frames there are, so that no pixel is exploded or joined.
+    Pixels without a model are null.
+    """
+    from fieldloom.functions.expressions import channel_delta
+
+    names = ("mean_c0", "std_c0", "mean_c1", "std_c1")
+    width = frames.select("w", F.lit(1).alias("_one")).limit(1)
+    placed = model.withColumn("_one", F.lit(1)).join(F.broadcast(width), "_one").select((F.col("y") * F.col("w") + F.col("x")).cast("int").alias("i"), *names)
+    row = placed.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct(*names)))).alias("m"), F.max("i").alias("last"))
+    row = row.select(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.col("m")[i]).alias("model"), F.lit(1).alias("_one"))
+
+    def far(i):
+        own, total = F.get("model", i), F.lit(0.0)
+        for k in (0, 1):
+            d = channel_delta(F.get(f"c{k}", i), own[f"mean_c{k}"], circular[k], periods[k]) / F.greatest(own[f"std_c{k}"], F.lit(floor))
+            total = total + d * d
+        return F.when(own.isNotNull(), F.sqrt(total))
+
+    return frames.withColumn("_one", F.lit(1)).join(F.broadcast(row), "_one").select("stem", "h", "w", F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), far).alias("d"))
+
+
 def combine(mask: DataFrame, other: DataFrame, mode: str, max_change: float = 0.0, drop_on_over: bool = False) -> DataFrame:
     """PX-COMBINE over foreground pixels ``(stem, y, x)``: subtract, intersect or union.
 

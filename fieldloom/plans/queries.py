@@ -206,8 +206,10 @@ def chroma_distance_global(s, d):
 
 @query(f"WITH {X.PX}, {_model_sql('y, x')} SELECT stem, y, x, round({_DIST}, 6) AS d FROM px JOIN model USING (y, x)")
 def chroma_distance_per_pixel(s, d):
-    px = X.pixels(s, d)
-    return R.distance(px, _model(px, ["y", "x"]), ["y", "x"], (True, False), (180, 256)).select("stem", "y", "x", rounded(F.col("d")).alias("d"))
+    hue = F.transform("data", lambda v: F.floor(v * 180 / 256).cast("int"))
+    frames = X.raster(s, d).select("stem", "h", "w", hue.alias("c0"), F.reverse("data").alias("c1"))
+    far = R.distance_frames(frames, _model(X.pixels(s, d), ["y", "x"]), (True, False), (180, 256))
+    return R.to_pixels(far.withColumnRenamed("d", "data"), "d").select("stem", "y", "x", rounded(F.col("d")).alias("d"))
 
 
 @query("""SELECT stem, y, x, h, s, greatest(b, g, r) AS v FROM (SELECT *, CAST(floor(CASE WHEN hh < 0 THEN hh + 360 ELSE hh END / 2 + 0.5) AS INT) % 180 AS h, CAST(floor(CASE WHEN mx = 0 THEN 0 ELSE 255.0 * dd / mx END + 0.5) AS INT) AS s FROM (
@@ -351,12 +353,18 @@ def _morph_sql(steps: list[tuple[int, str]], nonempty: bool = True) -> str:
 
 @query(_morph_sql([(3, "max"), (3, "min"), (3, "min"), (3, "max")]))
 def morph_close_open(s, d):
-    return R.morph(_dense(s, d), "v", 3, 3)
+    return R.to_pixels(G.morph(X.mask(s, d))).select("stem", "y", "x", "v")
 
 
 @query(_morph_sql([(2, "min"), (2, "max"), (3, "max"), (3, "min")]))
 def morph_open_close(s, d):
-    return R.morph(_dense(s, d), "v", 3, 2, reverse=True)
+    return R.to_pixels(G.morph(X.mask(s, d), 3, 2, reverse=True)).select("stem", "y", "x", "v")
+
+
+@query(_morph_sql([(3, "max"), (3, "min"), (2, "min"), (2, "max")]))
+def morph_of_pixels(s, d):
+    """The same in Catalyst alone, over pixels."""
+    return R.morph(_dense(s, d), "v", 3, 2)
 
 
 @query(_morph_sql([(5, "max"), (5, "min")], nonempty=False))
