@@ -10,7 +10,6 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.sources.scratch import removed_at_exit, shared_dir
+
 #: Texts are handed to Python kernels in slices of at most so many characters (one text at least).
 SLICE_CHARS = 2_000_000
 #: Arrow batches have about so many bytes (one row at least).
@@ -82,11 +83,6 @@ def map_texts(rows: DataFrame, kernel: Callable[[], Callable[[list, list], dict]
     return rows.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where that is unset (tests on one machine)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{os.getuid()}"
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder. Files there outlive executors, so a lost one costs no recomputation."""
     sc = df.sparkSession.sparkContext
@@ -96,8 +92,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder as Parquet and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Written to the shared folder as Parquet and read again; it goes when the driver's program ends."""
+    path = removed_at_exit(df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
