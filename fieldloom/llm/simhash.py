@@ -220,22 +220,44 @@ def with_next(rows: DataFrame, id_col: str, value_col: str, tie: Column, bounds:
     return out.where("NOT _copy").drop("_copy")
 
 
-def edited_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
-    """``(doc_id, h, n_chars, edited_sha256, f, e, bands)``: fingerprints of each text and its edited text, ``h`` being the text's hash; and the bounds of the ranges of ids."""
+def once(texts: DataFrame) -> tuple[DataFrame, bool]:
+    """``texts (doc_id, text)`` with ``copies``, rows equal in both being one row, so that no range holds many of them; and if there are any such rows.
+
+    A small aggregate of ids and digests tells; if not, no text is moved. Copies meet before they are dealt out."""
+    tag = F.md5("text").alias("tag")
+    if texts.select("doc_id", tag).groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return texts.withColumn("copies", F.lit(1).cast("long")), False
+    return texts.groupBy("doc_id", tag).agg(F.first("text").alias("text"), F.count("*").alias("copies")).drop("tag"), True
+
+
+def edited_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[int], bool]:
+    """``(doc_id, h, n_chars, copies, edited_sha256, f, e, bands)``: fingerprints of the text and the edited text of each distinct row, ``h`` being the text's hash; the bounds
+    of the ranges of ids; and if rows are repeated. Then ``self_sha256`` and ``s`` are of the text edited by itself, as the rows before the last of equal ones have it."""
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
-    texts = text_rows(docs, id_col, text_col)
-    bounds, weights = id_bounds(texts, "doc_id"), rarity(texts)
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_value"), F.lit(1), k))
+    base = text_rows(docs, id_col, text_col)
+    bounds, weights = id_bounds(base, "doc_id"), rarity(base)
+    texts, repeated = once(base)
+    by = lambda c: F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col(c), F.lit(1), k))
     rows = with_next(texts, "doc_id", "text", F.xxhash64("text"), bounds)
-    rows = rows.select("range", "place", "doc_id", F.xxhash64("text").alias("h"), n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), F.col("text").alias("f"), edited.alias("e"))
-    keys = ["range", "place", "doc_id", "h", "n_chars", "edited_sha256"]
-    return fingerprinted(rows, keys, ["f", "e"], weights).drop("range", "place"), bounds
+    keys = [F.xxhash64("text").alias("h"), n.cast("long").alias("n_chars"), "copies", F.sha2(by("next_value"), 256).alias("edited_sha256")]
+    values, names = [F.col("text").alias("f"), by("next_value").alias("e")], ["f", "e"]
+    if repeated:
+        again = F.when(F.col("copies") > 1, by("text"))
+        keys, values, names = [*keys, F.sha2(again, 256).alias("self_sha256")], [*values, again.alias("s")], [*names, "s"]
+    rows = rows.select("range", "place", "doc_id", *keys, *values)
+    kept = [c for c in rows.columns if c not in names]
+    return fingerprinted(rows, kept, names, weights).drop("range", "place"), bounds, repeated
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint struct<a, b>)`` for every text."""
-    return edited_table(docs, id_col, text_col)[0].select("doc_id", F.col("f").alias("fingerprint"))
+    return _all(edited_table(docs, id_col, text_col)[0].select("doc_id", F.col("f").alias("fingerprint"), "copies"))
+
+
+def _all(rows: DataFrame) -> DataFrame:
+    """Rows as often as ``copies`` says."""
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
 
 
 def edited_report(docs: DataFrame, radius: int = 3, query_step: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,12 +267,19 @@ def edited_report(docs: DataFrame, radius: int = 3, query_step: int = 50, id_col
 
     Rows of equal ids and texts follow each other in the order of documents; of equal ids with several texts that of
     the larger hash comes first. Null ids are last and no queries."""
-    table, bounds = edited_table(docs, id_col, text_col)
-    own = checkpointed(table.select("doc_id", "n_chars", "edited_sha256", F.struct("h", "f").alias("hf"), "e", "bands"))
+    table, bounds, repeated = edited_table(docs, id_col, text_col)
+    selves = ["s", "self_sha256"] if repeated else []
+    own = checkpointed(table.select("doc_id", "n_chars", "copies", "edited_sha256", F.struct("h", "f").alias("hf"), "e", "bands", *selves))
     out = with_next(own, "doc_id", "hf", F.col("hf.h"), bounds)
+    if repeated:  # of equal rows the last is followed by another text, the others by their own
+        last = F.struct("edited_sha256", "e", F.col("next_value").alias("x"))
+        more = F.struct(F.col("self_sha256").alias("edited_sha256"), F.col("s").alias("e"), F.col("hf").alias("x"))
+        ways = F.explode(F.concat(F.array(last), F.array_repeat(more, (F.col("copies") - 1).cast("int")))).alias("way")
+        out = out.select("doc_id", "n_chars", "hf", "bands", ways).select("doc_id", "n_chars", "hf", "bands", "way.edited_sha256", "way.e", F.col("way.x").alias("next_value"))
     f, e, x = F.col("hf.f"), F.col("e"), F.col("next_value.f")
     asked = F.col("doc_id") % query_step == 0
-    prints = own.select("doc_id", F.col("hf.f").alias("fingerprint"), "bands")
+    prints = own.select("doc_id", F.col("hf.f").alias("fingerprint"), "bands", "copies")
+    prints = _all(prints) if repeated else prints.drop("copies")
     found = near(prints.select("fingerprint"), prints.where(asked).select("fingerprint"), radius).withColumnRenamed("fingerprint", "qf")
     copies = similar(prints, prints.where(asked))
     base = out.select("doc_id", "n_chars", "edited_sha256", to_hex(f).alias("fingerprint"), to_hex(e).alias("edited_fingerprint"), likeness(f, e).alias("near_edited"), likeness(f, x).alias("near_next"), F.when(asked, f).alias("q"), F.when(asked, F.col("bands")).alias("qb"))

@@ -186,6 +186,27 @@ def test_next_of_odd_ids(spark):
     assert len(got) == len(rows) + 1 and all(r.near_edited is not None and r.near_next is not None for r in got)
 
 
+def test_equal_rows(spark):
+    """Equal rows in number, of an id and of none: as one row while dealt out, all there in the end, each followed by the next."""
+    from collections import Counter
+
+    docs = [(7, "one text of seven words for all")] * 300 + [(None, "another text of no id at all")] * 200 + [(None, None)] * 30 + [(None, "")] * 2 + [(i, f"text number {i} with words {i * i}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts, repeated = simhash.once(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    assert repeated and texts.groupBy("doc_id").agg(F.sum("copies").alias("n")).where("doc_id = 7").first().n == 301 and texts.count() == 63
+    tie = {r.text: r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect()}
+    order = sorted(((i, t or "") for i, t in docs), key=lambda d: (d[0] is not None, d[0] or 0, tie[d[1]] if d[1] in tie else tie[None]), reverse=True)
+    want = Counter()
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 3
+        want[i, len(t), hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest()] += 1
+    got = simhash.edited_report(df).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    seven = [r for r in got if r.doc_id == 7 and r.n_chars == 31]
+    assert len({r.fingerprint for r in seven}) == 1 and sum(r.near_next == 1 for r in seven) >= 299
+    assert simhash.fingerprints(df).count() == len(docs)
+
+
 def test_blocks(spark):
     a, b = -(1 << 63) + 12345678901234567, 0x0123456789ABCDEF
     bits = f"{a % (1 << 64):064b}{b:064b}"
