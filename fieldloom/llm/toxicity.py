@@ -1,11 +1,11 @@
 """Toxicity by weak supervision.
 
-1. Voters. Lexicons of words and word beginnings are mined from labelled rows by log odds and dealt over many
-   voters, in two strengths (any hit; several hits), joined by pattern voters (hits close together in short
-   texts, hits over all lexicons, none at all). A voter says toxic, clean, or nothing.
-2. Label model. A generative model is fitted to the votes alone by expectation maximisation: how often each
-   voter votes each way on toxic and on clean texts (its accuracy), and how correlated two voters are given the
-   class; a voter's evidence is divided by the correlation mass around it, so that copies don't count twice.
+1. Voters. Lexicons of their own (insults in four languages), which need no labels; lexicons of words and word beginnings that are
+   mined from labelled rows by log odds and dealt over many voters, in two strengths (any hit; several hits); and pattern voters (hits close
+   together, hits over all lexicons, shares of the text, none at all). A voter says toxic, clean, or nothing.
+2. Label model. A generative model is fitted to the votes alone by expectation maximisation: given the class, a voter's vote depends on that of
+   one other voter, and the pairs form the tree that explains most (by mutual information given the class). Its parameters are how each voter votes on toxic and on clean texts,
+   given the vote it hangs on: accuracies and correlations are estimated together, and a voter that repeats another adds nothing.
 3. Classifier. A logistic model over distinct words and their beginnings is trained on the posterior labels;
    a logistic curve, fitted on labelled rows kept apart, gives the score.
 
@@ -29,6 +29,15 @@ BITS = 20
 LIMIT = 5_000
 THRESHOLD = 0.3
 LEXICONS, TERMS = 16, 480
+#: Rows by which the shares of a vote, given another, are drawn towards its shares alone.
+PULL = 5.0
+#: Words that are insults by themselves (fixed values, common usage).
+OWN_LEXICONS = {
+    "en": "arsehole asshole bastard bitch bozo bum clown cockroach coward creep cretin crook degenerate dimwit dirtbag disgusting dumb dumbass dunce failure fool foolish freak fraud garbage halfwit hypocrite idiot idiotic ignorant imbecile jackass jerk liar loser lowlife lunatic maggot moron moronic nitwit parasite pathetic pig psycho rat retard ridiculous rubbish savage scum scumbag shit shithead simpleton sleazy slob stupid stupidity subhuman thug traitor trash twat ugly vermin vile wanker weasel worthless wretch",
+    "de": "abschaum arschloch bastard blöd depp dreckig dumm dummkopf ekelhaft erbärmlich feigling hurensohn idiot lügner miststück müll narr schlampe schwachkopf schwein spinner trottel versager wertlos widerlich wichser",
+    "fr": "abruti bâtard bouffon connard connasse crétin débile dégoûtant enculé idiot imbécile lâche menteur merde minable nul ordure pathétique pourriture raté salaud salope stupide vermine",
+    "es": "asqueroso basura bastardo bobo cabrón cobarde cretino escoria estúpido gilipollas idiota imbécil inútil mentiroso mierda miserable necio patético payaso perdedor puta repugnante tonto",
+}
 _WORD = re.compile(r"\w+")
 STARTS = (4, 5, 6, 7)
 
@@ -65,10 +74,24 @@ def mine(x: Rows, y: np.ndarray, dims: int, terms: int = TERMS, least: int = 3)
     return best[worth[best] > 0]
 
 
+def own_columns(name: str) -> np.ndarray:
+    """Columns of the whole words of a lexicon of our own."""
+    return np.array([word_features(w)[0] for w in OWN_LEXICONS[name].split()])
+
+
 def votes(x: Rows, terms: np.ndarray, dims: int, lexicons: int = LEXICONS) -> np.ndarray:
     """(rows, voters) of 1 toxic, -1 clean, 0 nothing."""
     out = []
     member = np.zeros(dims)
+    insults = np.zeros(x.n)
+    for name in OWN_LEXICONS:
+        member[:] = 0
+        member[own_columns(name)] = 1
+        hits = x.dot(member)
+        insults += hits
+        out.append(np.where(hits > 0, 1, 0))
+        out.append(np.where(hits > 2, 1, 0))
+    out.append(np.where(insults > 1, 1, np.where(insults == 0, -1, 0)))
     total = np.zeros(x.n)
     for k in range(lexicons):
         member[:] = 0
@@ -87,31 +110,83 @@ def votes(x: Rows, terms: np.ndarray, dims: int, lexicons: int = LEXICONS) -> np
     return np.stack(out, axis=1)
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic by rows, accuracies and correlation weights by voters, from the votes alone."""
+def pair_tables(v: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """(2, voters, 3, voters, 3): soft counts of every pair of votes on clean and on toxic rows."""
     n, m = v.shape
-    kinds = np.stack([v == s for s in (-1, 0, 1)], axis=2).astype(float)
-    weight = np.ones(m)
-    post = np.clip(0.5 + 0.5 * v.sum(axis=1) / max(1, m), 0.01, 0.99)
-    post = np.where((v > 0).sum(axis=1) > 0, np.maximum(post, 0.6), 0.02)
-    for _ in range(rounds):
-        old = post
-        like = []
-        for w in (1 - post, post):
-            t = np.einsum("n,nmk->mk", w, kinds) + np.array([0.5, 0.5, 0.5])
-            like.append(t / t.sum(axis=1, keepdims=True))
-        # correlation given the class: of what the class means don't explain
-        s = v - np.outer(1 - post, like[0] @ [-1, 0, 1]) - np.outer(post, like[1] @ [-1, 0, 1])
-        sd = s.std(axis=0) + 1e-6
-        corr = np.abs((s.T @ s) / n / np.outer(sd, sd))
-        weight = 1 / np.maximum(1, np.where(corr > 0.1, corr, 0).sum(axis=1))
-        evidence = np.einsum("nmk,mk,m->n", kinds, np.log(like[1] / like[0]), weight)
-        post = sigmoid(evidence + np.log(prior / (1 - prior)))
+    kinds = np.stack([v == s for s in (-1, 0, 1)], axis=2).reshape(n, 3 * m).astype(float)
+    return np.stack([(kinds * w[:, None]).T @ kinds for w in (1 - post, post)]).reshape(2, m, 3, m, 3)
+
+
+def dependence_tree(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The voter that each hangs on (-1: the first, on none) and their mutual information given the class: the tree that has most of it, grown from voter 0."""
+    m = tables.shape[1]
+    total = tables.sum(axis=(1, 2, 3, 4), keepdims=True) / m**2
+    joint = (tables + 0.1) / (total + 0.9)
+    alone = joint.sum(axis=4)[:, :, :, 0]
+    chance = alone[:, :, :, None, None] * alone[:, None, None, :, :]
+    share = total / total.sum()
+    gain = (share * joint * np.log(joint / chance)).sum(axis=(0, 2, 4))
+    parent, best = np.full(m, -1), np.zeros(m)
+    inside, near, of = np.zeros(m, bool), np.full(m, -np.inf), np.zeros(m, int)
+    at = 0
+    for _ in range(m - 1):
+        inside[at] = True
+        better = ~inside & (gain[at] > near)
+        near[better], of[better] = gain[at][better], at
+        at = int(np.where(inside, -np.inf, near).argmax())
+        parent[at], best[at] = of[at], near[at]
+    return parent, best
+
+
+def log_ratios(tables: np.ndarray, parent: np.ndarray, pull: float = PULL) -> np.ndarray:
+    """(voters, 3, 3): log of how much likelier a vote is on toxic than on clean rows, given the vote that it hangs on (any, for the first).
+
+    Conditional shares are drawn towards the voter's own by ``pull`` rows, so that pairs seldom seen say no more than the voter alone."""
+    m = tables.shape[1]
+    own = np.stack([np.diagonal(tables[:, k, :, k, :], axis1=1, axis2=2) for k in range(m)], axis=1) + 0.5  # (2, m, 3)
+    own = own / own.sum(axis=2, keepdims=True)
+    out = np.zeros((m, 3, 3))
+    for k in range(m):
+        if parent[k] < 0:
+            out[k] = np.log(own[1, k] / own[0, k])[None, :]
+            continue
+        given = tables[:, parent[k], :, k, :] + pull * own[:, k][:, None, :]
+        given = given / given.sum(axis=2, keepdims=True)
+        out[k] = np.log(given[1] / given[0])
+    return out
+
+
+def evidence(v: np.ndarray, parent: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Sum of the log ratios of a row's votes."""
+    at = v + 1
+    return sum(ratios[k, at[:, max(parent[k], 0)], at[:, k]] for k in range(v.shape[1]))
+
+
+def first_call(v: np.ndarray, alike: float = 0.5) -> np.ndarray:
+    """How many voters call a row toxic; voters that vote alike share one voice."""
+    dev = v - v.mean(axis=0)
+    size = np.sqrt((dev * dev).sum(axis=0)) + 1e-9
+    corr = np.abs(dev.T @ dev / np.outer(size, size))
+    np.fill_diagonal(corr, 1.0)
+    return (v > 0) @ (1 / np.where(corr > alike, corr, 0).sum(axis=1))
+
+
+def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of toxic by rows, accuracies of voters, the voter each hangs on, and how much it depends on it, from the votes alone."""
+    m, said = v.shape[1], first_call(v)
+    # to begin with, the rows that most voters call toxic, as many as the prior says
+    post = np.where(said > max(float(np.quantile(said, 1 - prior)), 0.01), 0.9, 0.02) if len(v) else np.zeros(0)
+    parent, strength = np.full(m, -1), np.zeros(m)
+    for r in range(rounds):
+        old, tables = post, pair_tables(v, post)
+        if r % 5 == 0:
+            parent, strength = dependence_tree(tables)
+        post = sigmoid(evidence(v, parent, log_ratios(tables, parent)) + np.log(prior / (1 - prior)))
         if np.abs(post - old).max() < 1e-4:
             break
     says = (v != 0).sum(axis=0) + 1e-9
     accuracy = ((v > 0) * post[:, None] + (v < 0) * (1 - post)[:, None]).sum(axis=0) / says
-    return post, accuracy, weight
+    return post, accuracy, parent, strength
 
 
 @dataclass
@@ -121,7 +196,8 @@ class Model:
     slope: float
     offset: float
     accuracy: np.ndarray
-    correlation_weight: np.ndarray
+    parent: np.ndarray
+    dependence: np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -130,20 +206,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int
     none = np.zeros(0)
     if not apart.any() or apart.all() or len(set(y[~apart])) < 2 or isinstance(x, PackedRows):
         rate = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(dims), 0.0, 0.0, float(np.log(rate / (1 - rate))), none, none)
+        return Model(np.zeros(dims), 0.0, 0.0, float(np.log(rate / (1 - rate))), none, none, none)
     take = lambda keep: Rows([x[i] for i in np.flatnonzero(keep)])
     own, rest, t = take(~apart), take(apart), y[~apart]
     terms = mine(own, t, dims)
-    post, accuracy, correlation = label_model(votes(own, terms, dims), float(np.clip(t.mean(), 0.01, 0.99)))
+    post, accuracy, parent, dependence = label_model(votes(own, terms, dims), float(np.clip(t.mean(), 0.01, 0.99)))
     # columns that the lexicons are about, or seen often enough to say something
     p, q = own.counts(post, dims), own.counts(1 - post, dims)
     lift = np.log((p + 0.5) / (post.sum() + 1)) - np.log((q + 0.5) / ((1 - post).sum() + 1))
     keep = (p + q >= 4) & (lift > 0.7)
     keep[terms] = True
+    keep[np.concatenate([own_columns(name) for name in OWN_LEXICONS])] = True
     chosen = Rows([(i[keep[i]], v[keep[i]]) for i, v in (own[k] for k in range(own.n))])  # the counts that scoring sums
     w, bias = logistic(chosen, post, dims, l2=0.3)
     w = np.where(keep, w, 0.0)
-    model = Model(w, bias, 1.0, 0.0, accuracy, correlation)
+    model = Model(w, bias, 1.0, 0.0, accuracy, parent, dependence)
     model.slope, model.offset = platt(rest.dot(w) + bias, y[apart])
     return model
 
