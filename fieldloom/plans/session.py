@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import catalog as C
 from fieldloom.sources import converters as V
 from fieldloom.sources import discover as S
+from fieldloom.sources import files as P
 from fieldloom.sources import sinks as K
 
 from .flow import BOX, Flow, FlowResult, run_flows
@@ -106,14 +107,10 @@ class Session:
         return n
 
     def frames(self, refs: DataFrame) -> DataFrame:
-        """Modified items with their frame and their attributes as columns."""
+        """Modified items with their frame and their attributes as columns; each frame's file is read where its row is."""
         own = refs.where((F.col("category") == C.MODIFIED) & (F.size("path") == 0))
         place = own.where("name = 'frame'").select("stem", F.get_json_object("value", "$.dir").alias("path"))
-        folders = [r.d for r in place.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("d")).distinct().collect()]  # the sources' folders
-        if not folders:
-            return self.spark.createDataFrame([], "stem string, category string, h int, w int, frame array<int>")
-        files = self.spark.read.format("binaryFile").load(folders).join(place, "path", "left_semi").select("path", "content")
-        frames = S.decoded_images(files, "path").join(place, "path").select("stem", F.lit(C.MODIFIED).alias("category"), "h", "w", F.col("data").alias("frame"))
+        frames = S.decoded_images(P.contents(place), "stem").select("stem", F.lit(C.MODIFIED).alias("category"), "h", "w", F.col("data").alias("frame"))
         names = [r.name for r in own.where("type = 'attr' AND get_json_object(value, '$.dir') IS NULL").select("name").distinct().collect()]
         for name in names:
             frames = frames.join(C.attr(own, name).withColumnRenamed("value", name), "stem", "left")

@@ -11,19 +11,54 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from fieldloom.operators.catalog import MODIFIED, SCHEMA
 
 #: Bytes of a file that one task reads.
 SPLIT = 16 << 20
+#: Bytes of files that a task holds before it hands them on.
+HELD = 64 << 20
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+    """The file system of a path as Spark names it (unescaped), and the place in it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    store, _ = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    host = "" if scheme == "hdfs" or scheme == "viewfs" else rest.lstrip("/").partition("/")[0] + "/"  # object stores name the bucket in the path
+    return store, f"{host}{rest.lstrip('/').partition('/')[2]}" if host else "/" + rest.lstrip("/").partition("/")[2]
+
+
+def contents(rows: DataFrame, path: str = "path") -> DataFrame:
+    """``rows`` with the bytes of the file that each names, read where the row is, so no folder is listed; a missing file is an error. Rows without a path are left out."""
+
+    def run(batches):
+        for batch in batches:
+            data = []
+            for one in batch.column(path).to_pylist():
+                store, at = located(one)
+                with store.open_input_stream(at) as f:
+                    data.append(f.read())
+                if sum(map(len, data)) > HELD:  # files are handed on before many are held
+                    yield with_bytes(batch, data)
+                    batch, data = batch.slice(len(data)), []
+            yield with_bytes(batch, data)
+
+    def with_bytes(batch: pa.RecordBatch, data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.slice(0, len(data)).columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "content"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.where(F.col(path).isNotNull()).mapInArrow(run, f"{fields}, content binary")
 
 
 def register(spark: SparkSession) -> None:

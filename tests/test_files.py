@@ -88,6 +88,20 @@ def test_two_converters_in_one_config(spark, lines, tmp_path):
     del V.CONVERTERS["nothing"]
 
 
+def test_contents_of_named_files(spark, tmp_path, monkeypatch):
+    """Names with blanks and signs, as paths and as Spark's own; only the named files are read."""
+    monkeypatch.setattr(S, "HELD", 10)
+    names = ["a b.bin", "é%20.bin", "c#d.bin", "plain.bin"]
+    for i, n in enumerate(names):
+        (tmp_path / n).write_bytes(bytes([i]) * 7)
+    rows = [(f"{tmp_path}/{n}", i) for i, n in enumerate(names)] + [(f"file:{tmp_path}/{names[1]}", 1), (f"file://{tmp_path}/{names[2]}", 2), (None, 9)]
+    got = S.contents(spark.createDataFrame(rows, "path string, i int").repartition(2)).collect()
+    assert len(got) == 6 and all(r.content == bytes([r.i]) * 7 for r in got)
+    assert S.contents(spark.createDataFrame([], "path string")).count() == 0
+    with pytest.raises(Exception, match="gone"):
+        S.contents(spark.createDataFrame([(f"{tmp_path}/gone",)], "path string")).collect()
+
+
 def tree(root):
     return sorted(os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(root) for f in names if not f.endswith(".crc"))
 
