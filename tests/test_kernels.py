@@ -186,3 +186,42 @@ def test_boxes_and_fills_of_many():
             if area >= low and (not high or area <= high):
                 want[solid] = 255
         assert (K.fill_contours(m, low, high) == want).all()
+
+
+def test_canny_pixel_by_pixel():
+    """Edges against loops over one frame: slopes by neighbours, ridges along the slope, and a walk from strong to weak ones."""
+    r = np.random.default_rng(3)
+    a = r.integers(0, 60, (24, 28)).astype(float)
+    a[6:18, 8:20] += 150
+    h, w = a.shape
+    at = lambda y, x: a[min(max(y, 0), h - 1), min(max(x, 0), w - 1)]
+    gx, gy = np.zeros_like(a), np.zeros_like(a)
+    for y in range(h):
+        for x in range(w):
+            gx[y, x] = sum(k * (at(y + j, x + 1) - at(y + j, x - 1)) for j, k in ((-1, 1), (0, 2), (1, 1)))
+            gy[y, x] = sum(k * (at(y + 1, x + i) - at(y - 1, x + i)) for i, k in ((-1, 1), (0, 2), (1, 1)))
+    mag = abs(gx) + abs(gy)
+    m = lambda y, x: mag[y, x] if 0 <= y < h and 0 <= x < w else 0
+    thin = {}
+    for y in range(h):
+        for x in range(w):
+            u, v = gx[y, x], gy[y, x]
+            if abs(v) < 0.4142135 * abs(u):
+                step = (0, 1)
+            elif abs(v) > 2.4142135 * abs(u):
+                step = (1, 0)
+            else:
+                step = (1, 1) if u * v > 0 else (1, -1)
+            if mag[y, x] > m(y - step[0], x - step[1]) and mag[y, x] >= m(y + step[0], x + step[1]):
+                thin[y, x] = mag[y, x]
+    for low, high in ((100, 300), (200, 700)):
+        todo = [p for p, v in thin.items() if v > high]
+        seen = set(todo)
+        while todo:
+            y, x = todo.pop()
+            for q in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if q not in seen and thin.get(q, 0) > low:
+                    seen.add(q)
+                    todo.append(q)
+        got = K.canny(a, low, high, 0)
+        assert set(zip(*(v.tolist() for v in np.nonzero(got)))) == seen and len(seen) > 20
