@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .ranges import numbered
+from .ranges import AIM, numbered
 
 FAN, BAND, BYTES = 8, 2, 32
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -49,25 +49,31 @@ def leaves(docs: DataFrame, changed: Column | None = None, group: str = "lang",
 
 @dataclass
 class Tree:
-    """``levels[k]``: runs ``(key, level, run, n, kids, node)`` over the nodes of level k; ``roots (key, n, root)``; n: leaves of the key."""
+    """``levels[k]``: runs ``(key, level, run, n, kids, node)`` over the nodes of level k; ``roots (key, n, root)``; n: leaves of the key; ``total``: all leaves."""
 
     levels: list[DataFrame]
     roots: DataFrame
+    total: int
+
+
+def _files(rows: float) -> int:
+    """Files of a table of at most so many rows: small tables are one file, whatever the number of partitions."""
+    return 1 + int(rows // AIM)
 
 
 def build(nodes: DataFrame, name: str) -> Tree:
     """All levels over ``(key, idx, n, node)``, one after the other, each an eighth of the one before and written once."""
-    most = nodes.agg(F.max("n")).first()[0] or 0
+    most, total = nodes.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
     levels, roots = [], nodes.where("n = 1").select("key", "n", F.col("node").alias("root"))
     while most > FAN ** len(levels):
         k = len(levels)
         runs = nodes.where(F.col("n") > FAN**k).groupBy("key", F.expr(f"idx div {FAN}").alias("run")).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("idx", "node"))).alias("kids"))
         runs = runs.withColumn("kids", F.aggregate("kids", F.lit(b""), lambda a, x: F.concat(a, x["node"])))
-        runs = stored(runs.select("key", F.lit(k).alias("level"), "run", "n", "kids", _joint(F.col("kids")).alias("node")), f"{name}-{k}")
+        runs = stored(runs.select("key", F.lit(k).alias("level"), "run", "n", "kids", _joint(F.col("kids")).alias("node")).coalesce(_files(total / FAN**k)), f"{name}-{k}")
         levels.append(runs)
         roots = roots.union(runs.where(F.col("n") <= FAN ** (k + 1)).select("key", "n", "node"))
         nodes = runs.select("key", F.col("run").alias("idx"), "n", "node")
-    return Tree(levels, stored(roots, f"{name}-roots"))
+    return Tree(levels, stored(roots.coalesce(_files(total)), f"{name}-roots"), total)
 
 
 def _climb(nodes: DataFrame, runs: DataFrame, base: int) -> DataFrame:
@@ -104,7 +110,7 @@ def prove(nodes: DataFrame, tree: Tree, tops: DataFrame, name: str) -> DataFrame
         own = nodes if not b else tree.levels[base - 1].select("key", F.col("run").alias("idx"), "n", F.lit(True).alias("load"))
         out = _climb(own, runs, base).join(ends, ["key", "up"]).select("key", "idx", "load", F.concat("steps", "more").alias("steps"), "end")
         if b:
-            above = stored(out.select("key", F.col("idx").alias("up"), F.col("steps").alias("more"), "end"), f"{name}-ways-{b}")
+            above = stored(out.select("key", F.col("idx").alias("up"), F.col("steps").alias("more"), "end").coalesce(_files(tree.total / FAN**base)), f"{name}-ways-{b}")
     return out
 
 
@@ -122,12 +128,12 @@ def proofs(docs: DataFrame, changed: Column | None = None, **names) -> DataFrame
     placed = stored(numbered(leaves(docs, changed, **names), "key", ["id", "leaf"]), "merkle-leaves")
     tree = build(placed.select("key", "idx", "n", F.col("leaf").alias("node")), "merkle")
     crown = numbered(tree.roots.select(F.lit("").alias("all"), F.col("key").alias("part"), F.col("n").alias("size"), "root"), "all", ["part"])
-    crown = stored(crown.select(F.col("all").alias("key"), "idx", "n", "part", "size", "root"), "merkle-crown")
+    crown = stored(crown.select(F.col("all").alias("key"), "idx", "n", "part", "size", "root").coalesce(_files(tree.total)), "merkle-crown")
     top = build(crown.select("key", "idx", "n", F.col("root").alias("node")), "merkle-top")
     nothing = F.array().cast("array<struct<left:binary,right:binary>>")
     ends = top.roots.select("key", "n", nothing.alias("steps"), F.col("root").alias("end"))
     ways = prove(crown.select("key", "idx", "n", F.struct("part", "size", "root").alias("load")), top, ends, "merkle-top")
-    tops = stored(ways.select(F.col("load.part").alias("key"), F.col("load.size").alias("n"), "steps", F.struct(F.col("load.root").alias("subroot"), F.col("end").alias("root")).alias("end")), "merkle-tops")
+    tops = stored(ways.select(F.col("load.part").alias("key"), F.col("load.size").alias("n"), "steps", F.struct(F.col("load.root").alias("subroot"), F.col("end").alias("root")).alias("end")).coalesce(_files(tree.total)), "merkle-tops")
     found = prove(placed.select("key", "idx", "n", F.struct("id", "leaf", "claim").alias("load")), tree, tops, "merkle")
     return found.select(F.col("load.id").alias("doc_id"), "load.leaf", "end.subroot", "end.root", "steps", "load.claim")
 
