@@ -2,8 +2,9 @@
 
 1. The core distance of a point is that to its ``min_samples``-th other point; the weight of a pair is the largest of both cores
    and their distance. Pairs are ordered by weight, then by their ends, so everything below is unique.
-2. A minimum spanning tree by Boruvka rounds: each component takes its least edge to another, the components so joined
-   become one. A point looks for strangers in its own block and then only in blocks within its component's least edge so far.
+2. A minimum spanning tree: each component takes its least edge to another, the components so joined become one. Lists of
+   nearest neighbours tell most of these edges and that they are least; points that they leave open are searched for
+   among the strangers in blocks within their component's least edge so far. Boruvka rounds over the tree's edges follow.
 3. The hierarchy from the rounds: an edge belongs to the chain of the first later component that it is below the least edge
    of; a chain, in order, is a spine of the dendrogram, and hangs on that least edge. So sizes are running sums along chains, and
    a few joins for each of the (logarithmically many) rounds replace the walk over all edges.
@@ -27,6 +28,8 @@ from . import neighbours as N
 from .ranges import numbered
 
 EDGE = ("w", "lo", "hi")
+#: Neighbours that are listed of each point at least: most edges of the tree are among them.
+LISTED = 16
 
 
 def _edge(prefix: str = "") -> Column:
@@ -37,47 +40,98 @@ def _kept(scratch: Scratch, df: DataFrame, *names: str) -> DataFrame:
     return scratch.kept(df.select(*names) if names else df)
 
 
-def spanning_rounds(blocks: N.Blocks, cores: DataFrame, scratch: Scratch) -> list[tuple[DataFrame, DataFrame]]:
-    """Boruvka rounds: ``(comp, w, lo, hi)`` of each component's least edge, and ``(comp, next)``."""
-    schema = "comp long, other long, w double, lo long, hi long"
-    points = _kept(scratch, blocks.points.join(cores, "p").select("p", "block", "v", "core", F.col("p").alias("comp")))
+def _roots(picks: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(comp, next)`` of the components ``(comp, other)`` that took an edge, and of those they end at: the component that all so joined become.
+
+    Of two that take the same edge the smaller is the root; a component that took none is one; all others reach it by doubling their steps.
+    """
+    back = picks.select(F.col("comp").alias("other"), F.col("other").alias("again"))
+    own = F.when(F.col("again").isNull() | (F.col("again") != F.col("comp")) | (F.col("comp") > F.col("other")), F.col("other")).otherwise(F.col("comp"))
+    ends = picks.select(F.col("other").alias("comp")).distinct().join(picks, "comp", "left_anti").select("comp", F.col("comp").alias("next"))
+    hop = _kept(scratch, picks.select("comp", "other").join(back, "other", "left").select("comp", own.alias("next")).union(ends))
+    while True:
+        far = hop.select(F.col("comp").alias("next"), F.col("next").alias("then"))
+        moved = _kept(scratch, hop.join(far, "next").select("comp", F.col("then").alias("next"), (F.col("then") != F.col("next")).alias("moved")))
+        hop = moved.select("comp", "next")
+        if not moved.where("moved").limit(1).count():
+            return hop
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """``(comp, w, lo, hi, other)``: the least edge of each component, of ``edges(a, b, w, lo, hi)`` between components."""
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("comp"), *EDGE, F.col(y).alias("other")) for x, y in ("ab", "ba")]))
+    return edges.select(ends.alias("e")).select("e.*").groupBy("comp").agg(F.min(F.struct(*EDGE, "other")).alias("e")).select("comp", "e.*")
+
+
+def _relabelled(edges: DataFrame, hop: DataFrame) -> DataFrame:
+    """``edges(a, b, w, lo, hi)`` between the components they join now; those inside one are left out."""
+    for x in ("a", "b"):
+        edges = edges.join(hop.select(F.col("comp").alias(x), "next"), x, "left").withColumn(x, F.coalesce("next", x)).drop("next")
+    return edges.where("a <> b").select("a", "b", *EDGE)
+
+
+def spanning_tree(blocks: N.Blocks, lists: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """``(w, lo, hi)``: the edges of the minimum spanning tree, from ``lists(p, q, d)``, the same number of nearest others of each point, ``k`` at least.
+
+    What isn't on a point's list comes after the last of it: ``floor`` is an edge that all of a point's other edges come after. So a component's least edge of
+    the lists is its least of all if no floor of its points comes before it. Only where few components are so sure, points whose floor does are searched for
+    among all points, except those of the largest component, which needn't take an edge: the others join it.
+    """
+    listed = lists.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("d", "q"))).alias("n"))  # a list is short
+    last, endless = F.element_at("n", -1), F.size("n") >= blocks.n - 1
+    floor = F.when(~endless, F.struct(last["d"].alias("w"), F.least("p", last["q"]).alias("lo"), F.greatest("p", last["q"]).alias("hi")))
+    listed = _kept(scratch, listed.select("p", F.get("n", F.lit(k - 1))["d"].alias("core"), floor.alias("floor")))
+    cores = listed.select("p", "core")
+    far = cores.select(F.col("p").alias("q"), F.col("core").alias("far"))
+    edges = lists.join(cores, "p").join(far, "q").select(F.col("p").alias("a"), F.col("q").alias("b"), F.greatest("d", "core", "far").alias("w"), F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
+    edges = _kept(scratch, edges.dropDuplicates(["lo", "hi"]))
+    points = _kept(scratch, listed.select("p", F.col("p").alias("comp"), "core", "floor"))
+    schema = "a long, b long, w double, lo long, hi long"
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         take = lambda t, c: t.column(c).to_numpy()
         r, c, w = N.strangers(a, b) if a.num_rows and b.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        p, q = take(a, "p")[r], take(b, "p")[c]
-        return pa.table([take(a, "comp")[r], take(b, "comp")[c], w, np.minimum(p, q), np.maximum(p, q)], names=["comp", "other", "w", "lo", "hi"])
+        comp, p, q = take(a, "comp")[r], take(a, "p")[r], take(b, "p")[c]
+        lo, hi = np.minimum(p, q), np.maximum(p, q)
+        o = np.lexsort((hi, lo, w, comp))
+        o = o[np.arange(len(o)) == np.searchsorted(comp[o], comp[o])]  # one for each component
+        return pa.table([comp[o], take(b, "comp")[c][o], w[o], lo[o], hi[o]], names=["a", "b", "w", "lo", "hi"])
 
-    def own_block(t: pa.Table) -> pa.Table:
-        return search(t.append_column("most", pa.array(np.full(t.num_rows, np.inf))), t)
+    tree = None
+    while True:
+        comps = points.groupBy("comp").agg(F.count("*").alias("size"), F.min("floor").alias("floor"))
+        best = _kept(scratch, comps.join(_least(edges), "comp", "left").withColumn("sure", F.col("w").isNotNull() & (F.col("floor").isNull() | (_edge() <= F.col("floor")))))
+        count = best.agg(F.count("*").alias("n"), F.count_if("sure").alias("sure"), F.max(F.struct("size", "comp")).alias("top")).first()
+        if count.n == 1:
+            return tree
+        if count.sure * 4 < count.n:
+            asks = points.join(best.where((F.col("comp") != count.top.comp) & ~F.col("sure")).select("comp", F.when(F.col("w").isNotNull(), _edge()).alias("e")), "comp").where(F.col("e").isNull() | (F.col("floor") < F.col("e")))
+            rows = blocks.points.select("p", "block", "v")
+            asks = rows.join(asks.select("p", "core", "comp", F.coalesce("e.w", F.lit(float("inf"))).alias("most")), "p").select("p", "block", "v", "core", "comp", "most")
+            among = rows.join(points.select("p", "core", "comp"), "p")
+            new = _kept(scratch, N.visited(among, _kept(scratch, N._sent(asks, blocks, own_too=True)), search, schema))
+            # what was found is least for the component that looked, and an edge like others for the one it ends at
+            edges = _kept(scratch, edges.union(new))
+            best = _least(edges).join(best.select("comp", "sure"), "comp").withColumn("sure", F.col("sure") | (F.col("comp") != count.top.comp))
+        picks = _kept(scratch, best.where("sure").select("comp", *EDGE, "other"))
+        found = picks.select(*EDGE).distinct()
+        tree = found if tree is None else tree.union(found)
+        hop = _roots(picks, scratch)
+        points = _kept(scratch, points.join(hop, "comp", "left").select("p", F.coalesce("next", "comp").alias("comp"), "core", "floor"))
+        edges = _kept(scratch, _relabelled(edges, hop))
 
-    def least(found: DataFrame) -> DataFrame:
-        return found.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("comp", "e.*")
 
-    rounds, count = [], blocks.n
+def spanning_rounds(tree: DataFrame, n: int, scratch: Scratch) -> list[tuple[DataFrame, DataFrame]]:
+    """Boruvka rounds over the edges of a spanning tree of ``n`` points: ``(comp, w, lo, hi)`` of each component's least edge, and ``(comp, next)``.
+
+    A component's least edge is in the tree, so the rounds are those of all pairs.
+    """
+    edges, rounds, count = _kept(scratch, tree.select(F.col("lo").alias("a"), F.col("hi").alias("b"), *EDGE)), [], n
     while count > 1:
-        inside = _kept(scratch, least(points.groupBy("block").applyInArrow(own_block, schema)))
-        best = inside
-        if len(blocks.block) > 1:
-            rows = points.join(inside.select("comp", F.col("w").alias("most")), "comp", "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
-            each = {r.block: r for r in points.groupBy("block").agg(F.min("core").alias("core"), F.min("comp").alias("a"), F.max("comp").alias("b")).collect()}  # a row for each block
-            floor = np.array([each[b].core for b in blocks.block])
-            only = np.array([each[b].a if each[b].a == each[b].b else -1 for b in blocks.block])
-            ask = rows.where("core <= most").select("p", "block", "v", "core", "comp", "most")
-            best = least(inside.union(N.visited(points, _kept(scratch, N._sent(ask, blocks, floor, only)), search, schema).select(inside.columns)))
-        best = _kept(scratch, best)
-        # of two that take the same edge the smaller is the root; all others reach it by doubling their steps
-        back = best.select(F.col("comp").alias("other"), F.col("other").alias("again"))
-        hop = best.select("comp", "other").join(back, "other").select("comp", F.when((F.col("again") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("next"))
-        hop = _kept(scratch, hop)
-        while True:
-            far = hop.select(F.col("comp").alias("next"), F.col("next").alias("then"))
-            moved = _kept(scratch, hop.join(far, "next").select("comp", F.col("then").alias("next"), (F.col("then") != F.col("next")).alias("moved")))
-            hop = moved.select("comp", "next")
-            if not moved.where("moved").limit(1).count():
-                break
+        best = _kept(scratch, _least(edges))
+        hop = _roots(best.select("comp", "other"), scratch)
         rounds.append((best.select("comp", *EDGE), hop))
-        points = _kept(scratch, points.join(hop, "comp").select("p", "block", "v", "core", F.col("next").alias("comp")))
+        edges = _kept(scratch, _relabelled(edges, hop))
         count = hop.select("next").distinct().count()
     return rounds
 
@@ -169,15 +223,39 @@ def condensed(tree: DataFrame, hangs: DataFrame, rounds: list, size: int, scratc
     return _kept(scratch, own.select("c", "parent", "birth", "size", (F.col("rates") - F.col("size") * birth).alias("stability"))), points
 
 
+def worth(clusters: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(c, parent, best)``: the best choice from each cluster down, the larger of its own stability and the sum of its two parts' best.
+
+    With one part known, a cluster's best is ``max(a, best of the other + b)``. Such steps put together are such a step again, so a chain of clusters is resolved by
+    doubling, whatever its length. Each round resolves all chains that end at a known one, so what remains halves at least: no round for each level of the tree.
+    """
+    parents = clusters.where("parent IS NOT NULL").select(F.col("parent").alias("c")).distinct()
+    known = _kept(scratch, clusters.join(parents, "c", "left_anti").select("c", "parent", F.col("stability").alias("best")))
+    waiting = _kept(scratch, clusters.join(parents, "c", "left_semi").select("c", "parent", "stability"))
+    while waiting.limit(1).count():
+        sums = known.where("parent IS NOT NULL").groupBy(F.col("parent").alias("c")).agg(F.count("*").alias("n"), F.sum("best").alias("b"))
+        part = waiting.where("parent IS NOT NULL").select(F.col("parent").alias("c"), F.col("c").alias("at"))
+        rows = waiting.join(sums, "c").join(part, "c", "left")
+        step = _kept(scratch, rows.select("c", "parent", "at", F.col("stability").alias("a"), "b", F.when(F.col("n") == 2, F.greatest("stability", "b")).alias("best")))
+        while True:
+            far = step.select(F.col("c").alias("at"), F.col("at").alias("at2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("best").alias("best2"))
+            on = F.col("best").isNull() & F.col("best2").isNull() & F.col("at2").isNotNull()
+            best = F.coalesce("best", F.when(F.col("best2").isNotNull(), F.greatest("a", F.col("best2") + F.col("b"))))
+            at, a, b = F.when(on, F.col("at2")).otherwise(F.col("at")), F.when(on, F.greatest("a", F.col("a2") + F.col("b"))).otherwise(F.col("a")), F.when(on, F.col("b") + F.col("b2")).otherwise(F.col("b"))
+            moved = on | (F.col("best").isNull() & F.col("best2").isNotNull())
+            step = _kept(scratch, step.join(far, "at", "left").select("c", "parent", at.alias("at"), a.alias("a"), b.alias("b"), best.alias("best"), moved.alias("moved")))
+            if not step.where("moved").limit(1).count():
+                break
+        known = _kept(scratch, known.union(step.where("best IS NOT NULL").select("c", "parent", "best")))
+        waiting = _kept(scratch, waiting.join(known, "c", "left_anti"))
+    return known
+
+
 def chosen(clusters: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(c, cluster)``: the chosen cluster that each cluster is in, if any. A round for each level of the condensed tree."""
-    value = _kept(scratch, clusters.join(clusters.select(F.col("parent").alias("c")).distinct(), "c", "left_anti").select("c", "parent", F.col("stability").alias("best"), F.col("parent").isNotNull().alias("taken")))
-    new = value
-    while new.limit(1).count():
-        both = value.where("parent IS NOT NULL").groupBy(F.col("parent").alias("c")).agg(F.count("*").alias("n"), F.sum("best").alias("below")).where("n = 2")
-        ready = both.join(value.select("c"), "c", "left_anti").join(clusters, "c")
-        new = _kept(scratch, ready.select("c", "parent", F.greatest("stability", "below").alias("best"), ((F.col("stability") >= F.col("below")) & F.col("parent").isNotNull()).alias("taken")))
-        value = _kept(scratch, value.union(new))
+    """``(c, cluster)``: the chosen cluster that each cluster is in, if any."""
+    below = worth(clusters, scratch).where("parent IS NOT NULL").groupBy(F.col("parent").alias("c")).agg(F.sum("best").alias("below"))
+    taken = F.col("parent").isNotNull() & (F.col("below").isNull() | (F.col("stability") >= F.col("below")))
+    value = _kept(scratch, clusters.join(below, "c", "left").select("c", "parent", taken.alias("taken")))
     # the topmost chosen one on the way up, by doubling
     up = value.select("c", F.col("parent").alias("at"), F.when(F.col("taken"), F.col("c")).alias("cluster"))
     while up.where("at IS NOT NULL").limit(1).count():
@@ -200,8 +278,8 @@ def hdbscan(vectors: DataFrame, min_cluster_size: int = 5, min_samples: int | No
         return ids.select("id", F.lit(-1).cast("long").alias("cluster"))
     blocks = N.dealt(points, scratch)
     k = min(min_samples or min_cluster_size, blocks.n - 1)
-    cores = N.neighbours(blocks, k, scratch).groupBy("p").agg(F.max("d").alias("core"))
-    rounds = spanning_rounds(blocks, cores, scratch)
+    lists = _kept(scratch, N.neighbours(blocks, min(max(k, LISTED), blocks.n - 1), scratch))
+    rounds = spanning_rounds(spanning_tree(blocks, lists, k, scratch), blocks.n, scratch)
     tree, hangs = chains(rounds, scratch)
     clusters, points = condensed(tree, hangs, rounds, min_cluster_size, scratch)
     found = _kept(scratch, points.join(chosen(clusters, scratch), "c", "left").select("p", "cluster"))

@@ -173,11 +173,8 @@ def neighbours(blocks: Blocks, k: int, scratch: Scratch, exact: bool = True) ->
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def _sent(rows: DataFrame, blocks: Blocks, least: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
-    """``rows(p, block, v, most, ...)`` once for each other block that may hold something within ``most``.
-
-    ``least`` is a bound of each block besides its ball, ``only`` the component that a block wholly belongs to (-1: several).
-    """
+def _sent(rows: DataFrame, blocks: Blocks, own_too: bool = False) -> DataFrame:
+    """``rows(p, block, v, most, ...)`` once for each other block, or each if ``own_too``, that may hold something within ``most``."""
     at, center, radius = blocks.block, blocks.center, blocks.radius
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +183,9 @@ def _sent(rows: DataFrame, blocks: Blocks, least: np.ndarray | None = None, only
             for s in _sliced(len(v), len(at)):
                 gap, slack = _gaps(v[s], center)
                 bound = np.sqrt(np.maximum(gap, 0)) - radius[None, :] - np.sqrt(slack)
-                if least is not None:
-                    bound = np.maximum(bound, least[None, :])
-                go = (bound <= most[s][:, None]) & (own[s][:, None] != at[None, :])
-                if only is not None:
-                    go &= batch.column("comp").to_numpy()[s][:, None] != only[None, :]
+                go = bound <= most[s][:, None]
+                if not own_too:
+                    go &= own[s][:, None] != at[None, :]
                 r, c = np.nonzero(go)
                 part = batch.take(pa.array(r + s.start))
                 yield part.set_column(part.schema.get_field_index("block"), "block", pa.array(at[c]))

@@ -107,6 +107,43 @@ def test_ties_and_copies(spark, seed):
     assert labels(spark, v, min_cluster_size=4, min_samples=2) == plain(v, 4, 2)
 
 
+def test_short_lists_and_large_groups(spark, monkeypatch):
+    """Groups apart and copies that are more than the lists hold: edges that no list has."""
+    monkeypatch.setattr(N, "BLOCK", 40)
+    monkeypatch.setattr(C, "LISTED", 3)
+    r = np.random.default_rng(7)
+    v = [*(r.normal(size=(60, 3)) + 40).tolist(), *(r.normal(size=(50, 3)) - 40).tolist(), *[[0.0, 0.0, 0.0]] * 30, *[[0.5, 0.0, 0.0]] * 25, *r.normal(size=(40, 3)).tolist()]
+    assert labels(spark, v, min_cluster_size=5, min_samples=2) == plain(v, 5, 2)
+
+
+def test_deep_trees_take_few_rounds(spark):
+    """A tree of 151 levels, each with a leaf and a small tree beside the rest: the steps don't grow with its height."""
+    from fieldloom.sources.scratch import Scratch
+
+    r = random.Random(5)
+    rows, kids = [("0", None)], {}
+    for i in range(150):
+        pair = [str(i + 1), f"leaf{i}"]
+        kids[str(i)] = pair
+        rows += [(c, str(i)) for c in pair]
+        if i % 3 == 0:
+            kids[f"leaf{i}"] = [f"leaf{i}a", f"leaf{i}b"]
+            rows += [(c, f"leaf{i}") for c in kids[f"leaf{i}"]]
+    own = {c: float(r.randrange(1, 9) * (40 if c.isdigit() and r.random() < 0.1 else 1)) for c, _ in rows}
+    want, best = {}, {}
+    for c, _ in reversed(rows):  # parts come after what they are parts of
+        below = sum(best[x] for x in kids[c]) if c in kids else None
+        best[c] = own[c] if below is None else max(own[c], below)
+        want[c] = own[c] >= (below or 0)
+    top = {"0": None}
+    for c, parent in rows[1:]:
+        top[c] = top[parent] or (c if want[c] else None)
+    scratch = Scratch(spark, "t")
+    df = spark.createDataFrame([(c, p, own[c]) for c, p in rows], "c string, parent string, stability double")
+    assert {x.c: x.cluster for x in C.chosen(df, scratch).collect()} == top
+    assert scratch.n < 50 and len(set(top.values())) > 5
+
+
 def test_few_and_odd_rows(spark):
     schema = "id long, v array<double>"
     assert C.hdbscan(spark.createDataFrame([], schema)).count() == 0
