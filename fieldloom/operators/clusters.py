@@ -86,11 +86,22 @@ def spanning_tree(blocks: N.Blocks, lists: DataFrame, k: int, scratch: Scratch)
     edges = lists.join(cores, "p").join(far, "q").select(F.col("p").alias("a"), F.col("q").alias("b"), F.greatest("d", "core", "far").alias("w"), F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
     edges = _kept(scratch, edges.dropDuplicates(["lo", "hi"]))
     points = _kept(scratch, listed.select("p", F.col("p").alias("comp"), "core", "floor"))
-    schema = "a long, b long, w double, lo long, hi long"
+    balls, schema = blocks.balls, "a long, b long, w double, lo long, hi long"
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         take = lambda t, c: t.column(c).to_numpy()
-        r, c, w = N.strangers(a, b) if a.num_rows and b.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        q, most, found = N.matrix(a.column("v")), take(a, "most").copy(), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        b = b.take(pa.array(np.argsort(take(b, "block"), kind="stable"))) if b.num_rows else b
+        start = 0
+        for block, x in N.segments(b) if a.num_rows else ():
+            rows = balls.reached(q, most, block)
+            if len(rows):
+                own = a.take(pa.array(rows)).drop_columns("most").append_column("most", pa.array(most[rows]))
+                r, c, w = N.strangers(own, x)
+                most[rows[r]] = np.minimum(most[rows[r]], w)
+                found.append((rows[r], c + start, w))
+            start += x.num_rows
+        r, c, w = (np.concatenate(v) for v in zip(*found))
         comp, p, q = take(a, "comp")[r], take(a, "p")[r], take(b, "p")[c]
         lo, hi = np.minimum(p, q), np.maximum(p, q)
         o = np.lexsort((hi, lo, w, comp))
@@ -106,10 +117,10 @@ def spanning_tree(blocks: N.Blocks, lists: DataFrame, k: int, scratch: Scratch)
             return tree
         if count.sure * 4 < count.n:
             asks = points.join(best.where((F.col("comp") != count.top.comp) & ~F.col("sure")).select("comp", F.when(F.col("w").isNotNull(), _edge()).alias("e")), "comp").where(F.col("e").isNull() | (F.col("floor") < F.col("e")))
-            rows = blocks.points.select("p", "block", "v")
-            asks = rows.join(asks.select("p", "core", "comp", F.coalesce("e.w", F.lit(float("inf"))).alias("most")), "p").select("p", "block", "v", "core", "comp", "most")
+            rows = blocks.points.select("p", "block", "grp", "v")
+            asks = rows.join(asks.select("p", "core", "comp", F.coalesce("e.w", F.lit(float("inf"))).alias("most")), "p").select("p", "grp", "v", "core", "comp", "most")
             among = rows.join(points.select("p", "core", "comp"), "p")
-            new = _kept(scratch, N.visited(among, _kept(scratch, N._sent(asks, blocks, own_too=True)), search, schema))
+            new = _kept(scratch, N.visited(among, _kept(scratch, N._sent(asks, balls, own_too=True)), blocks.side, search, schema))
             # what was found is least for the component that looked, and an edge like others for the one it ends at
             edges = _kept(scratch, edges.union(new))
             best = _least(edges).join(best.select("comp", "sure"), "comp").withColumn("sure", F.col("sure") | (F.col("comp") != count.top.comp))

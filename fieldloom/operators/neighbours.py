@@ -2,8 +2,9 @@
 
 Points are dealt into blocks by the nearest of at most ``PIVOTS`` sampled ones (a crowded pivot is split). Of every block
 only a ball is known everywhere: its pivot, radius, and what else prunes. A point is searched in its own block first, which
-bounds what it still looks for; then it is sent to those blocks only whose ball that bound reaches. Distances are measured
-from differences, so both ends of a pair see the same number.
+bounds what it still looks for; then it is sent to those blocks only whose ball that bound reaches. Blocks are sent to in groups, so a
+point travels once for each group with such a block, and groups grow with the table. Distances are measured
+from differences, so both ends of a pair see the same number; products only tell which pairs to measure.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from fieldloom.sources.scratch import Scratch
 from .ranges import numbered
 
 #: Pivots, and so the balls that are known everywhere, never exceed this; blocks grow beyond ``PIVOTS * BLOCK`` points.
-PIVOTS, BLOCK, ASKED, CELLS = 4096, 2048, 65_536, 1 << 21
+PIVOTS, BLOCK, CELLS = 4096, 2048, 1 << 18
+#: Points of a group and of those that ask in it: an eighth of the table, so that tasks are many, up to this, so that a task's memory is bounded.
+SIDE = 32_768
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -44,20 +47,68 @@ def _sliced(n: int, m: int) -> Iterator[slice]:
     return (slice(a, a + step) for a in range(0, n, step))
 
 
-def nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, ids and distances of the k nearest of ``x`` to each of ``q``, itself left out, nearest first, then by id."""
-    out = []
-    for s in _sliced(len(q), len(x)):
-        gap, slack = _gaps(q[s], x)
-        gap[own[s][:, None] == ids[None, :]] = np.inf
-        kth = np.partition(gap, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-        r, c = np.nonzero((gap <= kth[:, None] + 2 * slack) & np.isfinite(gap))
-        d = np.sqrt(((q[s][r] - x[c]) ** 2).sum(axis=1))
-        o = np.lexsort((ids[c], d, r))
-        r, c, d = r[o], c[o], d[o]
-        o = np.arange(len(r)) - np.searchsorted(r, r) < k
-        out.append((r[o] + s.start, ids[c[o]], d[o]))
-    return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+def _quick_gaps(q: np.ndarray, x: np.ndarray, within: float) -> tuple[np.ndarray, float]:
+    """The same in single precision around the middle of ``x``, where that is exact enough to tell what is ``within`` a squared distance."""
+    if q.shape[1] >= 16 and len(q) and np.isfinite(within):
+        middle = x.mean(axis=0)
+        a, b = q - middle, x - middle
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        scale = (np.sqrt(aa.max()) + np.sqrt(bb.max())) ** 2
+        slack = (q.shape[1] + 16) * 2.0**-22 * scale  # over four times the rounding of a sum of that many products
+        if 1e-20 < scale < 1e20 and slack <= 0.05 * within:
+            left = np.concatenate([-2 * a, aa[:, None], np.ones((len(a), 1))], axis=1).astype(np.float32)
+            right = np.concatenate([b, np.ones((len(b), 1)), bb[:, None]], axis=1).astype(np.float32)
+            return left @ right.T, slack
+    return _gaps(q, x)
+
+
+class Lists:
+    """The k nearest so far, within ``most``, of each point of ``q``, itself left out: nearest first, then by id."""
+
+    def __init__(self, q: np.ndarray, own: np.ndarray, k: int, most: np.ndarray) -> None:
+        self.q, self.own, self.k, self.most = q, own, k, np.array(most, dtype=np.float64)
+        self.d, self.ids = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        self.held, self.count = [], 0
+
+    def offer(self, rows: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        open_ = ~np.isfinite(self.most[rows])
+        for part in (rows[open_], rows[~open_]):
+            for s in _sliced(len(part), len(x)):
+                at = part[s]
+                bound = self.most[at] ** 2
+                gap, slack = _quick_gaps(self.q[at], x, float(np.median(bound)))
+                if len(x) > self.k and not np.isfinite(bound).all():  # one more than k, for the point itself may be among them
+                    bound = np.minimum(bound, np.partition(gap, self.k, axis=1)[:, self.k] + slack)
+                r, c = np.nonzero(gap <= (bound * (1 + 1e-12) + slack)[:, None])
+                r = at[r]
+                other = ids[c] != self.own[r]
+                r, c = r[other], c[other]
+                d = np.sqrt(((self.q[r] - x[c]) ** 2).sum(axis=1))
+                near = d <= self.most[r]
+                self.held.append((r[near], ids[c[near]], d[near]))
+                self.count += int(near.sum())
+            if self.count > 8 * len(self.q) or open_.any():
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.count:
+            return
+        r, ids, d = (np.concatenate(v) for v in zip(*self.held))
+        self.held, self.count = [], 0
+        who, r = np.unique(r, return_inverse=True)
+        r, ids, d = np.concatenate([np.repeat(np.arange(len(who)), self.k), r]), np.concatenate([self.ids[who].ravel(), ids]), np.concatenate([self.d[who].ravel(), d])
+        o = np.lexsort((ids, d, r))
+        r, ids, d = r[o], ids[o], d[o]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        first = place < self.k
+        self.ids[who[r[first]], place[first]], self.d[who[r[first]], place[first]] = ids[first], d[first]
+        self.most[who] = np.minimum(self.most[who], self.d[who, -1])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, ids and distances."""
+        self.settle()
+        r, c = np.nonzero(np.isfinite(self.d))
+        return r, self.ids[r, c], self.d[r, c]
 
 
 def strangers(q: pa.Table, x: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,15 +138,34 @@ def strangers(q: pa.Table, x: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 @dataclass
-class Blocks:
-    """``points(p, block, v)``; ``block``, ``center``, ``radius`` of each ball."""
+class Balls:
+    """``block``, ``center``, ``radius`` and ``group`` of each block, by block."""
 
-    points: DataFrame
     block: np.ndarray
     center: np.ndarray
     radius: np.ndarray
+    group: np.ndarray
+
+    def reached(self, q: np.ndarray, most: np.ndarray, block: int) -> np.ndarray:
+        """Which of ``q`` a block's ball may have something for."""
+        i = int(np.searchsorted(self.block, block))
+        gap, slack = _gaps(q, self.center[i : i + 1])
+        return np.nonzero(np.sqrt(np.maximum(gap[:, 0], 0)) - self.radius[i] - np.sqrt(slack) <= most)[0]
+
+
+@dataclass
+class Blocks:
+    """``points(p, id, block, grp, v)`` and the balls of their blocks; a group has about ``side`` points."""
+
+    points: DataFrame
+    balls: Balls
+    side: int
     n: int
 
+    @property
+    def block(self) -> np.ndarray:
+        return self.balls.block
+
 
 def numbered_points(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
     """``(p, id, v array<double>)`` of ``(id, v)``, numbered from 0 by id and vector, with the number of rows and of components.
@@ -134,60 +204,94 @@ def dealt(points: tuple[DataFrame, int, int], scratch: Scratch, seed: int = 0) -
     placed = scratch.kept(placed.select("p", "id", "block", "v", "pivot", "away"))
     balls = placed.groupBy("block").agg(F.max("pivot").alias("pivot"), F.max("away").alias("radius")).orderBy("block").collect()
     at = np.array([b.pivot for b in balls], np.int64)
-    return Blocks(placed.select("p", "id", "block", "v"), np.array([b.block for b in balls], np.int64), pivots[at], np.array([b.radius for b in balls]) * (1 + 1e-9), n)
+    block, radius = np.array([b.block for b in balls], np.int64), np.array([b.radius for b in balls]) * (1 + 1e-9)
+    side = min(max(BLOCK, n // 8), SIDE)
+    group = np.arange(len(balls)) // max(1, round(side * len(balls) / max(1, n)))
+    groups = rows.sparkSession.createDataFrame([(int(b), int(g)) for b, g in zip(block, group)], "block long, grp long")  # a row for each block
+    return Blocks(placed.select("p", "id", "block", "v").join(F.broadcast(groups), "block").select("p", "id", "block", "grp", "v"), Balls(block, pivots[at], radius, group), side, n)
 
 
-def visited(points: DataFrame, asked: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``kernel(asked, points)`` for each block and each ``ASKED`` of those that ask in it, so a task holds a bounded number of both."""
-    chunks = asked.groupBy("block").agg(F.ceil(F.count("*") / ASKED).alias("chunks"))  # a row for each block
-    q = asked.join(F.broadcast(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("p"), F.col("chunks"))).drop("chunks")
+def segments(x: pa.Table) -> Iterator[tuple[int, pa.Table]]:
+    """Each block of a group's points."""
+    block = x.column("block").to_numpy()
+    x, block = x.take(pa.array(np.argsort(block, kind="stable"))), np.sort(block)
+    starts = np.nonzero(np.diff(block, prepend=-1))[0]
+    return ((int(block[a]), x.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(block)]))
+
+
+def visited(points: DataFrame, asked: DataFrame, side: int, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``kernel(asked, points)`` for each group and each ``side`` of those that ask in it, so a task holds a bounded number of both."""
+    chunks = asked.groupBy("grp").agg(F.ceil(F.count("*") / side).alias("chunks"))  # a row for each group
+    q = asked.join(F.broadcast(chunks), "grp").withColumn("chunk", F.pmod(F.xxhash64("p"), F.col("chunks"))).drop("chunks")
     q = q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns])
-    x = points.join(F.broadcast(chunks), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+    x = points.join(F.broadcast(chunks), "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
     run = lambda a, b: kernel(a.rename_columns([c.removeprefix("q_") for c in a.column_names]), b)
-    return q.groupBy("q_block", "q_chunk").cogroup(x.groupBy("block", "chunk")).applyInArrow(run, schema)
+    return q.groupBy("q_grp", "q_chunk").cogroup(x.groupBy("grp", "chunk")).applyInArrow(run, schema)
 
 
 def neighbours(blocks: Blocks, k: int, scratch: Scratch, exact: bool = True) -> DataFrame:
     """``(p, q, d)``: the k nearest other points of each (all, if fewer), by distance, then number; those of its block, if not ``exact``."""
     from pyspark.sql import Window
 
-    schema, names = "p long, q long, d double", ["p", "q", "d"]
+    balls, schema, names = blocks.balls, "p long, q long, d double", ["p", "q", "d"]
+
+    def listed(lists: Lists) -> pa.Table:
+        r, q, d = lists.found()
+        return pa.table([lists.own[r], q, d], names=names)
+
+    def within(t: pa.Table) -> pa.Table:
+        """Own blocks first, then the others of the group."""
+        parts, lists = [x for _, x in segments(t)], []
+        for x in parts:
+            v, ids = matrix(x.column("v")), x.column("p").to_numpy()
+            lists.append(Lists(v, ids, k, np.full(len(v), np.inf)))
+            lists[-1].offer(np.arange(len(v)), v, ids)
+        if exact:
+            of = [int(x.column("block")[0].as_py()) for x in parts]
+            for i, own in enumerate(lists):
+                for j, x in enumerate(lists):
+                    if i != j and len(rows := balls.reached(own.q, own.most, of[j])):
+                        own.offer(rows, x.q, x.own)
+        return pa.concat_tables([listed(x) for x in lists])
 
     def pairs(a: pa.Table, b: pa.Table) -> pa.Table:
-        own = a.column("p").to_numpy()
         if not a.num_rows or not b.num_rows:
             return pa.table({"p": pa.array([], pa.int64()), "q": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        r, q, d = nearest(matrix(a.column("v")), own, matrix(b.column("v")), b.column("p").to_numpy(), k)
-        return pa.table([own[r], q, d], names=names)
-
-    inside = scratch.kept(blocks.points.select("p", "block", "v").groupBy("block").applyInArrow(lambda t: pairs(t, t), schema))
+        lists = Lists(matrix(a.column("v")), a.column("p").to_numpy(), k, a.column("most").to_numpy())
+        for block, x in segments(b):
+            if len(rows := balls.reached(lists.q, lists.most, block)):
+                lists.offer(rows, matrix(x.column("v")), x.column("p").to_numpy())
+        return listed(lists)
+
+    points = blocks.points.select("p", "block", "grp", "v")
+    inside = scratch.kept(points.groupBy("grp" if exact else "block").applyInArrow(within, schema))
     if not exact:
         return inside
     found = inside
-    if len(blocks.block) > 1:
+    if balls.group[-1:].any():
         reach = inside.groupBy("p").agg(F.when(F.count("*") >= k, F.max("d")).alias("reach"))
-        rows = blocks.points.join(reach, "p", "left").select("p", "block", "v", F.coalesce("reach", F.lit(float("inf"))).alias("most"))
-        outside = visited(blocks.points.select("p", "block", "v"), scratch.kept(_sent(rows, blocks)), pairs, schema)
-        found = inside.union(outside)
+        rows = points.join(reach, "p", "left").select("p", "grp", "v", F.coalesce("reach", F.lit(float("inf"))).alias("most"))
+        found = inside.union(visited(points, scratch.kept(_sent(rows, balls)), blocks.side, pairs, schema))
     place = F.row_number().over(Window.partitionBy("p").orderBy("d", "q"))
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def _sent(rows: DataFrame, blocks: Blocks, own_too: bool = False) -> DataFrame:
-    """``rows(p, block, v, most, ...)`` once for each other block, or each if ``own_too``, that may hold something within ``most``."""
-    at, center, radius = blocks.block, blocks.center, blocks.radius
+def _sent(rows: DataFrame, balls: Balls, own_too: bool = False) -> DataFrame:
+    """``rows(p, grp, v, most, ...)`` once for each other group, or each if ``own_too``, with a block that may hold something within ``most``."""
+    center, radius, group = balls.center, balls.radius, balls.group
+    starts = np.nonzero(np.diff(group, prepend=-1))[0]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, own, most = matrix(pa.chunked_array([batch.column("v")])), batch.column("block").to_numpy(), batch.column("most").to_numpy()
-            for s in _sliced(len(v), len(at)):
+            v, own, most = matrix(pa.chunked_array([batch.column("v")])), batch.column("grp").to_numpy(), batch.column("most").to_numpy()
+            for s in _sliced(len(v), len(center)):
                 gap, slack = _gaps(v[s], center)
                 bound = np.sqrt(np.maximum(gap, 0)) - radius[None, :] - np.sqrt(slack)
-                go = bound <= most[s][:, None]
+                go = np.logical_or.reduceat(bound <= most[s][:, None], starts, axis=1)
                 if not own_too:
-                    go &= own[s][:, None] != at[None, :]
+                    go &= own[s][:, None] != group[starts][None, :]
                 r, c = np.nonzero(go)
                 part = batch.take(pa.array(r + s.start))
-                yield part.set_column(part.schema.get_field_index("block"), "block", pa.array(at[c]))
+                yield part.set_column(part.schema.get_field_index("grp"), "grp", pa.array(group[starts][c]))
 
     return rows.mapInArrow(send, rows.schema)

@@ -183,3 +183,37 @@ def test_places(spark):
         assert [r.idx for r in own] == list(range(len(own))) and {r.n for r in own} == {len(own)}
         assert [r.upto for r in own] == np.cumsum([r.v for r in own]).tolist()
     assert numbered(df.limit(0), "g", ["k"]).count() == 0
+
+
+def test_points_travel_by_groups(spark, monkeypatch):
+    """Where no ball prunes, a point is sent to each group of blocks, not to each block, and lists are those of all pairs."""
+    from fieldloom.sources.scratch import Scratch
+
+    monkeypatch.setattr(N, "BLOCK", 20)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(640, 64))
+    v[100:110] = v[5]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    scratch, sent = Scratch(spark, "t"), []
+    plain_sent = N._sent
+    monkeypatch.setattr(N, "_sent", lambda *a, **kw: sent.append(scratch.kept(plain_sent(*a, **kw))) or sent[-1])
+    blocks = N.dealt(N.numbered_points(df, scratch), scratch)
+    got = {x.p: [y.q for y in x.n] for x in N.neighbours(blocks, 7, scratch).groupBy("p").agg(F.sort_array(F.collect_list(F.struct("d", "q"))).alias("n")).collect()}
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    assert all(got[i] == [j for _, j in sorted((d[i, j], j) for j in range(640) if j != i)[:7]] for i in range(640))
+    assert len(blocks.block) > 20 and sent[0].count() <= 640 * 9
+
+
+@pytest.mark.parametrize(("dim", "off"), [(64, 0.0), (64, 1000.0), (20, 3.0), (2, 0.0)])
+def test_lists_in_single_precision(dim, off):
+    r = np.random.default_rng(1)
+    v = r.normal(size=(900, dim))
+    v[100:140] = v[5]
+    v, ids = v + off, r.permutation(900)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    lists = N.Lists(v, ids, 7, np.full(900, np.inf))
+    for a in range(0, 900, 300):
+        lists.offer(np.arange(900), v[a : a + 300], ids[a : a + 300])
+    rows, near, _ = lists.found()
+    for i in range(900):
+        assert near[rows == i].tolist() == [j for _, j in sorted((d[i, j], ids[j]) for j in range(900) if j != i)[:7]]
