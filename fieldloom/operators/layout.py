@@ -1,6 +1,6 @@
 """ANA-EMBED, layout: a neighbour graph drawn in few dimensions (UMAP) as Spark jobs.
 
-1. Neighbours by descent: two dealings into blocks by different pivots give first lists; then points that are neighbours of one
+1. Neighbours exactly, by ``neighbours``, of up to ``EXACT`` points, where that is quicker than rounds; by descent beyond: two dealings into blocks by different pivots give first lists; then points that are neighbours of one
    point, in either direction, are tried as neighbours of each other, until a round changes under ``SETTLED`` of all places.
 2. Fuzzy weights: ``exp(-(d - nearest) / sigma)``, sigma so that a point's weights sum to ``log2(k)``, joined from both sides as ``a + b - a b``.
 3. Layout by negative sampling, in outer rounds: points are dealt into blocks of neighbours, and a task moves the points of
@@ -23,6 +23,7 @@ from fieldloom.sources.scratch import Scratch
 from . import neighbours as N
 
 SETTLED, TRIED, DEALINGS, PUSHED, BATCHES = 0.002, 12, 2, 2_000, 8
+EXACT = 200_000
 
 
 def descend(points: tuple[DataFrame, int, int], k: int, scratch: Scratch, seed: int = 0, rounds: int = 12) -> DataFrame:
@@ -197,8 +198,9 @@ def umap(vectors: DataFrame, n_components: int = 2, n_neighbors: int = 15, min_d
     if n <= 2:
         return ids.join(y, "p").select("id", "y")
     k = min(n_neighbors, n - 1)
-    edges = fuzzy(descend(points, k, scratch, random_state), k, scratch)
     blocks = N.dealt(points, scratch, random_state)
+    graph = N.neighbours(blocks, k, scratch) if n <= EXACT else descend(points, k, scratch, random_state)
+    edges = fuzzy(graph, k, scratch)
     block = blocks.points.select("p", "block")
     edges = scratch.kept(edges.join(block, "p"))
     outer = outer if len(blocks.block) > 1 else 1  # nothing is held still in a single block

@@ -50,6 +50,15 @@ def test_recall(spark, monkeypatch, vectors, block):
     assert found.groupBy("p").count().where("count <> 15").count() == 0
 
 
+def test_layout_takes_exact_lists(spark, monkeypatch, vectors):
+    """In many blocks too, no neighbour is missed and no round of descent is run."""
+    monkeypatch.setattr(N, "BLOCK", 60)
+    v, lists, plain = vectors[0], [], L.fuzzy
+    monkeypatch.setattr(L, "fuzzy", lambda graph, *a: lists.append(graph) or plain(graph, *a))
+    assert L.umap(frame(spark, v), epochs=4, outer=1, scaled=False).count() == len(v)
+    assert {(r.p, r.q) for r in lists[0].collect()} == {(i, int(j)) for i, own in enumerate(ranks(v)[:, :15]) for j in own}
+
+
 @pytest.mark.parametrize("block", [2048, 150])
 def test_layout_keeps_neighbours(spark, monkeypatch, vectors, block):
     monkeypatch.setattr(N, "BLOCK", block)
