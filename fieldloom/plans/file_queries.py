@@ -65,7 +65,7 @@ def payload_sink(s, d):
     """Rasters written as files by the payload sink, listed and read back by Spark."""
     scratch = Scratch(s, "payloads")
     K.write_files(_as_files(s, d, "tif"), scratch.path, "tif")
-    found = S.read_images(s, f"{scratch.path}/*.tif")
+    found = S.read_images(s, scratch.path, "*.tif")
     return R.to_pixels(found.withColumn("stem", F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("bigint"))).select("stem", "y", "x", "v")
 
 

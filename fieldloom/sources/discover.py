@@ -70,9 +70,14 @@ def with_ids(refs: DataFrame, ids: DataFrame, scope: str, name: str = "class_id"
     return attr(refs, name).withColumnRenamed("value", "class_id").join(own, "class_id", "left").select("stem", "class_id", "id")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-IMG: ``(path, h, w, channels, data)`` of PNG, JPEG, BMP and TIFF files, channels in the order red, green, blue, alpha."""
-    return decoded_images(spark.read.format("binaryFile").load(path).select("path", "content"), "path")
+def read_images(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """SRC-IMG: ``(path, h, w, channels, data)`` of PNG, JPEG, BMP and TIFF files, channels in the order red, green, blue, alpha.
+
+    ``path`` may be a glob, each match of which Spark lists in a task of its own; of a folder with many files, those called like the glob ``names`` are listed at once.
+    """
+    reader = spark.read.format("binaryFile")
+    reader = reader if names is None else reader.option("pathGlobFilter", names)
+    return decoded_images(reader.load(path).select("path", "content"), "path")
 
 
 def read_segmaps(spark: SparkSession, path: str) -> DataFrame:

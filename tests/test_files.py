@@ -133,3 +133,17 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path):
     assert tree(tmp_path) == [] and not list((tmp_path / "set").glob(".staging*"))
     K.write_at(good, f"{tmp_path}/set")
     assert len(tree(tmp_path)) == 20
+
+
+def test_many_files_are_listed_at_once(spark, sf_dir):
+    """500 files take a bounded number of tasks, not one each to be listed."""
+    from fieldloom.plans.file_queries import payload_sink
+
+    spark.sparkContext.setJobGroup("listed", "listed")
+    try:
+        assert payload_sink(spark, sf_dir).count() == 32_000
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("listed") for s in tracker.getJobInfo(j).stageIds}
+        assert 0 < max(i.numTasks for s in stages if (i := tracker.getStageInfo(s))) < 100
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
